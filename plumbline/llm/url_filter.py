@@ -117,6 +117,7 @@ def with_features(urls: DataFrame) -> tuple[DataFrame, list[str]]:
         # which first path segment: hashed places, few enough that trees can tell common ones apart
         "f_first_a": F.pmod(F.xxhash64(first), F.lit(7)).cast("double"),
         "f_first_b": F.pmod(F.xxhash64(F.lit(1), first), F.lit(11)).cast("double"),
+        "f_second_head": F.ascii(F.regexp_extract(path, r"^/[^/]*/(.)", 1)).cast("double"),
     }
     urls = urls.withColumn("_suffix", suffix(host))
     stats = urls.groupBy("_suffix").agg(
@@ -133,7 +134,7 @@ def train(urls: DataFrame, features: list[str], label: str = "ruled", max_labell
     kinds = [r["label"] for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         return ("block" if kinds[0] else "allow") if kinds else None
-    stages = [VectorAssembler(inputCols=features, outputCol="f"), GBTClassifier(featuresCol="f", labelCol="label", maxIter=16, maxDepth=5, maxBins=64, stepSize=0.3, seed=seed)]
+    stages = [VectorAssembler(inputCols=features, outputCol="f"), GBTClassifier(featuresCol="f", labelCol="label", maxIter=20, maxDepth=4, maxBins=64, stepSize=0.3, seed=seed)]
     return Pipeline(stages=stages).fit(sample)
 
 
