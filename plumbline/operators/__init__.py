@@ -1 +1 @@
-
+"""Operators over DataFrames, by subject."""

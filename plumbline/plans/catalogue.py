@@ -1,12 +1,8 @@
-"""The engine's registered queries, each with its SQL where SQL can tell it."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, extraction, policy_queries, relations, shapes, stateful, windows  # noqa: F401  they register
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
