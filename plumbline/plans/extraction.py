@@ -167,7 +167,7 @@ MEMORY = """'note <memory>{"rule_ids": ["r' || CAST(doc_id % 5 AS STRING) || '",
 
 @query(
     "jsn01_tagged_json",
-    f"""SELECT doc_id, j IS NOT NULL AS valid, coalesce(array_to_string(from_json(j->'rule_ids', '["VARCHAR"]'), ','), '') AS rule_ids, CASE WHEN j->>'decision' IN ('PASS', 'REVIEW', 'REJECT') THEN j->>'decision' ELSE 'REVIEW' END AS decision, coalesce(try_cast(j->>'priority' AS INTEGER), 0) AS priority
+    f"""SELECT doc_id, j IS NOT NULL AS valid, coalesce(array_to_string(list_filter(from_json(j->'rule_ids', '["VARCHAR"]'), lambda v, i: list_position(from_json(j->'rule_ids', '["VARCHAR"]'), v) = i), ','), '') AS rule_ids, CASE WHEN j->>'decision' IN ('PASS', 'REVIEW', 'REJECT') THEN j->>'decision' ELSE 'REVIEW' END AS decision, coalesce(try_cast(j->>'priority' AS INTEGER), 0) AS priority
 FROM (SELECT doc_id, try_cast(nullif(regexp_extract(m, '<memory>\\s*(\\{{.*\\}})\\s*</memory>', 1, 's'), '') AS JSON) AS j FROM (SELECT doc_id, {MEMORY} AS m FROM documents))""",
 )
 def jsn01(t: Tables) -> DataFrame:
