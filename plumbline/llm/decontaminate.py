@@ -4,9 +4,10 @@ Texts and benchmark items are word sequences, ASCII letters in lower case.  A
 text leaks an item if some stretch of it is within edit distance
 ``max_edits`` (a share of the item's words) of the item.
 
-1. A window of an item's size is looked at only if it has enough word pairs of
-   the benchmark: a stretch within t edits of an item of n words shares n-1-2t
-   of its pairs, so this loses nothing.
+1. A window of an item's size is looked at only if it has enough word triples of
+   that item: a stretch within t edits of an item of n words shares n-2-3t of
+   its triples, so this loses nothing.  (Where that isn't positive, in items of
+   5 words, fewer edits are allowed.)
 2. Each window left is embedded by the CGK random walk, which copies or skips
    words by random bits of the words themselves, so that sequences at small
    edit distance get embeddings at small Hamming distance.  Bit-sampling LSH
@@ -42,6 +43,7 @@ SAMPLED = 3
 TARGET_RECALL = 0.98
 #: Least share of equal places in the embeddings of two sequences at the largest distance searched for.
 EQUAL_PLACES = 0.5
+GRAM = 3
 STRETCH = 3  # embedding length by item length
 BLOCK_BYTES = 32 << 20
 _U = np.uint64
@@ -95,67 +97,104 @@ class Items:
     def __init__(self, ids: list, texts: list[str], max_edits: float, target_recall: float):
         t = tv.scan(pa.array(texts, pa.string()), lower=True)
         h = tv.word_hash(t)
-        self.of: dict[int, list[tuple[object, np.ndarray]]] = {}
-        for k, item_id in enumerate(ids):
-            words = h[t.first[k] : t.first[k + 1]]
-            if len(words) >= MIN_WORDS:
-                self.of.setdefault(len(words), []).append((item_id, words))
-        pairs = [tv.window_hash(w, np.arange(len(w) - 1), 2) for v in self.of.values() for _, w in v]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, _U)
+        size = t.n_words
+        long_enough = np.flatnonzero(size >= MIN_WORDS)
+        self.ids = [ids[k] for k in long_enough]
+        self.words = [h[t.first[k] : t.first[k + 1]] for k in long_enough]
+        self.size = size[long_enough].astype(np.int64)
+        self.edits = np.minimum((max_edits * self.size + 1e-9).astype(np.int64), (self.size - GRAM) // GRAM)
+        self.need = np.maximum(self.size - GRAM + 1 - GRAM * self.edits, 1)
+        # which items have a gram: grams ascend, those of gram g are owners[heads[g]:heads[g + 1]]
+        grams = [np.unique(tv.window_hash(w, np.arange(len(w) - GRAM + 1), GRAM)) for w in self.words]
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        flat = np.concatenate(grams) if grams else np.zeros(0, _U)
+        order = np.argsort(flat, kind="stable")
+        self.owners = owner[order]
+        self.grams, self.heads = np.unique(flat[order], return_index=True)
+        self.heads = np.append(self.heads, len(flat))
         self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.pairs >> _U(44)).astype(np.int64)] = True
-        self.edits = {n: int(max_edits * n) for n in self.of}
-        self.tables: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = {}
-        rng = np.random.Generator(np.random.PCG64(7))
-        for n, items in sorted(self.of.items()):
-            stack = np.stack([w for _, w in items])
-            for walk in range(repetitions(target_recall)):
-                places = np.sort(rng.choice(STRETCH * n // 2, SAMPLED, replace=False))
-                table: dict[int, list[int]] = {}
-                for k, s in enumerate(embed(stack, walk, places).tolist()):
-                    table.setdefault(s, []).append(k)
-                self.tables.setdefault(n, []).append((places, table))
+        self.bits[(self.grams >> _U(44)).astype(np.int64)] = True
+        self.walks = repetitions(target_recall)
+        self.tables: dict[tuple[int, int], tuple[np.ndarray, dict[int, list[int]]]] = {}
+
+    def table(self, n: int, walk: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """The places sampled in a walk, and by signature the items of n words; made when first asked for."""
+        if (n, walk) not in self.tables:
+            rng = np.random.Generator(np.random.PCG64([n, walk]))
+            places = np.sort(rng.choice(STRETCH * n // 2, SAMPLED, replace=False))
+            of = np.flatnonzero(self.size == n).tolist()
+            signed: dict[int, list[int]] = {}
+            for k, s in zip(of, embed(np.stack([self.words[k] for k in of]), walk, places).tolist(), strict=True):
+                signed.setdefault(s, []).append(k)
+            self.tables[n, walk] = places, signed
+        return self.tables[n, walk]
+
+    def windows(self, t: tv.Texts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows with enough grams of one item, and the item."""
+        at, _ = tv.windows(t, GRAM)
+        gram = tv.window_hash(h, at, GRAM)
+        maybe = np.flatnonzero(self.bits[(gram >> _U(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.grams, gram[maybe]), len(self.grams) - 1)
+        held = self.grams[place] == gram[maybe]
+        at, place = at[maybe][held], place[held]
+        count = self.heads[place + 1] - self.heads[place]
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        item = self.owners[np.repeat(self.heads[place], count) + step]
+        wide = len(h) + int(self.size.max()) * 2 + 1
+        key = np.sort(item * wide + np.repeat(at, count))
+        item, at = key // wide, key % wide
+        last = np.arange(len(key)) + self.need[item] - 1
+        inside = last < len(key)
+        enough = np.zeros(len(key), bool)
+        enough[inside] = key[last[inside]] - key[inside] <= (self.size + self.edits - GRAM)[item[inside]]
+        item, at = item[enough], at[enough]
+        # the stretch begins up to GRAM * edits words before its first gram that is left
+        back = GRAM * self.edits[item] + 1
+        step = np.arange(int(back.sum())) - np.repeat(np.cumsum(back) - back, back)
+        starts, items = np.repeat(at, back) - step, np.repeat(item, back)
+        owner = np.searchsorted(t.first, at, "right") - 1
+        fits = starts >= np.repeat(t.first[owner], back)
+        both = np.unique(items[fits] * wide + starts[fits])
+        return both % wide, both // wide
 
     def search(self, column: pa.Array) -> list[tuple[int, object, int, int, int]]:
         """(row, item, first word, edit distance, item's words) of each leak, once for each row and item."""
-        if not len(self.pairs):
+        if not self.ids:
             return []
-        t = tv.scan(column, lower=True)
-        h = tv.word_hash(t)
-        at, row = tv.windows(t, 2)
-        pair = tv.window_hash(h, at, 2)
-        maybe = np.flatnonzero(self.bits[(pair >> _U(44)).astype(np.int64)])
-        place = np.searchsorted(self.pairs, pair[maybe])
-        hit = maybe[self.pairs[np.minimum(place, len(self.pairs) - 1)] == pair[maybe]]
-        marks = np.zeros(len(h) + 1, np.int64)
-        marks[at[hit] + 1] = 1
-        total = np.cumsum(marks)  # hits among pairs that begin before word k
-        found: dict[tuple[int, int, int], tuple[int, int]] = {}
-        owner = t.owner()
-        for n, items in self.of.items():
-            t_edits = self.edits[n]
-            need = max(1, n - 1 - 2 * t_edits)
-            # windows that begin at or a little before a hit
-            near = np.unique(np.concatenate([at[hit] - d for d in range(t_edits + 2)])) if len(hit) else hit
-            near = near[near >= 0]
-            near = near[total[np.minimum(near + n + t_edits, len(h))] - total[near] >= need]
-            if not len(near):
-                continue
-            last = t.first[owner[near] + 1]
-            index = near[:, None] + np.arange(n)[None, :]
-            seq = np.where(index < last[:, None], h[np.minimum(index, len(h) - 1)], _U(0))
-            for walk, (places, table) in enumerate(self.tables[n]):
-                for k, s in enumerate(embed(seq, walk, places).tolist()):
+        # windows of all parts first, so that each walk is taken once for all of them
+        kept: dict[int, list[tuple[int, int, int, np.ndarray, int]]] = {}  # by size: item, row, first word, words around, place in them
+        for a, b in tv.slices(column):
+            t = tv.scan(column.slice(a, b - a), lower=True)
+            h = tv.word_hash(t)
+            starts, items = self.windows(t, h)
+            rows = np.searchsorted(t.first, starts, "right") - 1
+            for s, item, r in zip(starts.tolist(), items.tolist(), rows.tolist(), strict=True):
+                n = int(self.size[item])
+                low, high = max(s - n // 2, int(t.first[r])), min(s + 2 * n, int(t.first[r + 1]))
+                kept.setdefault(n, []).append((item, a + r, s - int(t.first[r]), h[low:high], s - low))
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, spots in kept.items():
+            tried: set[tuple[int, int]] = set()
+            for walk in range(self.walks):
+                open_ = [k for k, x in enumerate(spots) if (x[1], x[0]) not in found]
+                if not open_:
+                    break
+                places, table = self.table(n, walk)
+                seq = np.zeros((len(open_), n), _U)
+                for k, spot in enumerate(open_):
+                    _, _, _, around, place = spots[spot]
+                    part = around[place : place + n]
+                    seq[k, : len(part)] = part
+                for spot, s in zip(open_, embed(seq, walk, places).tolist(), strict=True):
                     for item in table.get(s, ()):
-                        r = int(owner[near[k]])
-                        if (r, n, item) not in found:
-                            a = max(int(near[k]) - t_edits, int(t.first[r]))
-                            b = min(int(near[k]) + n + 2 * t_edits, int(t.first[r + 1]))
-                            words = items[item][1].tolist()
-                            d, end = edit_distance_within(words, h[a:b].tolist())
-                            if d <= t_edits:
-                                found[r, n, item] = (d, max(a + end - n, int(t.first[r])) - int(t.first[r]))
-        return sorted((r, self.of[n][item][0], start, d, n) for (r, n, item), (d, start) in found.items())
+                        _, row, first, around, place = spots[spot]
+                        if (row, item) in found or (spot, item) in tried:
+                            continue
+                        tried.add((spot, item))
+                        d, end = edit_distance_within(self.words[item].tolist(), around.tolist())
+                        if d <= self.edits[item]:
+                            found[row, item] = (d, max(first - place + end - n, 0))
+        return sorted((r, self.ids[item], start, d, int(self.size[item])) for (r, item), (d, start) in found.items())
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -173,7 +212,7 @@ def _searcher(block: DataFrame, max_edits: float, target_recall: float) -> Calla
         if not held:
             held.append(Items([r[0] for r in rows], [r[1] for r in rows], max_edits, target_recall))
         k = batch.schema.get_field_index(text)
-        for a, b in tv.slices(batch.column(k)):
+        for a, b in tv.slices(batch.column(k), 64 << 20):
             part = batch.slice(a, b - a)
             yield part, held[0].search(part.column(k))
 
