@@ -42,6 +42,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table up to which it is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A kept narrow table, marked for broadcast if its counted rows are few."""
+    df = keep(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shuffle_width(spark: SparkSession, units: int, per_task: int) -> int:
     """Partitions so that one holds about ``per_task`` units, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(units) // per_task), 1)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, keep, small_side
 
 DOMAINS: dict[str, tuple[str, ...]] = {
     "web": ("src0", "src1", "src2", "src3", "src4"),
@@ -99,9 +99,10 @@ def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, see
     rows = keep(named(docs.select("doc_id", "lang", "source", tokens.alias("n_tokens")), domains).select("doc_id", *(F.col(f"_{x}").alias(x) for x in LEVELS), "n_tokens"))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, numerator, denominator, max_epochs, domain_weights, lang_weights, source_weights or {})
-    spent = keep(
+    spent = (
         budgets.withColumn("epochs", F.expr("CASE WHEN tokens > 0 THEN given div tokens ELSE 0 END")).withColumn("rest", F.expr("CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END")).select(*LEVELS, "epochs", "rest")
     )
+    spent = small_side(spent)
     ordered = rows.join(spent, list(LEVELS)).withColumn("order", _order(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bin", F.substring("order", 1, BIN_DIGITS))
     bins = ordered.groupBy(*LEVELS, "bin", "rest").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
@@ -117,7 +118,7 @@ def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, see
 def mix(docs: DataFrame, numerator: int = 3, denominator: int = 5, max_epochs: int = 2, seed: int = 42, **tree: Mapping) -> DataFrame:
     """The documents taken: doc_id, domain, lang, source, n_tokens, copies."""
     rows, cuts = plan(docs, numerator, denominator, max_epochs, seed, **tree)
-    return rows.join(cuts, list(LEVELS)).withColumn("copies", _copies(seed, F.col("doc_id"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    return rows.join(small_side(cuts), list(LEVELS)).withColumn("copies", _copies(seed, F.col("doc_id"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
 def _copies(seed: int, doc_id: Column) -> Column:
@@ -130,7 +131,7 @@ def mix_rows(docs: DataFrame, numerator: int, denominator: int, seed: int = 42,
     _, cuts = plan(docs, numerator, denominator, 1, seed, **tree)
     cuts = cuts.select(*(F.col(x).alias(f"_{x}") for x in LEVELS), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
     taken = F.coalesce(_order(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_cut"), F.lit(False))
-    return named(docs).join(cuts, [f"_{x}" for x in LEVELS]).where((F.col("_epochs") > 0) | taken).select(*docs.columns)
+    return named(docs).join(small_side(cuts), [f"_{x}" for x in LEVELS]).where((F.col("_epochs") > 0) | taken).select(*docs.columns)
 
 
 def _case(column: str, weights: Mapping[str, int]) -> str:
