@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import keep
+from .common import keep, small_side
 from .graph import components
 
 MAX_DISTANCE = 3
 SHINGLE = 3
-FILE_LIMIT = 512
+FILE_LIMIT = 4096
 SEED = 42
 #: Open bits at which a file is compared whatever its size: it holds 2**12 nodes at most.
 OPEN_BITS = 12
@@ -184,4 +184,4 @@ def near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its class; of rows with one doc_id each that stays."""
     gone = classes(docs, file_limit).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
