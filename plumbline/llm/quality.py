@@ -202,7 +202,7 @@ def _judged(vocabulary: str | None, languages: dict[str, Band], by_script: dict[
         if not held:
             held.append(Fertility(_tokenizer(vocabulary)))
         column = batch.column(batch.schema.get_field_index(text))
-        for a, b in tv.slices(column, 8 << 20):
+        for a, b in tv.slices(column, 4 << 20):
             part = batch.slice(a, b - a)
             yield part, judge(part.column(part.schema.get_field_index(text)), part.column(part.schema.get_field_index(lang)).to_pylist(), held[0], languages, by_script)
 
