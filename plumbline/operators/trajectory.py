@@ -60,6 +60,17 @@ class Protocol:
         return rest[0] if rest and s.steps < self.max_steps - 1 else self.final
 
 
+#: Protocols by name, for streams and batch alike.
+ENVIRONMENTS: dict[str, Protocol] = {}
+
+
+def environment(name: str, protocol: Protocol | None = None) -> Protocol:
+    """Registers a protocol under a name, or gives the one registered."""
+    if protocol is not None:
+        ENVIRONMENTS[name] = protocol
+    return ENVIRONMENTS[name]
+
+
 SUMMARY = "steps long, done boolean, total_reward double, n_invalid long"
 
 

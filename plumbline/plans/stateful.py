@@ -60,6 +60,67 @@ def stm05(t: Tables) -> DataFrame:
     return trajectory.rounds(start, advance, 8)[0]
 
 
+def _run_folder(t: Tables) -> str:
+    """A new folder that driver and executors share, for a stream's checkpoint."""
+    import tempfile
+    import uuid
+
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plumbline-stream-")
+
+
+def _event_stream(t: Tables) -> DataFrame:
+    from .. import streaming
+
+    raw = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return streaming.event_time(raw)
+
+
+@query("stm01_event_stream", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(max(value), 6) AS peak, round(avg(value), 6) AS mean FROM events GROUP BY time_bucket(INTERVAL '1 day', ts)")
+def stm01(t: Tables) -> DataFrame:
+    from .. import streaming
+
+    found = streaming.run_available(streaming.window_summary(_event_stream(t), "ts", "value", "1 day", "40 days"), _run_folder(t), f"stm01_{abs(hash(t.sf_dir))}", "complete")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", r6(F.col("peak")).alias("peak"), r6(F.col("mean")).alias("mean"))
+
+
+@query("src13_metrics_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def src13(t: Tables) -> DataFrame:
+    from .. import streaming
+
+    return streaming.run_available(_event_stream(t).groupBy("event_type").agg(F.count("*").alias("n")), _run_folder(t), f"src13_{abs(hash(t.sf_dir))}", "complete")
+
+
+@query("udf04_environment_stream")
+def udf04(t: Tables) -> DataFrame:
+    from .. import streaming
+
+    trajectory.environment("shop", PROTOCOL)
+    steps = _event_stream(t).select(F.col("user_id").cast("long").alias("user_id"), "event_id", "event_type", (F.col("value") / 100).alias("value"))
+    return streaming.run_available(streaming.trajectories(steps, trajectory.environment("shop"), "user_id", "event_id", "event_type", "value"), _run_folder(t), f"udf04_{abs(hash(t.sf_dir))}", "update")
+
+
+@query("udf06_backend_factory")
+def udf06(t: Tables) -> DataFrame:
+    from ..sources.readers import backend, generated
+    from .relations import EchoClient
+
+    backend("echo", EchoClient)
+    return generated(t.documents.select("doc_id", F.substring("text", 1, 40).alias("prompt")), backend("echo"), "doc_id", "prompt").select("doc_id", "text")
+
+
+@query("udf08_builtin_aggregates", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, array_to_string(list_sort(list(DISTINCT source))[1:3], ',') AS sources FROM documents GROUP BY lang")
+def udf08(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 3), ",").alias("sources"))
+
+
+@query("snk05_summary")
+def snk05(t: Tables) -> DataFrame:
+    from ..sources import writers
+
+    return t.spark.createDataFrame([(writers.summary(t.documents.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang")),)], "summary string")
+
+
 @query("stm07_segmented_logs", "SELECT segment, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT 'a' AS segment, value FROM events WHERE event_id BETWEEN 0 AND 299 UNION ALL SELECT 'b', value FROM events WHERE event_id BETWEEN 300 AND 899) GROUP BY segment")
 def stm07(t: Tables) -> DataFrame:
     d = series.merge_segments({"a": (t.events, 0, 299), "b": (t.events, 300, 899)}, "event_id")

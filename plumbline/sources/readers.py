@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -136,6 +137,18 @@ def tar_members(spark: SparkSession, path: str, suffixes: Sequence[str]) -> Data
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
+BACKENDS: dict[str, Callable[..., Any]] = {}
+
+
+def backend(kind: str, make: Callable[..., Any] | None = None, **options: Any) -> Callable[[], Any]:
+    """Registers how to make a model client of a kind, or gives a maker of the one registered, with options."""
+    if make is not None:
+        BACKENDS[kind] = make
+    if kind not in BACKENDS:
+        raise ValueError(f"no backend of kind {kind}; there are {sorted(BACKENDS)}")
+    return partial(BACKENDS[kind], **options)
+
+
 def generated(rows: DataFrame, backend: Callable[[], Any], key: str, prompt: str, batch: int = 16) -> DataFrame:
     """Replies of a model client to each prompt, in batches; the client is made once per task.
 
