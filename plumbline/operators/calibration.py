@@ -13,6 +13,30 @@ from pyspark.sql import functions as F
 from ..functions import scores
 
 
+#: Bins by which running sums over confidences are counted out; confidences are within [0, 1].
+BINS = 4096
+
+
+def _bin(c: Column) -> Column:
+    return F.least(F.floor(c * BINS), F.lit(BINS - 1))
+
+
+def running(rows: DataFrame, value: str, sums: Sequence[str], falling: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """Adds ``to_<c>``, the running sum of each column in the order of ``value``, then of ``ties``.
+
+    Sums of bins come first and only they are ordered in one task; within a bin
+    a window does the rest.
+    """
+    d = rows.withColumn("_b", -_bin(F.col(value)) if falling else _bin(F.col(value)))
+    by_bin = d.groupBy("_b").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
+    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = by_bin.select("_b", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_0_{c}") for c in sums))
+    order = F.col(value).desc() if falling else F.col(value).asc()
+    inside = W.partitionBy("_b").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
+    d = d.join(F.broadcast(starts), "_b")  # a row for each bin
+    return d.withColumns({f"to_{c}": F.col(f"_0_{c}") + F.sum(c).over(inside) for c in sums}).drop("_b", *(f"_0_{c}" for c in sums))
+
+
 def ece(rows: DataFrame, confidence: str, target: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over equal-width bins, the last one closed; two aggregations, the second over ``bins`` rows."""
     at = F.least(F.floor(F.col(confidence) * bins), F.lit(bins - 1))
@@ -26,21 +50,9 @@ def proper_scores(rows: DataFrame, confidence: str, target: str) -> DataFrame:
 
 
 def ranked_risk(rows: DataFrame, confidence: str, target: str, order: str) -> DataFrame:
-    """Rows with their place by falling confidence and the error rate so far.
-
-    A running count over all rows needs one order of them; it is counted out by
-    confidence bins first, so that no task holds more than a bin.
-    """
-    bins = 256
-    d = rows.select(F.col(confidence).alias("_c"), F.col(order).alias("_o"), (1 - F.col(target).cast("long")).alias("_e"))
-    d = d.withColumn("_b", -F.least(F.floor(F.col("_c") * bins), F.lit(bins - 1)))
-    sums = d.groupBy("_b").agg(F.count("*").alias("_n"), F.sum("_e").alias("_s"))
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
-    by = W.partitionBy("_b").orderBy(F.col("_c").desc(), "_o")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    d = d.join(F.broadcast(sums), "_b")  # a row for each bin
-    return d.select("_c", "_o", (F.col("_n0") + F.row_number().over(by)).alias("place"), (F.col("_s0") + F.sum("_e").over(upto)).alias("errors"))
+    """Rows with their place by falling confidence and the errors so far."""
+    d = rows.select(F.col(confidence).alias("_c"), F.col(order).alias("_o"), (1 - F.col(target).cast("long")).alias("e"), F.lit(1).alias("n"))
+    return running(d, "_c", ["n", "e"], True, ["_o"]).select("_c", "_o", F.col("to_n").alias("place"), F.col("to_e").alias("errors"))
 
 
 def aurc(rows: DataFrame, confidence: str, target: str, order: str) -> DataFrame:
@@ -54,12 +66,7 @@ def auroc(rows: DataFrame, score: str, target: str) -> DataFrame:
     Computed from counts by distinct score, so ties never make a large group.
     """
     d = rows.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(target).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    bins = d.withColumn("_b", F.floor(F.col("_s") * 256))
-    sums = bins.groupBy("_b").agg(F.sum("_n").alias("_k"))
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_k0"))
-    upto = W.partitionBy("_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    r = bins.join(sums, "_b").withColumn("_r", F.col("_k0") + F.coalesce(F.sum("_n").over(upto), F.lit(0)) + (F.col("_n") + 1) / 2)
+    r = running(d, "_s", ["_n"]).withColumn("_r", F.col("to__n") - (F.col("_n") - 1) / 2)
     s = r.agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("r"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     return s.select(F.when((p > 0) & (n > 0), (F.col("r") - p * (p + 1) / 2) / (p * n)).alias("auroc"))
@@ -73,9 +80,8 @@ def selective(rows: DataFrame, confidence: str, target: str, threshold: float) -
 
 def by_threshold(rows: DataFrame, confidence: str, target: str) -> DataFrame:
     """For each distinct confidence: rows at or above it, and the errors among them."""
-    d = rows.groupBy(F.col(confidence).alias("threshold")).agg(F.count("*").alias("_n"), F.sum(1 - F.col(target).cast("long")).alias("_e"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return d.select("threshold", F.sum("_n").over(down).alias("n"), F.sum("_e").over(down).alias("errors"))
+    d = rows.groupBy(F.col(confidence).alias("threshold")).agg(F.count("*").alias("n"), F.sum(1 - F.col(target).cast("long")).alias("e"))
+    return running(d, "threshold", ["n", "e"], True).select("threshold", F.col("to_n").alias("n"), F.col("to_e").alias("errors"))
 
 
 def risk_threshold(rows: DataFrame, confidence: str, target: str, max_risk: float = 0.05, min_coverage: float = 0.1) -> DataFrame:
@@ -105,10 +111,9 @@ def route_thresholds(rows: DataFrame, confidence: str, target: str, precision: f
 
 def balanced_threshold(rows: DataFrame, score: str, target: str) -> DataFrame:
     """The score at which accepting scores at or above it has the best balanced accuracy; 0 accepts nothing, and the least of equals wins."""
-    d = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(target).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy(F.lit(0))
-    d = d.select("threshold", F.sum("_p").over(down).alias("tp"), (F.sum("_n").over(down) - F.sum("_p").over(down)).alias("fp"), F.sum("_p").over(every).alias("p"), (F.sum("_n").over(every) - F.sum("_p").over(every)).alias("q"))
+    d = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(target).cast("long")).alias("p"), F.count("*").alias("n"))
+    total = d.agg(F.sum("p").alias("p"), (F.sum("n") - F.sum("p")).alias("q"))
+    d = running(d, "threshold", ["n", "p"], True).select("threshold", F.col("to_p").alias("tp"), (F.col("to_n") - F.col("to_p")).alias("fp")).crossJoin(F.broadcast(total))
     zero = d.where("threshold <> 0").select("threshold", "tp", "fp", "p", "q")
     none = d.groupBy().agg(F.lit(0.0).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.max("p").alias("p"), F.max("q").alias("q"))
     score_of = 0.5 * (F.coalesce(F.try_divide("tp", "p"), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("q") - F.col("fp"), "q"), F.lit(0.0)))
@@ -117,9 +122,9 @@ def balanced_threshold(rows: DataFrame, score: str, target: str) -> DataFrame:
 
 def conformal_quantile(rows: DataFrame, nonconformity: Column, alpha: float = 0.1) -> DataFrame:
     """The nonconformity at rank min(n, ceil((n + 1)(1 - alpha)))."""
-    d = rows.select(nonconformity.alias("_s")).where("_s IS NOT NULL").groupBy("_s").agg(F.count("*").alias("_k"))
-    upto = W.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
-    d = d.select("_s", F.sum("_k").over(upto).alias("_to"), F.sum("_k").over(W.partitionBy(F.lit(0))).alias("_n"))
+    d = rows.select(nonconformity.alias("_s")).where("_s IS NOT NULL").groupBy("_s").agg(F.count("*").alias("k"))
+    total = d.agg(F.sum("k").alias("_n"))
+    d = running(d, "_s", ["k"]).crossJoin(F.broadcast(total)).withColumnRenamed("to_k", "_to")
     rank = F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * F.lit(1 - alpha) - 1e-9))
     return d.where(F.col("_to") >= rank).agg(F.min("_s").alias("quantile"))
 
