@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-Texts and benchmark items are word sequences, ASCII letters in lower case.  A
+Texts and benchmark items are word sequences in lower case.  A
 text leaks an item if some stretch of it is within edit distance
 ``max_edits`` (a share of the item's words) of the item.
 
@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ class Items:
     """A block of benchmark items, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str], max_edits: float, target_recall: float):
-        t = tv.scan(pa.array(texts, pa.string()), lower=True)
+        t = tv.scan(pc.utf8_lower(pa.array(texts, pa.string())))
         h = tv.word_hash(t)
         size = t.n_words
         long_enough = np.flatnonzero(size >= MIN_WORDS)
@@ -164,7 +165,7 @@ class Items:
         # windows of all parts first, so that each walk is taken once for all of them
         kept: dict[int, list[tuple[int, int, int, np.ndarray, int]]] = {}  # by size: item, row, first word, words around, place in them
         for a, b in tv.slices(column):
-            t = tv.scan(column.slice(a, b - a), lower=True)
+            t = tv.scan(pc.utf8_lower(column.slice(a, b - a)))
             h = tv.word_hash(t)
             starts, items = self.windows(t, h)
             rows = np.searchsorted(t.first, starts, "right") - 1
