@@ -9,7 +9,8 @@ EPSILON = 1e-6
 
 
 def clamp(c: Column, least: float, most: float) -> Column:
-    return F.greatest(F.lit(least), F.least(F.lit(most), c))
+    """Within bounds; null stays null, which greatest and least would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), c)))
 
 
 def probability(c: Column, epsilon: float = EPSILON) -> Column:
@@ -51,7 +52,7 @@ def brier_reward(confidence: Column, target: Column) -> Column:
 def log_reward(confidence: Column, target: Column, epsilon: float = 0.01) -> Column:
     """Log score with a floor; the floor's log for a reply without a confidence."""
     c = clamp(confidence, epsilon, 1 - epsilon)
-    return F.coalesce(F.when(target == 1, F.ln(c)).otherwise(F.ln(1.0 - c)), F.ln(F.lit(epsilon)))
+    return F.when(c.isNull(), F.ln(F.lit(epsilon))).when(target == 1, F.ln(c)).otherwise(F.ln(1.0 - c))
 
 
 def blend(**weights_and_columns: tuple[float, Column]) -> Column:
@@ -93,4 +94,4 @@ def other_label(labels: list[str], label: Column, key: Column) -> Column:
 
 def rounded_score(c: Column, least: int = 1, most: int = 5) -> Column:
     """Half to even, within bounds."""
-    return F.greatest(F.lit(least), F.least(F.lit(most), F.bround(c, 0).cast("int")))
+    return clamp(F.bround(c, 0).cast("int"), least, most)

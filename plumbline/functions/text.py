@@ -199,4 +199,4 @@ def first_ids(c: Column, pattern: str) -> Column:
 def judge_score(c: Column, most: float = 4.0) -> Column:
     """The last ``[[number]]`` as a share of ``most``, within [0, 1]."""
     x = last(all_matches(c, r"\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]")).try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / most)) if most else x
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / most)))

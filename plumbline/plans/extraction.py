@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, scores, text
@@ -238,16 +238,38 @@ def jsn09(t: Tables) -> DataFrame:
 
 
 def over_documents(name: str, sql: str, **columns) -> None:
+    """A query of expressions over the documents, each made when it runs: ``sql`` is its select list."""
+
     @query(name, f"SELECT doc_id, {sql} FROM documents")
     def run(t: Tables) -> DataFrame:
-        return t.documents.select("doc_id", *(c.alias(k) for k, c in columns.items()))
+        return t.documents.select("doc_id", *(c().alias(k) for k, c in columns.items()))
+
+
+def _chars() -> Column:
+    return F.col("n_chars").cast("double")
+
+
+def _unit() -> Column:
+    return scores.hash_unit(F.col("doc_id"))
+
+
+def _some() -> Column:
+    return F.when(F.col("doc_id") % 5 != 0, _unit())
 
 
-n = F.col("n_chars").cast("double")
-unit, UNIT = scores.hash_unit(F.col("doc_id")), f"({h('doc_id', 1000)} / 1e3)"
-over_documents("mth01_sigmoid_logit", f"round(1 / (1 + exp(-greatest(-30, least(30, n_chars / 1e3 - 1)))), 6) AS sigmoid, round(ln(greatest(1e-6, least(1 - 1e-6, {UNIT})) / (1 - greatest(1e-6, least(1 - 1e-6, {UNIT})))), 6) AS logit", sigmoid=r6(scores.sigmoid(n / 1000 - 1)), logit=r6(scores.logit(unit)))
-over_documents("mth02_exp_logprob", f"round(exp(greatest(-30, least(0, {UNIT} * -40 + 1))), 6) AS p", p=r6(scores.exp_logprob(unit * -40 + 1)))
-over_documents("mth03_log_share", f"round(ln(greatest({UNIT} - 0.2, 0) / 3.0 + 1e-12), 6) AS log_share", log_share=r6(scores.log_share(unit - 0.2, F.lit(3.0))))
+def _parity() -> Column:
+    return (F.col("doc_id") % 2).cast("double")
+
+
+UNIT = f"({h('doc_id', 1000)} / 1e3)"
+over_documents(
+    "mth01_sigmoid_logit",
+    f"round(1 / (1 + exp(-greatest(-30, least(30, n_chars / 1e3 - 1)))), 6) AS sigmoid, round(ln(greatest(1e-6, least(1 - 1e-6, {UNIT})) / (1 - greatest(1e-6, least(1 - 1e-6, {UNIT})))), 6) AS logit",
+    sigmoid=lambda: r6(scores.sigmoid(_chars() / 1000 - 1)),
+    logit=lambda: r6(scores.logit(_unit())),
+)
+over_documents("mth02_exp_logprob", f"round(exp(greatest(-30, least(0, {UNIT} * -40 + 1))), 6) AS p", p=lambda: r6(scores.exp_logprob(_unit() * -40 + 1)))
+over_documents("mth03_log_share", f"round(ln(greatest({UNIT} - 0.2, 0) / 3.0 + 1e-12), 6) AS log_share", log_share=lambda: r6(scores.log_share(_unit() - 0.2, F.lit(3.0))))
 
 
 @query("mth04_feature_hashing")
@@ -257,17 +279,22 @@ def mth04(t: Tables) -> DataFrame:
     return hashed_features(t.documents.select("doc_id", text.words(F.substring("text", 1, 400)).alias("tokens")), "doc_id", "tokens")
 
 
-over_documents("mth05_hash_ids", f"sha256(doc_id || ':' || lang) AS sha256, sha1(doc_id || ':' || lang)[1:10] AS sha1, {h('doc_id', 97)} AS bucket", sha256=F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "lang"), 256), sha1=F.substring(F.sha1(F.concat_ws(":", F.col("doc_id").cast("string"), "lang")), 1, 10), bucket=scores.hash_int(F.col("doc_id"), 97))
-conf, CONF = F.when(F.col("doc_id") % 5 != 0, unit), f"(CASE WHEN doc_id % 5 <> 0 THEN {UNIT} END)"
-target = (F.col("doc_id") % 2).cast("double")
+over_documents(
+    "mth05_hash_ids",
+    f"sha256(doc_id || ':' || lang) AS sha256, sha1(doc_id || ':' || lang)[1:10] AS sha1, {h('doc_id', 97)} AS bucket",
+    sha256=lambda: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "lang"), 256),
+    sha1=lambda: F.substring(F.sha1(F.concat_ws(":", F.col("doc_id").cast("string"), "lang")), 1, 10),
+    bucket=lambda: scores.hash_int(F.col("doc_id"), 97),
+)
+CLIPPED = f"greatest(0.01, least(0.99, {UNIT}))"
 over_documents(
     "mth06_proper_scores",
-    f"round(coalesce(-power({CONF} - doc_id % 2, 2), -1), 6) AS brier, round(coalesce(CASE WHEN doc_id % 2 = 1 THEN ln(greatest(0.01, least(0.99, {CONF}))) ELSE ln(1 - greatest(0.01, least(0.99, {CONF}))) END * (CASE WHEN doc_id % 5 <> 0 THEN 1 END), ln(0.01)), 6) AS log_score",
-    brier=r6(scores.brier_reward(conf, target)),
-    log_score=r6(F.when(conf.isNull(), F.ln(F.lit(0.01))).otherwise(scores.log_reward(conf, target))),
+    f"round(CASE WHEN doc_id % 5 = 0 THEN -1 ELSE -power({UNIT} - doc_id % 2, 2) END, 6) AS brier, round(CASE WHEN doc_id % 5 = 0 THEN ln(0.01) WHEN doc_id % 2 = 1 THEN ln({CLIPPED}) ELSE ln(1 - {CLIPPED}) END, 6) AS log_score",
+    brier=lambda: r6(scores.brier_reward(_some(), _parity())),
+    log_score=lambda: r6(scores.log_reward(_some(), _parity())),
 )
-over_responses("mth07_judge_score", r"greatest(0, least(1, try_cast(list_last(regexp_extract_all(response, '\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE) / 4)) * CASE WHEN contains(response, '[[') THEN 1 END AS score", score=lambda c: F.when(F.contains(c, F.lit("[[")), text.judge_score(c)))
-over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} / 1e2 + 0.10 * (doc_id % 2), 6) AS blend", blend=r6(scores.blend(a=(0.52, unit), b=(0.38, scores.hash_unit(F.col("lang"), 100)), c=(0.10, target))))
+over_responses("mth07_judge_score", r"greatest(0, least(1, try_cast(list_last(regexp_extract_all(response, '\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE) / 4)) * CASE WHEN regexp_matches(response, '\\[\\[\\s*-?\\d') THEN 1 END AS score", score=text.judge_score)
+over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} / 1e2 + 0.10 * (doc_id % 2), 6) AS blend", blend=lambda: r6(scores.blend(a=(0.52, _unit()), b=(0.38, scores.hash_unit(F.col("lang"), 100)), c=(0.10, _parity()))))
 
 
 @query("mth09_exact_arithmetic")

@@ -42,6 +42,22 @@ def test_text_functions(spark):
     assert r.tokens == ["a", "政治", "经", "政治"]
 
 
+def test_entry_needs_no_session():
+    """Queries and their SQL can be listed before a session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True, timeout=120)
+
+
+def test_clamps_keep_null(spark):
+    none = F.lit(None).cast("double")
+    r = one(spark, a=scores.sigmoid(none), b=scores.log_reward(none, F.lit(1.0)), c=text.judge_score(F.lit("no score")), d=scores.probability(F.lit(2.0)))
+    assert (r.a, r.c) == (None, None) and math.isclose(r.b, math.log(0.01)) and r.d == 1 - 1e-6
+
+
 def test_equations():
     found = [equations.equations(x) for x in ("3 * 4 = 12", "1/3 + 1/3 = 0.66", "2 + 2 = 5", "10 / 4 = 2.5")]
     assert found == [[True], [False], [False], [True]]
