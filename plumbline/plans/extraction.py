@@ -293,7 +293,7 @@ over_documents(
     brier=lambda: r6(scores.brier_reward(_some(), _parity())),
     log_score=lambda: r6(scores.log_reward(_some(), _parity())),
 )
-over_responses("mth07_judge_score", r"greatest(0, least(1, try_cast(list_last(regexp_extract_all(response, '\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE) / 4)) * CASE WHEN regexp_matches(response, '\\[\\[\\s*-?\\d') THEN 1 END AS score", score=text.judge_score)
+over_responses("mth07_judge_score", r"greatest(0, least(1, try_cast(list_last(regexp_extract_all(response, '\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE) / 4)) * CASE WHEN regexp_matches(response, '\[\[\s*-?\d') THEN 1 END AS score", score=text.judge_score)
 over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} / 1e2 + 0.10 * (doc_id % 2), 6) AS blend", blend=lambda: r6(scores.blend(a=(0.52, _unit()), b=(0.38, scores.hash_unit(F.col("lang"), 100)), c=(0.10, _parity()))))
 
 
