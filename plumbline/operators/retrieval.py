@@ -70,23 +70,32 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vect
     return top_k(scored, query_key, k, F.round("cosine", 9).desc(), F.col(key))
 
 
+#: Rows of a side up to which it is broadcast, once counted.
+BROADCAST_ROWS = 200_000
+
+
+def small(d: DataFrame) -> DataFrame:
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
+
 def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, words: int = 4) -> DataFrame:
     """(item, document) for each item whose text occurs verbatim in a document.
 
-    Documents and items meet on the item's first ``words`` words, and only what
-    meets is searched; items of fewer words meet by their first word.
+    Documents and items meet on a few inner words of the item (its first and
+    last may be parts of longer words in the document), and only pairs that meet
+    are searched; texts aren't carried through the meeting.  If some item has
+    fewer than three words, they meet on first words, which must be whole.
     """
-    lead = lambda c, n: F.slice(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, n)
-    i = items.select(item_key, F.col(item_text).alias("_item"), lead(F.col(item_text), words).alias("_w")).where(F.size("_w") > 0)
-    ws = F.filter(F.split(F.col(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.size("_ws")
-    gram = lambda size: F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda p: F.xxhash64(F.array_join(F.slice("_ws", p, size), " "))))).otherwise(F.array().cast("array<long>"))
-    sizes = [words]
-    d = docs.select(key, F.col(text).alias("_text"), ws.alias("_ws"))
-    keyed = i.withColumn("_g", F.xxhash64(F.array_join("_w", " ")))
-    hits = d.select(key, "_text", F.explode(gram(sizes[0])).alias("_g")).join(keyed.where(F.size("_w") == words), "_g")
-    short = d.select(key, "_text", F.explode(gram(1)).alias("_g")).join(keyed.where(F.size("_w") < words).withColumn("_g", F.xxhash64(F.get("_w", F.lit(0)))), "_g")
-    return hits.unionByName(short).where(F.contains("_text", F.col("_item"))).select(item_key, key).distinct()
+    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    i = items.select(item_key, F.col(item_text).alias("_item"), split(F.col(item_text)).alias("_w")).where(F.size("_w") > 0)
+    least = i.agg(F.coalesce(F.min(F.size("_w")), F.lit(1)).alias("k")).first().k
+    start, k = (2, min(words, least - 2)) if least > 2 else (1, 1)
+    lead = small(i.select(item_key, F.xxhash64(F.array_join(F.slice("_w", start, k), " ")).alias("_g")))
+    places = F.sequence(F.lit(1), F.greatest(F.size("_ws") - k + 1, F.lit(1)))
+    grams = F.when(F.size("_ws") >= k, F.array_distinct(F.transform(places, lambda p: F.xxhash64(F.array_join(F.slice("_ws", p, k), " "))))).otherwise(F.array().cast("array<long>"))
+    met = docs.select(key, split(F.col(text)).alias("_ws")).select(key, F.explode(grams).alias("_g")).join(lead, "_g").select(item_key, key).distinct()
+    found = docs.select(key, F.col(text).alias("_text")).join(met, key).join(small(i.select(item_key, "_item")), item_key)
+    return found.where(F.contains("_text", F.col("_item"))).select(item_key, key)
 
 
 def jaccard_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, threshold: float, k: int) -> DataFrame:
