@@ -83,10 +83,11 @@ def leaf_budgets(leaves: DataFrame, numerator: int, denominator: int, max_epochs
     return filled.select(*LEVELS, "tokens", "given")
 
 
-def named(docs: DataFrame, domains: Mapping[str, tuple[str, ...]] = DOMAINS) -> DataFrame:
-    """The leaf of each document, in columns with prefix ``_``."""
+def named(docs: DataFrame, domains: Mapping[str, tuple[str, ...]] = DOMAINS, prefix: str = "_") -> DataFrame:
+    """The leaf of each document, in columns with a prefix."""
     none = F.lit("(none)")
-    return docs.withColumns({"_domain": domain_of(F.col("source"), domains), "_lang": F.coalesce("lang", none), "_source": F.coalesce("source", none)})
+    leaf = (domain_of(F.col("source"), domains), F.coalesce("lang", none), F.coalesce("source", none))
+    return docs.withColumns({f"{prefix}{x}": c for x, c in zip(LEVELS, leaf, strict=True)})
 
 
 def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -129,9 +130,13 @@ def _copies(seed: int, doc_id: Column) -> Column:
 def mix_rows(docs: DataFrame, numerator: int, denominator: int, seed: int = 42, **tree: Mapping) -> DataFrame:
     """The rows of ``docs`` that are taken in at most one epoch, with all their columns."""
     _, cuts = plan(docs, numerator, denominator, 1, seed, **tree)
-    cuts = cuts.select(*(F.col(x).alias(f"_{x}") for x in LEVELS), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
-    taken = F.coalesce(_order(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_cut"), F.lit(False))
-    return named(docs).join(small_side(cuts), [f"_{x}" for x in LEVELS]).where((F.col("_epochs") > 0) | taken).select(*docs.columns)
+    p = "_"
+    while any(c.startswith(p) for c in docs.columns):  # names that no column of the input has
+        p += "_"
+    cuts = cuts.select(*(F.col(x).alias(f"{p}{x}") for x in (*LEVELS, "epochs", "cut")))
+    taken = F.coalesce(_order(seed, F.col(f"{p}epochs"), F.col("doc_id")) <= F.col(f"{p}cut"), F.lit(False))
+    whole = F.col(f"{p}epochs") > 0
+    return named(docs, prefix=p).join(small_side(cuts), [f"{p}{x}" for x in LEVELS]).where(whole | taken).select(*docs.columns)
 
 
 def _case(column: str, weights: Mapping[str, int]) -> str:

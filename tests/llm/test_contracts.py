@@ -265,6 +265,16 @@ def test_mixing_rows_agree(spark, documents):
     assert 0.6 * n < len(taken) < n
 
 
+def test_clashing_columns(spark):
+    """Columns of the names that stages use inside come through unchanged."""
+    docs = awkward(spark).selectExpr("*", "'c' AS _cut", "1 AS _epochs", "'d' AS __domain", "2 AS component_id", "3 AS a", "4 AS root")
+    want = {r.doc_id: r for r in docs.collect()}
+    for out in (quality.quality_filter(docs), simhash.drop_near_duplicates(docs), mixing.mix_rows(docs, 1, 1), decontaminate.drop_leaking(docs, spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string"))):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r == want[r.doc_id] for r in rows)
+
+
 def test_empty_tables(spark):
     docs = awkward(spark, empty=True)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
