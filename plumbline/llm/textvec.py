@@ -121,25 +121,40 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = end
 
 
+def _parts(sizes: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
+    """Runs of spans of about ``limit`` bytes, so that what is made per byte stays small and in cache."""
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        base = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _bytes_of(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the bytes of all spans: place in the span and in the data; and where each span begins among them."""
+    heads = np.cumsum(sizes) - sizes
+    within = np.arange(int(sizes.sum())) - np.repeat(heads, sizes)
+    return within, within + np.repeat(starts, sizes), heads
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hash of data[starts[i]:ends[i]]; the spans ascend and don't overlap."""
-    if not len(starts):
-        return np.zeros(0, U64)
+    """64-bit hash of data[starts[i]:ends[i]]."""
     table, odd = _HASHES[lane]
     size = ends - starts
-    full = np.flatnonzero(size > 0)
     out = np.zeros(len(starts), U64)
+    full = np.flatnonzero(size > 0)
     if len(full):
-        s, z = starts[full], size[full]
-        heads = np.concatenate(([0], np.cumsum(z)))[:-1]
-        place = np.arange(int(z.sum())) - np.repeat(heads, z)
-        power = np.empty(int(z.max()), U64)
+        power = np.full(int(size.max()), odd, U64)
         power[0] = 1
-        power[1:] = U64(odd)
         power = np.multiply.accumulate(power)
-        values = table[data[place + np.repeat(s, z)]]
-        values *= power[place]
-        out[full] = np.add.reduceat(values, heads)
+        for part in _parts(size[full]):
+            which = full[part]
+            within, place, heads = _bytes_of(starts[which], size[which])
+            values = table[data[place]]
+            values *= power[within]
+            out[which] = np.add.reduceat(values, heads)
     return mix64(out + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -169,9 +184,9 @@ def packed_words(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     size = t.ends - t.starts
     place = np.concatenate(([0], np.cumsum(size + 1)))
     out = np.full(int(place[-1]), 0x20, np.uint8)
-    heads = np.concatenate(([0], np.cumsum(size)))[:-1]
-    within = np.arange(int(size.sum())) - np.repeat(heads, size)
-    out[within + np.repeat(place[:-1], size)] = t.data[within + np.repeat(t.starts, size)]
+    for part in _parts(size):
+        within, source, _ = _bytes_of(t.starts[part], size[part])
+        out[within + np.repeat(place[:-1][part], size[part])] = t.data[source]
     return out, place
 
 
