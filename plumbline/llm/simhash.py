@@ -38,6 +38,9 @@ SEED = 42
 #: Open bits at which a file is compared whatever its size: it holds 2**12 nodes at most.
 OPEN_BITS = 12
 
+#: Shingles whose bits are counted at once.
+PART = 1 << 17
+
 _BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
@@ -52,13 +55,14 @@ def fingerprints_of(column: pa.Array) -> np.ndarray:
     at = np.arange(heads[-1]) - np.repeat(heads[:-1] - t.first[:-1], count)
     starts = place[at]
     hashes = tv.xxh64(data, starts, place[at + np.repeat(size, count)] - 1 - starts, SEED)
-    out = np.zeros(t.n_rows, np.uint64)
-    full = np.flatnonzero(count)
-    if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, heads[:-1][full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > count[full, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    ones = np.zeros((t.n_rows, 64), np.int64)
+    owner = np.repeat(np.arange(t.n_rows), count)
+    for a in range(0, len(hashes), PART):
+        bits = np.unpackbits(hashes[a : a + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rows = owner[a : a + PART]
+        begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        ones[rows[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
