@@ -17,8 +17,23 @@ def in_stable_order(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def ranked(rows: DataFrame, strata: Sequence[str], key: str, seed: int = 42) -> DataFrame:
-    by = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
-    return rows.withColumn("_rank", F.row_number().over(by.orderBy(stable_order(seed, F.col(key)), key)))
+    """Adds ``_rank``, the place within the stratum by stable order.
+
+    The order's leading digits cut a stratum into 4096 bins of like size; ranks
+    are counted out by bins, so that no task sorts a whole stratum.
+    """
+    strata = list(strata)
+    d = rows.withColumn("_order", stable_order(seed, F.col(key))).withColumn("_bin", F.substring("_order", 1, 3))
+    named = [F.col(s).alias(f"_s{k}") for k, s in enumerate(strata)]
+    keys = [f"_s{k}" for k in range(len(strata))]
+    sizes = d.select(*named, F.col("_bin").alias("_b")).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_bin") == F.col("_b")
+    for k, s in zip(keys, strata, strict=True):
+        same = same & F.col(s).eqNullSafe(F.col(k))
+    d = d.withColumn("_in", F.row_number().over(W.partitionBy(*strata, "_bin").orderBy("_order", key)))
+    return d.join(starts, same).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_order", "_bin", "_b", "_before", "_in", *keys)
 
 
 def balanced_sample(rows: DataFrame, label: str, key: str, per_class: int = 0, seed: int = 42) -> DataFrame:
@@ -46,8 +61,13 @@ def split(rows: DataFrame, strata: Sequence[str], key: str, quotas: dict[str, in
 
 def share_split(rows: DataFrame, strata: Sequence[str], key: str, share: float = 0.8, seed: int = 42, names: tuple[str, str] = ("train", "val")) -> DataFrame:
     """The first ``share`` of each stratum, and the rest."""
-    r = ranked(rows, strata, key, seed).withColumn("_n", F.count("*").over(W.partitionBy(*strata)))
-    return r.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * share), names[0]).otherwise(names[1])).drop("_rank", "_n")
+    named = [F.col(s).alias(f"_t{k}") for k, s in enumerate(strata)]
+    sizes = rows.select(*named).groupBy(*(f"_t{k}" for k in range(len(strata)))).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_t{k}"))
+    r = ranked(rows, strata, key, seed).join(sizes, same)
+    return r.withColumn("split", F.when(F.col("_rank") <= F.floor(F.col("_n") * share), names[0]).otherwise(names[1])).drop("_rank", "_n", *(f"_t{k}" for k in range(len(strata))))
 
 
 def hash_split(rows: DataFrame, key: str, parts: dict[str, int], seed: int = 42) -> DataFrame:
