@@ -17,6 +17,14 @@ from .metrics import min_max
 K1, B = 1.5, 0.75
 
 
+#: Rows of a side up to which it is broadcast, once counted.
+BROADCAST_ROWS = 200_000
+
+
+def small(d: DataFrame) -> DataFrame:
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
+
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, token, tf, length): one row per document and token."""
     d = docs.select(F.col(key), tokens.alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("token"))
@@ -43,8 +51,10 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_toke
     w = df.crossJoin(F.broadcast(stats))  # one row
     w = w.select("token", "_avg", F.ln(1 + (F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("_avg"), F.lit(1e-9)))
-    part = F.col("qtf") * F.col("_idf") * F.col("tf") * (k1 + 1) / norm
-    return p.join(w, "token").join(q, "token").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    part = F.col("_qw") * F.col("tf") * (k1 + 1) / norm
+    weights = q.join(w, "token").select("token", query_key, "_avg", (F.col("qtf") * F.col("_idf")).alias("_qw"))
+    # postings by document: the queries come to them, and all parts of a score are in one place
+    return p.repartition(key).join(small(weights), "token").groupBy(key, query_key).agg(F.sum(part).alias("score"))
 
 
 def top_k(scored: DataFrame, query_key: str, k: int, *order: Column) -> DataFrame:
@@ -70,14 +80,6 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vect
     return top_k(scored, query_key, k, F.round("cosine", 9).desc(), F.col(key))
 
 
-#: Rows of a side up to which it is broadcast, once counted.
-BROADCAST_ROWS = 200_000
-
-
-def small(d: DataFrame) -> DataFrame:
-    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
-
-
 def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, words: int = 4) -> DataFrame:
     """(item, document) for each item whose text occurs verbatim in a document.
 
@@ -103,7 +105,7 @@ def jaccard_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str,
     d = docs.select(key, F.array_distinct(doc_tokens).alias("_d")).select(key, F.size("_d").alias("_nd"), F.explode("_d").alias("token"))
     q = queries.select(query_key, F.array_distinct(query_tokens).alias("_q")).select(query_key, F.size("_q").alias("_nq"), F.explode("_q").alias("token"))
     # a pair within the threshold has sizes within it as well
-    both = d.join(q, "token").where((F.col("_nd") >= threshold * F.col("_nq")) & (F.col("_nq") >= threshold * F.col("_nd")))
+    both = d.join(small(q), "token").where((F.col("_nd") >= threshold * F.col("_nq")) & (F.col("_nq") >= threshold * F.col("_nd")))
     s = both.groupBy(query_key, key, "_nd", "_nq").agg(F.count("*").alias("_c"))
     sim = F.col("_c") / (F.col("_nd") + F.col("_nq") - F.col("_c"))
     return top_k(s.select(query_key, key, sim.alias("similarity")).where(F.col("similarity") >= threshold), query_key, k, F.col("similarity").desc(), F.col(key).desc())
