@@ -250,6 +250,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                     clean = np.ones(part.num_rows, bool)
                     clean[[f[0] for f in found]] = False
                     yield part.filter(pa.array(clean))
+                tv.release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

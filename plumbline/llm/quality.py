@@ -202,7 +202,7 @@ def _judged(vocabulary: str | None, languages: dict[str, Band], by_script: dict[
         if not held:
             held.append(Fertility(_tokenizer(vocabulary)))
         column = batch.column(batch.schema.get_field_index(text))
-        for a, b in tv.slices(column, 4 << 20):
+        for a, b in tv.slices(column, 2 << 20):
             part = batch.slice(a, b - a)
             yield part, judge(part.column(part.schema.get_field_index(text)), part.column(part.schema.get_field_index(lang)).to_pylist(), held[0], languages, by_script)
 
@@ -218,6 +218,7 @@ def quality_measures(docs: DataFrame, vocabulary: str | None = None, languages:
         for batch in batches:
             for part, m in of(batch, "text", "lang"):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[x]) for x in names)], ["doc_id", *names])
+            tv.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, SCHEMA)
 
@@ -230,5 +231,6 @@ def quality_filter(docs: DataFrame, vocabulary: str | None = None, languages: di
         for batch in batches:
             for part, m in of(batch, "text", "lang"):
                 yield part.filter(pa.array(m["kept"]))
+            tv.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for a, b in tv.slices(batch.column(1)):
                 fp = fingerprints_of(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            tv.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 

@@ -8,6 +8,7 @@ object per word is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Gives memory that is free back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def _constants(seed: int) -> tuple[np.ndarray, int]:
     """A byte table of random words and a random odd multiplier."""
     rng = np.random.Generator(np.random.PCG64(seed))
