@@ -229,6 +229,24 @@ def test_decontamination(spark, documents):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in frame.collect()} - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("kind", ["deletions", "mixed"])
+def test_decontamination_of_long_items_at_the_largest_distance(spark, kind):
+    rng = random.Random(21)
+    items, docs = [], []
+    for k, n in enumerate((60, 80, 120, 160, 200, 250) * 5):
+        w = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        items.append((k, " ".join(w)))
+        gone = int(0.2 * n)
+        for at in sorted(rng.sample(range(n), gone), reverse=True):
+            w[at : at + 1] = [] if kind == "deletions" else [[], ["zz"], [w[at], "yy"]][rng.randrange(3)]
+        docs.append((k, "before " * 20 + " ".join(w) + " after" * 9))
+        docs.append((1000 + k, " ".join(w[: len(w) // 2])))  # half of an item is no leak
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(k, k) for k, _ in items}
+    lengths = {k: len(t.split()) for k, t in items}
+    assert all(r.edit_distance <= int(0.2 * lengths[r.item_id]) for r in got.values())
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(300):
