@@ -5,9 +5,11 @@ article text (scripts, styles, menus, forms, asides, and containers that name
 themselves as adverts, sidebars, comments and the like) leave blank lines.  The
 line-block distribution is the sum of text lengths over sliding windows of
 lines: it surges from zero where a run of text begins and dives to zero where
-it ends.  The text kept is that between the surge and the dive that hold the
-most; an explicit article or main element is one run, whatever it leaves blank
-inside, as the lines blanked there are taken out before the windows are laid.
+it ends.  An explicit article or main element is one run, whatever it leaves
+blank inside, as the lines blanked there are taken out before the windows are
+laid.  The text kept is that of all explicit articles or, in a page without any,
+of all runs: what parts them is dropped elements only, as an advert in the
+middle of an article does, and nothing but those is left out.
 
 Defined results: a null or empty page has the empty text; repeated rows give
 repeated results; other columns are ignored; a page is never cut short.
@@ -148,13 +150,13 @@ def _aside(attrs: str) -> bool:
 
 
 def main_text(page: str | None) -> str:
-    """Text between the surge and the dive that hold the most."""
+    """Text between surges and dives: that of the explicit articles, or all if there are none."""
     if not page:
         return ""
     # inside an article, what was dropped is out of the way before windows are laid
     found = [(text, article) for text, article in lines(page) if text or not article]
     sizes = [len(text) for text, _ in found]
-    best, best_size = (0, 0), 0
+    runs: list[tuple[int, int]] = []
     surge = None
     # window k covers lines k .. k + WINDOW - 1; lines before the first and after the last are blank
     total = 0
@@ -163,12 +165,10 @@ def main_text(page: str | None) -> str:
         if total and surge is None:
             surge = k + WINDOW - 1
         elif not total and surge is not None:
-            held = sum(sizes[surge:k])
-            weight = held + (1 << 40) * any(a for _, a in found[surge:k])  # an explicit article goes before other runs
-            if weight > best_size:
-                best, best_size = (surge, k), weight
+            runs.append((surge, k))
             surge = None
-    return "\n".join(text for text, _ in found[best[0] : best[1]] if text)
+    explicit = [(a, b) for a, b in runs if any(article for _, article in found[a:b])]
+    return "\n".join(text for a, b in explicit or runs for text, _ in found[a:b] if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -189,6 +189,17 @@ def test_html_cases():
     assert html_text.main_text(plain) == "\n".join(["word word word"] * 9)
 
 
+def test_html_keeps_what_dropped_elements_part():
+    paras = [f"paragraph {k} of the article" for k in range(9)]
+    whole = "\n".join(paras)
+    block = lambda part: "".join(f"<p>{p}</p>" for p in part)
+    for between in ('<div class="ad">buy</div>', '<div class="notice">old</div>', "<form>mail <input></form>", "<aside>see also</aside>", '<div class="share">post it</div>', "<nav>a b c</nav>"):
+        page = f'<nav>a b</nav><div id="text"><div>{block(paras[:2])}{between}{block(paras[2:5])}</div>{between}<div>{block(paras[5:])}</div></div><footer>z</footer>'
+        assert html_text.main_text(page) == whole
+    assert html_text.main_text(f"<header>s</header><article>{block(paras[:2])}</article><nav>a</nav><article>{block(paras[2:])}</article>") == whole
+    assert html_text.main_text(f"<article>{block(paras[:4])}</article><article>{block(paras[4:])}</article><div>after it</div>") == whole
+
+
 def test_html_pages(spark):
     import html
     import re
