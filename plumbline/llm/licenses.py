@@ -1,10 +1,15 @@
 """Licence scan by sentence rules, in DataFrame functions only; no shuffle.
 
 A text is split into sentences, each is normalised and looked up among the
-known licence sentences.  The identifiers found, in the text's order, are then
-matched against licence rules: a rule holds where its identifiers follow each
-other with no other known sentence between.  The rules are ordered and the
-first that holds names the document's licence.
+known licence sentences.  A sentence may run over any lines of a paragraph,
+with or without comment marks before them, but begins and ends at the end of a
+line, of a sentence or of the paragraph.  The identifiers found, in the text's
+order, are then matched against licence rules: a rule holds where its
+identifiers follow each other with no other known sentence between.  The rules
+are ordered and the first that holds names the document's licence.
+
+The SQL knows ``SENTENCES`` on one line only; ``PUBLISHED``, as the licences
+really have them, and sentences over several lines are held by tests.
 
 Defined results: a null or empty text has no sentences and no licence; repeated
 rows give repeated results; other columns are ignored.
@@ -36,6 +41,48 @@ SENTENCES: dict[int, str] = {
     17: "Licensed under the MIT License.",
     18: "This work is dedicated to the public domain under the CC0 license.",
 }
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+_APACHE = "Licensed under the Apache License, Version 2.0"
+_OBTAIN = "You may obtain a copy of the License at"
+_UNLESS = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS"
+_GPL = "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+_FSF = "as published by the Free Software Foundation"
+_URLS = [f"{scheme}://{www}apache.org/licenses/LICENSE-2.0{kind}" for scheme in ("http", "https") for www in ("www.", "") for kind in ("", ".txt", ".html")]
+#: Sentences as the licences are published and commonly varied, with the known sentences that each stands for.
+PUBLISHED: list[tuple[str, tuple[int, ...]]] = [
+    (_MIT, (8,)),
+    ("The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.", (9,)),
+    (f"{_AS_IS}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", (10,)),
+    (f"{_AS_IS}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NON-INFRINGEMENT.", (10,)),
+    (f"{_AS_IS}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT.", (10,)),
+    *(
+        (text, ids)
+        for head in (_APACHE, f"{_APACHE} (the \"License\")", f"{_APACHE} (the \"Apache License\")")
+        for text, ids in ((head, (3,)), *((f"{head}; you may not use this {what} except in compliance with the License.", (3, 11)) for what in ("file", "software", "work")))
+    ),
+    ("You may not use this software except in compliance with the License.", (11,)),
+    (_OBTAIN, (12,)),
+    *((f"{_OBTAIN} {url}", (12,)) for url in _URLS),
+    *((f"{_OBTAIN} {url} {_UNLESS}, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", (12, 13)) for url in _URLS),
+    (f"{_UNLESS}, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", (13,)),
+    (f"{_UNLESS}, WITHOUT WARRANTY OF ANY KIND, either express or implied.", (13,)),
+    *(
+        (f"{it} {_GPL} {rest}.", (16,))
+        for it in ("This program", "This software", "This file", "This code")
+        for rest in (
+            _FSF,
+            *(
+                f"{by}{version} of the License{later}"
+                for by in (f"{_FSF}, ", f"{_FSF}; ")
+                for version in ("either version 3", "either version 2", "version 3", "version 2")
+                for later in ("", ", or (at your option) any later version")
+            ),
+            *(f"version {v} {_FSF}" for v in (2, 3)),
+            *(f"version {v} only, {_FSF}" for v in (2, 3)),
+        )
+    ),
+]
 #: Rules in the order in which they are tried.
 RULES: list[tuple[str, tuple[int, ...]]] = [
     ("mit-text", (8, 9, 10)),
@@ -63,19 +110,32 @@ def normal(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^0-9a-z]+", " "))
+def _bounded(text: Column) -> Column:
+    """Normal words parted by blanks, by ~ where a line ends, and by | where a sentence or paragraph does."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    broken = F.regexp_replace(lower, r"[.!?][\x20\x09-\x0D]+", "\n\n")
+    plain = F.regexp_replace(broken, r"(?m)^[\x20\x09]*(?:rem|dnl)(?=[\x20\x09]|$)", "")  # comment marks of letters
+    words = F.trim(F.regexp_replace(plain, "[^0-9a-z\n]+", " "))
+    ends = F.regexp_replace(words, r" ?\n(?: ?\n)+ ?", "|")
+    return F.concat(F.lit("|"), F.regexp_replace(ends, r" ?\n ?", "~"), F.lit("|"))
+
 
+def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES, anchors: tuple[str, ...] = ANCHORS, published: list[tuple[str, tuple[int, ...]]] | None = None) -> DataFrame:
+    """doc_id, n_known, sentence_ids, licences (all that hold, by rule order), licence (the first).
 
-def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, tuple[int, ...]]] = RULES, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """doc_id, n_known, sentence_ids, licences (all that hold, by rule order), licence (the first)."""
-    by_text = {normal(s): i for i, s in sentences.items()}
+    ``published`` is ``PUBLISHED`` unless other sentences than ``SENTENCES`` are given.
+    """
+    published = published if published is not None else PUBLISHED if sentences is SENTENCES else []
+    by_text = {normal(s): (i,) for i, s in sentences.items()}
+    by_text = {normal(s): ids for s, ids in published} | by_text
     loose = [s for s in by_text if not any(a in s for a in anchors)]
     if loose:
         raise ValueError(f"known sentences without an anchor: {loose}")
-    known = F.create_map(*(F.lit(x) for pair in by_text.items() for x in pair))
-    parts = F.split(F.regexp_replace("text", r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n")
-    ids = F.filter(F.transform(parts, lambda s: F.try_element_at(known, _normal(s))), lambda i: i.isNotNull())
+    known = F.create_map(*(x for s, ids in by_text.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))))
+    # the longest first, as one may begin with another
+    one = "|".join(s.replace(" ", "[ ~]") for s in sorted(by_text, key=len, reverse=True))
+    met = F.regexp_extract_all(_bounded(F.col("text")), F.lit(f"(?<=[|~])(?:{one})(?=[|~])"), F.lit(0))
+    ids = F.flatten(F.transform(met, lambda s: F.try_element_at(known, F.translate(s, "~", " "))))
     has = F.col("text").rlike("(?i)" + "|".join(anchors))
     found = docs.select("doc_id", F.when(has, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
     joined = F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|"))

@@ -258,6 +258,49 @@ def test_decontamination_of_long_items_at_the_largest_distance(spark, kind):
     assert all(r.edit_distance <= int(0.2 * lengths[r.item_id]) for r in got.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+
+
+def test_licence_texts_in_lines(spark):
+    import textwrap
+
+    want, docs = {}, []
+    for text, licence, ids in ((MIT, "mit-text", "8|9|10"), (APACHE, "apache-2.0-text", "3|11|12|13"), (APACHE.replace("at\n\n    http", "at http").replace("2.0\n\nUnless", "2.0 Unless"), "apache-2.0-text", "3|11|12|13"), (APACHE.split(" You may")[0], "apache-2.0-header", "3|11"), (GPL, "gpl", "16"), (GPL.replace("software:", "software;").replace("version 3", "version 2"), "gpl", "16"), (BSD, "bsd-text", "1|14|15")):
+        for width in (10_000, 76, 60, 31):
+            for first, mark, last in (("", "", ""), ("/*\n", " * ", "\n */\nint main() {}"), ("", "// ", "\nint x;"), ("#!/bin/sh\n", "# ", "\nls"), ("", "dnl ", ""), ("<!--\r\n", "  ", "\r\n-->")):
+                wrapped = "\n".join("\n".join(textwrap.wrap(line, width)) for line in text.split("\n"))
+                docs.append((len(docs), first + "\n".join(mark + line for line in wrapped.split("\n")) + last))
+                want[len(want)] = (licence, ids)
+    none = ["Nobody is\nLicensed under the MIT\n\nLicense.", "Not Licensed under CC BY\n4.0.", "Licensed under CC\nBY 4.0 or later"]
+    docs += [(1000 + k, t) for k, t in enumerate(none)]
+    got = {r.doc_id: (r.licence, r.sentence_ids) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want | {1000 + k: (None, "") for k in range(len(none))}
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(300):
