@@ -68,16 +68,27 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+#: Queries of dense search that are broadcast at once, by hash blocks that differ a little in size.
 MAX_QUERY_ROWS = 20_000
 
 
+def query_blocks(queries: DataFrame, query_key: str) -> list[DataFrame]:
+    """The queries in parts of about ``MAX_QUERY_ROWS`` rows at most, by hash of their key; one part if they fit."""
+    rows = queries.count()
+    n = -(-rows * 5 // (MAX_QUERY_ROWS * 4)) if rows > MAX_QUERY_ROWS else 1
+    return [queries.where(F.pmod(F.xxhash64(query_key), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, query_vector: str, k: int) -> DataFrame:
-    """Top k neighbours of each query; the queries are a stated set, at most ``MAX_QUERY_ROWS``, larger ones go by blocks."""
-    if queries.count() > MAX_QUERY_ROWS:
-        raise ValueError(f"more than {MAX_QUERY_ROWS} queries: pass them in blocks")
-    pairs = vectors.select(key, vector).crossJoin(F.broadcast(queries.select(query_key, query_vector))).where(F.col(key) != F.col(query_key))
-    scored = pairs.select(query_key, key, cosine(F.col(vector), F.col(query_vector)).alias("cosine"))
-    return top_k(scored, query_key, k, F.round("cosine", 9).desc(), F.col(key))
+    """Top k neighbours of each query; more than ``MAX_QUERY_ROWS`` queries go by blocks, each against all vectors."""
+    out = None
+    for block in query_blocks(queries.select(query_key, query_vector), query_key):
+        pairs = vectors.select(key, vector).crossJoin(F.broadcast(block)).where(F.col(key) != F.col(query_key))
+        scored = pairs.select(query_key, key, cosine(F.col(vector), F.col(query_vector)).alias("cosine"))
+        # a query is in one block, so its top k is whole
+        part = top_k(scored, query_key, k, F.round("cosine", 9).desc(), F.col(key))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, words: int = 4) -> DataFrame:

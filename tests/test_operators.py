@@ -329,6 +329,21 @@ def test_splits_are_disjoint_and_stable(spark):
         datasets.balanced_sample(d, "label", "id", 100)
 
 
+def test_dense_takes_queries_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(60)}
+    d = spark.createDataFrame(list(vectors.items()), "i long, v array<double>")
+    q = d.select(F.col("i").alias("q"), F.col("v").alias("qv"))
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b))
+    want = {(a, r, b) for a, v in vectors.items() for r, b in enumerate(sorted((b for b in vectors if b != a), key=lambda b: (-round(cos(v, vectors[b]), 9), b))[:3], 1)}
+    for rows in (retrieval.MAX_QUERY_ROWS, 25, 7):
+        monkeypatch.setattr(retrieval, "MAX_QUERY_ROWS", rows)
+        assert {(x.q, x.rank, x.i) for x in retrieval.dense(d, q, "i", "q", "v", "qv", 3).collect()} == want
+
+
 def test_hybrid_scales_before_filtering(spark):
     rows = [(1, r, c, lex, 0.0, 0.0, 1) for r, c, lex in ((1, "x", 10.0), (2, "y", 5.0), (3, "y", 0.0))]
     d = spark.createDataFrame(rows, "q int, rule_id int, category string, lexical double, dense double, keyword double, priority int")
