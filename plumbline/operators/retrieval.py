@@ -19,6 +19,8 @@ K1, B = 1.5, 0.75
 
 #: Rows of a side up to which it is broadcast, once counted.
 BROADCAST_ROWS = 200_000
+#: Pairs of a query and a document, at most, that a part of many queries makes on average.
+PAIRS_PER_PART = 500_000
 
 
 def small(d: DataFrame) -> DataFrame:
@@ -42,17 +44,27 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_toke
 
     A query's repeated token counts as often as it comes, or once with
     ``distinct_query``.  Postings are cut down to the queries' tokens before any
-    shuffle of them.
+    shuffle of them.  If the documents' postings are few and the queries' aren't,
+    the postings are broadcast to the queries, which are dealt once.
     """
+    p = postings(docs, key, doc_tokens)
+    n_queries = queries.count()
+    dealt = n_queries > BROADCAST_ROWS and p.count() <= BROADCAST_ROWS
+    if dealt:  # so finely that a part's pairs are summed in memory
+        width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        queries = queries.repartition(max(width, -(-n_queries * docs.count() // PAIRS_PER_PART)), query_key)
     q = queries.select(F.col(query_key), F.explode(F.array_distinct(query_tokens) if distinct_query else query_tokens).alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("qtf"))
     stats = docs.agg(F.count("*").alias("_N"), F.avg(F.size(doc_tokens)).alias("_avg"))
-    p = postings(docs, key, doc_tokens).join(q.select("token").distinct(), "token", "left_semi")
+    if not dealt:
+        p = p.join(q.select("token").distinct(), "token", "left_semi")
     df = p.groupBy("token").agg(F.count("*").alias("_df"))
     w = df.crossJoin(F.broadcast(stats))  # one row
     w = w.select("token", "_avg", F.ln(1 + (F.col("_N") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("_avg"), F.lit(1e-9)))
     part = F.col("_qw") * F.col("tf") * (k1 + 1) / norm
-    weights = q.join(w, "token").select("token", query_key, "_avg", (F.col("qtf") * F.col("_idf")).alias("_qw"))
+    weights = q.join(F.broadcast(w) if dealt else w, "token").select("token", query_key, "_avg", (F.col("qtf") * F.col("_idf")).alias("_qw"))
+    if dealt:
+        return weights.join(F.broadcast(p), "token").groupBy(key, query_key).agg(F.sum(part).alias("score"))
     # postings by document: the queries come to them, and all parts of a score are in one place
     return p.repartition(key).join(small(weights), "token").groupBy(key, query_key).agg(F.sum(part).alias("score"))
 

@@ -276,7 +276,7 @@ over_documents("mth03_log_share", f"round(ln(greatest({UNIT} - 0.2, 0) / 3.0 + 1
 def mth04(t: Tables) -> DataFrame:
     from ..functions.hashing import hashed_features
 
-    return hashed_features(t.documents.select("doc_id", text.words(F.substring("text", 1, 400)).alias("tokens")), "doc_id", "tokens")
+    return hashed_features(t.documents.select("doc_id", text.words(F.col("text")).alias("tokens")), "doc_id", "tokens")
 
 
 over_documents(
@@ -301,7 +301,7 @@ over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} /
 def mth09(t: Tables) -> DataFrame:
     from ..functions.equations import binomial_tail
 
-    return binomial_tail(t.documents.where("doc_id < 200").select("doc_id", (F.col("doc_id") % 40 + 1).alias("n"), (F.col("doc_id") % 7).alias("k")), "doc_id")
+    return binomial_tail(t.documents.select("doc_id", (F.col("doc_id") % 40 + 1).alias("n"), (F.col("doc_id") % 7).alias("k")), "doc_id")
 
 
 @query("tim01_iso_epoch", "SELECT event_id, round(epoch_us(ts) / 1e6, 3) AS epoch FROM events")

@@ -329,6 +329,59 @@ def test_splits_are_disjoint_and_stable(spark):
         datasets.balanced_sample(d, "label", "id", 100)
 
 
+def _bm25(docs, query):
+    """Scores of the documents (key -> words) that share a word with a query's words."""
+    average = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for key, words in docs.items():
+        for w in query:
+            if tf := words.count(w):
+                df = sum(w in x for x in docs.values())
+                out[key] = out.get(key, 0) + math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / average))
+    return out
+
+
+def test_queries_take_whole_tables(spark, tmp_path, monkeypatch):
+    """Texts and keys beyond any prefix and any first rows count."""
+    import random
+    import re
+
+    from plumbline.functions import hashing
+    from plumbline.plans.catalogue import QUERIES
+
+    rng = random.Random(6)
+    some = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    docs = {i: (["en", "de"][i % 3 == 0], "\n".join(some(rng.randint(4, 40)) for _ in range(6))) for i in (*range(30), *range(190, 230), 900)}
+    items = {i: some(12) for i in (0, 5, 11, 40, 77)}
+    spark.createDataFrame([(i, t, lang, len(t)) for i, (lang, t) in docs.items()], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = lambda t: re.findall("[a-z0-9_]+", t.lower())
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+
+    tail = {r.doc_id: r.tail for r in run("mth09_exact_arithmetic")}
+    assert tail == {i: sum(math.comb(i % 40 + 1, j) for j in range(min(i % 7, i % 40 + 1) + 1)) / 2 ** (i % 40 + 1) for i in docs}
+    assert {r.doc_id: r.vector for r in run("mth04_feature_hashing")} == {i: hashing.vector(words(t)).tolist() for i, (_, t) in docs.items()}
+
+    bodies, texts = {i: words(t) for i, t in items.items()}, {i: words(t) for i, (_, t) in docs.items()}
+    want = set()
+    for i, (_, t) in docs.items():
+        for pos, part in enumerate(t.split("\n")):
+            ranked = sorted((-round(s, 9), item) for item, s in _bm25(bodies, words(part)).items() if s >= 4)
+            want |= {(f"{i}:{pos}", rank, item) for rank, (_, item) in enumerate(ranked[:3], 1)}
+    for rows in (retrieval.BROADCAST_ROWS, 100):  # the second: more fragments than are broadcast, postings of the items aren't
+        monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
+        assert {(r.fragment, r.rank, r.item_id) for r in run("pol06_authority_retrieval")} == want
+
+    want, low, high = set(), min(len(t) for _, t in docs.values()), max(len(t) for _, t in docs.values())
+    for item, t in items.items():
+        s = {i: 0.0 for i in docs} | _bm25(texts, sorted(set(words(t))))
+        a, b = min(s.values()), max(s.values())
+        lexical = {i: (x - a) / (b - a) for i, x in s.items()}
+        score = {i: round(0.72 * 0.52 * lexical[i] + 0.05 * (len(d) - low) / (high - low), 12) for i, (lang, d) in docs.items() if lang == "en"}
+        want |= {(item, rank, i) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], -len(docs[i][1]), i))[:5], 1)}
+    assert {(r.item_id, r.rank, r.rule_id) for r in run("pol01_hybrid_search")} == want
+
+
 def test_dense_takes_queries_in_blocks(spark, monkeypatch):
     import random
 
