@@ -200,6 +200,59 @@ def test_html_keeps_what_dropped_elements_part():
     assert html_text.main_text(f"<article>{block(paras[:4])}</article><article>{block(paras[4:])}</article><div>after it</div>") == whole
 
 
+def test_html_windows_decide():
+    """Pages without a word on what is what: sizes over windows tell text from the rest."""
+    prose = lambda n, k=3: "".join(f"<p>{f'Paragraph {i} of the running text, which has some length to it. ' * k}</p>" for i in range(n))
+    text = lambda n, k=3: "\n".join(f"{f'Paragraph {i} of the running text, which has some length to it. ' * k}".strip() for i in range(n))
+    menu, end = "<div><a href=/>Home</a> <a href=/b>About us</a> | Search</div>", "<div>Copyright 2020 Example Inc.</div>"
+    for page, want in (
+        (f"<body>{menu}<div><h1>T</h1>{prose(3)}<p>End.</p></div>{end}", f"T\n{text(3)}\nEnd."),
+        (f"<body>{menu}<h1>T</h1>{prose(3)}<p>by us</p>", f"T\n{text(3)}"),
+        (f"<body>{menu}<article>Read this other story</article><div>{prose(3)}</div>{end}", text(3)),
+        (f"<body>{menu}<div>{prose(2)}</div><div class=ad>{prose(1)}</div><div>{prose(2)}</div>{end}", f"{text(2)}\n{text(2)}"),
+        (f"<table><tr><td><a>x</a><br>menu</td><td>{prose(3)}</td></tr></table>", text(3)),
+    ):
+        assert html_text.main_text(page) == want
+        assert html_text.main_text(page, None) != want or "ad" in page and menu not in page
+    whole = f"<article><h1>T</h1><div>By X</div><section><h2>a</h2>{prose(2)}</section><section><p>short</p></section><p>Bye</p></article>"
+    assert html_text.main_text(f"<body>{menu}{whole}{end}") == f"T\nBy X\na\n{text(2)}\nshort\nBye"
+
+
+def test_html_names_are_believed_where_the_page_bears_them_out():
+    prose, text = "<p>" + "A paragraph of the running text. " * 9 + "</p>", ("A paragraph of the running text. " * 9).strip()
+    for page in (
+        f'<div class="social science">{prose}</div>',
+        f'<div id="social">{prose}</div>',
+        f'<body class="has-sidebar"><div class="with-sidebar"><div class="content">{prose}</div><div class="sidebar">{prose}</div><div id="comments">{prose}{prose}</div></div>',
+        f"<aside>See also<div>{prose}</div><footer>f</footer>",
+        f"<aside>See also<article>{prose}</article>",
+        f"<aside><p>See also{prose}",
+        f'<form id="aspnetForm"><nav>a</nav><div>{prose}</div></form>',
+        f'<div class="banner-area"><article>{prose}</article></div>',
+    ):
+        assert html_text.main_text(page) == text, page
+    assert html_text.main_text(f'<div class="comments">{prose}</div><nav>{prose}</nav><aside>{prose}</aside>') == ""
+
+
+def test_html_tags_are_one_evidence(spark):
+    """The tables' pages with divs in place of articles give the same texts."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html_text.main_text(r.html.replace("<article>", '<div id="x">').replace("</article>", "</div>")) == html_text.main_text(r.html)
+
+
+def test_html_deep_nesting():
+    assert html_text.main_text("<div>" * 50_000 + "<p>some words</p>" + "</div>" * 50_000) == "some words"
+    assert html_text.main_text("<b>" * 5_000 + "some words") == "some words"
+
+
+def test_html_long_and_repeated_pages(spark):
+    page = "<nav>a</nav><article>" + "<p>word word word word</p>" * 40_000 + "</article>"
+    pages = spark.createDataFrame([(1, "u", page, "t", 5)] * 3 + [(None, None, None, "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.n_chars, r.page_id) for r in got.select("n_chars", "page_id").fillna(0).collect()) == [(0, 0), *[(40_000 * 20 - 1, 1)] * 3]
+
+
 def test_html_pages(spark):
     import html
     import re
