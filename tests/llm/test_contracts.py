@@ -170,13 +170,44 @@ def test_urls(spark):
 
 
 def test_url_trees_learn(spark):
+    """Held out: neither trees nor suffix statistics have seen the labels that are asked for."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    urls, features = url_filter.with_features(url_filter.with_rules(url_filter.parsed(pages)))
-    known = urls.where("ruled IS NOT NULL")
-    held = known.where("pmod(xxhash64(url, 9), 4) = 0")
-    model = url_filter.train(known.where("pmod(xxhash64(url, 9), 4) <> 0"), features)
-    right = model.transform(held).selectExpr("avg(cast((prediction > 0.5) = (ruled = 'block') as double)) AS a").first().a
-    assert right > 0.85
+    known = url_filter.with_rules(url_filter.parsed(pages)).where("ruled IS NOT NULL")
+    held, learnt = known.where("pmod(xxhash64(url, 9), 4) = 0"), known.where("pmod(xxhash64(url, 9), 4) <> 0")
+    statistics = url_filter.suffix_statistics(known, learnt).cache()
+    model = url_filter.train(learnt, statistics)
+    rows, features = url_filter.with_features(held, statistics)
+    r = model.transform(rows).selectExpr("avg(cast((prediction > 0.5) = (ruled = 'block') as double)) AS a", "avg(cast(ruled = 'block' as double)) AS b").first()
+    assert r.a > max(r.b, 1 - r.b) + 0.1 and r.a > 0.84
+    weight = dict(zip(features, model.stages[-1].featureImportances.toArray(), strict=True))
+    assert sum(v for k, v in weight.items() if not k.startswith("f_suffix")) > 0.05
+    # a URL's own label doesn't reach its features
+    flipped = learnt.withColumn("ruled", learnt.ruled)
+    some = learnt.limit(1).first().url
+    turned = flipped.selectExpr("page_id", "url", "host", "path", "rule", f"if(url = '{some}', if(ruled = 'block', 'allow', 'block'), ruled) AS ruled")
+    seen = [url_filter.with_features(x.where(f"url = '{some}'").limit(1), url_filter.suffix_statistics(known, x).cache(), True)[0].first().f_suffix_blocked for x in (learnt, turned)]
+    assert seen[0] == seen[1]
+
+
+def test_url_edge_cases(spark):
+    schema = "page_id long, url string, html string, host string, path string, rule string, verdict string, _suffix string, pages long"
+    long = "http://a.example.org/x/" + "y" * 100_000
+    urls = [None, "", "http://", long, long, "http://tie.example.com/en/1", "http://tie.example.com/en/1", "http://m.example.net/de/1", "http://x.example.io/zz"] * 3
+    pages = spark.createDataFrame([(k if k % 7 else None, u, None, "h", "p", "r", "v", "s", 1) for k, u in enumerate(urls)], schema)
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(urls) and got[0].__fields__ == ["page_id", "host", "path", "rule", "verdict"]
+    by_id = {r.page_id: r for r in got if r.page_id is not None}
+    for k, u in enumerate(urls):
+        if k % 7:
+            assert (by_id[k].host, by_id[k].path) == brute.url_parts(u)
+            assert by_id[k].verdict in ("block", "allow")
+            assert len({r.verdict for r in got if (r.host, r.path) == (by_id[k].host, by_id[k].path)}) == 1
+    few = url_filter.BROADCAST_ROWS
+    try:
+        url_filter.BROADCAST_ROWS = 0
+        assert sorted(map(str, url_filter.judge(pages).collect())) == sorted(map(str, got))
+    finally:
+        url_filter.BROADCAST_ROWS = few
 
 
 def test_html_cases():
