@@ -369,22 +369,61 @@ Redistribution and use in source and binary forms, with or without modification,
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
 
 
+ISC = """Copyright (c) 2020, Somebody
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+
+
 def test_licence_texts_in_lines(spark):
     import textwrap
 
     want, docs = {}, []
-    for text, licence, ids in ((MIT, "mit-text", "8|9|10"), (APACHE, "apache-2.0-text", "3|11|12|13"), (APACHE.replace("at\n\n    http", "at http").replace("2.0\n\nUnless", "2.0 Unless"), "apache-2.0-text", "3|11|12|13"), (APACHE.split(" You may")[0], "apache-2.0-header", "3|11"), (GPL, "gpl", "16"), (GPL.replace("software:", "software;").replace("version 3", "version 2"), "gpl", "16"), (BSD, "bsd-text", "1|14|15")):
+    lesser = GPL.replace("This program", "This library").replace("General", "Lesser General").replace("version 3", "version 2.1")
+    for text, licence, ids in (
+        (MIT, "mit-text", "10|11|12|13"),
+        (APACHE, "apache-2.0-text", "3|41|42|43|44"),
+        (APACHE.replace("at\n\n    http", "at http").replace("2.0\n\nUnless", "2.0 Unless"), "apache-2.0-text", "3|41|42|43|44"),
+        (APACHE.split(" You may")[0], "apache-2.0-header", "3|41"),
+        (GPL, "gpl-3.0-or-later", "103|55|105"),
+        (GPL.replace("software:", "software;").replace("version 3", "version 2"), "gpl-2.0-or-later", "101|55|105"),
+        (lesser, "lgpl-2.1-or-later", "107|55|111"),
+        (GPL.replace("General", "Affero General"), "agpl-3.0-or-later", "117|55|119"),
+        (BSD, "bsd-text", "1|30|31"),
+        (ISC, "isc-text", "20|22|23"),
+        (MPL, "mpl-2.0-header", "60|61"),
+        (UNLICENSE, "unlicense-text", "70|71"),
+        (EPL, "epl-2.0", "66"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0", "202"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause", "306"),
+    ):
         for width in (10_000, 76, 60, 31):
             for first, mark, last in (("", "", ""), ("/*\n", " * ", "\n */\nint main() {}"), ("", "// ", "\nint x;"), ("#!/bin/sh\n", "# ", "\nls"), ("", "dnl ", ""), ("<!--\r\n", "  ", "\r\n-->")):
-                wrapped = "\n".join("\n".join(textwrap.wrap(line, width)) for line in text.split("\n"))
+                wrapped = "\n".join("\n".join(textwrap.wrap(line, width, break_on_hyphens=False, break_long_words=False)) for line in text.split("\n"))
                 docs.append((len(docs), first + "\n".join(mark + line for line in wrapped.split("\n")) + last))
                 want[len(want)] = (licence, ids)
-    none = ["Nobody is\nLicensed under the MIT\n\nLicense.", "Not Licensed under CC BY\n4.0.", "Licensed under CC\nBY 4.0 or later"]
+    none = ["Nobody is\nLicensed under the MIT\n\nLicense.", "Not Licensed under CC BY\n4.0.", "Licensed under CC\nBY 4.0 or later", "SPDX-License-Identifier: Mine"]
     docs += [(1000 + k, t) for k, t in enumerate(none)]
     got = {r.doc_id: (r.licence, r.sentence_ids) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want | {1000 + k: (None, "") for k in range(len(none))}
 
 
+def test_each_known_sentence_is_found(spark):
+    """Whole table of sentences: each, on a line of its own, gives its identifiers."""
+    known = [(s, ids) for i, variants in licenses.SENTENCES.items() for s, ids in ((v, (i,)) for v in variants)] + licenses.JOINED
+    docs = [(k, f"First line\n\n{s}\n\nlast line") for k, (s, _) in enumerate(known)]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    by_text = licenses.known_sentences()
+    assert got == {k: "|".join(map(str, by_text[licenses.normal(s)])) for k, (s, _) in enumerate(known)}
+    assert len({name for name, _ in licenses.RULES}) > 50
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(300):
