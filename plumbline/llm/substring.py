@@ -1,12 +1,16 @@
 """Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the corpus itself.  Its index is cut by hash into reference
-blocks, each with every ``WINDOW``-word sequence that falls to it and the least
-doc_id in which it begins.  A document is parsed greedily: from a word whose
-window some block holds for an earlier document, the factor runs on for as long
-as the next windows are held too.  A factor of at least a window's length is a
-duplicate span; windows over the boundary of two factors are looked up like any
-other, so no duplicate is lost between factors.
+The reference text is made of first occurrences: each ``WINDOW``-word sequence of
+the corpus stands in it once, at the least (doc_id, word) where it begins.  Its
+index is cut by hash into reference blocks, each with the sequences that fall to
+it and their places.  A document is factored greedily, from left to right: from
+the first word whose window the blocks place in an earlier document, the factor
+(document, word, length) runs on for as long as the next window's place is the
+next word of the same document, so it is the longest match of the reference text
+that begins there, and a verbatim copy of one stretch of one document.  Factors
+of at least a window's length are duplicate spans.  At a factor's end the parse
+goes back ``WINDOW`` - 1 words, so windows over the boundary of two factors are
+looked up like any other and no duplicate is lost between factors.
 
 Two exchanges keep this linear and small.  Documents are dealt into chunks, and
 a chunk sends each distinct thing once, so a passage that a third of all
@@ -16,10 +20,12 @@ documents share crosses the network once per chunk.
    windows have equal anchors, and about a fifth of all places are anchors.
    Blocks answer which anchors more than one chunk has.
 2. Windows whose anchor is shared go to the blocks by a 96-bit hash with the
-   chunk's least doc_id; blocks answer with the least doc_id of all where that
-   is smaller.  Windows within one chunk are settled there.
+   chunk's least place; blocks answer with the least place of all where that is
+   in an earlier document.  Windows within one chunk are settled there.
 
-Answers meet the texts again by chunk; the texts' exchange is reused.
+Answers meet the texts again by chunk; the texts' exchange is reused.  Chunks are
+dealt by the hash of id and text, so neither a repeated id nor a repeated text
+alone fills one.
 
 Defined results: a null or empty text has no words; a null doc_id counts as
 later than all others; rows of one doc_id don't remove each other's words;
@@ -43,7 +49,7 @@ ANCHOR = 5
 CHUNK_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
-_ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("g", "<u4")])
+_ASK = np.dtype([("doc", "<i8"), ("h", "<u8"), ("g", "<u4"), ("word", "<u4")])
 
 _ROUTED = "bucket int, chunk int, payload binary"
 
@@ -58,6 +64,14 @@ class Chunk:
         self.words = tv.word_hash(self.text)
         self.at, self.row = tv.windows(self.text, WINDOW)
 
+    def asked(self, which: np.ndarray) -> np.ndarray:
+        """The windows chosen, with their places."""
+        out = np.empty(len(which), _ASK)
+        row = self.row[which]
+        out["doc"], out["word"] = self.ids[row], self.at[which] - self.text.first[row]
+        out["h"], out["g"] = self.hashes(which)
+        return out
+
     def anchors(self) -> np.ndarray:
         """The anchor of each window."""
         grams = tv.window_hash(self.words, np.arange(max(len(self.words) - ANCHOR + 1, 0)), ANCHOR)
@@ -85,16 +99,25 @@ class Chunk:
         return np.flatnonzero(known[which])
 
 
-def _least(doc: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows by (h, g, doc), and where a new window begins in it."""
-    order = np.lexsort((doc, g, h))
+def _least(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows by hash and place, and where a new window begins in it."""
+    order = np.lexsort((asked["word"], asked["doc"], asked["g"], asked["h"]))
     new = np.ones(len(order), bool)
     if len(order):
-        a, b = order[1:], order[:-1]
-        new[1:] = (h[a] != h[b]) | (g[a] != g[b])
+        h, g = asked["h"][order], asked["g"][order]
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     return order, new
 
 
+def _first_places(asked: np.ndarray) -> np.ndarray:
+    """For each window the entry with its least place."""
+    order, new = _least(asked)
+    out = np.empty(len(order), np.int64)
+    if len(order):
+        out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 def _route(chunk: int, bucket: np.ndarray, values: np.ndarray, key: np.ndarray) -> pa.Table:
     """One row for each bucket with its values, ordered by bucket and key."""
     order = np.lexsort((key, bucket))
@@ -146,53 +169,43 @@ def _steps(n_buckets: int):
     def ask_windows(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
         known = np.frombuffer(b"".join(answers.column("answer").to_pylist()), "<u8")
-        which = chunk.shared(known)
-        h, g = chunk.hashes(which)
-        doc = chunk.ids[chunk.row[which]]
-        order, new = _least(doc, h, g)
-        first = order[new]
-        out = np.empty(len(first), _ASK)
-        out["doc"], out["h"], out["g"] = doc[first], h[first], g[first]
+        asked = chunk.asked(chunk.shared(known))
+        order, new = _least(asked)
+        out = asked[order[new]]
         return _route(_key(key), _bucket(out["h"], n_buckets), out, out["doc"])
 
     def answer_windows(key: tuple, table: pa.Table) -> pa.Table:
         asked, chunks = _join_payloads(table, _ASK)
-        order, new = _least(asked["doc"], asked["h"], asked["g"])
-        least = asked["doc"][order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else asked["doc"]
-        later = least < asked["doc"][order]
-        told = asked[order[later]].copy()
-        told["doc"] = least[later]
-        return _answers(chunks[order[later]], told)
+        first = _first_places(asked)
+        later = asked["doc"][first] < asked["doc"]
+        return _answers(chunks[later], asked[first[later]])
 
     return ask_anchors, answer_anchors, ask_windows, answer_windows
 
 
 def duplicate_windows(chunk: Chunk, known: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that begin in an earlier document, and that document's id."""
+    """Windows that begin in an earlier document, and their entries in the reference."""
     which = chunk.shared(known)
-    h, g = chunk.hashes(which)
-    doc = chunk.ids[chunk.row[which]]
-    all_doc, all_h, all_g = np.concatenate((answers["doc"], doc)), np.concatenate((answers["h"], h)), np.concatenate((answers["g"], g))
-    order, new = _least(all_doc, all_h, all_g)
-    if not len(order):
-        return which, doc
-    least = np.empty(len(order), np.int64)
-    least[order] = all_doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    least = least[len(answers) :]
-    found = least < doc
-    return which[found], least[found]
-
-
-def factors(chunk: Chunk, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors: first word and number of words of each maximal run of held windows."""
+    asked = chunk.asked(which)
+    both = np.concatenate((answers, asked))
+    first = both[_first_places(both)[len(answers) :]] if len(which) else asked
+    found = first["doc"] < asked["doc"]
+    return which[found], first[found]
+
+
+def factors(chunk: Chunk, which: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors: first word, number of words, and where they begin among ``which``.
+
+    A factor takes the next window as long as the reference goes on word by word as well.
+    """
     at = chunk.at[which]
     if not len(at):
-        return at, at
+        return at, at, at
     begins = np.ones(len(at), bool)
-    begins[1:] = at[1:] != at[:-1] + 1
+    begins[1:] = (at[1:] != at[:-1] + 1) | (reference["doc"][1:] != reference["doc"][:-1]) | (reference["word"][1:].astype(np.int64) != reference["word"][:-1].astype(np.int64) + 1)
     heads = np.flatnonzero(begins)
     runs = np.diff(np.concatenate((heads, [len(at)])))
-    return at[heads], runs + WINDOW - 1
+    return at[heads], runs + WINDOW - 1, heads
 
 
 def _covered(chunk: Chunk, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -203,10 +216,10 @@ def _covered(chunk: Chunk, starts: np.ndarray, lengths: np.ndarray) -> np.ndarra
 
 
 def _parse(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
-    """``finish(chunk, which, sources, ids)`` gives the rows of a chunk from its duplicate windows."""
+    """``finish(chunk, which, reference, ids)`` gives the rows of a chunk from its duplicate windows."""
     spark = docs.sparkSession
     n = shuffle_width(spark, text_bytes(docs, "text"), chunk_bytes)
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
     texts = docs.select(key, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ask_anchors, answer_anchors, ask_windows, answer_windows = _steps(n)
     by_chunk = texts.groupBy("chunk")
@@ -220,28 +233,29 @@ def _parse(docs: DataFrame, finish, schema: str, chunk_bytes: int) -> DataFrame:
         raw: dict[int, list[bytes]] = {0: [], 1: []}
         for kind, answer in zip(answers.column("kind").to_pylist(), answers.column("answer").to_pylist(), strict=True):
             raw[kind].append(answer)
-        which, sources = duplicate_windows(chunk, np.frombuffer(b"".join(raw[0]), "<u8"), np.frombuffer(b"".join(raw[1]), _ASK))
-        return finish(chunk, which, sources, table.column("doc_id"))
+        which, reference = duplicate_windows(chunk, np.frombuffer(b"".join(raw[0]), "<u8"), np.frombuffer(b"".join(raw[1]), _ASK))
+        return finish(chunk, which, reference, table.column("doc_id"))
 
     return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(parse, schema)
 
 
 def spans(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, first_word, n_words, source_doc: the duplicate spans; source_doc has the span's first window."""
+    """doc_id, first_word, n_words, source_doc, source_word: the factors; each is a copy of the source's words from there on."""
 
-    def finish(chunk: Chunk, which: np.ndarray, sources: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
-        starts, lengths = factors(chunk, which)
+    def finish(chunk: Chunk, which: np.ndarray, reference: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
+        starts, lengths, heads = factors(chunk, which, reference)
         owner = chunk.text.owner()[starts] if len(starts) else starts
-        source = sources[np.searchsorted(chunk.at[which], starts)] if len(starts) else starts
-        return pa.table({"doc_id": ids.take(pa.array(owner)), "first_word": pa.array(starts - chunk.text.first[owner]), "n_words": pa.array(lengths), "source_doc": pa.array(source)})
+        source = reference[heads]
+        return pa.table({"doc_id": ids.take(pa.array(owner)), "first_word": pa.array(starts - chunk.text.first[owner]), "n_words": pa.array(lengths), "source_doc": pa.array(source["doc"]), "source_word": pa.array(source["word"].astype(np.int64))})
 
-    return _parse(docs, finish, "doc_id long, first_word long, n_words long, source_doc long", chunk_bytes)
+    return _parse(docs, finish, "doc_id long, first_word long, n_words long, source_doc long, source_word long", chunk_bytes)
 
 
-def _remaining(chunk: Chunk, which: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def _remaining(chunk: Chunk, which: np.ndarray, reference: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The kept words of each text, joined by a space, and how many are gone."""
     t = chunk.text
-    gone = _covered(chunk, *factors(chunk, which))
+    starts, lengths, _ = factors(chunk, which, reference)
+    gone = _covered(chunk, starts, lengths)
     removed = np.concatenate(([0], np.cumsum(gone, dtype=np.int64)))
     out = []
     data, place = tv.packed_words(t)
@@ -258,8 +272,8 @@ def _remaining(chunk: Chunk, which: np.ndarray) -> tuple[list[bytes], np.ndarray
 def remove_duplicates(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and the text of the words kept."""
 
-    def finish(chunk: Chunk, which: np.ndarray, sources: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
-        texts, removed = _remaining(chunk, which)
+    def finish(chunk: Chunk, which: np.ndarray, reference: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
+        texts, removed = _remaining(chunk, which, reference)
         return pa.table({"doc_id": ids, "n_words": pa.array(chunk.text.n_words), "n_removed": pa.array(removed), "text": pa.array([x.decode() for x in texts], pa.string())})
 
     return _parse(docs, finish, "doc_id long, n_words long, n_removed long, text string", chunk_bytes)
@@ -268,8 +282,8 @@ def remove_duplicates(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFr
 def digest(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
-    def finish(chunk: Chunk, which: np.ndarray, sources: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
-        texts, removed = _remaining(chunk, which)
+    def finish(chunk: Chunk, which: np.ndarray, reference: np.ndarray, ids: pa.ChunkedArray) -> pa.Table:
+        texts, removed = _remaining(chunk, which, reference)
         return pa.table({"doc_id": ids, "n_words": pa.array(chunk.text.n_words), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())})
 
     return _parse(docs, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", chunk_bytes)

@@ -145,12 +145,31 @@ def test_substring(spark, documents, which):
     texts = {r.doc_id: r.text for r in substring.remove_duplicates(docs).collect()}
     assert all(len(brute.words(texts[i])) == n - gone for i, (n, gone, _) in want.items())
     covered = {}
+    source = {r["doc_id"]: brute.words(r["text"]) for r in docs.collect()}
     for r in substring.spans(docs).collect():
         assert r.n_words >= substring.WINDOW and r.source_doc < r.doc_id
+        assert source[r.doc_id][r.first_word : r.first_word + r.n_words] == source[r.source_doc][r.source_word : r.source_word + r.n_words]
         covered.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
     assert {i: len(c) for i, c in covered.items()} == {i: gone for i, (_, gone, _) in want.items() if gone}
 
 
+def test_substring_factors(spark):
+    """A factor is one stretch of one reference document; the next begins with the first window that it doesn't hold."""
+    w = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(w[:14])), (2, " ".join(w[1:25])), (3, " ".join(w[:25])), (4, " ".join(w[30:] + w[:25]))], "doc_id long, text string")
+    for size in (substring.CHUNK_BYTES, 10):
+        got = sorted(tuple(r) for r in substring.spans(docs, size).where("doc_id > 2").collect())
+        assert got == [(3, 0, 14, 1, 0), (3, 2, 23, 2, 1), (4, 10, 14, 1, 0), (4, 12, 23, 2, 1)]
+
+
+def test_substring_of_one_id(spark):
+    """All ids null, or all equal: nobody is earlier, and the rows are spread over chunks."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(k % 3, 40))) for i in (None, 5) for k in range(50)], "doc_id long, text string")
+    got = substring.digest(docs, 500).collect()
+    assert len(got) == 100
+    assert {r.n_removed for r in got if r.doc_id == 5} == {0} and all(r.n_removed == r.n_words for r in got if r.doc_id is None)
+
+
 def test_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     odd = ["HTTP://User@Ex.COM/en/1", "http://example.com?x=/en/", "x", "", None, "http://a.example.net/de/81#f", "://org/es/", "http://notcom/en/", "http://a.com/en/://b", "http://B.example.com/en/77?q#z", "https://com/en/"]
