@@ -13,8 +13,8 @@ within reach therefore meets in some file, whatever the skew, and no file is
 unbounded.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
-other; a null doc_id never represents others; repeated rows appear as often as
-they come; other columns of the input are ignored.
+other; a row without doc_id links like any other, but a class's id is null only
+if none of its rows has one; repeated rows appear as often as they come; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textvec as tv
 from .common import keep, small_side
@@ -172,13 +173,21 @@ def links(nodes: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
         bound = sorted({f for fs in finer.values() for f in fs})
 
 
+def _classes(docs: DataFrame, file_limit: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row; root is a fingerprint of the class."""
+    marked = keep(fingerprints(docs))
+    nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = keep(components(links(nodes.select("fp", F.col("fp").alias("node")), file_limit)))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = members.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("of_class"))
+    linked = members.join(small_side(least), "root").withColumnRenamed("node", "fp")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_class")).alias("component_id"))
+    return marked.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id")
+
+
 def classes(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row; the class id is its least doc_id."""
-    marked = keep(fingerprints(docs))
-    nodes = keep(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    roots = components(links(nodes, file_limit))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return _classes(docs, file_limit).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
@@ -187,6 +196,38 @@ def near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; of rows with one doc_id each that stays."""
-    gone = classes(docs, file_limit).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class, with its least doc_id (null only if the class has none).
+
+    Ids alone tell what goes, but for rows that share an id, or have none: of these the row that stays is looked for
+    among rows with the class's least id and then least fingerprint, and is the first of them by a hash of all columns.
+    """
+    marked = keep(_classes(docs, file_limit))
+    ids = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    leaving = small_side(ids.where("goes OR n > 1").select("doc_id", (F.col("n") > 1).alias("shared")))
+    alone = docs.where("doc_id IS NOT NULL").join(leaving.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    shared = small_side(marked.where("doc_id IS NOT NULL").join(leaving.where("shared"), "doc_id", "left_semi").select("doc_id").distinct())
+    odd = marked.where("doc_id IS NULL").select("fp").limit(1).union(shared.select("doc_id").limit(1))
+    if odd.isEmpty():
+        return alone
+    winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
+    winners = marked.groupBy("root").agg(winner).select("w.none", F.coalesce("w.doc_id", F.lit(0)).alias("id"), F.col("w.fp").alias("fp"))
+    rows = docs.where("doc_id IS NULL").unionByName(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    cells = [F.col(f"row.`{c}`") for c in docs.columns]
+    packed = _with_fingerprints(rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")))
+    met = packed.join(small_side(winners), (F.col("row.doc_id").isNull() == F.col("none")) & (F.coalesce("row.doc_id", F.lit(0)) == F.col("id")) & (F.col("fp") == F.col("_fp")))
+    one = met.groupBy("none", "id", "fp").agg(F.min_by("row", F.xxhash64(*cells)).alias("row"))
+    return alone.unionByName(one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
+
+
+def _with_fingerprints(rows: DataFrame) -> DataFrame:
+    """``rows`` has the column row, a struct with a text; adds _fp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field("text")
+            for a, b in tv.slices(texts):
+                fp = fingerprints_of(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], ["row", "_fp"])
+            tv.release()
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_fp", LongType())]))

@@ -114,6 +114,20 @@ def test_simhash_keeps_one_of_each_class(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_simhash_keeps_one_row_where_ids_are_shared(spark):
+    same, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    third, near = " ".join(f"u{i}" for i in range(300)), " ".join([*(f"u{i}" for i in range(299)), "x"])
+    rows = [(None, same, 1), (None, same, 2), (5, same, 3), (5, same, 3), (7, same, 4), (9, other, 5), (9, third, 6), (None, near, 7), (None, "only here " * 5, 8), (None, "only here " * 5, 9), (11, other, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long")
+    fps = {t: brute.simhash(t) for _, t, _ in rows}
+    assert (fps[third] ^ fps[near]).bit_count() <= 3
+    for frame in (docs, docs.repartition(5)):
+        kept = [tuple(r) for r in simhash.drop_near_duplicates(frame).collect()]
+        assert sorted((r[0] or 0, r[1][:2]) for r in kept) == [(0, "on"), (5, "w0"), (9, "u0"), (9, "v0")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted([(0, 5), (0, 5), (5, 5), (5, 5), (7, 5), (9, 9), (9, 9), (0, 9), (0, 0), (0, 0), (11, 9)])
+
+
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_sharding(spark, documents, which):
     docs = documents if which == "table" else awkward(spark)
@@ -463,6 +477,20 @@ def test_sql_queries_on_awkward_rows(spark):
         assert got == want, name
 
 
+def test_lines_of_long_lists(spark):
+    """The lists of many sites meet pages by shares; the result is the same."""
+    docs = awkward(spark)
+    want = sorted(map(str, line_dedup.line_dedup(docs).collect()))
+    few = line_dedup.BROADCAST_LINES
+    try:
+        line_dedup.BROADCAST_LINES = -1
+        assert sorted(map(str, line_dedup.line_dedup(docs).collect())) == want
+    finally:
+        line_dedup.BROADCAST_LINES = few
+    pages = spark.createDataFrame([(1, "s", "menu\nfirst"), (2, "s", "menu\nsecond"), (3, "t", "menu\nthird")], "doc_id long, source string, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(pages, ratio=0.5).collect()} == {1: "first", 2: "second", 3: "menu\nthird"}
+
+
 def test_mixing_budgets(spark):
     leaves = spark.createDataFrame([("a", "x", "s", 10), ("a", "x", "t", 1000), ("a", "y", "s", 5), ("b", "x", "s", 100)], "domain string, lang string, source string, tokens long")
     got = {(r.domain, r.lang, r.source): r.given for r in mixing.leaf_budgets(leaves, 1, 2, 1, {"a": 1, "b": 1}, {}, {}).collect()}
