@@ -375,6 +375,62 @@ def test_decontamination_of_long_items_at_the_largest_distance(spark, kind):
     assert all(r.edit_distance <= int(0.2 * lengths[r.item_id]) for r in got.values())
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of one to six words: those within the edits that their length allows, by brute force."""
+    rng = random.Random(4)
+    word = lambda: f"v{rng.randrange(60)}"
+    items = [(k, " ".join(word() for _ in range(1 + k % 6))) for k in range(40)] + [(90, None), (91, "")]
+    docs = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    docs += [(100 + k, f"before {t} after") for k, t in items if t]
+    for k, t in items:
+        w = (t or "").split()
+        if len(w) == 5:
+            docs.append((200 + k, " ".join(["x", *w[:2], "zz", *w[3:], "y"])))
+    want = {}
+    for i, t in docs:
+        for k, item in items:
+            w = (item or "").split()
+            if w and (d := brute.edit_distance(w, t.split())) <= int(0.2 * len(w)):
+                want[i, k] = d
+    got = {(r.doc_id, r.item_id): r.edit_distance for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want)
+
+
+def test_decontamination_of_common_grams():
+    """A gram of all items in a text that repeats it is met for a few items at a time, with the same leaks."""
+    import pyarrow as pa
+
+    items = [f"which of the following holds for case number {k} of all" for k in range(300)]
+    text = pa.array(["which of the following " * 200 + items[7], "nothing here", items[250] + " x " + items[3]])
+    index = decontaminate.Items(list(range(300)), items, 0.0, 0.98)
+    want = [(0, 7), (2, 3), (2, 250)]
+    for hits, spots in ((decontaminate.HITS, decontaminate.SPOTS), (500, 20)):
+        before = decontaminate.HITS, decontaminate.SPOTS
+        try:
+            decontaminate.HITS, decontaminate.SPOTS = hits, spots
+            assert [f[:2] for f in index.search(text)] == want
+        finally:
+            decontaminate.HITS, decontaminate.SPOTS = before
+
+
+def test_decontamination_edge_cases(spark):
+    """Repeated rows, clashing columns and a very long text."""
+    item = " ".join(f"i{k}" for k in range(30))
+    long = "x " * 300_000 + item + " y" * 300_000
+    docs = spark.createDataFrame([(1, item, 5), (1, item, 5), (None, item, 5), (2, long, 5), (3, "x", 5)], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([(1, item, "d"), (1, item, "d")], "item_id long, text string, doc_id string")
+    got = sorted((r.doc_id or 0, r.item_id, r.first_word, r.edit_distance, r.item_words) for r in decontaminate.leaks(docs, items).collect())
+    assert got == sorted([(0, 1, 0, 0, 30), (1, 1, 0, 0, 30), (1, 1, 0, 0, 30), (2, 1, 300_000, 0, 30)] * 2)
+    assert [tuple(r) for r in decontaminate.drop_leaking(docs, items).collect()] == [(3, "x", 5)]
+
+
+def test_walks_follow_the_measured_rate():
+    assert decontaminate.collision_rate(20, 0) == 1 and decontaminate.repetitions(20, 0) == 1
+    rates = [decontaminate.collision_rate(30, t) for t in (1, 3, 6)]
+    assert rates[0] > rates[1] > rates[2] > 0
+    assert decontaminate.repetitions(30, 1) < decontaminate.repetitions(30, 6) <= decontaminate.MAX_WALKS
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Somebody
