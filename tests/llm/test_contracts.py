@@ -138,6 +138,9 @@ def test_sharding(spark, documents, which):
     assert sorted(map(str, first)) == sorted(map(str, again))
     carried = sharding.shard(docs, carry=("text",), rows_per_block=7)
     assert {r.doc_id: r.in_text for r in carried.collect()} == texts
+    whole = sharding.shard_rows(docs)
+    assert {r.doc_id: r.text for r in whole.collect()} == texts and len(set(whole.columns)) == len(whole.columns)
+    brute.shard_sizes_ok([{k: r[k] for k in first[0]} for r in whole.collect()], len(texts), texts)
 
 
 def test_communication_matrix():
@@ -149,6 +152,25 @@ def test_communication_matrix():
     assert sharding.communication_matrix([], 16, 1).sum() == 0
 
 
+def test_draws_beyond_numpys_bound():
+    """The inversion against numpy's sampler where both hold, and its moments where only it does."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    good, bad, n = 300, 700, 120
+    own = np.bincount([sharding._inverted(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+    other = np.bincount(rng.hypergeometric(good, bad, n, 200_000), minlength=n + 1) / 10
+    near = other > 30
+    assert (((own - other) ** 2 / other)[near].sum()) < 1.6 * near.sum()
+    for good, bad, n in ((10**11, 15 * 10**11, 65_536), (10**10, 10**10, 10**9), (2 * 10**9, 5, 2 * 10**9 + 3)):
+        total = good + bad
+        mean, var = n * good / total, n * (good / total) * (bad / total) * ((total - n) / (total - 1))
+        got = [sharding._draw(rng, good, bad, n) for _ in range(2000 if n < 10**6 else 300)]
+        assert abs(np.mean(got) - mean) < 4 * max(var, 1) ** 0.5 / len(got) ** 0.5
+        assert var < 2 or 0.75 < np.var(got) / var < 1.3
+    assert sharding._inverted(rng, 3, 2, 5) == 3 and sharding._inverted(rng, 0, 9, 4) == 0
+
+
 @pytest.mark.parametrize("which", ["table", "awkward"])
 def test_substring(spark, documents, which):
     docs = documents if which == "table" else awkward(spark)
