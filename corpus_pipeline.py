@@ -1,8 +1,8 @@
 """From documents to a sharded training corpus, in five stages.
 
 Each stage works on all that its predecessor kept.  The first four return rows
-with the columns of documents; the last returns one row per document with its
-shard and slot.
+with the columns of documents; the last returns them dealt into shards, each row
+with its shard and slot.
 """
 
 from __future__ import annotations
@@ -11,20 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontaminate, mixing, quality, sharding, simhash
 from plumbline.llm.common import stage_table, table
+from plumbline.session import delete_folder, ship
 
 #: Part of the tokens that the mix may take.
 MIX_NUMERATOR, MIX_DENOMINATOR = 9, 10
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -33,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_digest(docs)
+    return sharding.shard_rows(docs)
 
 
 STAGES = [
@@ -49,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result but the last is written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage_table(docs, name)
-    return docs
+    """All stages; each result but the last is written as Parquet to the shared folder and read again.
+
+    A stage's folder goes when its successor is written.  That of the last but one stays, as the result reads it.
+    """
+    docs, old = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = stage_table(stage(spark, docs, sf_dir), name)
+        if old:
+            delete_folder(spark, old)
+        old = path
+    return STAGES[-1][1](spark, docs, sf_dir)

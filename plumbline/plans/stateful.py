@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import registry, scores, text
 from ..operators import series, trajectory
+from ..session import shared_folder
 from .base import EVENTS, RESPONSES, SCORED, Tables, events, long, query, r6, responses, scored
 
 PROTOCOL = trajectory.Protocol({"view": 0.1, "click": 0.2, "cart": 0.5, "purchase": 1.0}, final="purchase", max_steps=6)
@@ -50,11 +53,7 @@ def stm04(t: Tables) -> DataFrame:
 
 @query("stm05_rounds")
 def stm05(t: Tables) -> DataFrame:
-    import tempfile
-
-    sc = t.spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+    shared_folder(t.spark)
     start = t.events.select("user_id").distinct().select("user_id", F.lit(0).alias("turns"), (F.col("user_id") < 0).alias("done"))
     advance = lambda d: d.withColumn("turns", F.when(F.col("done"), F.col("turns")).otherwise(F.col("turns") + 1)).withColumn("done", F.col("turns") >= F.col("user_id") % 4 + 1)
     return trajectory.rounds(start, advance, 8)[0]
@@ -62,11 +61,7 @@ def stm05(t: Tables) -> DataFrame:
 
 def _run_folder(t: Tables) -> str:
     """A new folder that driver and executors share, for a stream's checkpoint."""
-    import tempfile
-    import uuid
-
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plumbline-stream-")
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(t: Tables) -> DataFrame:
