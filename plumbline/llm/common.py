@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,30 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_folder = threading.Lock()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder."""
-    sc = spark.sparkContext
-    with _folder:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
-        return sc._jsc.sc().getCheckpointDir().get()
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Write a narrow table to the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a table as Parquet to the shared folder and read it again."""
+def stage_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table as Parquet to the shared folder and read it again; with the path of its folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 #: Rows of a narrow table up to which it is broadcast; beyond, the join shuffles.
