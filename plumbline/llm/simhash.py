@@ -182,7 +182,8 @@ def _classes(docs: DataFrame, file_limit: int) -> DataFrame:
     least = members.join(nodes.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("of_class"))
     linked = members.join(small_side(least), "root").withColumnRenamed("node", "fp")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("of_class")).alias("component_id"))
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id")
+    # kept, so that the rows of one fingerprint can be split over tasks
+    return marked.join(keep(named), "fp", "left").select("doc_id", "fp", "root", "component_id")
 
 
 def classes(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
