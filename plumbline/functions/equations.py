@@ -12,14 +12,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MAX_NODES, MAX_VALUE = 64, Fraction(10**15)
-_EQUATION = re.compile(r"((?:\d+(?:\.\d+)?|[()\s+\-*/])+?)=\s*(-?\d+(?:\.\d+)?)")
+# fixed values: what counts as a number, an equation and a currency sign
+_NUMBER = r"\d[\d,]*(?:\.\d+)?"
+_TERM = rf"(?:{_NUMBER}|\([^=\n；;。]{{1,80}}\))"
+_EQUATION = re.compile(rf"(?<![\w.])([-+]?[¥￥$]?{_TERM}(?:\s*[+\-*/×÷]\s*[¥￥$]?{_TERM})+)\s*=\s*[¥￥$]?([-+]?{_NUMBER})")
+_PLAIN = str.maketrans({"×": "*", "÷": "/", ",": None, "$": None, "¥": None, "￥": None})
+#: Share of the score that is left if no right equation reaches the answer.
+UNFINISHED = 0.75
 _OPERATORS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b}
 
 
 def evaluate(expression: str) -> Fraction | None:
-    """The exact value of sums, products and quotients of numbers; None for anything else or too large."""
+    """The exact value of sums, products and quotients of numbers, with currency signs and commas; None for anything else or too large."""
     try:
-        tree = ast.parse(expression.strip(), mode="eval")
+        tree = ast.parse(expression.translate(_PLAIN).strip(), mode="eval")
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
@@ -36,37 +42,53 @@ def evaluate(expression: str) -> Fraction | None:
             value = _OPERATORS[type(node.op)](of(node.left), of(node.right))
         else:
             raise ValueError(node)
-        if abs(value) > MAX_VALUE:
-            raise ValueError("too large")
         return value
 
     try:
-        return of(tree)
+        value = of(tree)
+        return value if abs(value) <= MAX_VALUE else None
     except (ValueError, ZeroDivisionError, OverflowError):
         return None
 
 
-def equations(text: str) -> list[bool]:
-    """For each ``a op b ... = c`` of a text with an operator, whether it holds."""
-    out = []
-    for left, right in _EQUATION.findall(text or ""):
-        if not re.search(r"\d\s*[+\-*/]", left):
-            continue
-        value = evaluate(left)
-        if value is not None:
-            out.append(value == Fraction(right))
-    return out
+def number(raw: str) -> str:
+    """A number as it is compared: without commas, blanks and a plus sign."""
+    return raw.replace(",", "").replace(" ", "").strip().removeprefix("+")
 
 
-def check_equations(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, n_equations, n_right)."""
+def numbers(text: str) -> set[str]:
+    return {number(x) for x in re.findall(rf"[-+]?{_NUMBER}", text or "")}
+
+
+def equations(text: str) -> list[tuple[str, str, bool]]:
+    """Left side, right side and truth of each ``a op b ... = c`` of a text."""
+    found = [(left, number(right)) for left, right in _EQUATION.findall(text or "")]
+    return [(left, right, evaluate(left) == Fraction(right)) for left, right in found]
+
+
+def calculation(reason: str, question: str, answer: str) -> tuple[int, int, float]:
+    """How many equations bear on the question, how many of these are right, and the reward.
+
+    An equation bears on it if its left side uses a number of the question or its right side is the answer.
+    """
+    asked, want = numbers(question), number(answer or "")
+    relevant = [(right, holds) for left, right, holds in equations(reason) if numbers(left) & asked or right == want]
+    n_right = sum(holds for _, holds in relevant)
+    if not relevant:
+        return 0, 0, 0.0
+    reached = any(holds and right == want for right, holds in relevant)
+    return len(relevant), n_right, n_right / len(relevant) * (1.0 if reached else UNFINISHED)
+
+
+def check_equations(rows: DataFrame, key: str, reason: str, question: str, answer: str) -> DataFrame:
+    """(key, n_relevant, n_right, reward)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = [equations(x) for x in pdf[column]]
-            yield pd.DataFrame({key: pdf[key], "n_equations": [len(f) for f in found], "n_right": [sum(f) for f in found]})
+            found = [calculation(*x) for x in zip(pdf[reason], pdf[question], pdf[answer], strict=True)]
+            yield pd.DataFrame({key: pdf[key], **{name: [f[k] for f in found] for k, name in enumerate(("n_relevant", "n_right", "reward"))}})
 
-    return rows.select(key, column).mapInPandas(run, f"{key} long, n_equations long, n_right long")
+    return rows.select(key, reason, question, answer).mapInPandas(run, f"{key} long, n_relevant long, n_right long, reward double")
 
 
 def binomial_tail(rows: DataFrame, key: str) -> DataFrame:

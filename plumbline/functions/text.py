@@ -144,13 +144,13 @@ def search_tokens(c: Column) -> Column:
 
 
 def feature_tokens(c: Column, concepts: dict[str, Sequence[str]]) -> Column:
-    """Latin words with ``_.+-`` inside, CJK characters and bigrams, and a concept for each synonym found."""
-    latin = all_matches(F.lower(c), r"([a-z0-9][a-z0-9_.+-]*)")
-    runs = all_matches(c, r"([\x{4e00}-\x{9fff}]+)")
-    single = F.flatten(F.transform(runs, lambda r: F.split(r, "")))
-    pairs = F.flatten(F.transform(runs, lambda r: grams(F.split(r, ""), 2)))
-    found = [F.when(F.greatest(*(F.contains(F.lower(c), F.lit(s)).cast("int") for s in [*synonyms, ""][: max(2, len(synonyms))])) > 0 if len(synonyms) > 1 else F.contains(F.lower(c), F.lit(synonyms[0])), F.lit(f"concept:{name}")) for name, synonyms in concepts.items()]
-    return F.concat(latin, single, pairs, F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"))
+    """Latin words with ``_.+-`` inside, CJK characters (from U+3400 on) and bigrams, and a concept for each synonym found."""
+    low = F.lower(c)
+    latin = all_matches(low, r"([a-z0-9][a-z0-9_.+-]*)")
+    runs = all_matches(low, r"([\x{3400}-\x{9fff}]+)")
+    each = F.flatten(F.transform(runs, lambda r: F.concat(F.split(r, ""), grams(F.split(r, ""), 2))))
+    found = [F.when(mentions(low, [s.lower() for s in synonyms]), F.lit(f"concept:{name}")) for name, synonyms in concepts.items()]
+    return F.concat(latin, each, F.array_compact(F.array(*found)) if found else F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -196,7 +196,7 @@ def first_ids(c: Column, pattern: str) -> Column:
     return F.array_distinct(all_matches(c, f"({pattern})"))
 
 
-def judge_score(c: Column, most: float = 4.0) -> Column:
-    """The last ``[[number]]`` as a share of ``most``, within [0, 1]."""
-    x = last(all_matches(c, r"\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]")).try_cast("double")
-    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x / most)))
+def judge_score(c: Column) -> Column:
+    """The last ``[[score]]`` from 0 to 4 as a share of 4; other numbers are no scores, and a text without any scores 0."""
+    x = last(all_matches(c, r"\[\[\s*([0-4](?:\.\d+)?)\s*\]\]")).try_cast("double")
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)) / 4))

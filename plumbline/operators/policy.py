@@ -23,47 +23,71 @@ def active_rules(rules: DataFrame) -> DataFrame:
 
 
 def compose(matched: DataFrame, case: str) -> DataFrame:
-    """One rule per canonical id, that of most priority, then of least id; with how much that saves.
+    """One rule per canonical id, that of most priority, then of greatest id; with how much that saves.
 
-    ``matched`` has a row for each case and matched rule: rule_id,
+    ``matched`` has a row for each case and rule that was asked for: rule_id,
     canonical_id, category, priority; a null canonical_id is an unknown rule.
+    A rule counts once, however often it was asked for, and compression is one
+    less the share of rules that is left of all asked for, the unknown included.
     """
-    known = matched.where("canonical_id IS NOT NULL")
-    best = known.groupBy(case, "canonical_id").agg(F.min_by(F.struct("rule_id", "category", "priority"), F.struct((-F.col("priority")).alias("p"), "rule_id")).alias("r"), F.count("*").alias("k"))
-    s = best.groupBy(case).agg(F.sum("k").alias("n_known"), F.count("*").alias("n_rules"), F.count_distinct("r.category").alias("n_categories"), F.array_join(F.array_sort(F.collect_list("r.rule_id").cast("array<string>")), ",").alias("rules"))
-    every = matched.groupBy(case).agg(F.count("*").alias("n_matched"), F.count_if(F.col("canonical_id").isNull()).alias("n_unknown"))
+    asked = matched.select(case, "rule_id", "canonical_id", "category", "priority").distinct()
+    known = asked.where("canonical_id IS NOT NULL")
+    best = known.groupBy(case, "canonical_id").agg(F.max(F.struct("priority", "rule_id", "category")).alias("r"))
+    s = best.groupBy(case).agg(F.count("*").alias("n_rules"), F.count_distinct("r.category").alias("n_categories"), F.array_join(F.array_sort(F.collect_list("r.rule_id").cast("array<string>")), ",").alias("rules"), F.max(F.struct("r.priority", "canonical_id")).getField("canonical_id").alias("first"))
+    every = asked.groupBy(case).agg(F.count("*").alias("n_matched"), F.count_if(F.col("canonical_id").isNull()).alias("n_unknown"))
     return every.join(s, case, "left").select(
         case,
         "n_matched",
         "n_unknown",
         F.coalesce("n_rules", F.lit(0)).alias("n_rules"),
         (F.coalesce("n_categories", F.lit(0)) > 1).alias("conflict"),
-        F.coalesce(F.try_divide(F.col("n_known") - F.col("n_rules"), "n_known"), F.lit(0.0)).alias("compression"),
+        (1 - F.coalesce("n_rules", F.lit(0)) / F.col("n_matched")).alias("compression"),
         F.coalesce("rules", F.lit("")).alias("rules"),
+        "first",
     )
 
 
 def decide(matched: DataFrame, case: str) -> DataFrame:
-    """The decision of each case from its matched rules.
+    """The decision of each case from its matched rules, with the rules it rests on.
 
     A PASS rule exempts only the risky rules that name it as an exception.  If
     there are risky rules and all are exempt, or there are PASS rules alone, the
     case passes; otherwise the un-exempted rule of the highest level, then
     priority, then least id decides.  A case without rules is for review: give
-    it a row with a null rule_id.
+    it a row with a null rule_id.  ``applied`` are the deciding rule, or the
+    PASS rules that exempt; ``matched_rules`` all rules in order of their ids.
+    If ``matched`` has ``cues`` and ``content``, ``evidence`` are the distinct
+    cues of the rules that the content has, in the rules' order.
     """
-    rules = F.struct("rule_id", "decision", "priority", "exception_ids")
-    g = matched.groupBy(case).agg(F.filter(F.collect_list(F.when(F.col("rule_id").isNotNull(), rules)), lambda r: r.isNotNull()).alias("_rules"))
+    with_cues = {"cues", "content"} <= set(matched.columns)
+    rules = F.struct("rule_id", "decision", "priority", "exception_ids", *(["cues"] if with_cues else []))
+    kept = [F.array_sort(F.filter(F.collect_list(F.when(F.col("rule_id").isNotNull(), rules)), lambda r: r.isNotNull()), lambda x, y: F.when(x["rule_id"] < y["rule_id"], -1).when(x["rule_id"] > y["rule_id"], 1).otherwise(0)).alias("_rules")]
+    g = matched.groupBy(case).agg(*kept, *([F.first("content").alias("_content")] if with_cues else []))
     passes = F.transform(F.filter("_rules", lambda r: r["decision"] == "PASS"), lambda r: r["rule_id"])
     risky = F.filter("_rules", lambda r: r["decision"] != "PASS")
-    g = g.select(case, F.size("_rules").alias("n_rules"), passes.alias("_pass"), risky.alias("_risky"))
-    open_ = F.filter("_risky", lambda r: ~F.exists(F.coalesce(r["exception_ids"], F.array().cast("array<bigint>")), lambda e: F.array_contains("_pass", e)))
+    found = F.array_distinct(F.filter(F.flatten(F.transform("_rules", lambda r: F.coalesce(r["cues"], F.array().cast("array<string>")))), lambda c: F.contains(F.col("_content"), c))) if with_cues else F.array().cast("array<string>")
+    g = g.select(case, F.size("_rules").alias("n_rules"), F.transform("_rules", lambda r: r["rule_id"]).alias("_ids"), passes.alias("_pass"), risky.alias("_risky"), F.array_join(found, "|").alias("evidence"))
+    excepted = lambda r: F.coalesce(r["exception_ids"], F.array().cast("array<bigint>"))
+    open_ = F.filter("_risky", lambda r: ~F.exists(excepted(r), lambda e: F.array_contains("_pass", e)))
     ordered = F.array_sort(F.transform(open_, lambda r: F.struct((-level(r["decision"])).alias("l"), (-r["priority"]).alias("p"), r["rule_id"].alias("i"), r["decision"].alias("d"))))
     g = g.withColumn("_open", ordered)
     top = F.get("_open", F.lit(0))
     decision = F.when(F.col("n_rules") == 0, "REVIEW").when(F.size("_open") == 0, "PASS").otherwise(top["d"])
-    reason = F.when(F.col("n_rules") == 0, "no_rule").when((F.size("_open") == 0) & (F.size("_risky") > 0), "all_exempt").when(F.size("_open") == 0, "pass_rules").otherwise("risk")
-    return g.select(case, "n_rules", decision.alias("decision"), reason.alias("reason_code"), top["i"].alias("deciding_rule"), (F.size("_risky") - F.size("_open")).alias("n_exempt"))
+    exempt = (F.size("_open") == 0) & (F.size("_risky") > 0)
+    reason = F.when(F.col("n_rules") == 0, "no_rule").when(exempt, "all_exempt").when(F.size("_open") == 0, "pass_rules").otherwise("risk")
+    exempting = F.filter("_pass", lambda p: F.exists("_risky", lambda r: F.array_contains(excepted(r), p)))
+    applied = F.when(exempt, exempting).when(F.size("_open") > 0, F.array(top["i"])).otherwise(F.array().cast("array<bigint>"))
+    return g.select(
+        case,
+        "n_rules",
+        decision.alias("decision"),
+        reason.alias("reason_code"),
+        top["i"].alias("deciding_rule"),
+        (F.size("_risky") - F.size("_open")).alias("n_exempt"),
+        F.array_join(F.col("_ids").cast("array<string>"), ",").alias("matched_rules"),
+        F.array_join(applied.cast("array<string>"), ",").alias("applied"),
+        "evidence",
+    )
 
 
 def gold_rules(hits: DataFrame, case: str, n_sub: int = 2) -> DataFrame:
@@ -109,9 +133,10 @@ def judge_checks(judged: Column, allowed: Column, decision: Column, engine: Colu
 
 
 def verified(checks: Column, memory_ids: Column, authority_ids: Column, threshold: float = 0.5) -> Column:
+    """A memory's rules against the authority's: accepted if all checks hold and they agree enough; corrected if the sets differ, accepted or not."""
     similarity = text.jaccard(memory_ids, authority_ids)
-    accepted = checks["all"] & (similarity >= threshold)
-    return F.struct(similarity.alias("similarity"), accepted.alias("accepted"), (accepted & (F.array_sort(memory_ids) != F.array_sort(authority_ids))).alias("corrected"))
+    differ = (F.size(F.array_except(memory_ids, authority_ids)) > 0) | (F.size(F.array_except(authority_ids, memory_ids)) > 0)
+    return F.struct(similarity.alias("similarity"), (checks["all"] & (similarity >= threshold)).alias("accepted"), differ.alias("corrected"))
 
 
 def route(confidence: Column, high: float, low: float, searchable: Column) -> Column:

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import min_max
-
 K1, B = 1.5, 0.75
 
 
@@ -103,23 +101,41 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vect
     return out
 
 
+def _grams(docs: DataFrame, key: str, parts: Column, n: int, of_words: bool) -> DataFrame:
+    """(key, _g): hashes of each document's distinct stretches of n words, or of n characters."""
+    length = F.size("_p") if of_words else F.length("_p")
+    at = (lambda p: F.array_join(F.slice("_p", p, n), " ")) if of_words else (lambda p: F.substr("_p", p, F.lit(n)))
+    places = F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1)))
+    grams = F.when(length >= n, F.array_distinct(F.transform(places, lambda p: F.xxhash64(at(p))))).otherwise(F.array().cast("array<long>"))
+    return docs.select(key, parts.alias("_p")).select(key, F.explode(grams).alias("_g"))
+
+
 def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, words: int = 4) -> DataFrame:
     """(item, document) for each item whose text occurs verbatim in a document.
 
     Documents and items meet on a few inner words of the item (its first and
-    last may be parts of longer words in the document), and only pairs that meet
-    are searched; texts aren't carried through the meeting.  If some item has
-    fewer than three words, they meet on first words, which must be whole.
+    last may be parts of longer words in the document), as many as the item
+    allows; items of fewer than three words meet on their first characters.
+    Only pairs that meet are searched; texts aren't carried through the meeting.
+    The empty text is in every text.
     """
     split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    i = items.select(item_key, F.col(item_text).alias("_item"), split(F.col(item_text)).alias("_w")).where(F.size("_w") > 0)
-    least = i.agg(F.coalesce(F.min(F.size("_w")), F.lit(1)).alias("k")).first().k
-    start, k = (2, min(words, least - 2)) if least > 2 else (1, 1)
-    lead = small(i.select(item_key, F.xxhash64(F.array_join(F.slice("_w", start, k), " ")).alias("_g")))
-    places = F.sequence(F.lit(1), F.greatest(F.size("_ws") - k + 1, F.lit(1)))
-    grams = F.when(F.size("_ws") >= k, F.array_distinct(F.transform(places, lambda p: F.xxhash64(F.array_join(F.slice("_ws", p, k), " "))))).otherwise(F.array().cast("array<long>"))
-    met = docs.select(key, split(F.col(text)).alias("_ws")).select(key, F.explode(grams).alias("_g")).join(lead, "_g").select(item_key, key).distinct()
-    found = docs.select(key, F.col(text).alias("_text")).join(met, key).join(small(i.select(item_key, "_item")), item_key)
+    i = items.where(F.col(item_text).isNotNull()).select(item_key, F.col(item_text).alias("_item"), split(F.col(item_text)).alias("_w"))
+    # fewer than three words: kind 0 with the first characters; else as many inner words as there are, up to ``words``
+    n_inner = F.least(F.lit(words), F.size("_w") - 2)
+    i = i.withColumn("_kind", F.when(F.size("_w") >= 3, n_inner).otherwise(-F.least(F.lit(3), F.length("_item"))))
+    lead = i.where("_kind <> 0").select(item_key, "_kind", F.when(F.col("_kind") > 0, F.xxhash64(F.array_join(F.slice("_w", 2, n_inner), " "))).otherwise(F.xxhash64(F.substring("_item", 1, 3))).alias("_g"))
+    kinds = sorted(r[0] for r in i.select("_kind").distinct().collect())
+    lead, met = small(lead), None
+    for kind in kinds:
+        if kind == 0:
+            part = docs.where(F.col(text).isNotNull()).select(key).crossJoin(small(i.where("_kind = 0").select(item_key))).select(item_key, key)
+        else:
+            part = _grams(docs, key, split(F.col(text)) if kind > 0 else F.col(text), abs(kind), kind > 0).join(lead.where(F.col("_kind") == kind), "_g").select(item_key, key)
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return docs.limit(0).select(F.lit(None).cast(items.schema[item_key].dataType).alias(item_key), key)
+    found = docs.select(key, F.col(text).alias("_text")).join(met.distinct(), key).join(small(i.select(item_key, "_item")), item_key)
     return found.where(F.contains("_text", F.col("_item"))).select(item_key, key)
 
 
@@ -134,23 +150,66 @@ def jaccard_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str,
     return top_k(s.select(query_key, key, sim.alias("similarity")).where(F.col("similarity") >= threshold), query_key, k, F.col("similarity").desc(), F.col(key).desc())
 
 
-def hybrid(candidates: DataFrame, query_key: str, weights: tuple[float, float, float] = (0.52, 0.38, 0.10), rerank: tuple[float, float, float] | None = (0.72, 0.23, 0.05), category: Column | None = None, k: int = 5, tie: str = "rule_id") -> DataFrame:
-    """Blends lexical, dense and keyword scores of every rule, scaled per query over all of its rules.
+#: Fixed weights: of lexical, dense and keyword scores, and of the blend, keyword and priority in reranking.
+BLEND, RERANK = (0.52, 0.38, 0.10), (0.72, 0.23, 0.05)
+
+
+def _scaled(c: Column, by: W) -> Column:
+    """Scores of a query from 0 to 1 over all its rules; where all are equal, whether they are positive."""
+    low, high = F.min(c).over(by), F.max(c).over(by)
+    return F.when(high > low, (c - low) / (high - low)).otherwise((c > 0).cast("double"))
+
+
+def hybrid(candidates: DataFrame, query_key: str, mode: str = "hybrid", rerank: bool = True, category: Column | None = None, k: int = 10, tie: str = "rule_id") -> DataFrame:
+    """Ranks the rules of each query, with the scores that make up the rank.
 
-    ``candidates`` has a row for every query and rule with ``lexical``,
-    ``dense``, ``keyword`` and ``priority``.  The category filter comes after
-    scaling, as scaling over the filtered rules would change the scores.
+    ``candidates`` has a row for every query and rule with ``lexical`` and
+    ``dense`` scores, ``keyword`` (the share of the rule's keywords that the
+    query has) and ``priority`` (of 100).  Lexical and dense scores are scaled
+    over all rules of a query, and the category filter comes after that.  ``mode``
+    is bm25, dense or hybrid.  Of equal scores the greatest priority, then the
+    greatest id comes first.
     """
+    if mode not in ("bm25", "dense", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
     by = W.partitionBy(query_key)
-    d = candidates.withColumns({f"{c}_scaled": min_max(F.col(c), by) for c in ("lexical", "dense", "keyword", "priority")})
-    d = d.withColumn("blended", sum((w * F.col(f"{c}_scaled") for w, c in zip(weights, ("lexical", "dense", "keyword"), strict=True)), F.lit(0.0)))
-    if rerank:
-        d = d.withColumn("score", sum((w * F.col(c) for w, c in zip(rerank, ("blended", "keyword_scaled", "priority_scaled"), strict=True)), F.lit(0.0)))
-    else:
-        d = d.withColumn("score", F.col("blended"))
+    d = candidates.withColumns({"bm25": _scaled(F.col("lexical"), by), "dense_scaled": _scaled(F.col("dense"), by)})
+    blend = sum((w * F.col(c) for w, c in zip(BLEND, ("bm25", "dense_scaled", "keyword"), strict=True)), F.lit(0.0))
+    d = d.withColumn("retrieval", {"bm25": F.col("bm25"), "dense": F.col("dense_scaled"), "hybrid": blend}[mode])
+    urgency = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("priority") / 100.0))
+    last = RERANK[0] * F.col("retrieval") + RERANK[1] * F.col("keyword") + RERANK[2] * urgency
+    d = d.withColumn("score", last if rerank else F.col("retrieval"))
     if category is not None:
         d = d.where(category)
-    return top_k(d, query_key, k, F.round("score", 12).desc(), F.col("priority").desc(), F.col(tie))
+    return top_k(d, query_key, k, F.round("score", 12).desc(), F.col("priority").desc(), F.col(tie).desc())
+
+
+def keyword_share(content: Column, keywords: Column) -> Column:
+    """Share of the keywords that a text has, whatever their case; 0 without keywords."""
+    hits = F.size(F.filter(keywords, lambda k: F.contains(F.lower(content), F.lower(k))))
+    return F.when(F.size(keywords) > 0, hits / F.size(keywords)).otherwise(0.0)
+
+
+def authority(fragments: DataFrame, rules: DataFrame, case: str, fragment: str, fragment_tokens: Column, rule_tokens: Column, threshold: Column | float, k: int = 3) -> DataFrame:
+    """(case, fragment, best, chosen, top): per fragment of a case the rules of the case's category that fit best.
+
+    ``fragments`` has case, fragment (a place in the case) and category, ``rules`` rule_id and category.  BM25 counts
+    over all rules; only those of the category are ranked.  The best one is chosen if it scores at least the threshold.
+    """
+    name = F.struct(F.col(case), F.col(fragment))
+    f = fragments.withColumn("_f", name)
+    scored = bm25(rules, f, "rule_id", "_f", rule_tokens, fragment_tokens)
+    allowed = scored.join(small(rules.select("rule_id", F.col("category").alias("_c"))), "rule_id").join(f.select("_f", "category"), "_f").where(F.col("_c") == F.col("category"))
+    ranked = top_k(allowed, "_f", k, F.round("score", 9).desc(), F.col("rule_id")).groupBy("_f").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "rule_id", "score"))).alias("_top"))
+    d = f.select(case, fragment, "_f").join(ranked, "_f", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    return d.select(
+        case,
+        fragment,
+        "best",
+        F.when((F.col("best") >= limit) & F.col("_top").isNotNull(), F.get("_top", F.lit(0))["rule_id"]).alias("chosen"),
+        F.array_join(F.transform("_top", lambda x: x["rule_id"].cast("string")), ",").alias("top"),
+    )
 
 
 def fuzzy_ids(raw: DataFrame, known: DataFrame, raw_key: str, known_key: str, category: str, slug: str) -> DataFrame:

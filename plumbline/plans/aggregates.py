@@ -316,10 +316,16 @@ def agg44(t: Tables) -> DataFrame:
 @query("agg45_paired_bootstrap")
 def agg45(t: Tables) -> DataFrame:
     d = scored(t).select("doc_id", (F.col("correct") - 0.5).alias("accuracy"), (F.col("conf") - 0.5).alias("confidence"))
-    return stats.bootstrap(d, ["accuracy", "confidence"], 2000)
+    return stats.bootstrap(d, ["accuracy", "confidence"], "doc_id", 2000)
 
 
-@query("agg46_mcnemar", None)
+@query(
+    "agg46_mcnemar",
+    f"""WITH c AS (SELECT count(*) FILTER (conf <= 0.5 AND correct = 1) AS improved, count(*) FILTER (conf > 0.5 AND correct = 0) AS regressed FROM {SCORED}),
+p AS (SELECT improved, regressed, improved + regressed AS n, unnest(range(0, least(improved, regressed) + 1)) AS i FROM c),
+t AS (SELECT improved, regressed, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM p GROUP BY improved, regressed)
+SELECT improved, regressed, least(1.0, 2 * tail) AS p_value FROM t""",
+)
 def agg46(t: Tables) -> DataFrame:
     found = stats.mcnemar(scored(t).select((F.col("conf") > 0.5).alias("a"), (F.col("correct") == 1).alias("b")), "a", "b")
     return t.spark.createDataFrame([tuple(found.values())], "improved long, regressed long, p_value double")
@@ -346,7 +352,7 @@ CASES = "(SELECT event_type AS state, 'a' || user_id % 4 AS action, value FROM e
     "agg49_condense",
     f"""WITH g AS (SELECT state, action, avg(value) AS mean, count(*) AS n FROM {CASES} GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY state) AS total, row_number() OVER w AS k, lead(mean) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY state ORDER BY round(mean, 9) DESC, action))
-SELECT 'rule-' || sha1(state)[1:10] AS rule_id, state, action, round(mean, 6) AS mean, n AS evidence_count, round(least(1.0, n / 1e1), 6) AS confidence FROM r WHERE k = 1 AND total >= 5 AND nxt IS NOT NULL AND n >= 2 AND mean - nxt >= 0.1""",
+SELECT 'condensed_' || sha1(state)[1:10] AS rule_id, state, action, round(mean, 6) AS mean, total::BIGINT AS evidence_count, round(least(0.95, 0.5 + 0.05 * n), 6) AS confidence FROM r WHERE k = 1 AND total >= 5 AND nxt IS NOT NULL AND n >= 2 AND mean - nxt >= 0.1""",
 )
 def agg49(t: Tables) -> DataFrame:
     cases = t.events.select(F.col("event_type").alias("state"), F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")).alias("action"), "value")

@@ -80,7 +80,8 @@ def str09(t: Tables) -> DataFrame:
 def str10(t: Tables) -> DataFrame:
     from ..functions.equations import check_equations
 
-    return check_equations(responses(t), "doc_id", "response")
+    asked = responses(t).select("doc_id", "response", F.concat(F.lit("Of 12 and "), (F.col("doc_id") % 30).cast("string")).alias("question"), F.lit("42").alias("answer"))
+    return check_equations(asked, "doc_id", "response", "question", "answer")
 
 
 @query("str11_state_tokens", "SELECT doc_id, len(list_distinct(w))::BIGINT AS n, array_to_string(list_sort(list_distinct(w))[1:5], '|') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\\x{4e00}-\\x{9fff}]|[a-z0-9_]+)', 1) AS w FROM documents)")
@@ -103,9 +104,9 @@ def str12(t: Tables) -> DataFrame:
 
 @query(
     "str13_feature_tokens",
-    f"""SELECT doc_id, array_to_string(list_concat(list_concat(list_concat(regexp_extract_all(lower(s), '([a-z0-9][a-z0-9_.+-]*)', 1), flatten(list_transform(runs, lambda r: string_split(r, '')))), flatten(list_transform(runs, lambda r: list_transform(range(1, length(r)), lambda k: r[k:k+1])))),
+    f"""SELECT doc_id, array_to_string(list_concat(list_concat(regexp_extract_all(lower(s), '([a-z0-9][a-z0-9_.+-]*)', 1), flatten(list_transform(runs, lambda r: list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda k: r[k:k+1]))))),
 list_filter([CASE WHEN contains(s, '政治') OR contains(s, '法') THEN 'concept:state' END, CASE WHEN contains(s, 'src1') THEN 'concept:first' END], lambda x: x IS NOT NULL)), '|') AS tokens
-FROM (SELECT doc_id, s, regexp_extract_all(s, '([\\x{{4e00}}-\\x{{9fff}}]+)', 1) AS runs FROM (SELECT doc_id, {CJK} AS s FROM documents))""",
+FROM (SELECT doc_id, s, regexp_extract_all(lower(s), '([\\x{{3400}}-\\x{{9fff}}]+)', 1) AS runs FROM (SELECT doc_id, {CJK} AS s FROM documents))""",
 )
 def str13(t: Tables) -> DataFrame:
     concepts = {"state": ["政治", "法"], "first": ["src1"]}
@@ -293,7 +294,7 @@ over_documents(
     brier=lambda: r6(scores.brier_reward(_some(), _parity())),
     log_score=lambda: r6(scores.log_reward(_some(), _parity())),
 )
-over_responses("mth07_judge_score", r"greatest(0, least(1, try_cast(list_last(regexp_extract_all(response, '\[\[\s*(-?\d+(?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE) / 4)) * CASE WHEN regexp_matches(response, '\[\[\s*-?\d') THEN 1 END AS score", score=text.judge_score)
+over_responses("mth07_judge_score", r"coalesce(try_cast(list_last(regexp_extract_all(response, '\[\[\s*([0-4](?:\.\d+)?)\s*\]\]', 1)) AS DOUBLE), 0) / 4 AS score", score=text.judge_score)
 over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} / 1e2 + 0.10 * (doc_id % 2), 6) AS blend", blend=lambda: r6(scores.blend(a=(0.52, _unit()), b=(0.38, scores.hash_unit(F.col("lang"), 100)), c=(0.10, _parity()))))
 
 

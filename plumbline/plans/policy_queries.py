@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import memory, metrics, policy, retrieval
-from .base import SCORED, Tables, h, long, query, r6, scored
+from .base import LANGS, SCORED, Tables, h, long, query, r6, scored
 
 # rules: a part is a rule, its brand the canonical id, its size the priority
 MATCHED = "(SELECT o_orderkey, l_partkey AS rule_id, CASE WHEN l_partkey % 11 <> 0 THEN p_brand END AS canonical_id, p_type AS category, p_size AS priority, CASE p_partkey % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'REJECT' END AS decision FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
@@ -20,10 +20,10 @@ def matched(t: Tables) -> DataFrame:
     return d.select("o_orderkey", "rule_id", F.when(F.col("rule_id") % 11 != 0, F.col("p_brand")).alias("canonical_id"), "category", "priority", "decision")
 
 
-@query("pol02_compose", f"""WITH m AS {MATCHED}, b AS (SELECT o_orderkey, canonical_id, min_by(rule_id, (-priority, rule_id)) AS rule_id, min_by(category, (-priority, rule_id)) AS category, count(*) AS k FROM m WHERE canonical_id IS NOT NULL GROUP BY ALL),
-s AS (SELECT o_orderkey, sum(k) AS n_known, count(*) AS n_rules, count(DISTINCT category) AS nc, array_to_string(list_sort(list(rule_id::VARCHAR)), ',') AS rules FROM b GROUP BY o_orderkey),
+@query("pol02_compose", f"""WITH m AS (SELECT DISTINCT * FROM {MATCHED}), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey, canonical_id ORDER BY priority DESC, rule_id DESC) AS k FROM m WHERE canonical_id IS NOT NULL),
+s AS (SELECT o_orderkey, count(*) AS n_rules, count(DISTINCT category) AS nc, array_to_string(list_sort(list(rule_id::VARCHAR)), ',') AS rules, arg_max(canonical_id, (priority, canonical_id)) AS first FROM b WHERE k = 1 GROUP BY o_orderkey),
 e AS (SELECT o_orderkey, count(*) AS n_matched, count(*) FILTER (canonical_id IS NULL) AS n_unknown FROM m GROUP BY o_orderkey)
-SELECT o_orderkey, n_matched, n_unknown, coalesce(n_rules, 0) AS n_rules, coalesce(nc, 0) > 1 AS conflict, round(coalesce((n_known - n_rules) / n_known::DOUBLE, 0), 6) AS compression, coalesce(rules, '') AS rules FROM e LEFT JOIN s USING (o_orderkey)""")
+SELECT o_orderkey, n_matched, n_unknown, coalesce(n_rules, 0) AS n_rules, coalesce(nc, 0) > 1 AS conflict, round(1 - coalesce(n_rules, 0) / n_matched::DOUBLE, 6) AS compression, coalesce(rules, '') AS rules, first FROM e LEFT JOIN s USING (o_orderkey)""")
 def pol02(t: Tables) -> DataFrame:
     return policy.compose(matched(t), "o_orderkey").withColumn("compression", r6(F.col("compression")))
 
@@ -49,44 +49,71 @@ def pol04(t: Tables) -> DataFrame:
 
 @query(
     "pol05_decision",
-    f"""WITH m AS {MATCHED}, x AS (SELECT a.o_orderkey, a.rule_id, a.decision, a.priority, CASE a.decision WHEN 'REVIEW' THEN 1 WHEN 'REJECT' THEN 2 ELSE 0 END AS lv, EXISTS (SELECT 1 FROM m b WHERE b.o_orderkey = a.o_orderkey AND b.decision = 'PASS' AND b.rule_id IN (a.rule_id - 1, a.rule_id - 2)) AS exempt FROM m a),
+    f"""WITH m AS (SELECT m.*, o_orderstatus || ' ' || o_orderpriority || ' ' || o_orderkey AS content, ['PRIO', 'O ' || rule_id % 10, '-' , canonical_id] AS cues FROM {MATCHED} m JOIN orders USING (o_orderkey)),
+x AS (SELECT a.o_orderkey, a.rule_id, a.decision, a.priority, CASE a.decision WHEN 'REVIEW' THEN 1 WHEN 'REJECT' THEN 2 ELSE 0 END AS lv, EXISTS (SELECT 1 FROM m b WHERE b.o_orderkey = a.o_orderkey AND b.decision = 'PASS' AND b.rule_id IN (a.rule_id - 1, a.rule_id - 2)) AS exempt FROM m a),
+y AS (SELECT DISTINCT b.o_orderkey, b.rule_id FROM m b JOIN m a USING (o_orderkey) WHERE b.decision = 'PASS' AND a.decision <> 'PASS' AND b.rule_id IN (a.rule_id - 1, a.rule_id - 2)),
+z AS (SELECT o_orderkey, array_to_string(list_sort(list(rule_id)), ',') AS exempting FROM y GROUP BY o_orderkey),
 o AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY lv DESC, priority DESC, rule_id) AS k FROM x WHERE decision <> 'PASS' AND NOT exempt),
-g AS (SELECT o_orderkey, count(*)::INTEGER AS n_rules, count(*) FILTER (decision <> 'PASS') AS n_risky, count(*) FILTER (decision <> 'PASS' AND exempt)::INTEGER AS n_exempt FROM x GROUP BY o_orderkey)
-SELECT g.o_orderkey, n_rules, coalesce(o.decision, 'PASS') AS decision, CASE WHEN o.decision IS NOT NULL THEN 'risk' WHEN n_risky > 0 THEN 'all_exempt' ELSE 'pass_rules' END AS reason_code, o.rule_id AS deciding_rule, n_exempt FROM g LEFT JOIN o ON o.o_orderkey = g.o_orderkey AND o.k = 1""",
+c AS (SELECT o_orderkey, flatten(list(list_filter(cues, lambda v: v IS NOT NULL AND contains(content, v)) ORDER BY rule_id)) AS found FROM m GROUP BY o_orderkey),
+g AS (SELECT o_orderkey, count(*)::INTEGER AS n_rules, array_to_string(list_sort(list(rule_id)), ',') AS matched_rules, count(*) FILTER (decision <> 'PASS') AS n_risky, count(*) FILTER (decision <> 'PASS' AND exempt)::INTEGER AS n_exempt FROM x GROUP BY o_orderkey)
+SELECT g.o_orderkey, n_rules, coalesce(o.decision, 'PASS') AS decision, CASE WHEN o.decision IS NOT NULL THEN 'risk' WHEN n_risky > 0 THEN 'all_exempt' ELSE 'pass_rules' END AS reason_code, o.rule_id AS deciding_rule, n_exempt, matched_rules,
+CASE WHEN o.rule_id IS NOT NULL THEN o.rule_id::VARCHAR WHEN n_risky > 0 THEN exempting ELSE '' END AS applied,
+array_to_string(list_filter(found, lambda v, i: list_position(found, v) = i), '|') AS evidence FROM g JOIN c USING (o_orderkey) LEFT JOIN z USING (o_orderkey) LEFT JOIN o ON o.o_orderkey = g.o_orderkey AND o.k = 1""",
 )
 def pol05(t: Tables) -> DataFrame:
-    d = matched(t).withColumn("exception_ids", F.array(F.col("rule_id") - 1, F.col("rule_id") - 2))
-    return policy.decide(d, "o_orderkey")
+    content = t.orders.select("o_orderkey", F.concat_ws(" ", "o_orderstatus", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("content"))
+    cues = F.array_compact(F.array(F.lit("PRIO"), F.concat(F.lit("O "), (F.col("rule_id") % 10).cast("string")), F.lit("-"), F.col("canonical_id")))
+    d = matched(t).withColumns({"exception_ids": F.array(F.col("rule_id") - 1, F.col("rule_id") - 2), "cues": cues})
+    return policy.decide(d.join(content, "o_orderkey"), "o_orderkey")
+
+
+# benchmark items stand in for rules, in four categories that are the documents' languages
+
+
+def _rules(t: Tables) -> DataFrame:
+    w = text.words(F.col("text"))
+    return t.benchmark.select(F.col("item_id").alias("rule_id"), "text", F.element_at(F.array(*map(F.lit, LANGS)), (F.col("item_id") % 4 + 1).cast("int")).alias("category"), (F.col("item_id") * 7 % 101).alias("priority"), F.slice(F.array_distinct(w), 1, 3).alias("keywords"))
 
 
 @query("pol01_hybrid_search")
 def pol01(t: Tables) -> DataFrame:
-    q = t.benchmark
-    d = t.documents.select("doc_id", "text", "n_chars", "lang")
-    w = text.words(F.col("text"))
-    lexical = retrieval.bm25(d, q, "doc_id", "item_id", w, w, distinct_query=True)
-    # a document's scores come to it as one map, so that its pairs with all items are made in place
-    by_doc = lexical.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "score"))).alias("scores"))
-    every = d.select("doc_id", "n_chars", "lang").join(by_doc, "doc_id", "left").crossJoin(retrieval.small(q.select("item_id")))
-    c = every.select("item_id", F.col("doc_id").alias("rule_id"), "lang", F.coalesce(F.try_element_at("scores", F.col("item_id")), F.lit(0.0)).alias("lexical"), F.lit(0.0).alias("dense"), F.lit(0.0).alias("keyword"), F.col("n_chars").alias("priority"))
-    return retrieval.hybrid(c, "item_id", category=F.col("lang") == "en").select("item_id", "rank", "rule_id", "score")
+    """Every twentieth document is a query against all rules: each is scored with each, as scaling needs."""
+    from ..functions.hashing import hashed_features
+
+    rules, asked = _rules(t), t.documents.where("doc_id % 20 = 0").select("doc_id", "text", "lang")
+    tokens = text.feature_tokens(F.col("text"), {"table": ["|"]})
+    lexical = retrieval.bm25(rules, asked, "rule_id", "doc_id", tokens, tokens, distinct_query=True).withColumnRenamed("score", "lexical")
+    vectors = lambda d, key, name: hashed_features(d.select(key, tokens.alias("tokens")), key, "tokens").withColumnRenamed("vector", name)
+    of_rules = retrieval.small(vectors(rules, "rule_id", "rv").join(rules.select("rule_id", "keywords", "priority", "category"), "rule_id"))
+    pairs = vectors(asked, "doc_id", "qv").join(asked, "doc_id").crossJoin(of_rules)
+    c = pairs.select("doc_id", "rule_id", "category", "lang", "priority", retrieval.cosine(F.col("qv"), F.col("rv")).alias("dense"), retrieval.keyword_share(F.col("text"), F.col("keywords")).alias("keyword"))
+    c = c.join(lexical, ["doc_id", "rule_id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    found = retrieval.hybrid(c, "doc_id", category=F.col("category") == F.col("lang"), k=3)
+    return found.select("doc_id", long("rank").alias("rank"), "rule_id", *(r6(F.col(x)).alias(x) for x in ("bm25", "keyword", "retrieval", "score")), r6(F.col("dense_scaled")).alias("dense"))
 
 
 @query("pol06_authority_retrieval")
 def pol06(t: Tables) -> DataFrame:
+    """Every twentieth document is a case, its lines are the fragments; the threshold is fitted on the cases with labels."""
+    from ..operators.calibration import balanced_threshold
     from ..operators.shape import exploded_in_order
 
-    spans = t.documents.select("doc_id", F.split("text", r"\n").alias("parts"))
-    q = exploded_in_order(spans, "doc_id", F.col("parts")).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("fragment"), "part")
-    s = retrieval.bm25(t.benchmark, q, "item_id", "fragment", text.words(F.col("text")), text.words(F.col("part")))
-    return retrieval.top_k(s.where("score >= 4"), "fragment", 3, F.round("score", 9).desc(), F.col("item_id")).select("fragment", "rank", "item_id", "score")
+    cases = t.documents.where("doc_id % 20 = 0").select("doc_id", F.col("lang").alias("category"), F.split("text", r"\n").alias("parts"))
+    lines = exploded_in_order(cases, "doc_id", F.col("parts")).join(cases.select("doc_id", "category"), "doc_id")
+    rules = _rules(t).select("rule_id", "category", "text")
+    found = retrieval.authority(lines, rules, "doc_id", "pos", text.search_tokens(F.col("part")), text.search_tokens(F.col("text")), 0.0)
+    best = found.groupBy("doc_id").agg(F.max("best").alias("best"))
+    limit = balanced_threshold(best.join(t.labels.select("doc_id", "quality"), "doc_id"), "best", "quality")
+    d = found.crossJoin(F.broadcast(limit.select("threshold")))  # one row
+    chosen = F.when((F.col("best") >= F.col("threshold")) & (F.col("threshold") > 0), F.col("chosen"))
+    return d.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(chosen)).cast("array<string>"), ",").alias("rules"), r6(F.max("best")).alias("best"), F.count("*").alias("n_fragments"))
 
 
-@query("pol07_verification", "SELECT doc_id, round(CASE WHEN u = 0 THEN 1 ELSE len(list_intersect(a, b)) / u::DOUBLE END, 6) AS similarity, CASE WHEN u = 0 THEN 1 ELSE len(list_intersect(a, b)) / u::DOUBLE END >= 0.5 AND doc_id % 4 <> 0 AS accepted FROM (SELECT doc_id, a, b, len(list_distinct(list_concat(a, b))) AS u FROM (SELECT doc_id, [lang, source] AS a, ['en', source] AS b FROM documents))")
+@query("pol07_verification", "SELECT doc_id, round(CASE WHEN u = 0 THEN 1 ELSE len(list_intersect(a, b)) / u::DOUBLE END, 6) AS similarity, CASE WHEN u = 0 THEN 1 ELSE len(list_intersect(a, b)) / u::DOUBLE END >= 0.5 AND doc_id % 4 <> 0 AS accepted, len(list_intersect(a, b)) <> u AS corrected FROM (SELECT doc_id, a, b, len(list_distinct(list_concat(a, b))) AS u FROM (SELECT doc_id, [lang, source] AS a, ['en', source, source] AS b FROM documents))")
 def pol07(t: Tables) -> DataFrame:
     checks = F.struct((F.col("doc_id") % 4 != 0).alias("all"))
-    v = policy.verified(checks, F.array("lang", "source"), F.array(F.lit("en"), F.col("source")))
-    return t.documents.select("doc_id", v.alias("v")).select("doc_id", r6(F.col("v.similarity")).alias("similarity"), "v.accepted")
+    v = policy.verified(checks, F.array("lang", "source"), F.array(F.lit("en"), F.col("source"), F.col("source")))
+    return t.documents.select("doc_id", v.alias("v")).select("doc_id", r6(F.col("v.similarity")).alias("similarity"), "v.accepted", "v.corrected")
 
 
 @query("flt10_hard_checks", "SELECT doc_id, doc_id % 5 <> 0 AS format, lang IN ('en', 'de') AS ids_known, doc_id % 5 <> 0 AND lang IN ('en', 'de') AND doc_id % 3 <> 0 AS all_hold FROM documents")
@@ -127,36 +154,101 @@ def pol11(t: Tables) -> DataFrame:
     return scored(t).where(policy.failed(ids, ids, F.col("guess"), F.col("gold"), F.col("toxic") == 1)).select("doc_id")
 
 
+STATE = "event_type || ' u' || user_id % 20"
+
+
+def _state() -> Column:
+    return F.concat_ws(" ", "event_type", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")))
+
+
 def _memory(t: Tables) -> DataFrame:
-    return t.events.where("event_id % 20 <> 0").select(F.col("event_id").alias("step"), F.concat_ws(" ", "event_type", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))).alias("state"), F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("action"), F.col("value").alias("return_value"))
+    return t.events.where("event_id % 20 <> 0").select(F.col("event_id").alias("step"), _state().alias("state"), F.concat(F.lit("a"), (F.col("event_id") % 3).cast("string")).alias("action"), F.col("value").alias("return_value"))
 
 
 def _states(t: Tables) -> DataFrame:
-    return t.events.where("event_id % 500 = 0").select(F.col("event_id").alias("query_id"), F.concat_ws(" ", "event_type", F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string"))).alias("state"))
+    return t.events.where("event_id % 20 = 0").select(F.col("event_id").alias("query_id"), _state().alias("state"))
+
 
+def _candidates(t: Tables) -> DataFrame:
+    return _states(t).select("query_id", F.explode(F.array(*(F.lit(f"a{k}") for k in range(4)))).alias("action"), (F.col("query_id") % 7 / 10).alias("logit"))
 
-@query("pol12_logit_correction")
+
+# the ten latest cases of the same state: of two tokens each, only equal ones have a similarity of 0.95
+NEAR = f"""near AS (SELECT query_id, action, return_value FROM (SELECT q.query_id, m.*, row_number() OVER (PARTITION BY q.query_id ORDER BY m.step DESC) AS k
+FROM (SELECT event_id AS query_id, {STATE} AS state FROM events WHERE event_id % 20 = 0) q JOIN (SELECT event_id AS step, {STATE} AS state, 'a' || event_id % 3 AS action, value AS return_value FROM events WHERE event_id % 20 <> 0) m USING (state)) WHERE k <= 10),
+base AS (SELECT event_id AS query_id, {STATE} AS state, unnest(['a0', 'a1', 'a2', 'a3']) AS action, event_id % 7 / 10 AS logit FROM events WHERE event_id % 20 = 0),
+sv AS (SELECT query_id, avg(return_value) AS v, stddev_pop(return_value) AS dev, count(*) AS n FROM near GROUP BY query_id), qa AS (SELECT query_id, action, avg(return_value) AS q FROM near GROUP BY ALL),
+adv AS (SELECT b.*, n, dev, CASE WHEN n IS NULL THEN 0 ELSE coalesce(q, 0) - v END AS a FROM base b LEFT JOIN sv USING (query_id) LEFT JOIN qa USING (query_id, action))"""
+
+
+@query("pol12_logit_correction", f"WITH {NEAR} SELECT query_id, action, round(logit, 6) AS logit, round(a / greatest(max(abs(a)) OVER (PARTITION BY query_id), 1e-8), 6) AS scaled, round(logit + 2 * a / greatest(max(abs(a)) OVER (PARTITION BY query_id), 1e-8), 6) AS corrected FROM adv")
 def pol12(t: Tables) -> DataFrame:
-    near = memory.neighbours(_states(t), _memory(t), "query_id", 0.5, 10)
-    base = _states(t).select("query_id", F.explode(F.array(*(F.lit(f"a{k}") for k in range(3)))).alias("action"), F.lit(0.0).alias("logit"))
-    return memory.corrected_logits(base, memory.action_values(near, "query_id"), "query_id", 2.0)
+    near = memory.neighbours(_states(t), _memory(t), "query_id", 0.95, 10)
+    d = memory.corrected_logits(_candidates(t), near, "query_id", 2.0)
+    return d.select("query_id", "action", *(r6(F.col(c)).alias(c) for c in ("logit", "scaled", "corrected")))
+
 
+ENTRIES = [("e1", "click u1", "a0", 1.0, 0.9, True), ("e2", "view u2", "a1", 0.5, 0.7, True), ("e3", "click", "a2", -0.5, 0.6, True), ("e4", "view", "a0", 0.5, 0.6, False), ("e5", "purchase", "zz", 0.5, 0.6, True)]
+RULE_BASE = [("r1", "click", "a1", "recommend", 1.0, 0.8, True, False), ("r2", "purchase", "a3", "forbid", 1.0, 0.9, True, False), ("r3", "purchase", "a2", "forbid", 1.0, 1.0, True, True), ("r4", "view", "a2", "recommend", 1.0, 1.0, False, False)]
 
-@query("pol13_three_sources")
+
+def _tokens_of(state: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in state.split()) + "]"
+
+
+def _signal(name: str, rows: list[tuple]) -> str:
+    """SQL of a source's signals; rows are (tokens, action, score, confidence, enabled, hard)."""
+    values = ", ".join(f"({k}, {_tokens_of(s)}, '{a}', {x}, {c}, {on}, {hard})" for k, (s, a, x, c, on, hard) in enumerate(rows))
+    return f"""{name}_e(e, w, action, score, conf, enabled, hard) AS (VALUES {values}),
+{name}_m AS (SELECT b.query_id, b.action, sim, score, conf, hard FROM (SELECT b.query_id, b.action, e.*, len(list_intersect(w, string_split(state, ' '))) / len(list_distinct(list_concat(w, string_split(state, ' '))))::DOUBLE AS sim FROM base b JOIN {name}_e e ON e.action = b.action AND enabled) b WHERE sim >= 0.3),
+{name}_r AS (SELECT b.query_id, b.action, coalesce(sum(CASE WHEN hard THEN 0 ELSE sim * score END), 0) AS raw, coalesce(bool_or(hard), false) AS blocked, sum(sim) AS w, sum(sim * conf) AS wc FROM base b LEFT JOIN {name}_m m USING (query_id, action) GROUP BY ALL),
+{name}_c AS (SELECT *, raw - avg(raw) OVER p AS cent, coalesce(sum(wc) OVER p / sum(w) OVER p, 0) AS trust FROM {name}_r WINDOW p AS (PARTITION BY query_id)),
+{name} AS (SELECT query_id, action, blocked, trust, cent / greatest(max(abs(cent)) OVER (PARTITION BY query_id), 1e-8) AS s FROM {name}_c)"""
+
+
+SUPPORT_ROWS = [(s, a, x, c, on, False) for _, s, a, x, c, on in ENTRIES]
+RULE_ROWS = [(s, a, x if effect == "recommend" else -x, c, on, hard and effect == "forbid") for _, s, a, effect, x, c, on, hard in RULE_BASE]
+
+
+@query(
+    "pol13_three_sources",
+    f"""WITH {NEAR}, {_signal("support", SUPPORT_ROWS)}, {_signal("rules", RULE_ROWS)},
+cc AS (SELECT *, a - avg(a) OVER (PARTITION BY query_id) AS cent FROM adv),
+cs AS (SELECT query_id, action, logit, CASE WHEN n IS NULL THEN 0 ELSE 2 * 1 / (1 + dev) * least(1, n / 4.0) * cent / greatest(max(abs(cent)) OVER (PARTITION BY query_id), 1e-8) END AS cases FROM cc)
+SELECT query_id, action, round(cases, 6) AS cases, round(s.trust * s.s, 6) AS support, round(r.trust * r.s, 6) AS rules, round(CASE WHEN s.blocked OR r.blocked THEN -1e9 ELSE logit + cases + s.trust * s.s + r.trust * r.s END, 6) AS corrected
+FROM cs JOIN support s USING (query_id, action) JOIN rules r USING (query_id, action)""",
+)
 def pol13(t: Tables) -> DataFrame:
-    entries = t.spark.createDataFrame([("e1", "click u1", "a0", 1.0, 0.9, True), ("e2", "view u2", "a1", 0.5, 0.7, True), ("e3", "click", "a2", -0.5, 0.6, False)], "entry_id string, state string, action string, score double, confidence double, enabled boolean")
-    states = _states(t)
-    base = states.select("query_id", F.explode(F.array(*(F.lit(f"a{k}") for k in range(3)))).alias("action"), F.lit(0.0).alias("logit"))
-    support = memory.matched_signal(states, entries, "query_id", "entry_id", 0.3)
-    values = memory.action_values(memory.neighbours(states, _memory(t), "query_id", 0.5, 10), "query_id").select("query_id", "action", F.col("scaled").alias("signal"), F.lit(1.0).alias("confidence"))
-    forbidden = states.where(F.contains("state", F.lit("click"))).select("query_id", F.lit("a2").alias("action"))
-    return memory.three_sources(base, {"memory": (2.0, values), "support": (1.0, support)}, forbidden, "query_id")
+    entries = t.spark.createDataFrame(ENTRIES, "entry_id string, state string, action string, score double, confidence double, enabled boolean")
+    rules = memory.rule_entries(t.spark.createDataFrame(RULE_BASE, "entry_id string, state string, action string, effect string, strength double, confidence double, enabled boolean, hard boolean"))
+    states, base = _states(t), _candidates(t)
+    signals = {
+        "cases": (2.0, memory.case_signal(base, memory.neighbours(states, _memory(t), "query_id", 0.95, 10), "query_id")),
+        "support": (1.0, memory.matched_signal(base, states, entries, "query_id", "entry_id", 0.3)),
+        "rules": (1.0, memory.matched_signal(base, states, rules, "query_id", "entry_id", 0.3)),
+    }
+    d = memory.three_sources(base, signals, "query_id")
+    return d.select("query_id", "action", *(r6(F.col(c)).alias(c) for c in ("cases", "support", "rules", "corrected")))
+
 
+STATE_WORDS = "list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1))"
 
-@query("jon08_weighted_matching")
+
+@query(
+    "jon08_weighted_matching",
+    f"""WITH s AS (SELECT doc_id, {STATE_WORDS} AS w FROM documents WHERE doc_id % 20 = 0), e AS (SELECT item_id, 'a' || item_id % 3 AS action, (item_id % 5 - 2) / 2 AS score, item_id % 10 / 10 AS conf, {STATE_WORDS} AS w FROM benchmark WHERE item_id % 9 <> 0),
+m AS (SELECT doc_id, action, score, conf, len(list_intersect(s.w, e.w)) / (len(s.w) + len(e.w) - len(list_intersect(s.w, e.w)))::DOUBLE AS sim FROM s, e),
+b AS (SELECT doc_id, unnest(['a0', 'a1', 'a2', 'a3']) AS action FROM s),
+r AS (SELECT b.doc_id, b.action, coalesce(sum(sim * score), 0) AS raw, count(sim) AS n, sum(sim) AS w, sum(sim * conf) AS wc FROM b LEFT JOIN m ON m.doc_id = b.doc_id AND m.action = b.action AND sim >= 0.1 GROUP BY ALL),
+c AS (SELECT *, raw - avg(raw) OVER p AS cent, coalesce(sum(wc) OVER p / sum(w) OVER p, 0) AS trust, (sum(n) OVER p)::BIGINT AS n_matched FROM r WINDOW p AS (PARTITION BY doc_id))
+SELECT doc_id, action, round(cent / greatest(max(abs(cent)) OVER (PARTITION BY doc_id), 1e-8), 6) AS signal, round(trust, 6) AS confidence, n_matched FROM c""",
+)
 def jon08(t: Tables) -> DataFrame:
-    entries = t.benchmark.select(F.col("item_id").alias("entry_id"), F.col("text").alias("state"), F.concat(F.lit("a"), (F.col("item_id") % 3).cast("string")).alias("action"), F.lit(1.0).alias("score"), F.lit(0.5).alias("confidence"), F.lit(True).alias("enabled"))
-    return memory.matched_signal(t.documents.select("doc_id", F.col("text").alias("state")), entries, "doc_id", "entry_id", 0.1)
+    entries = t.benchmark.select(F.col("item_id").alias("entry_id"), F.col("text").alias("state"), F.concat(F.lit("a"), (F.col("item_id") % 3).cast("string")).alias("action"), ((F.col("item_id") % 5 - 2) / 2).alias("score"), (F.col("item_id") % 10 / 10).alias("confidence"), (F.col("item_id") % 9 != 0).alias("enabled"))
+    states = t.documents.where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("state"))
+    base = states.select("doc_id", F.explode(F.array(*(F.lit(f"a{k}") for k in range(4)))).alias("action"))
+    d = memory.matched_signal(base, states, entries, "doc_id", "entry_id", 0.1)
+    return d.select("doc_id", "action", r6(F.col("signal")).alias("signal"), r6(F.col("confidence")).alias("confidence"), long("n_matched").alias("n_matched"))
 
 
 @query("pol14_rule_table", "SELECT p_partkey AS rule_id, p_partkey NOT IN (1, 2) AS enabled FROM part WHERE p_partkey <> 3")
@@ -171,10 +263,17 @@ def pol15(t: Tables) -> DataFrame:
     return t.part.where("p_size = 7").groupBy("p_brand").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
 
 
+WORLD = memory.World(("phase enter", "phase scan", "phase lift", "phase exit"), ("a0", "a1", "a2"), {"phase enter": "a1", "phase scan": "a2", "phase lift": "a0", "phase exit": "a1"})
+KNOWN = memory.Knowledge(
+    support=(("phase enter", "a1", 1.0, 0.9, False), ("phase scan", "a0", 1.0, 0.2, False)),
+    rules=(("phase lift", "a0", 1.0, 0.8, False), ("phase enter", "a0", 0.0, 1.0, True)),
+)
+
+
 @query("pol16_experiment_grid")
 def pol16(t: Tables) -> DataFrame:
+    """The seven ablations of the three sources with five seeds each."""
     from ..operators.series import experiment_summary
 
-    settings = t.spark.createDataFrame([(f"beta{b}", float(b), s) for b in (0, 2, 8) for s in range(3)], "setting string, beta double, seed long")
-    runs = memory.simulate(settings, ["s0", "s1", "s2"], ["a0", "a1", "a2"], {"s0": "a1", "s1": "a2", "s2": "a0"}, 40)
+    runs = memory.simulate(memory.grid(t.spark, (11, 22, 33, 44, 55)), WORLD, KNOWN, 100)
     return experiment_summary(runs, "setting", "seed", "episode", "success", "reward")

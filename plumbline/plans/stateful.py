@@ -45,10 +45,11 @@ def stm02(t: Tables) -> DataFrame:
 
 @query("stm04_online_memory")
 def stm04(t: Tables) -> DataFrame:
-    from ..operators.memory import simulate
+    """Case memory at three strengths; each episode reads what earlier ones remembered."""
+    from ..operators import memory
+    from .policy_queries import WORLD
 
-    settings = t.spark.createDataFrame([("memory", 4.0, s) for s in range(4)], "setting string, beta double, seed long")
-    return simulate(settings, ["s0", "s1"], ["a0", "a1"], {"s0": "a0", "s1": "a1"}, 20)
+    return memory.simulate(memory.betas(t.spark, (0, 2, 8), range(4)), WORLD, episodes=30)
 
 
 @query("stm05_rounds")

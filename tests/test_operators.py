@@ -55,12 +55,17 @@ def test_entry_needs_no_session():
 def test_clamps_keep_null(spark):
     none = F.lit(None).cast("double")
     r = one(spark, a=scores.sigmoid(none), b=scores.log_reward(none, F.lit(1.0)), c=text.judge_score(F.lit("no score")), d=scores.probability(F.lit(2.0)))
-    assert (r.a, r.c) == (None, None) and math.isclose(r.b, math.log(0.01)) and r.d == 1 - 1e-6
+    assert (r.a, r.c) == (None, 0.0) and math.isclose(r.b, math.log(0.01)) and r.d == 1 - 1e-6
 
 
 def test_equations():
-    found = [equations.equations(x) for x in ("3 * 4 = 12", "1/3 + 1/3 = 0.66", "2 + 2 = 5", "10 / 4 = 2.5")]
-    assert found == [[True], [False], [False], [True]]
+    found = [[holds for _, _, holds in equations.equations(x)] for x in ("3 * 4 = 12", "1/3 + 1/3 = 0.66", "2 + 2 = 5", "10 / 4 = 2.5", "1 = 1", "¥1,200 ÷ 4 = $300", "2 × (3 + 1) = 8", "x3 + 1 = 4")]
+    assert found == [[True], [False], [False], [True], [], [True], [True], []]
+    question, answer = "A pen is 3 and a book 1,200", "1,203"
+    assert equations.calculation("3 + 1200 = 1203", question, answer) == (1, 1, 1.0)
+    assert equations.calculation("3 * 2 = 6 and 3 * 3 = 8", question, answer) == (2, 1, 0.375)
+    assert equations.calculation("7 + 7 = 14", question, answer) == (0, 0, 0.0)
+    assert equations.calculation("600 + 603 = 1203, 3 + 3 = 7", question, answer) == (2, 1, 0.5)
     assert equations.evaluate("__import__('os')") is None and equations.evaluate("1/0") is None and equations.evaluate("9**9") is None
     assert equations.evaluate("+".join(["1"] * 100)) is None
 
@@ -140,34 +145,94 @@ def test_rule_switches(spark):
 def test_condensation(spark):
     d = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 0.9), ("s", "a", 0.8), ("s", "b", 0.1), ("s", "b", 0.2), ("s", "c", 0.0), ("t", "a", 1.0)], "state string, action string, v double")
     got = memory.condense(d, "state", "action", "v").collect()
-    assert [(r.state, r.action, r.evidence_count) for r in got] == [("s", "a", 3)]
+    assert [(r.state, r.action, r.evidence_count, round(r.confidence, 9)) for r in got] == [("s", "a", 6, 0.65)]
+    assert got[0].rule_id.startswith("condensed_") and len(got[0].rule_id) == 20
     table = d.limit(0).select(F.lit("x").alias("rule_id"), "state")
     assert memory.upsert(table, memory.condense(d, "state", "action", "v")).count() == 1
 
 
-def test_hard_forbid(spark):
-    base = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "k int, action string, logit double")
-    signal = spark.createDataFrame([(1, "a", 1.0, 0.5)], "k int, action string, signal double, confidence double")
-    got = {r.action: r.corrected for r in memory.three_sources(base, {"m": (2.0, signal)}, base.where("action = 'b'"), "k").collect()}
-    assert got == {"a": 1.5, "b": -1e9}
+def candidates(spark, actions="abc", k=1):
+    return spark.createDataFrame([(k, x, 0.0) for x in actions], "k int, action string, logit double")
+
+
+def test_logits_of_one_memory(spark):
+    """Returns 1 and 0 of two neighbours, v = 0.5: an unseen action has q = 0, or v + alpha / n where it is lucky."""
+    near = spark.createDataFrame([(1, 1.0, "a", 1.0), (1, 1.0, "b", 0.0)], "k int, similarity double, action string, return_value double")
+    base = candidates(spark).unionByName(candidates(spark, "ab", 2))
+    got = {(r.k, r.action): r.corrected for r in memory.corrected_logits(base, near, "k", 2.0).collect()}
+    assert got == {(1, "a"): 2.0, (1, "b"): -2.0, (1, "c"): -2.0, (2, "a"): 0.0, (2, "b"): 0.0}
+    lucky = {r.action: (r.q, r.advantage) for r in memory.advantages(base.where("k = 1"), near, "k", unseen=1.0, alpha=5.0).collect()}
+    assert lucky == {"a": (1.0, 0.5), "b": (0.0, -0.5), "c": (3.0, 2.5)}
+
+
+def test_signal_of_matched_entries(spark):
+    """Scores are centred and scaled over the candidates; the confidence is the state's."""
+    states = spark.createDataFrame([(1, "x y"), (2, "q"), (3, "")], "k int, state string")
+    entries = spark.createDataFrame([("e", "x y", "a", 1.0, 0.9, True), ("f", "x y", "b", 0.5, 0.3, True), ("g", "x y", "a", 9.0, 1.0, False), ("h", "x y", "other", 9.0, 1.0, True), ("i", "", "b", 1.0, 0.4, True)], "e string, state string, action string, score double, confidence double, enabled boolean")
+    base = candidates(spark, "ab").unionByName(candidates(spark, "ab", 2)).unionByName(candidates(spark, "ab", 3))
+    got = {(r.k, r.action): (r.signal, round(r.confidence, 9), r.n_matched) for r in memory.matched_signal(base, states, entries, "k", "e", 0.5).collect()}
+    assert got == {(1, "a"): (1.0, 0.6, 2), (1, "b"): (-1.0, 0.6, 2), (2, "a"): (0.0, 0.0, 0), (2, "b"): (0.0, 0.0, 0), (3, "a"): (-1.0, 0.4, 1), (3, "b"): (1.0, 0.4, 1)}
+
+
+def test_three_sources(spark):
+    """Cases, a support library and rules for one state; hand-computed contributions."""
+    base, states = candidates(spark), spark.createDataFrame([(1, "x y")], "k int, state string")
+    cases = spark.createDataFrame([(n, "x y", a, v) for n, (a, v) in enumerate([("a", 2.0)] * 2 + [("b", -1.0)] * 2 + [("c", -1.0)] * 2)], "step int, state string, action string, return_value double")
+    entries = spark.createDataFrame([("doc1", "x y", "a", 1.0, 0.9, True)], "e string, state string, action string, score double, confidence double, enabled boolean")
+    rules = spark.createDataFrame([("soft", "x y", "a", "recommend", 1.0, 0.8, True, False), ("hard", "x y", "c", "forbid", 1.0, 1.0, True, True), ("off", "x y", "b", "recommend", 1.0, 1.0, False, False)], "e string, state string, action string, effect string, strength double, confidence double, enabled boolean, hard boolean")
+    near = memory.neighbours(states, cases, "k", 0.95, 10)
+    case = {r.action: r for r in memory.case_signal(base, near, "k").collect()}
+    # v = 0, advantages 2, -1, -1; deviation sqrt(2); six neighbours cover the four that are asked for
+    assert case["a"].n_matched == 6 and math.isclose(case["a"].confidence, 1 / (1 + math.sqrt(2)))
+    assert [round(case[x].signal, 9) for x in "abc"] == [1.0, -0.5, -0.5]
+    signals = {"cases": (2.0, memory.case_signal(base, near, "k")), "support": (1.0, memory.matched_signal(base, states, entries, "k", "e", 0.95)), "rules": (1.0, memory.matched_signal(base, states, memory.rule_entries(rules), "k", "e", 0.95))}
+    trust = 2 / (1 + math.sqrt(2))
+    for gated, want in ((True, trust + 0.9 + 0.9), (False, 2 + 1 + 1)):
+        got = {r.action: r for r in memory.three_sources(base, signals, "k", gated).collect()}
+        assert math.isclose(got["a"].corrected, want) and got["c"].corrected == memory.FORBIDDEN
+        assert math.isclose(got["b"].corrected, -want / 2)
 
 
 def test_memory_helps(spark):
-    settings = spark.createDataFrame([(f"beta{b}", float(b), s) for b in (0, 8) for s in range(3)], "setting string, beta double, seed long")
-    runs = memory.simulate(settings, ["s0", "s1"], ["a0", "a1", "a2"], {"s0": "a0", "s1": "a2"}, 60)
-    got = {r.setting: r.last_rate for r in series.experiment_summary(runs, "setting", "seed", "episode", "success", "reward").collect()}
-    assert got["beta8"] > got["beta0"] + 0.3
+    world = memory.World(("phase one", "phase two"), ("a0", "a1", "a2"), {"phase one": "a0", "phase two": "a2"})
+    known = memory.Knowledge(support=(("phase one", "a0", 1.0, 0.9, False),), rules=(("phase two", "a0", 0.0, 1.0, True), ("phase two", "a1", 0.0, 1.0, True)))
+    runs = memory.simulate(memory.betas(spark, (0, 8), range(3)).unionByName(memory.grid(spark, range(3))), world, known, 60)
+    got = {r.setting: r for r in series.experiment_summary(runs, "setting", "seed", "episode", "success", "reward").collect()}
+    assert got["beta8"].last_rate > got["beta0"].last_rate + 0.3
+    assert set(memory.ABLATIONS) <= set(got) and got["all_gated"].last_rate > got["static"].last_rate + 0.3
+    kept = {(r.setting, r.seed): r for r in runs.where("episode = 59").collect()}
+    assert all(r.n_cases == (0 if r.setting in ("beta0", "static", "support_only", "rule_only") else 120) for r in kept.values())
+    assert max(r.n_condensed for r in kept.values()) > 0 and not any(r.n_condensed for r in kept.values() if r.setting != "all_condensing")
+    # two actions of the second phase are blocked, so its reward is certain
+    assert runs.where("setting = 'rule_only' AND reward < 1").isEmpty()
 
 
 def test_mcnemar_and_bootstrap(spark):
     assert stats.mcnemar_p(0, 0) == 1.0 and math.isclose(stats.mcnemar_p(10, 0), 2 / 2**10)
+    for a, b in ((3, 9), (40, 60), (500, 420), (7, 7)):
+        exact = min(1, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b))
+        assert math.isclose(stats.mcnemar_p(a, b), exact, rel_tol=1e-9)
+    assert 0 < stats.mcnemar_p(10**8, 10**8 + 30_000) < 1
     a = spark.createDataFrame([(k, 0.0, 0.1 * (k % 3)) for k in range(60)], "id long, x double, y double")
     b = spark.createDataFrame([(k, float(k % 4 > 0), 0.1 * (k % 3)) for k in range(60)], "id long, x double, y double")
-    got = {r.metric: r for r in stats.bootstrap(stats.paired(a, b, "id", ["x", "y"]), ["x", "y"], 1000).collect()}
+    got = {r.metric: r for r in stats.bootstrap(stats.paired(a, b, "id", ["x", "y"]), ["x", "y"], "id", 1000).collect()}
     assert got["x"].difference == 0.75 and 0.55 < got["x"].low < 0.75 < got["x"].high < 0.95
     assert got["y"].difference == got["y"].low == got["y"].high == 0.0
 
 
+@pytest.mark.parametrize("rows", [1_000, 10_000, 100_000])
+def test_bootstrap_width_at_any_size(spark, rows):
+    """Half the interval is 1.96 standard errors, however rows are dealt and however many are alike."""
+    d = spark.range(rows).select("id", (F.col("id") % 2).cast("double").alias("x"))
+    want = 1.96 * 0.5 / math.sqrt(rows)
+    found = []
+    for frame in (d.repartition(3), d.coalesce(1)):
+        r = stats.bootstrap(frame, ["x"], "id", 2000).first()
+        found.append((round(r.low, 9), round(r.high, 9)))
+        assert 0.9 < (r.high - r.low) / 2 / want < 1.1
+    assert found[0] == found[1]
+
+
 def test_trajectory_rewards(spark):
     p = trajectory.Protocol({"look": 0.5, "end": 1.0}, final="end", max_steps=3)
     clean = [(1, 0, "look", 1.0), (1, 1, "end", 1.0), (1, 2, "look", 1.0)]
@@ -355,6 +420,8 @@ def test_queries_take_whole_tables(spark, tmp_path, monkeypatch):
     items = {i: some(12) for i in (0, 5, 11, 40, 77)}
     spark.createDataFrame([(i, t, lang, len(t)) for i, (lang, t) in docs.items()], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = {0: 1, 20: 0, 200: 1, 220: 0}
+    spark.createDataFrame(list(labels.items()), "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
     words = lambda t: re.findall("[a-z0-9_]+", t.lower())
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
 
@@ -362,24 +429,41 @@ def test_queries_take_whole_tables(spark, tmp_path, monkeypatch):
     assert tail == {i: sum(math.comb(i % 40 + 1, j) for j in range(min(i % 7, i % 40 + 1) + 1)) / 2 ** (i % 40 + 1) for i in docs}
     assert {r.doc_id: r.vector for r in run("mth04_feature_hashing")} == {i: hashing.vector(words(t)).tolist() for i, (_, t) in docs.items()}
 
-    bodies, texts = {i: words(t) for i, t in items.items()}, {i: words(t) for i, (_, t) in docs.items()}
-    want = set()
-    for i, (_, t) in docs.items():
-        for pos, part in enumerate(t.split("\n")):
-            ranked = sorted((-round(s, 9), item) for item, s in _bm25(bodies, words(part)).items() if s >= 4)
-            want |= {(f"{i}:{pos}", rank, item) for rank, (_, item) in enumerate(ranked[:3], 1)}
-    for rows in (retrieval.BROADCAST_ROWS, 100):  # the second: more fragments than are broadcast, postings of the items aren't
+    bodies = {i: words(t) for i, t in items.items()}
+    of = lambda item: ["de", "en", "es", "fr"][item % 4]
+    asked = {i: d for i, d in docs.items() if i % 20 == 0}
+    best, chosen = {}, {}
+    for i, (lang, t) in asked.items():
+        top = []
+        for part in t.split("\n"):
+            s = {item: x for item, x in _bm25(bodies, words(part)).items() if of(item) == lang}
+            top.append(min(((-round(x, 9), item, x) for item, x in s.items()), default=(0, None, 0.0)))
+        best[i], chosen[i] = max(x for _, _, x in top), [(x, item) for _, item, x in top]
+    balance = {}
+    for limit in {0.0, *(best[i] for i in labels)}:
+        said = {i: best[i] >= limit and limit > 0 for i in labels}
+        balance[limit] = sum(0.5 * sum(said[i] == bool(v) for i in labels if labels[i] == v) / sum(labels[i] == v for i in labels) for v in (0, 1))
+    limit = min(balance, key=lambda x: (-round(balance[x], 12), x))
+    want = {i: ",".join(str(r) for r in sorted({item for x, item in c if item is not None and x >= limit > 0})) for i, c in chosen.items()}
+    for rows in (retrieval.BROADCAST_ROWS, 20):  # the second: more fragments than are broadcast, postings of the items aren't
         monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
-        assert {(r.fragment, r.rank, r.item_id) for r in run("pol06_authority_retrieval")} == want
+        assert {r.doc_id: r.rules for r in run("pol06_authority_retrieval")} == want
 
-    want, low, high = set(), min(len(t) for _, t in docs.values()), max(len(t) for _, t in docs.values())
-    for item, t in items.items():
-        s = {i: 0.0 for i in docs} | _bm25(texts, sorted(set(words(t))))
-        a, b = min(s.values()), max(s.values())
-        lexical = {i: (x - a) / (b - a) for i, x in s.items()}
-        score = {i: round(0.72 * 0.52 * lexical[i] + 0.05 * (len(d) - low) / (high - low), 12) for i, (lang, d) in docs.items() if lang == "en"}
-        want |= {(item, rank, i) for rank, i in enumerate(sorted(score, key=lambda i: (-score[i], -len(docs[i][1]), i))[:5], 1)}
-    assert {(r.item_id, r.rank, r.rule_id) for r in run("pol01_hybrid_search")} == want
+    tokens = lambda t: re.findall(r"[a-z0-9][a-z0-9_.+-]*", t.lower())
+    features, vectors = {i: tokens(t) for i, t in items.items()}, {i: hashing.vector(tokens(t)) for i, t in items.items()}
+    scaled = lambda s: {k: (x - min(s.values())) / (max(s.values()) - min(s.values())) if max(s.values()) > min(s.values()) else float(x > 0) for k, x in s.items()}
+    want = set()
+    for i, (lang, t) in asked.items():
+        bm25 = scaled({k: 0.0 for k in items} | _bm25(features, sorted(set(tokens(t)))))
+        near = scaled({k: float(vectors[k] @ hashing.vector(tokens(t))) for k in items})
+        score = {}
+        for k, item in items.items():
+            keys = list(dict.fromkeys(words(item)))[:3]
+            hits = sum(w in t.lower() for w in keys) / len(keys)
+            score[k] = round(0.72 * (0.52 * bm25[k] + 0.38 * near[k] + 0.10 * hits) + 0.23 * hits + 0.05 * min(k * 7 % 101, 100) / 100, 12)
+        ranked = sorted((k for k in items if of(k) == lang), key=lambda k: (-score[k], -(k * 7 % 101), -k))
+        want |= {(i, rank, k, round(score[k], 6)) for rank, k in enumerate(ranked[:3], 1)}
+    assert {(r.doc_id, r.rank, r.rule_id, r.score) for r in run("pol01_hybrid_search")} == want
 
 
 def test_dense_takes_queries_in_blocks(spark, monkeypatch):
@@ -397,11 +481,67 @@ def test_dense_takes_queries_in_blocks(spark, monkeypatch):
         assert {(x.q, x.rank, x.i) for x in retrieval.dense(d, q, "i", "q", "v", "qv", 3).collect()} == want
 
 
-def test_hybrid_scales_before_filtering(spark):
-    rows = [(1, r, c, lex, 0.0, 0.0, 1) for r, c, lex in ((1, "x", 10.0), (2, "y", 5.0), (3, "y", 0.0))]
+def test_hybrid_search(spark):
+    """Scores of three rules by hand; scaling is over all of them, the category filter comes after it."""
+    rows = [(1, r, c, lex, den, key, p) for r, c, lex, den, key, p in ((1, "x", 10.0, 0.5, 0.0, 50), (2, "y", 5.0, 0.5, 0.5, 200), (3, "y", 0.0, 0.5, 0.5, 200), (4, "y", 5.0, 0.5, 0.5, 200))]
     d = spark.createDataFrame(rows, "q int, rule_id int, category string, lexical double, dense double, keyword double, priority int")
-    got = retrieval.hybrid(d, "q", rerank=None, category=F.col("category") == "y").orderBy("rank").collect()
-    assert [r.rule_id for r in got] == [2, 3] and math.isclose(got[0].score, 0.52 * 0.5)
+    got = retrieval.hybrid(d, "q", category=F.col("category") == "y").orderBy("rank").collect()
+    # dense scores are all equal and positive, so they count 1; priority is cut at 100
+    blend = 0.52 * 0.5 + 0.38 + 0.10 * 0.5
+    assert [r.rule_id for r in got] == [4, 2, 3]  # of equal scores the greatest id first
+    assert math.isclose(got[0].retrieval, blend) and math.isclose(got[0].score, 0.72 * blend + 0.23 * 0.5 + 0.05)
+    assert math.isclose(got[2].score, 0.72 * (0.38 + 0.05) + 0.23 * 0.5 + 0.05) and got[0].bm25 == 0.5
+    bare = retrieval.hybrid(d, "q", mode="bm25", rerank=False).orderBy("rank").collect()
+    assert [(r.rule_id, r.score) for r in bare] == [(1, 1.0), (4, 0.5), (2, 0.5), (3, 0.0)]
+    with pytest.raises(ValueError):
+        retrieval.hybrid(d, "q", mode="other")
+    r = one(spark, a=retrieval.keyword_share(F.lit("Stock market"), F.array(F.lit("STOCK"), F.lit("bond"))), b=retrieval.keyword_share(F.lit("x"), F.array().cast("array<string>")))
+    assert (r.a, r.b) == (0.5, 0.0)
+
+
+def test_authority_keeps_to_the_category(spark):
+    rules = spark.createDataFrame([(1, "c", "alpha beta"), (2, "d", "alpha beta gamma"), (3, "c", "gamma")], "rule_id long, category string, text string")
+    lines = spark.createDataFrame([(7, 1, "c", "alpha gamma gamma"), (7, 2, "c", "nothing"), (8, 1, "d", "gamma")], "case long, pos int, category string, part string")
+    w = lambda c: F.split(c, " ")
+    got = {(r.case, r.pos): r for r in retrieval.authority(lines, rules, "case", "pos", w("part"), w("text"), 0.1).collect()}
+    assert {k: (r.chosen, r.top) for k, r in got.items()} == {(7, 1): (3, "3,1"), (7, 2): (None, None), (8, 1): (2, "2")}
+    none = retrieval.authority(lines, rules, "case", "pos", w("part"), w("text"), 99.0).collect()
+    assert {r.chosen for r in none} == {None} and got[7, 2].best == 0.0
+
+
+def test_containment_of_short_items(spark):
+    texts = [(1, "the cart of gold"), (2, "an art, of sorts"), (3, "--!?"), (4, ""), (5, None), (6, "one two three four five six")]
+    items = [(1, "art of"), (2, "a"), (3, "!?"), (4, ""), (5, "two three four"), (6, "wo three four fi"), (7, None), (8, "zzz"), (9, "two three fou")]
+    docs, wanted = spark.createDataFrame(texts, "d int, text string"), spark.createDataFrame(items, "i int, item string")
+    got = {(r.i, r.d) for r in retrieval.containment(docs, wanted, "d", "i", "text", "item").collect()}
+    assert got == {(i, d) for i, x in items for d, t in texts if x is not None and t is not None and x in t}
+    assert retrieval.containment(docs, wanted.limit(0), "d", "i", "text", "item").count() == 0
+
+
+def test_rules_composed(spark):
+    """Equal priority takes the greatest id; what is unknown counts as asked for."""
+    rows = [(1, 10, "A", "c", 5), (1, 11, "A", "c", 5), (1, 99, None, None, None), (1, 11, "A", "c", 5), (2, 99, None, None, None), (3, 12, "B", "c", 1), (3, 13, "C", "d", 9)]
+    d = spark.createDataFrame(rows, "k int, rule_id int, canonical_id string, category string, priority int")
+    got = {r.k: r for r in policy.compose(d, "k").collect()}
+    assert (got[1].rules, got[1].n_matched, got[1].n_unknown) == ("11", 3, 1) and math.isclose(got[1].compression, 1 - 1 / 3)
+    assert (got[2].rules, got[2].compression, got[2].conflict) == ("", 1.0, False)
+    assert got[3].conflict and got[3].first == "C" and got[3].compression == 0.0
+
+
+def test_verification_and_scores(spark):
+    a = lambda *x: F.array(*map(F.lit, x))
+    no, yes = F.struct(F.lit(False).alias("all")), F.struct(F.lit(True).alias("all"))
+    r = one(spark, a=policy.verified(no, a("x"), a("x", "y")), b=policy.verified(yes, a("x", "x"), a("x")), c=policy.verified(yes, a("x", "y"), a("x", "y", "z")))
+    assert [(x.accepted, x.corrected) for x in (r.a, r.b, r.c)] == [(False, True), (True, False), (True, True)]
+    r = one(spark, a=text.judge_score(F.lit("[[7]]")), b=text.judge_score(F.lit("[[3]] then [[7]]")), c=text.judge_score(F.lit("[[4.9]]")), d=text.feature_tokens(F.lit("\u3400\u3401 Ab"), {"k": ["aB"]}))
+    assert (r.a, r.b, r.c, r.d) == (0.0, 0.75, 1.0, ["ab", "\u3400", "\u3401", "\u3400\u3401", "concept:k"])
+
+
+def test_decision_tells_what_it_rests_on(spark):
+    rows = [(1, 10, "PASS", 5, [], ["x"], "has x and y"), (1, 11, "REJECT", 1, [10], ["y", "x"], "has x and y"), (2, 12, "REJECT", 1, [], ["q"], "has x")]
+    d = spark.createDataFrame(rows, "c int, rule_id long, decision string, priority int, exception_ids array<bigint>, cues array<string>, content string")
+    got = {r.c: (r.decision, r.matched_rules, r.applied, r.evidence) for r in policy.decide(d, "c").collect()}
+    assert got == {1: ("PASS", "10,11", "10", "x|y"), 2: ("REJECT", "12", "12", "")}
 
 
 def test_fuzzy_ids_need_one_candidate(spark):
