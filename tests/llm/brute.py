@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -38,6 +39,23 @@ def quality_base(text):
     }
 
 
+def fertility(text, lang, model, encoding, languages, scripts, floor):
+    """Token figures of one text word by word, and whether its band admits them; ``floor`` maps log2 of tokens to bits."""
+    w = words(text)
+    ids = [i for x in w for i in model.encode(x)]
+    other = sum(len(encoding.encode_ordinary(" " + x)) for x in w)
+    n, chars = len(ids), sum(map(len, w))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else 0.0
+    figures = {"n_tokens": n, "chars_per_token": chars / n if n else 0.0, "chars_per_byte_token": chars / other if other else 0.0, "byte_share": sum(map(model.is_byte, ids)) / n if n else 0.0, "token_entropy": entropy}
+    latin = sum(c.isascii() and c.isalpha() or "\u00c0" <= c < "\u0280" for c in text or "")
+    foreign = sum(c >= "\u0340" for c in text or "")
+    band = languages.get(lang) or scripts["latin" if latin >= foreign else "other"]
+    (x0, y0), (x1, y1) = next(((a, b) for a, b in zip(floor, floor[1:], strict=False) if a[0] <= math.log2(max(n, 1)) <= b[0]), (floor[-1], (99, floor[-1][1])))
+    least = band.floor_shift + y0 + (y1 - y0) * (math.log2(max(n, 1)) - x0) / (x1 - x0)
+    inside = [r.least - r.spread / math.sqrt(len(w) or 1) <= figures[k] <= r.most + r.spread / math.sqrt(len(w) or 1) for k, r in (("chars_per_token", band.subword), ("chars_per_byte_token", band.byte_level))]
+    return figures, all(inside) and figures["byte_share"] <= band.max_byte_share and least <= entropy <= band.max_entropy
+
+
 def simhash(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:

@@ -27,15 +27,11 @@ def ids(rows):
 
 
 def test_quality_rules(chain):
-    import numpy as np
-    import pyarrow as pa
-
-    fertility = quality.Fertility(quality._tokenizer(None))
+    f = quality.INSTALLED.load()
     want = []
     for r in chain[0]:
-        m = quality.judge(pa.array([r.text]), [r.lang], fertility, quality.LANGUAGE_BANDS, quality.SCRIPT_BANDS)
-        assert bool(np.asarray(m["base_failed"])[0]) == brute.quality_base(r.text)["base_failed"]
-        if m["kept"][0]:
+        _, inside = brute.fertility(r.text, r.lang, f.model, f.byte_level, quality.LANGUAGE_BANDS, quality.SCRIPT_BANDS, quality.ENTROPY_FLOOR)
+        if inside and not brute.quality_base(r.text)["base_failed"]:
             want.append(r.doc_id)
     assert ids(chain[1]) == sorted(want) and 0.5 * len(chain[0]) < len(want) < len(chain[0])
 
