@@ -1,12 +1,12 @@
-"""Per-trajectory state machines, in batch and over streams, from one step function."""
+"""Per-trajectory state machines: a step function for streams and experts, and the same in window functions for batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -71,53 +71,44 @@ def environment(name: str, protocol: Protocol | None = None) -> Protocol:
     return ENVIRONMENTS[name]
 
 
-SUMMARY = "steps long, done boolean, total_reward double, n_invalid long"
+def trace(events: DataFrame, protocol: Protocol, key: str, order: str, action: str, value: str) -> DataFrame:
+    """Each step with its reward and the total so far, in window functions.
+
+    A trajectory ends with its first final action or its last step allowed, so
+    only its first ``max_steps`` events are kept before anything else is done,
+    and no trajectory is long.  A null value is worth 0.
+    """
+    d = events.select(key, F.col(order).alias("at"), F.col(action).alias("action"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_v"))
+    d = d.withColumn("step", F.row_number().over(W.partitionBy(key).orderBy("at"))).where(F.col("step") <= protocol.max_steps)
+    ends = F.min(F.when(F.col("action") == protocol.final, F.col("step"))).over(W.partitionBy(key))
+    d = d.withColumn("_end", ends).where(F.col("_end").isNull() | (F.col("step") <= F.col("_end")))
+    worth = F.try_element_at(F.create_map(*(F.lit(x) for pair in protocol.rewards.items() for x in pair)), F.col("action"))
+    again = F.row_number().over(W.partitionBy(key, "action").orderBy("step")) > 1
+    is_final = F.coalesce(F.col("action") == protocol.final, F.lit(False))
+    d = d.withColumns({"_worth": worth, "_again": again})
+    reward = F.when(F.col("_worth").isNull(), protocol.invalid_penalty).otherwise(F.col("_worth") * F.col("_v") + F.when(F.col("_again"), protocol.repeat_penalty).otherwise(0.0))
+    late = F.when((F.col("step") >= protocol.max_steps) & ~is_final, protocol.timeout_penalty).otherwise(0.0)
+    d = d.withColumn("reward", reward + late).withColumn("total", F.sum("reward").over(W.partitionBy(key).orderBy("step")))
+    done = is_final | (F.col("step") >= protocol.max_steps)
+    return d.select(key, F.col("step").cast("long").alias("step"), F.col("at").cast("long").alias("at"), "action", "reward", "total", done.alias("done"), F.col("_worth").isNull().alias("invalid"))
 
 
 def replay(events: DataFrame, protocol: Protocol, key: str, order: str, action: str, value: str) -> DataFrame:
     """Final state of each trajectory."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Episode()
-        for row in pdf.sort_values(order)[[action, value]].itertuples(index=False, name=None):
-            protocol.step(s, row[0], float(row[1]))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "steps": [s.steps], "done": [s.done], "total_reward": [s.total], "n_invalid": [s.invalid]})
-
-    return events.select(key, order, action, value).groupBy(key).applyInPandas(run, f"{key} long, {SUMMARY}")
-
-
-def trace(events: DataFrame, protocol: Protocol, key: str, order: str, action: str, value: str) -> DataFrame:
-    """Each step with its reward and the total so far."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, out = Episode(), []
-        for at, a, v in pdf.sort_values(order)[[order, action, value]].itertuples(index=False, name=None):
-            if s.done:
-                break
-            r = protocol.step(s, a, float(v))
-            out.append((pdf[key].iloc[0], s.steps, int(at), a, r, s.total, s.done))
-        return pd.DataFrame(out, columns=[key, "step", "at", "action", "reward", "total", "done"])
-
-    return events.select(key, order, action, value).groupBy(key).applyInPandas(run, f"{key} long, step long, at long, action string, reward double, total double, done boolean")
+    d = trace(events, protocol, key, order, action, value)
+    return d.groupBy(key).agg(F.max("step").alias("steps"), F.max("done").alias("done"), F.sum("reward").alias("total_reward"), F.count_if("invalid").alias("n_invalid"))
 
 
 def expert(keys: DataFrame, protocol: Protocol, key: str) -> DataFrame:
-    """Alternating messages of the expert's trajectory for each key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k in pdf[key].tolist():
-                s, turn = Episode(), 0
-                while not s.done:
-                    a = protocol.next_action(s)
-                    out.append((k, turn, "assistant", f'<think>step {s.steps + 1}</think>{{"action":"{a}"}}'))
-                    r = protocol.step(s, a, 1.0)
-                    out.append((k, turn + 1, "user", f"reward {r:.2f}"))
-                    turn += 2
-            yield pd.DataFrame(out, columns=[key, "turn", "role", "content"])
-
-    return keys.select(key).mapInPandas(run, f"{key} long, turn long, role string, content string")
+    """Alternating messages of the expert's trajectory for each key.  It depends on the protocol alone, so it is played once."""
+    s, said = Episode(), []
+    while not s.done:
+        a = protocol.next_action(s)
+        said.append((2 * s.steps, "assistant", f'<think>step {s.steps + 1}</think>{{"action":"{a}"}}'))
+        r = protocol.step(s, a, 1.0)
+        said.append((2 * s.steps - 1, "user", f"reward {r:.2f}"))
+    messages = F.array(*(F.struct(F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(content).alias("content")) for turn, role, content in said))
+    return keys.select(key, F.inline(messages))
 
 
 def rounds(starts: DataFrame, advance: Callable[[DataFrame], DataFrame], most: int) -> tuple[DataFrame, int]:

@@ -57,14 +57,14 @@ def agg06(t: Tables) -> DataFrame:
     return metrics.macro_f1(scored(t), "gold", "guess").select(r6(F.col("macro_f1")).alias("macro_f1"))
 
 
-SETS = "(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(left(text, 120)), '([a-z0-9_]+)', 1)) END AS a, CASE WHEN doc_id % 6 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(right(text, 120)), '([a-z0-9_]+)', 1)) END AS b FROM documents)"
+SETS = "(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)) END AS a, CASE WHEN doc_id % 6 = 0 THEN [] ELSE list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]{{4,}})', 1)) END AS b FROM documents)"
 SET_SCORES = "SELECT doc_id, round(CASE WHEN len(a) + len(b) = 0 THEN {e} WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a)::DOUBLE END, 6) AS p, round(CASE WHEN len(a) + len(b) = 0 THEN {e} WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(b)::DOUBLE END, 6) AS r, round(CASE WHEN len(a) + len(b) = 0 THEN {e} ELSE 2e0 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM " + SETS
 
 
 def _sets(t: Tables, empty_is_right: bool) -> DataFrame:
     none = F.array().cast("array<string>")
-    a = F.when(F.col("doc_id") % 9 == 0, none).otherwise(text.state_tokens(F.substring("text", 1, 120)))
-    b = F.when(F.col("doc_id") % 6 == 0, none).otherwise(text.state_tokens(F.right("text", F.lit(120))))
+    a = F.when(F.col("doc_id") % 9 == 0, none).otherwise(text.state_tokens(F.col("text")))
+    b = F.when(F.col("doc_id") % 6 == 0, none).otherwise(F.array_distinct(text.all_matches(F.lower("text"), r"([a-z0-9_]{4,})")))
     d = t.documents.select("doc_id", a.alias("a"), b.alias("b"))
     p, r, f1 = arrays.set_scores(F.col("a"), F.col("b"), empty_is_right)
     return d.select("doc_id", r6(p).alias("p"), r6(r).alias("r"), r6(f1).alias("f1"))

@@ -56,14 +56,14 @@ LANGS = ["de", "en", "es", "fr"]
 
 #: Text in the shapes that models reply in, made of the documents; the same expression in both dialects.
 RESPONSE = """CASE doc_id % 8
-WHEN 0 THEN '<think> ' || substr(text, 1, 60) || ' </think>' || chr(10) || chr(92) || 'boxed{' || lang || '}'
+WHEN 0 THEN '<think> ' || text || ' </think>' || chr(10) || chr(92) || 'boxed{' || lang || '}'
 WHEN 1 THEN '<think></think><answer> ' || upper(lang) || ' </answer>'
 WHEN 2 THEN 'It is 1,' || CAST(100 + doc_id % 900 AS STRING) || ' and -2.50 of 3' || chr(10) || '#### 1,' || CAST(100 + doc_id % 900 AS STRING)
-WHEN 3 THEN '<think>a</think> and <think>' || substr(text, 1, 30) || '</think><ANSWER>' || lang || '.</ANSWER><confidence>0.' || CAST(doc_id % 10 AS STRING) || '</confidence>'
+WHEN 3 THEN '<think>a</think> and <think>' || text || '</think><ANSWER>' || lang || '.</ANSWER><confidence>0.' || CAST(doc_id % 10 AS STRING) || '</confidence>'
 WHEN 4 THEN chr(92) || 'boxed{en} then ' || chr(92) || 'boxed{' || lang || '}<confidence>1.7</confidence>'
 WHEN 5 THEN 'score [[' || CAST(doc_id % 5 AS STRING) || ']] and [[' || CAST(doc_id % 6 AS STRING) || '.5]] as 12 + 30 = 42, 5 * 3 = 16'
 WHEN 6 THEN 'I cannot see the image, so perhaps ' || lang || ' rule-0' || CAST(doc_id % 7 AS STRING) || ' rule-01'
-ELSE substr(text, 1, 80) END"""
+ELSE text END"""
 
 RESPONSES = f"SELECT doc_id, lang, source, text, {RESPONSE} AS response FROM documents"
 

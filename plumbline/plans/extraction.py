@@ -119,10 +119,10 @@ WORDS = "regexp_extract_all(lower({c}), '([a-z0-9_]+)', 1)"
 @query(
     "str14_jaccard",
     f"""SELECT doc_id, CASE WHEN len(u) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(u), 6) END::DOUBLE AS similarity
-FROM (SELECT doc_id, a, b, list_distinct(list_concat(a, b)) AS u FROM (SELECT doc_id, list_distinct({WORDS.format(c='left(text, 200)')}) AS a, list_distinct({WORDS.format(c='right(text, 200)')}) AS b FROM documents))""",
+FROM (SELECT doc_id, a, b, list_distinct(list_concat(a, b)) AS u FROM (SELECT doc_id, list_distinct({WORDS.format(c='text')}) AS a, list_distinct({WORDS.format(c='substr(text, strpos(text, chr(10)) + 1)')}) AS b FROM documents))""",
 )
 def str14(t: Tables) -> DataFrame:
-    a, b = text.state_tokens(F.substring("text", 1, 200)), text.state_tokens(F.right("text", F.lit(200)))
+    a, b = text.state_tokens(F.col("text")), text.state_tokens(F.expr("substr(text, locate('\\n', text) + 1)"))
     return t.documents.select("doc_id", r6(text.jaccard(a, b)).alias("similarity"))
 
 

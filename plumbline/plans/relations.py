@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import datasets, gates, retrieval, series, shape
+from ..session import shared_folder
 from ..sources import readers, writers
 from .base import EVENTS, LANGS, NORMAL, RESPONSES, SCORED, Tables, events, long, query, r6, responses, scored
 
-# sources, read back from what the engine writes where a file is needed
+# sources and sinks: what the engine writes to the shared folder, read back from there
+
+
+def _folder(t: Tables, name: str) -> str:
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(t: Tables, name: str, lines: DataFrame) -> str:
+    """Writes a column of lines; the path."""
+    path = _folder(t, name)
+    lines.write.text(path)
+    return path
+
+
+DOC = "doc_id long, lang string, source string, n_chars long"
+
 
+@query("src01_jsonl", "SELECT doc_id, lang, source, n_chars FROM documents")
+def src01(t: Tables) -> DataFrame:
+    """With a blank line after every seventh row."""
+    line = F.to_json(F.struct("doc_id", "lang", "source", "n_chars"))
+    return readers.jsonl(t.spark, _lines(t, "src01", t.documents.select(F.concat(line, F.when(F.col("doc_id") % 7 == 0, "\n").otherwise("")))), DOC)
 
-def _parsed(t: Tables, mode: str = "PERMISSIVE") -> DataFrame:
-    """Documents as JSON lines and read again, without a file: from_json is the reader's parser."""
-    lines = t.documents.select(F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("value"))
-    return lines.select(F.from_json("value", "doc_id long, lang string, source string, n_chars long", {"mode": mode}).alias("r")).select("r.*")
 
+@query("src02_jsonl_strict", "SELECT doc_id, lang, source, n_chars FROM documents")
+def src02(t: Tables) -> DataFrame:
+    path = _folder(t, "src02")
+    writers.jsonl(t.documents.select("doc_id", "lang", "source", "n_chars"), path)
+    return readers.jsonl(t.spark, path, DOC, strict=True)
 
-query("src01_jsonl", "SELECT doc_id, lang, source, n_chars FROM documents")(lambda t: _parsed(t))
-query("src02_jsonl_strict", "SELECT doc_id, lang, source, n_chars FROM documents")(lambda t: _parsed(t, "FAILFAST"))
 
-BROKEN = "CASE doc_id % 5 WHEN 0 THEN '{\"id\": ' || CAST(doc_id AS STRING) WHEN 1 THEN '{\"other\": 1}' ELSE '{\"id\": ' || CAST(doc_id AS STRING) || ', \"label\": \"' || lang || '\"}' END"
+BROKEN = "CASE doc_id % 5 WHEN 0 THEN '{\"id\": ' || CAST(doc_id AS STRING) WHEN 1 THEN '{\"other\": ' || CAST(doc_id AS STRING) || '}' ELSE '{\"id\": ' || CAST(doc_id AS STRING) || ', \"label\": \"' || lang || '\"}' END"
 
 
-@query("src03_line_errors", "SELECT doc_id AS line, CASE doc_id % 5 WHEN 0 THEN 'not a JSON object' ELSE 'no id' END AS problem FROM documents WHERE doc_id % 5 < 2")
+@query("src03_line_errors", "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'not a JSON object' ELSE 'no id' END AS problem FROM documents WHERE doc_id % 5 < 2")
 def src03(t: Tables) -> DataFrame:
-    r = F.from_json(F.expr(BROKEN), "id long, label string, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    d = t.documents.select(F.col("doc_id").alias("line"), r.alias("r"))
-    problem = F.when(F.col("r._corrupt_record").isNotNull(), "not a JSON object").when(F.col("r.id").isNull(), "no id")
-    return d.select("line", problem.alias("problem")).where("problem IS NOT NULL")
+    """Each faulty line's number must lead back to the line that holds its id."""
+    path = _lines(t, "src03", t.documents.select(F.expr(BROKEN)))
+    found = readers.line_errors(t.spark, path, "id long, label string", ["id"])
+    d = found.join(readers.numbered_lines(t.spark, path), ["file", "line_number"])
+    return d.select(F.regexp_extract("value", "([0-9]+)", 1).cast("long").alias("id"), "problem")
 
 
 @query("src04_tolerant", "SELECT doc_id AS id, lang AS label FROM documents WHERE doc_id % 5 >= 2")
 def src04(t: Tables) -> DataFrame:
-    d = t.documents.select(F.from_json(F.expr(BROKEN), "id long, label string").alias("r")).select("r.*")
-    return d.dropna(subset=["id", "label"])
+    return readers.tolerant_jsonl(t.spark, _lines(t, "src04", t.documents.select(F.expr(BROKEN))), "id long, label string", ["id", "label"])
 
 
 @query("src05_offset_limit", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 40 OFFSET 25")
@@ -50,26 +72,28 @@ def src06(t: Tables) -> DataFrame:
     return datasets.capped(t.documents.select("doc_id", "source"), "source", "doc_id", 3)
 
 
-@query("src07_whole_json", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE event_id < 500")
+@query("src07_whole_json", "SELECT n_nationkey AS id, n_name AS name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
 def src07(t: Tables) -> DataFrame:
-    m = F.from_json("props", "map<string,string>")
-    key = F.array_min(F.map_keys(m))
-    return t.events.where("event_id < 500").select("event_id", F.get(F.map_values(m), F.lit(0)).alias("first_value"))
+    """A file for each nation, with one JSON document over several lines."""
+    d = t.nation.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"))
+    document = F.concat(F.lit('{\n  "id": '), F.col("n_nationkey").cast("string"), F.lit(',\n  "of": {\n    "name": "'), "n_name", F.lit('",\n    "region": "'), "r_name", F.lit('"\n  }\n}'))
+    path = _folder(t, "src07")
+    d.select(document.alias("value"), F.col("n_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    return readers.document(t.spark, path, "id long, of struct<name:string,region:string>").select("id", "of.name", "of.region")
 
 
-@query("src08_csv", "SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents")
+@query("src08_csv", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def src08(t: Tables) -> DataFrame:
-    options = {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "quoteAll": "true"}
-    line = t.documents.select(F.to_csv(F.struct("doc_id", "lang", "text"), {**options, "escapeQuotes": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("v"))
-    d = line.select(F.from_csv("v", F.lit("doc_id long, lang string, text string"), {**options, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("r"))
-    return d.select("r.doc_id", "r.lang", F.length("r.text").cast("long").alias("chars"))
+    path = _folder(t, "src08")
+    writers.csv(t.documents.select("doc_id", "lang", "text"), path)
+    return readers.csv(t.spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-@query("src09_validated_entities")
+@query("src09_validated_entities", f"SELECT doc_id, conf::DOUBLE AS conf FROM {SCORED}")
 def src09(t: Tables) -> DataFrame:
-    d = scored(t)
-    ok = F.col("conf").between(0.0, 1.0)
-    return d.where(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit("confidence isn't within [0, 1]")).cast("boolean"))).select("doc_id", "conf")
+    path = _folder(t, "src09")
+    writers.jsonl(scored(t).select("doc_id", "conf"), path)
+    return readers.entities(t.spark, path, "doc_id long, conf double", {"confidence isn't within [0, 1]": F.col("conf").between(0.0, 1.0)})
 
 
 @query("src10_rule_base", "SELECT 'r' || p_partkey AS rule_id, p_brand AS canonical_id, p_size AS priority FROM part WHERE p_size > 5")
@@ -81,7 +105,7 @@ def src10(t: Tables) -> DataFrame:
 @query("src11_stage_log", f"SELECT day AS stage, round(epoch_us(min(ts)) / 1e6, 3) AS epoch FROM {EVENTS} GROUP BY day")
 def src11(t: Tables) -> DataFrame:
     lines = events(t).groupBy("day").agg(F.min("ts").alias("ts")).select(F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00] "), "day").alias("value"))
-    return readers.stage_lines(lines).select("stage", F.round("epoch", 3).alias("epoch"))
+    return readers.stage_log(t.spark, _lines(t, "src11", lines)).select("stage", F.round("epoch", 3).alias("epoch"))
 
 
 @query("src12_newest_file")
@@ -96,12 +120,21 @@ class EchoClient:
         return [{"text": p.split()[0] if p.split() else "", "prompt_tokens": len(p.split()), "completion_tokens": 1, "mean_logprob": -0.5} for p in prompts]
 
 
-@query("src14_model_source", "SELECT doc_id, prompt_tokens, round(prompt_tokens / 1e3 * 0.5 + 1 / 1e3, 6) AS estimated_cost FROM (SELECT doc_id, len(regexp_extract_all(left(text, 200), '[^\\s]+'))::BIGINT AS prompt_tokens FROM documents)")
+@query("src14_model_source", "SELECT doc_id, prompt_tokens, round(prompt_tokens / 1e3 * 0.5 + 1 / 1e3, 6) AS estimated_cost FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS prompt_tokens FROM documents)")
 def src14(t: Tables) -> DataFrame:
-    d = readers.generated(t.documents.select("doc_id", F.substring("text", 1, 200).alias("prompt")), EchoClient, "doc_id", "prompt")
+    d = readers.generated(t.documents.select("doc_id", F.col("text").alias("prompt")), EchoClient, "doc_id", "prompt")
     return readers.with_cost(d, 0.5, 1.0).select("doc_id", "prompt_tokens", r6(F.col("estimated_cost")).alias("estimated_cost"))
 
 
+@query("src17_tar_members", "SELECT r_name || '.txt' AS member, length(r_regionkey || ': ' || r_name)::BIGINT AS bytes, sha256(r_regionkey || ': ' || r_name) AS sha256 FROM region")
+def src17(t: Tables) -> DataFrame:
+    """An archive with a file for each region, and one that isn't asked for."""
+    path = f"{_folder(t, 'src17')}/regions.tar"
+    files = {f"{r.r_name}.txt": f"{r.r_regionkey}: {r.r_name}".encode() for r in t.region.collect()}  # five rows
+    writers.tar(t.spark, path, files | {"README.md": b"not asked for"})
+    return readers.tar_members(t.spark, path, [".txt"]).select("member", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 @query("src18_literal_tables", "SELECT * FROM (VALUES ('PASS', 0), ('REVIEW', 1), ('REJECT', 2)) l(decision, level)")
 def src18(t: Tables) -> DataFrame:
     from ..operators.policy import LEVELS
@@ -117,7 +150,7 @@ def src19(t: Tables) -> DataFrame:
     return m.select("doc_id", "split", F.get("images", F.lit(0)).alias("image"))
 
 
-@query("src20_parameters")
+@query("src20_parameters", "SELECT * FROM (VALUES ('gamma', 0.5), ('beta', 8.0), ('threshold', 0.5)) p(parameter, \"default\")")
 def src20(t: Tables) -> DataFrame:
     gates.arguments(gamma=0 <= 0.5 <= 1, k=5 >= 1)
     return t.spark.createDataFrame([("gamma", 0.5), ("beta", 8.0), ("threshold", 0.5)], "parameter string, default double")
@@ -128,6 +161,28 @@ def snk01(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "n_chars"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+@query("snk02_entities", "SELECT doc_id, quality, toxic FROM labels")
+def snk02(t: Tables) -> DataFrame:
+    """Written twice, as a later version replaces the earlier, and read with its guards."""
+    path = _folder(t, "snk02")
+    for rows in (t.labels.limit(10), t.labels):
+        writers.jsonl(rows.select("doc_id", "quality", "toxic"), path)
+    return readers.entities(t.spark, path, "doc_id long, quality long, toxic long", {"labels are 0 or 1": F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1)})
+
+
+@query("snk03_atomic_cache", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def snk03(t: Tables) -> DataFrame:
+    """A result under its fingerprint: made once, then read; an incomplete one would be made again."""
+    folder, rows = _folder(t, "snk03"), t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    print_, n = writers.fingerprint(t.documents.select("doc_id", "lang", "n_chars"), "doc_id", {"by": "lang"}), t.documents.select("lang").distinct().count()
+
+    def again() -> DataFrame:
+        raise AssertionError("the stored result isn't found")
+
+    writers.cached(t.spark, folder, print_, n, lambda: rows)
+    return writers.cached(t.spark, folder, print_, n, again)
+
+
 @query("snk04_fingerprint")
 def snk04(t: Tables) -> DataFrame:
     print_ = writers.fingerprint(t.labels.select("doc_id", "quality"), "doc_id", {"k": 5})
@@ -231,7 +286,7 @@ def flt16(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count("*").alias("n")).withColumn("complete", F.col("n") == 100)
 
 
-@query("flt12_arguments")
+@query("flt12_arguments", "SELECT 'ok' AS arguments")
 def flt12(t: Tables) -> DataFrame:
     gates.arguments(gamma=0 <= 0.9 <= 1, temperature=1.0 > 0, unique_actions=len({"a", "b"}) == 2)
     return t.spark.createDataFrame([("ok",)], "arguments string")
@@ -269,9 +324,9 @@ def jon05(t: Tables) -> DataFrame:
     return a.join(b, ["lang", "ordinal"]).select("left_id", "right_id")
 
 
-@query("jon06_cross", "SELECT r_name, n_name FROM region, (SELECT n_name FROM nation WHERE n_nationkey < 3)")
+@query("jon06_cross", "SELECT r_name, n_name FROM region, nation")
 def jon06(t: Tables) -> DataFrame:
-    return t.region.select("r_name").crossJoin(F.broadcast(t.nation.where("n_nationkey < 3").select("n_name")))
+    return t.region.select("r_name").crossJoin(F.broadcast(t.nation.select("n_name")))
 
 
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1))"
@@ -341,10 +396,10 @@ def jon13(t: Tables) -> DataFrame:
     return a.join(b, "n_regionkey").where("left_key < right_key").select("left_key", "right_key")
 
 
-@query("jon14_fuzzy_id", "WITH raw AS (SELECT p_partkey AS raw_id, p_brand AS c, left(p_name, length(p_name) - 1) AS s FROM part WHERE p_partkey <= 300), known AS (SELECT p_partkey AS k, p_brand AS c, p_name AS n FROM part) SELECT raw_id, min(k) AS resolved FROM raw JOIN known USING (c) WHERE starts_with(s, n) OR starts_with(n, s) GROUP BY raw_id HAVING count(*) = 1")
+@query("jon14_fuzzy_id", "WITH raw AS (SELECT p_partkey AS raw_id, p_brand AS c, left(p_name, length(p_name) - 1) AS s FROM part), known AS (SELECT p_partkey AS k, p_brand AS c, p_name AS n FROM part) SELECT raw_id, min(k) AS resolved FROM raw JOIN known USING (c) WHERE starts_with(s, n) OR starts_with(n, s) GROUP BY raw_id HAVING count(*) = 1")
 def jon14(t: Tables) -> DataFrame:
     known = t.part.select("p_partkey", "p_brand", F.col("p_name").alias("slug"))
-    raw = t.part.where("p_partkey <= 300").select(F.col("p_partkey").alias("raw_id"), "p_brand", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("slug"))
+    raw = t.part.select(F.col("p_partkey").alias("raw_id"), "p_brand", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("slug"))
     return retrieval.fuzzy_ids(raw, known, "raw_id", "p_partkey", "p_brand", "slug")
 
 

@@ -10,7 +10,6 @@ from ..operators import shape
 from .base import LANGS, RESPONSES, SCORED, Tables, h, long, query, r6, responses, scored
 
 WRONG = f"['de', 'en', 'es', 'fr'][(list_position(['de', 'en', 'es', 'fr'], lang) - 1 + {h('doc_id', 3)} + 1) % 4 + 1]"
-QUESTION = "left(text, 40)"
 
 
 @query("prj01_answer_split", f"SELECT doc_id, CASE WHEN contains(response, '####') THEN trim(string_split(response, chr(10) || '####')[1]) END AS reason, CASE WHEN contains(response, '####') THEN trim(string_split(response, '####')[2]) END AS final FROM ({RESPONSES}) WHERE doc_id % 8 IN (2, 4)")
@@ -20,7 +19,7 @@ def prj01(t: Tables) -> DataFrame:
 
 
 def _views(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.substring("text", 1, 40).alias("q"), F.col("source").alias("r"), F.col("lang").alias("a"))
+    d = t.documents.select("doc_id", F.col("text").alias("q"), F.col("source").alias("r"), F.col("lang").alias("a"))
     return shape.views(d, "q", "r", "a", "doc_id")
 
 
@@ -31,7 +30,7 @@ def _views(t: Tables) -> DataFrame:
 {'view': 'mixed', 'teacher_tag': CASE WHEN doc_id % 2 = 0 THEN 'cot' ELSE 'direct' END, 'n_messages': 2, 'last_content': CASE WHEN doc_id % 2 = 0 THEN c ELSE lang END},
 {'view': 'prompts_cot', 'teacher_tag': 'cot', 'n_messages': 1, 'last_content': q}, {'view': 'prompts_direct', 'teacher_tag': 'direct', 'n_messages': 1, 'last_content': q},
 {'view': 'prompts_multi', 'teacher_tag': CASE WHEN doc_id % 2 = 0 THEN 'cot' ELSE 'direct' END, 'n_messages': 1, 'last_content': q}], recursive := true)
-FROM (SELECT doc_id, lang, left(text, 40) AS q, '<think>' || source || '</think>' || lang AS c FROM documents))""",
+FROM (SELECT doc_id, lang, text AS q, '<think>' || source || '</think>' || lang AS c FROM documents))""",
 )
 def prj02(t: Tables) -> DataFrame:
     return _views(t).select("doc_id", "view", "teacher_tag", F.size("messages").cast("long").alias("n_messages"), F.element_at("messages", -1)["content"].alias("last_content"))
@@ -42,7 +41,7 @@ def prj02(t: Tables) -> DataFrame:
     f"""SELECT doc_id AS record_id, view, k AS n_rows, digest FROM (SELECT doc_id, unnest([{{'view': 'sft', 'k': 1::BIGINT, 'digest': lang}}, {{'view': 'prompts', 'k': 1, 'digest': ''}}, {{'view': 'pairwise', 'k': 1, 'digest': {WRONG}}}, {{'view': 'rm', 'k': 2, 'digest': {WRONG}}}, {{'view': 'kto', 'k': 2, 'digest': {WRONG}}}, {{'view': 'opsd', 'k': 1, 'digest': 'The answer is ' || lang || '. Explain it.'}}], recursive := true) FROM documents)""",
 )
 def prj03(t: Tables) -> DataFrame:
-    v = shape.alignment_views(t.documents.withColumn("q", F.substring("text", 1, 40)), "q", "lang", "doc_id", LANGS)
+    v = shape.alignment_views(t.documents.withColumn("q", F.col("text")), "q", "lang", "doc_id", LANGS)
     each = {
         "sft": F.first("label"),
         "prompts": F.lit(""),
@@ -89,9 +88,9 @@ def prj07(t: Tables) -> DataFrame:
     return d.select("conv_id", F.md5(F.array_join(F.transform("m", lambda x: x["content"]), "|")).alias("digest"))
 
 
-@query("prj08_template_strip", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN left(text, 50) END AS inner_text FROM documents")
+@query("prj08_template_strip", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN text END AS inner_text FROM documents")
 def prj08(t: Tables) -> DataFrame:
-    wrapped = F.concat(F.when(F.col("doc_id") % 4 != 0, "Article: ").otherwise("Text: "), F.substring("text", 1, 50), F.lit(" End."))
+    wrapped = F.concat(F.when(F.col("doc_id") % 4 != 0, "Article: ").otherwise("Text: "), F.col("text"), F.lit(" End."))
     return t.documents.select("doc_id", shape.strip_template(wrapped, "Article: ", " End.").alias("inner_text"))
 
 
@@ -100,9 +99,9 @@ def prj09(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.body(F.col("text"))).alias("digest"))
 
 
-@query("prj10_sanitise", "SELECT doc_id, replace(replace(replace('<think>' || left(text, 20) || '</think>' || chr(7), chr(7), ' '), '<think>', '＜think＞'), '</think>', '＜/think＞') AS clean FROM documents")
+@query("prj10_sanitise", "SELECT doc_id, replace(replace(replace('<think>' || text || '</think>' || chr(7), chr(7), ' '), '<think>', '＜think＞'), '</think>', '＜/think＞') AS clean FROM documents")
 def prj10(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", shape.sanitise(F.concat(F.lit("<think>"), F.substring("text", 1, 20), F.lit("</think>\x07"))).alias("clean"))
+    return t.documents.select("doc_id", shape.sanitise(F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>\x07"))).alias("clean"))
 
 
 @query("prj11_candidate_pairs", f"SELECT doc_id, c.candidate_label AS candidate_label, c.candidate_correct AS candidate_correct FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 10 = 0 THEN [{{'candidate_label': ['de', 'en', 'es', 'fr'][{h('doc_id', 4)} + 1], 'candidate_correct': false}}] ELSE [{{'candidate_label': lang, 'candidate_correct': true}}, {{'candidate_label': ['de', 'en', 'es', 'fr'][list_position(['de', 'en', 'es', 'fr'], lang) % 4 + 1], 'candidate_correct': false}}] END) AS c FROM documents)")
@@ -165,18 +164,18 @@ def prj21(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(shape.clue(c)).alias("digest"))
 
 
-@query("prj22_prompt_template", "SELECT doc_id, 'Language ' || lang || ', source ' || source || ': ' || left(text, 30) || '?' AS prompt FROM documents")
+@query("prj22_prompt_template", "SELECT doc_id, 'Language ' || lang || ', source ' || source || ': ' || text || '?' AS prompt FROM documents")
 def prj22(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.format_string("Language %s, source %s: %s?", "lang", "source", F.substring("text", 1, 30)).alias("prompt"))
+    return t.documents.select("doc_id", F.format_string("Language %s, source %s: %s?", "lang", "source", "text").alias("prompt"))
 
 
-@query("prj23_multimodal", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'choice' END AS modality, (CASE doc_id % 3 WHEN 0 THEN '' ELSE '<image>' END || left(text, 20) || CASE doc_id % 3 WHEN 2 THEN chr(10) || 'A' || chr(10) || 'B' ELSE '' END) AS content, CASE WHEN doc_id % 3 = 2 THEN 2 END AS n_options FROM documents")
+@query("prj23_multimodal", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'choice' END AS modality, (CASE doc_id % 3 WHEN 0 THEN '' ELSE '<image>' END || text || CASE doc_id % 3 WHEN 2 THEN chr(10) || 'A' || chr(10) || 'B' ELSE '' END) AS content, CASE WHEN doc_id % 3 = 2 THEN 2 END AS n_options FROM documents")
 def prj23(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3
     none = F.array().cast("array<string>")
     options = F.when(k == 2, F.array(F.lit("A"), F.lit("B"))).otherwise(none)
     images = F.when(k == 0, none).otherwise(F.array(F.lit("a.png")))
-    d = shape.multimodal(t.documents.select("doc_id", "text"), F.substring("text", 1, 20), options, images, F.when(k == 0, "text").when(k == 1, "image").otherwise("choice"))
+    d = shape.multimodal(t.documents.select("doc_id", "text"), F.col("text"), options, images, F.when(k == 0, "text").when(k == 1, "image").otherwise("choice"))
     return d.select("doc_id", "modality", F.get("messages", F.lit(0))["content"].alias("content"), F.when(F.col("options").isNotNull(), F.size("options")).alias("n_options"))
 
 

@@ -19,22 +19,46 @@ def _steps(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").cast("long").alias("user_id"), "event_id", "event_type", (F.col("value") / 100).alias("value"))
 
 
-@query("stm03_trajectory")
+WORTH = " ".join(f"WHEN '{a}' THEN {r}" for a, r in PROTOCOL.rewards.items())
+TRACE = f"""first AS (SELECT user_id, event_id, event_type, value / 100 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events QUALIFY step <= {PROTOCOL.max_steps}),
+ended AS (SELECT *, min(CASE WHEN event_type = '{PROTOCOL.final}' THEN step END) OVER (PARTITION BY user_id) AS fin FROM first),
+kept AS (SELECT *, CASE event_type {WORTH} END AS worth, row_number() OVER (PARTITION BY user_id, event_type ORDER BY step) > 1 AS again FROM ended WHERE fin IS NULL OR step <= fin),
+trace AS (SELECT user_id, step, event_id AS \"at\", event_type AS action, CASE WHEN worth IS NULL THEN {PROTOCOL.invalid_penalty} ELSE worth * v + CASE WHEN again THEN {PROTOCOL.repeat_penalty} ELSE 0 END END + CASE WHEN step >= {PROTOCOL.max_steps} AND event_type <> '{PROTOCOL.final}' THEN {PROTOCOL.timeout_penalty} ELSE 0 END AS reward,
+event_type = '{PROTOCOL.final}' OR step >= {PROTOCOL.max_steps} AS done, worth IS NULL AS invalid FROM kept)"""
+REPLAY = f"WITH {TRACE} SELECT user_id, max(step) AS steps, bool_or(done) AS done, round(sum(reward), 6) AS total_reward, count(*) FILTER (invalid) AS n_invalid FROM trace GROUP BY user_id"
+
+
+@query("stm03_trajectory", REPLAY)
 def stm03(t: Tables) -> DataFrame:
-    return trajectory.replay(_steps(t), PROTOCOL, "user_id", "event_id", "event_type", "value")
+    return trajectory.replay(_steps(t), PROTOCOL, "user_id", "event_id", "event_type", "value").withColumn("total_reward", r6(F.col("total_reward")))
 
 
-@query("stm06_step_trace")
+@query("stm06_step_trace", f"WITH {TRACE} SELECT user_id, step, \"at\", action, round(reward, 6) AS reward, round(sum(reward) OVER (PARTITION BY user_id ORDER BY step), 6) AS total, done, invalid FROM trace")
 def stm06(t: Tables) -> DataFrame:
-    return trajectory.trace(_steps(t), PROTOCOL, "user_id", "event_id", "event_type", "value")
+    return trajectory.trace(_steps(t), PROTOCOL, "user_id", "event_id", "event_type", "value").withColumns({"reward": r6(F.col("reward")), "total": r6(F.col("total"))})
+
+
+def _expert_sql() -> str:
+    s, said = trajectory.Episode(), []
+    while not s.done:
+        a = PROTOCOL.next_action(s)
+        said.append((2 * s.steps, "assistant", f'<think>step {s.steps + 1}</think>{{"action":"{a}"}}'))
+        r = PROTOCOL.step(s, a, 1.0)
+        said.append((2 * s.steps - 1, "user", f"reward {r:.2f}"))
+    return f"SELECT user_id, turn, role, content FROM (SELECT DISTINCT user_id FROM events), (VALUES {', '.join(map(str, said))}) m(turn, role, content)"
 
 
-@query("stm08_expert_policy")
+@query("stm08_expert_policy", _expert_sql())
 def stm08(t: Tables) -> DataFrame:
     return trajectory.expert(t.events.select(F.col("user_id").cast("long").alias("user_id")).distinct(), PROTOCOL, "user_id")
 
 
-query("prj27_expert_messages")(lambda t: stm08(t))
+@query("prj27_expert_messages", f"SELECT user_id, count(*) AS n_messages, string_agg(role, ',' ORDER BY turn) AS roles, string_agg(content, chr(10) ORDER BY turn) AS conversation FROM ({_expert_sql()}) GROUP BY user_id")
+def prj27(t: Tables) -> DataFrame:
+    """The expert's messages as one training row for each key."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    d = stm08(t).groupBy("user_id").agg(said.alias("m"))
+    return d.select("user_id", long(F.size("m")).alias("n_messages"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.array_join(F.transform("m", lambda x: x["content"]), "\n").alias("conversation"))
 
 
 @query("stm02_stage_windows", f"SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n, round(max(value), 6) AS peak, round(avg(value), 6) AS mean FROM events GROUP BY time_bucket(INTERVAL '6 hours', ts)")
@@ -52,7 +76,7 @@ def stm04(t: Tables) -> DataFrame:
     return memory.simulate(memory.betas(t.spark, (0, 2, 8), range(4)), WORLD, episodes=30)
 
 
-@query("stm05_rounds")
+@query("stm05_rounds", "SELECT DISTINCT user_id, (user_id % 4 + 1)::INTEGER AS turns, true AS done FROM events")
 def stm05(t: Tables) -> DataFrame:
     shared_folder(t.spark)
     start = t.events.select("user_id").distinct().select("user_id", F.lit(0).alias("turns"), (F.col("user_id") < 0).alias("done"))
@@ -76,7 +100,7 @@ def _event_stream(t: Tables) -> DataFrame:
 def stm01(t: Tables) -> DataFrame:
     from .. import streaming
 
-    found = streaming.run_available(streaming.window_summary(_event_stream(t), "ts", "value", "1 day", "40 days"), _run_folder(t), f"stm01_{abs(hash(t.sf_dir))}", "complete")
+    found = streaming.run_available(streaming.window_summary(_event_stream(t), "ts", "value", "1 day", "40 days"), _run_folder(t), "complete")
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", r6(F.col("peak")).alias("peak"), r6(F.col("mean")).alias("mean"))
 
 
@@ -84,25 +108,27 @@ def stm01(t: Tables) -> DataFrame:
 def src13(t: Tables) -> DataFrame:
     from .. import streaming
 
-    return streaming.run_available(_event_stream(t).groupBy("event_type").agg(F.count("*").alias("n")), _run_folder(t), f"src13_{abs(hash(t.sf_dir))}", "complete")
+    return streaming.run_available(_event_stream(t).groupBy("event_type").agg(F.count("*").alias("n")), _run_folder(t), "complete")
 
 
-@query("udf04_environment_stream")
+@query("udf04_environment_stream", REPLAY)
 def udf04(t: Tables) -> DataFrame:
     from .. import streaming
 
     trajectory.environment("shop", PROTOCOL)
     steps = _event_stream(t).select(F.col("user_id").cast("long").alias("user_id"), "event_id", "event_type", (F.col("value") / 100).alias("value"))
-    return streaming.run_available(streaming.trajectories(steps, trajectory.environment("shop"), "user_id", "event_id", "event_type", "value"), _run_folder(t), f"udf04_{abs(hash(t.sf_dir))}", "update")
+    found = streaming.run_available(streaming.trajectories(steps, trajectory.environment("shop"), "user_id", "event_id", "event_type", "value"), _run_folder(t), "update")
+    last = found.groupBy("user_id").agg(F.max_by(F.struct("steps", "done", "total_reward", "n_invalid"), "batch").alias("s"))
+    return last.select("user_id", "s.steps", "s.done", r6(F.col("s.total_reward")).alias("total_reward"), "s.n_invalid")
 
 
-@query("udf06_backend_factory")
+@query("udf06_backend_factory", "SELECT doc_id, coalesce(regexp_extract(text, '[^\\s]+'), '') AS text FROM documents")
 def udf06(t: Tables) -> DataFrame:
     from ..sources.readers import backend, generated
     from .relations import EchoClient
 
     backend("echo", EchoClient)
-    return generated(t.documents.select("doc_id", F.substring("text", 1, 40).alias("prompt")), backend("echo"), "doc_id", "prompt").select("doc_id", "text")
+    return generated(t.documents.select("doc_id", F.col("text").alias("prompt")), backend("echo"), "doc_id", "prompt").select("doc_id", "text")
 
 
 @query("udf08_builtin_aggregates", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars, array_to_string(list_sort(list(DISTINCT source))[1:3], ',') AS sources FROM documents GROUP BY lang")
@@ -138,14 +164,24 @@ def udf05(t: Tables) -> DataFrame:
     return registry.apply(responses(t), ["answer_accuracy"], response="response", label="lang").select("doc_id", F.col("answer_accuracy").alias("reward"))
 
 
-@query("udf09_batched_inference")
+@query("udf09_batched_inference", "SELECT doc_id, coalesce(regexp_extract(text, '[^\\s]+'), '') AS text, -0.5 AS mean_logprob, len(regexp_extract_all(text, '[^\\s]+')) AS prompt_tokens, 1 AS completion_tokens FROM documents")
 def udf09(t: Tables) -> DataFrame:
     from ..sources.readers import generated
     from .relations import EchoClient
 
-    return generated(t.documents.select("doc_id", F.substring("text", 1, 80).alias("prompt")), EchoClient, "doc_id", "prompt", 32).drop("elapsed_seconds")
+    return generated(t.documents.select("doc_id", F.col("text").alias("prompt")), EchoClient, "doc_id", "prompt", 32).drop("elapsed_seconds")
 
 
-@query("udf02_async_reward")
+@query("udf02_async_reward", f"SELECT doc_id, least(length(response) / 1e2, 1.0)::DOUBLE AS score FROM ({RESPONSES})")
 def udf02(t: Tables) -> DataFrame:
     return registry.async_scores(responses(t).select("doc_id", "response"), "doc_id", "response", registry.LengthJudge)
+
+
+@query("snk09_append_log", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def snk09(t: Tables) -> DataFrame:
+    """The stream's rows appended to a log, and read from there."""
+    from .. import streaming
+
+    folder, steps = _run_folder(t), _event_stream(t).select("event_id", "event_type", "value")
+    streaming.append_log(steps, f"{folder}/log", f"{folder}/checkpoint")
+    return t.spark.read.schema(steps.schema).json(f"{folder}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -146,11 +146,11 @@ def set02(t: Tables) -> DataFrame:
     return datasets.set_relations(t.documents, t.labels, "doc_id")
 
 
-@query("set03_ordered_distinct", "SELECT doc_id, array_to_string(list_filter(w, lambda v, i: list_position(w, v) = i), ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)[1:12] AS w FROM documents)")
+@query("set03_ordered_distinct", "WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) AS w FROM documents)), f AS (SELECT doc_id, word, min(i) AS i FROM w GROUP BY ALL), s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) SELECT doc_id, md5(coalesce(words, '')) AS digest FROM documents LEFT JOIN s USING (doc_id)")
 def set03(t: Tables) -> DataFrame:
     from ..functions.text import words
 
-    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.slice(words(F.col("text")), 1, 12)), " ").alias("head"))
+    return t.documents.select("doc_id", F.md5(F.array_join(F.array_distinct(words(F.col("text"))), " ")).alias("digest"))
 
 
 @query("set04_row_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT text FROM documents)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
+import tarfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,27 @@ def jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header, every text quoted and quotes doubled, so that line feeds and blanks stay."""
+    rows.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def tar(spark: SparkSession, path: str, files: dict[str, bytes]) -> None:
+    """An archive of a few small files, made on the driver and written to where Spark can read it."""
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w") as out:
+        for name, content in files.items():
+            member = tarfile.TarInfo(name)
+            member.size = len(content)
+            out.addfile(member, io.BytesIO(content))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        stream.write(bytearray(held.getvalue()))
+    finally:
+        stream.close()
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(file, rows, bytes, sha256) of a folder's text files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -70,11 +70,29 @@ def deduplicated(events: DataFrame, ts: str, keys: list[str], late: str) -> Data
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Works off what is there and returns the result as a table in memory, for small results."""
-    spark = stream.sparkSession
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Works off what is there; the result is Parquet in a folder that driver and executors share.
+
+    Each batch has a folder of its own that a repeated batch overwrites, so a
+    restart writes nothing twice.  In complete mode the last batch is the result,
+    otherwise all rows of all batches, with the column ``batch``.
+    """
+    spark, out = stream.sparkSession, f"{folder.rstrip('/')}/out"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    try:
+        d = spark.read.parquet(out)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], stream.schema)  # nothing came, so there was no batch
+    if mode != "complete":
+        return d
+    last = d.agg(F.max("batch").alias("b")).first()["b"]
+    return d.where(F.col("batch") == last).drop("batch")
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> None:

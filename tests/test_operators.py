@@ -252,7 +252,7 @@ def test_streamed_trajectories_equal_batch(spark, tmp_path):
     for t in range(5):
         d.where(F.col("t") == t).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = streaming.run_available(streaming.trajectories(stream, p, "k", "t", "a", "v"), str(tmp_path / "ck"), "streamed", "update")
+    found = streaming.run_available(streaming.trajectories(stream, p, "k", "t", "a", "v"), str(tmp_path / "run"), "update")
     last = found.groupBy("k").agg(F.max_by(F.struct("steps", "total_reward"), "steps").alias("l")).select("k", "l.*")
     want = {r.k: (r.steps, round(r.total_reward, 9)) for r in trajectory.replay(d, p, "k", "t", "a", "v").collect()}
     assert {r.k: r.steps for r in last.collect()} == {k: v[0] for k, v in want.items()}
@@ -274,7 +274,7 @@ def test_online_memory_stream(spark, tmp_path):
     d = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 3.0), ("s", "b", 5.0)], "s string, a string, v double")
     d.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    got = streaming.run_available(streaming.remembered(stream, "s", "a", "v"), str(tmp_path / "ck"), "memory_table", "update").collect()
+    got = streaming.run_available(streaming.remembered(stream, "s", "a", "v"), str(tmp_path / "run"), "update").collect()
     assert {(r.a, r.n, r["mean"]) for r in got} == {("a", 2, 2.0), ("b", 1, 5.0)}
 
 
