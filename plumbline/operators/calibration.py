@@ -97,10 +97,21 @@ def risk_threshold(rows: DataFrame, confidence: str, target: str, max_risk: floa
     )
 
 
+def percentiles(rows: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row: total and q<percent> for each share, between neighbouring values by a line; from running counts, so no task holds all values."""
+    d = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("k"))
+    total = d.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"))
+    d = running(d, "_v", ["k"]).crossJoin(F.broadcast(total))
+    at = lambda place: F.min(F.when(F.col("to_k") > place, F.col("_v")))
+    ends = [f(F.lit(p) * (F.col("total") - 1)) for p in shares for f in (F.floor, F.ceil)]
+    r = d.agg(F.max("total").alias("total"), *(at(e).alias(f"_{k}") for k, e in enumerate(ends)))
+    part = lambda k, p: F.col(f"_{2 * k}") + (F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))) * (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}"))
+    return r.select(F.coalesce("total", F.lit(0)).alias("total"), *(part(k, p).alias(f"q{round(p * 100)}") for k, p in enumerate(shares)))
+
+
 def route_thresholds(rows: DataFrame, confidence: str, target: str, precision: float = 0.9) -> DataFrame:
     """High: the least threshold that keeps the precision over max(5, 10 %) rows, else the 75 % quantile.  Low: the 30 % quantile; 20 and 80 % where the two would cross."""
-    c = F.col(confidence)
-    q = rows.agg(F.count("*").alias("total"), *(F.percentile(c, F.lit(p)).alias(f"q{round(p * 100)}") for p in (0.2, 0.3, 0.75, 0.8)))
+    q = percentiles(rows, confidence, (0.2, 0.3, 0.75, 0.8))
     t = by_threshold(rows, confidence, target).crossJoin(F.broadcast(q))
     enough = F.col("n") >= F.greatest(F.lit(5), F.ceil(F.col("total") * 0.1))
     good = t.where(enough & (1 - F.col("errors") / F.col("n") >= precision)).agg(F.min("threshold").alias("found"))

@@ -82,8 +82,9 @@ def hash_split(rows: DataFrame, key: str, parts: dict[str, int], seed: int = 42)
 
 
 def positional(rows: DataFrame, key: str, ranges: dict[str, tuple[int, int]]) -> DataFrame:
-    """Splits by place in key order, [from, to)."""
-    r = rows.withColumn("_at", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)) - 1)
+    """Splits by place in key order, [from, to).  No row beyond the last place is numbered; the places are parameters, not the table's size."""
+    first = rows.orderBy(key).limit(max(b for _, b in ranges.values()))
+    r = first.withColumn("_at", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(key)) - 1)
     each = F.array_compact(F.array(*(F.when((F.col("_at") >= a) & (F.col("_at") < b), F.lit(name)) for name, (a, b) in ranges.items())))
     return r.withColumn("split", F.explode(each)).drop("_at")
 

@@ -129,5 +129,7 @@ def key_sets_equal(a: DataFrame, b: DataFrame, key: str, show: int = 10) -> Data
     x, y = a.select(key).distinct(), b.select(key).distinct()
     side = lambda l, r, name: l.join(r, key, "left_anti").select(F.lit(name).alias("missing_in"), F.col(key).alias("_k"))
     d = side(x, y, "right").unionByName(side(y, x, "left"))
-    d = d.withColumn("_r", F.row_number().over(W.partitionBy("missing_in").orderBy("_k")))
-    return d.groupBy("missing_in").agg(F.count("*").alias("n_missing"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= show, F.col("_k")))).cast("array<string>"), ",").alias("examples"))
+    # the first few of a side are cut from each partition before they meet
+    first = d.withColumn("_r", F.row_number().over(W.partitionBy("missing_in").orderBy("_k"))).where(F.col("_r") <= show)
+    shown = first.groupBy("missing_in").agg(F.array_join(F.array_sort(F.collect_list("_k")).cast("array<string>"), ",").alias("examples"))
+    return d.groupBy("missing_in").agg(F.count("*").alias("n_missing")).join(shown, "missing_in").select("missing_in", "n_missing", "examples")

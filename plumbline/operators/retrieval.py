@@ -2,12 +2,17 @@
 
 Queries and rules are the small side.  Everything joins on tokens, so work
 follows the postings that queries touch; only dense search compares each query
-with each vector, as it must, and takes its queries in broadcast blocks of a
+with each vector, as it must: by matrix products over blocks of queries of a
 checked size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,27 +83,90 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
-#: Queries of dense search that are broadcast at once, by hash blocks that differ a little in size.
-MAX_QUERY_ROWS = 20_000
+#: Queries of dense search that go to the executors at once, by hash blocks that differ a little in size, and numbers in them.
+MAX_QUERY_ROWS, MAX_QUERY_NUMBERS = 20_000, 8_000_000
+#: Scores that are held at once.
+SCORES = 4_000_000
 
 
-def query_blocks(queries: DataFrame, query_key: str) -> list[DataFrame]:
-    """The queries in parts of about ``MAX_QUERY_ROWS`` rows at most, by hash of their key; one part if they fit."""
-    rows = queries.count()
-    n = -(-rows * 5 // (MAX_QUERY_ROWS * 4)) if rows > MAX_QUERY_ROWS else 1
+def query_blocks(queries: DataFrame, query_key: str, width: int = 1) -> list[DataFrame]:
+    """The queries in parts of about ``MAX_QUERY_ROWS`` rows and ``MAX_QUERY_NUMBERS`` numbers at most, by hash of their key; one part if they fit."""
+    rows, most = queries.count(), max(1, min(MAX_QUERY_ROWS, MAX_QUERY_NUMBERS // max(width, 1)))
+    n = -(-rows * 5 // (most * 4)) if rows > most else 1
     return [queries.where(F.pmod(F.xxhash64(query_key), F.lit(n)) == k) for k in range(n)] if n > 1 else [queries]
 
 
+def _units(values: np.ndarray) -> np.ndarray:
+    return values / np.maximum(np.sqrt((values * values).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _matrix(ids: pa.Array, vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows that have an id and ``width`` numbers."""
+    fits = pc.and_(pc.and_(pc.is_valid(ids), pc.is_valid(vectors)), pc.equal(pc.fill_null(pc.list_value_length(vectors), -1), width))
+    ids, vectors = ids.filter(fits), vectors.filter(fits)
+    return ids.to_numpy(zero_copy_only=False).astype(np.int64), _units(vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
+
+
+class _Nearest:
+    """The best k of the vectors seen so far for each query, by rounded cosine, then least id."""
+
+    def __init__(self, ids: np.ndarray, units: np.ndarray, k: int):
+        self.ids, self.units, self.k = ids, units, k
+        self.best = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, units: np.ndarray) -> None:
+        step = max(1, SCORES // max(len(self.ids), 1))
+        for at in range(0, len(ids), step):
+            here = ids[at : at + step]
+            scores = np.round(self.units @ units[at : at + step].T, 9)
+            scores[self.ids[:, None] == here[None, :]] = -np.inf  # a vector isn't its own neighbour
+            least = self.best[:, -1]
+            if len(here) > self.k:  # what isn't among the part's best can't be among the best
+                least = np.maximum(least, np.partition(scores, len(here) - self.k, axis=1)[:, len(here) - self.k])
+            q, r = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            if len(q):
+                self._merge(q, scores[q, r], here[r])
+
+    def _merge(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        some = np.unique(q)
+        owner = np.concatenate((np.repeat(some, self.k), q))
+        value, name = np.concatenate((self.best[some].ravel(), scores)), np.concatenate((self.found[some].ravel(), ids))
+        order = np.lexsort((name, -value, owner))
+        owner, value, name = owner[order], value[order], name[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        keep = rank < self.k
+        self.best[owner[keep], rank[keep]], self.found[owner[keep], rank[keep]] = value[keep], name[keep]
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str, query_vector: str, k: int) -> DataFrame:
-    """Top k neighbours of each query; more than ``MAX_QUERY_ROWS`` queries go by blocks, each against all vectors."""
-    out = None
-    for block in query_blocks(queries.select(query_key, query_vector), query_key):
-        pairs = vectors.select(key, vector).crossJoin(F.broadcast(block)).where(F.col(key) != F.col(query_key))
-        scored = pairs.select(query_key, key, cosine(F.col(vector), F.col(query_vector)).alias("cosine"))
+    """(query_key, key, cosine, rank): top k neighbours of each query among all vectors, itself left out; keys are longs.
+
+    Queries go in blocks of bounded size, each against all vectors in one narrow
+    pass: a partition holds the best k for each query and hands on nothing else.
+    Rows without a vector, or with one of another length than most, have no
+    neighbours and are none.
+    """
+    q = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    size = q.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
+    v = vectors.select(F.col(key).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    schema, out = "q long, i long, cosine double", None
+    for block in query_blocks(q, "q", size["n"] if size else 1):
+        rows = block.where("q IS NOT NULL AND v IS NOT NULL").where(F.size("v") == (size["n"] if size else 0)).collect()
+        ids = np.array([r["q"] for r in rows], np.int64)
+        units = _units(np.array([r["v"] for r in rows], float).reshape(len(rows), -1)) if rows and size["n"] else np.zeros((0, 1))
+
+        def near(batches: Iterator[pa.RecordBatch], ids=ids, units=units, width=units.shape[1]) -> Iterator[pa.RecordBatch]:
+            best = _Nearest(ids[: len(units)], units, k)
+            for batch in batches:
+                best.see(*_matrix(batch.column(0), batch.column(1), width))
+            q, r = np.nonzero(best.best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, r]), pa.array(best.best[q, r])], ["q", "i", "cosine"])
+
         # a query is in one block, so its top k is whole
-        part = top_k(scored, query_key, k, F.round("cosine", 9).desc(), F.col(key))
+        part = top_k(v.mapInArrow(near, schema), "q", k, F.col("cosine").desc(), F.col("i"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(F.col("q").alias(query_key), F.col("i").alias(key), "cosine", "rank")
 
 
 def _grams(docs: DataFrame, key: str, parts: Column, n: int, of_words: bool) -> DataFrame:

@@ -176,9 +176,9 @@ def multimodal(rows: DataFrame, question: Column, options: Column, images: Colum
 
 
 def cloned(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows repeated up to ``n`` rows, with a new id each."""
-    count = rows.count()
-    ranked = with_ordinal(rows, [key], name="_at")
+    """The rows repeated up to ``n`` rows, with a new id each; of more than ``n`` rows the first."""
+    count = min(rows.count(), n)
+    ranked = with_ordinal(rows.orderBy(key).limit(n), [key], name="_at")
     ids = rows.sparkSession.range(n).withColumn("_at", (F.col("id") % max(count, 1)).cast("int"))
     return ids.join(ranked, "_at").select(F.format_string("clone-%05d", F.col("id")).alias("clone_id"), *rows.columns)
 
