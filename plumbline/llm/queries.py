@@ -60,5 +60,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.oracle(),
+    "op9_substring": substring.ORACLE,
     "op10_licenses": licenses.ORACLE,
 }

@@ -287,3 +287,16 @@ def digest(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         return pa.table({"doc_id": ids, "n_words": pa.array(chunk.text.n_words), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())})
 
     return _parse(docs, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string", chunk_bytes)
+
+
+#: The rows of ``digest`` by looking up every window, without a parse.
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i+{WINDOW - 1}], ' ')) AS s FROM w WHERE len(w) >= {WINDOW}),
+g AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM s),
+first AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM g JOIN first USING (s) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
