@@ -298,11 +298,14 @@ over_responses("mth07_judge_score", r"coalesce(try_cast(list_last(regexp_extract
 over_documents("mth08_blend", f"round(0.52 * {UNIT} + 0.38 * {h('lang', 100)} / 1e2 + 0.10 * (doc_id % 2), 6) AS blend", blend=lambda: r6(scores.blend(a=(0.52, _unit()), b=(0.38, scores.hash_unit(F.col("lang"), 100)), c=(0.10, _parity()))))
 
 
-@query("mth09_exact_arithmetic")
+@query(
+    "mth09_exact_arithmetic",
+    "WITH d AS (SELECT doc_id, doc_id % 40 + 1 AS n, doc_id % 7 AS k FROM documents), e AS (SELECT doc_id, n, unnest(range(0, least(n, k) + 1)) AS i FROM d) SELECT doc_id, round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))), 9) AS tail FROM e GROUP BY doc_id",
+)
 def mth09(t: Tables) -> DataFrame:
     from ..functions.equations import binomial_tail
 
-    return binomial_tail(t.documents.select("doc_id", (F.col("doc_id") % 40 + 1).alias("n"), (F.col("doc_id") % 7).alias("k")), "doc_id")
+    return binomial_tail(t.documents.select("doc_id", (F.col("doc_id") % 40 + 1).alias("n"), (F.col("doc_id") % 7).alias("k")), "doc_id").withColumn("tail", F.round("tail", 9))
 
 
 @query("tim01_iso_epoch", "SELECT event_id, round(epoch_us(ts) / 1e6, 3) AS epoch FROM events")
