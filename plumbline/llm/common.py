@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -40,6 +40,22 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Shares of a key's rows, where a side of keys is too large to be broadcast and one key may hold most rows.
+SALTS = 64
+
+
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """Rows with what ``side`` says on their keys, one row for each: by broadcast if those are few, else by key and share of its rows."""
+    side = keep(side)
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), keys, how)
+    share = "_share"
+    while share in rows.columns or share in side.columns:
+        share += "_"
+    shared = side.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(share, F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(shared, [*keys, share], how).drop(share)
+
+
 def shuffle_width(spark: SparkSession, units: int, per_task: int) -> int:
     """Partitions so that one holds about ``per_task`` units, and no fewer than the session's."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(units) // per_task), 1)

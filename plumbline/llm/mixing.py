@@ -8,8 +8,8 @@ children in the order of capacity by weight gives this in one window per level.
 
 A leaf's budget is spent in epochs.  Whole epochs take each document once; the
 rest is a prefix, in tokens, of the next epoch's seeded order.  The prefix is
-found from token sums of hash bins, and row by row only in the bin where it
-ends, so no task holds a leaf.
+found from token sums of hash bins, which grow in number with the rows, and row by row
+only in the bin where it ends, so no task holds a leaf.
 
 Defined results: null names are one child, ``(none)``; unlisted names weigh
 ``default_weight``; a null text has no tokens; an empty table gives no rows;
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, small_side
+from .common import WORD, keep, meet
 
 DOMAINS: dict[str, tuple[str, ...]] = {
     "web": ("src0", "src1", "src2", "src3", "src4"),
@@ -94,6 +94,14 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
 
 
+def bin_digits(rows: int) -> int:
+    """Hexadecimal digits of the order by which rows are counted out, so that a leaf's last bin holds about 65,536 of them at most."""
+    digits = BIN_DIGITS
+    while rows >> (4 * digits) > 1 << 16:
+        digits += 1
+    return digits
+
+
 def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, seed: int = 42, domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANGUAGE_WEIGHTS, source_weights: Mapping[str, int] | None = None, domains: Mapping[str, tuple[str, ...]] = DOMAINS) -> tuple[DataFrame, DataFrame]:
     """(rows, cuts): rows are doc_id, leaf and tokens; cuts have each leaf's whole epochs and the last order of its prefix."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -103,8 +111,8 @@ def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, see
     spent = (
         budgets.withColumn("epochs", F.expr("CASE WHEN tokens > 0 THEN given div tokens ELSE 0 END")).withColumn("rest", F.expr("CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END")).select(*LEVELS, "epochs", "rest")
     )
-    spent = small_side(spent)
-    ordered = rows.join(spent, list(LEVELS)).withColumn("order", _order(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bin", F.substring("order", 1, BIN_DIGITS))
+    spent = keep(spent)
+    ordered = meet(rows, spent, list(LEVELS), F.col("doc_id")).withColumn("order", _order(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bin", F.substring("order", 1, bin_digits(rows.count())))
     bins = ordered.groupBy(*LEVELS, "bin", "rest").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     bins = keep(bins.withColumn("upto", upto))
@@ -119,7 +127,7 @@ def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, see
 def mix(docs: DataFrame, numerator: int = 3, denominator: int = 5, max_epochs: int = 2, seed: int = 42, **tree: Mapping) -> DataFrame:
     """The documents taken: doc_id, domain, lang, source, n_tokens, copies."""
     rows, cuts = plan(docs, numerator, denominator, max_epochs, seed, **tree)
-    return rows.join(small_side(cuts), list(LEVELS)).withColumn("copies", _copies(seed, F.col("doc_id"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    return meet(rows, cuts, list(LEVELS), F.col("doc_id")).withColumn("copies", _copies(seed, F.col("doc_id"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
 def _copies(seed: int, doc_id: Column) -> Column:
@@ -136,7 +144,7 @@ def mix_rows(docs: DataFrame, numerator: int, denominator: int, seed: int = 42,
     cuts = cuts.select(*(F.col(x).alias(f"{p}{x}") for x in (*LEVELS, "epochs", "cut")))
     taken = F.coalesce(_order(seed, F.col(f"{p}epochs"), F.col("doc_id")) <= F.col(f"{p}cut"), F.lit(False))
     whole = F.col(f"{p}epochs") > 0
-    return named(docs, prefix=p).join(small_side(cuts), [f"{p}{x}" for x in LEVELS]).where(whole | taken).select(*docs.columns)
+    return meet(named(docs, prefix=p), cuts, [f"{p}{x}" for x in LEVELS], F.col("doc_id")).where(whole | taken).select(*docs.columns)
 
 
 def _case(column: str, weights: Mapping[str, int]) -> str:

@@ -606,6 +606,20 @@ def test_mixing_rows_agree(spark, documents):
     assert 0.6 * n < len(taken) < n
 
 
+def test_mixing_many_leaves(spark, documents):
+    """Leaves that are too many to be broadcast meet rows by shares; bins grow with the rows."""
+    from plumbline.llm import common
+
+    want = sorted(map(str, mixing.mix(documents).collect())), sorted(r.doc_id for r in mixing.mix_rows(documents, 1, 2).collect())
+    few = common.BROADCAST_ROWS
+    try:
+        common.BROADCAST_ROWS = 0
+        assert (sorted(map(str, mixing.mix(documents).collect())), sorted(r.doc_id for r in mixing.mix_rows(documents, 1, 2).collect())) == want
+    finally:
+        common.BROADCAST_ROWS = few
+    assert [mixing.bin_digits(n) for n in (0, 1000, 16**3 << 16, (16**3 << 16) * 2, 5 * 10**10)] == [3, 3, 3, 4, 5]
+
+
 def test_clashing_columns(spark):
     """Columns of the names that stages use inside come through unchanged."""
     docs = awkward(spark).selectExpr("*", "'c' AS _cut", "1 AS _epochs", "'d' AS __domain", "2 AS component_id", "3 AS a", "4 AS root")

@@ -62,6 +62,28 @@ def test_run_is_the_chain(spark, chain):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, chain[5]))
 
 
+def test_awkward_rows(spark):
+    """Null and empty texts, repeated rows, ties, null ids and a very long text through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(40).collect()
+    long = " ".join(r.text for r in some) * 20
+    extra = [(None, None, None, None, None), (1, None, "en", "src1", 0), (2, "", "en", "src1", 0), (None, some[5].text, "en", "src2", 1), (None, some[5].text, "en", "src2", 1), (900_001, long, "en", "src3", len(long))]
+    rows = [tuple(r) for r in some] + [tuple(r) for r in some[:10]] + extra
+    at = spark.createDataFrame(rows, docs.schema).repartition(6)
+    texts = {r[1] for r in rows}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = at.collect()
+        got = stage(spark, at, SF).collect()
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert {tuple(r) for r in got} <= {tuple(r) for r in before}
+            at = spark.createDataFrame(got, docs.schema)
+        else:
+            assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((r.doc_id or 0, r.text) for r in before)
+        if k == 1:  # one row of each class
+            assert len({r.text for r in got}) == len(got) and {r.text for r in got} <= texts
+    assert got
+
+
 def test_empty_input(spark):
     docs = spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema)
     for _, stage in corpus_pipeline.STAGES:
