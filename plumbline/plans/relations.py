@@ -195,7 +195,7 @@ def snk06(t: Tables) -> DataFrame:
     return d.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-@query("snk07_markdown")
+@query("snk07_markdown", "SELECT '| lang | n | mean |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || lang || ' | ' || n || ' | ' || printf('%.1f', mean) || ' |', chr(10) ORDER BY lang) AS markdown FROM (SELECT lang, count(*) AS n, avg(n_chars) AS mean FROM documents GROUP BY lang)")
 def snk07(t: Tables) -> DataFrame:
     table = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")).orderBy("lang")
     return t.spark.createDataFrame([(writers.markdown(table, {"mean": ".1f"}),)], "markdown string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import streaming
 from plumbline.functions import equations, hashing, scores, text
 from plumbline.functions.json import scan_object
-from plumbline.operators import calibration, datasets, gates, memory, metrics, policy, retrieval, series, shape, stats, trajectory
+from plumbline.operators import agent, calibration, datasets, gates, memory, metrics, policy, retrieval, series, shape, stats, trajectory
 from plumbline.sources import readers, writers
 
 
@@ -592,3 +592,75 @@ def test_views(spark):
     assert len(v) == 12 and {x.teacher_tag for x in v if x.view == "mixed"} == {"cot", "direct"}
     r = one(spark, right=shape.strip_template(F.lit("<a>b</a>"), "<a>", "</a>"), wrong=shape.strip_template(F.lit("b"), "<a>", "</a>"), wide=scores.other_label(["x", "y"], F.lit("x"), F.lit("k")))
     assert (r.right, r.wrong, r.wide) == ("b", None, "y")
+
+
+def agent_base():
+    rules = [("R1", "C1", "stock market prices", ["stock", "market"], 90), ("R2", "C1", "stock market old", ["stock"], 10), ("R3", "C2", "football match", ["football"], 50), ("R4", "C3", "bank loans market", ["bank"], 95)]
+    return agent.RuleBase([dict(zip(("rule_id", "canonical_id", "text", "keywords", "priority"), r, strict=True)) for r in rules])
+
+
+def say(tool, thought=True, **arguments):
+    return ("<think>so</think>" if thought else "") + "<action>" + json.dumps({"tool": tool, "arguments": arguments}) + "</action>"
+
+
+def test_agent_episode_by_hand():
+    """STM-03, STM-06: rewards of each event of one case."""
+    base, labels = agent_base(), ("finance", "sport")
+    e = agent.Episode(base, agent.Case("decision", "stock market falls as bank fails", "finance", ("C1", "C3"), ("stock", "bank"), 20), labels)
+    steps = [
+        ("nothing", "invalid", -0.2),
+        (say("dance"), "invalid_tool", -0.2),
+        (say("reflect", diagnosis="x", new_query="stock"), "invalid_reflect", -0.15),
+        (say("compose_rules", rule_ids=["R1"]), "invalid_compose", -0.2),
+        (say("search_rules", query=" s "), "invalid_search", -0.15),
+        (say("search_rules", query="football", top_k=1), "search_rules", 0.0),
+        (say("reflect", diagnosis="", new_query="stock"), "invalid_reflect", -0.15),
+        (say("reflect", diagnosis="x", new_query="stock market bank", top_k=3), "reflect", 0.2 + 0.05),
+        (say("compose_rules", rule_ids=[]), "invalid_compose", -0.15),
+        (say("compose_rules", rule_ids=["R3"]), "invalid_compose", -0.2),
+        (say("finish", decision="finance"), "invalid_finish", -0.2),
+        (say("compose_rules", rule_ids=["R2", "R1", "R1"]), "compose_rules", 0.2 * 2 / 3),
+        (say("compose_rules", rule_ids=["R2", "R1", "R4"]), "compose_rules", 0.2),
+        (say("finish", decision="weather"), "invalid_finish_schema", -0.35),
+        (say("finish", decision="finance", matched_rules=["C1"], evidence=["stock"], unmet_conditions=[], reason=" "), "invalid_finish_schema", -0.35),
+        (say("finish", False, decision="finance", matched_rules=["C3", "C1", "C2"], evidence=["stock"], unmet_conditions=[], reason="r"), "finish", 1 + 0.3 + 0.2 / 2 + 0.1 / 2),
+    ]
+    for reply, event, reward in steps:
+        got = e.step(reply)
+        assert got.event == event and math.isclose(got.reward, reward, abs_tol=1e-12), (reply, got)
+    assert e.done and e.composed == ["C3", "C1"] and e.metrics["decision_accuracy"] == e.metrics["rule_compliance"] == 1.0
+    protocol = [0.0, *[1.0] * 12, 0.0, 0.0, 0.5]
+    assert math.isclose(e.metrics["protocol_score"], sum(protocol) / 16) and math.isclose(e.metrics["thinking_score"], 14 / 16)
+    assert e.metrics["reflection_success"] == 1.0
+    with pytest.raises(RuntimeError):
+        e.step("again")
+    late = agent.Episode(base, agent.Case("retrieve", "x", "sport", ("C2",), (), 2), labels)
+    assert late.step("bad").reward == -0.2 and not late.done
+    out = late.step(say("search_rules", query="football", top_k=1))
+    assert math.isclose(out.reward, 0.15 - 0.25) and late.done
+
+
+def test_agent_expert_succeeds(spark):
+    """STM-08: the expert's own episodes end well in all tasks, and recorded replies give the same trace."""
+    rules = spark.createDataFrame([(r["rule_id"], r["canonical_id"], r["text"], r["keywords"], r["priority"]) for r in agent_base().rules], "rule_id string, canonical_id string, text string, keywords array<string>, priority long")
+    rows = [(k, task, "stock market falls", "finance", ["C1"], ["stock"], 6) for k, task in enumerate(agent.TASKS)]
+    cases = spark.createDataFrame(rows, "k long, task string, article string, label string, gold_rules array<string>, gold_evidence array<string>, max_steps int")
+    trace = agent.episodes(cases, rules, "k", ["finance", "sport"])
+    got = {r.k: r for r in agent.summary(trace, "k").collect()}
+    assert all(r.done and r.n_invalid == 0 and r.protocol_score == 1.0 and r.task_schema_score == 1.0 for r in got.values())
+    assert [got[k].steps for k in range(3)] == [3, 3, 4] and got[2].decision_accuracy == got[2].rule_compliance == got[2].evidence_coverage == 1.0
+    said = trace.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("step", "reply"))).alias("s")).select("k", F.transform("s", lambda x: x["reply"]).alias("said"))
+    again = agent.episodes(cases.join(said, "k"), rules, "k", ["finance", "sport"], "said")
+    assert sorted(map(str, again.collect())) == sorted(map(str, trace.collect()))
+
+
+def test_rule_base_ranks_as_hybrid(spark):
+    base = agent_base()
+    rules = spark.createDataFrame([(r["rule_id"], r["text"], r["keywords"], r["priority"]) for r in base.rules], "rule_id string, text string, keywords array<string>, priority long")
+    for query in ("stock market", "bank football", "zzz", "market"):
+        q = spark.createDataFrame([(1, query)], "q int, text string")
+        tokens = text.feature_tokens(F.col("text"), {})
+        lexical = {r.rule_id: r.score for r in retrieval.bm25(rules, q, "rule_id", "q", tokens, tokens, distinct_query=True).collect()}
+        rows = [(1, r["rule_id"], lexical.get(r["rule_id"], 0.0), float(base.vectors[k] @ hashing.vector(agent.features(query))), sum(w in query for w in r["keywords"]) / len(r["keywords"]), r["priority"]) for k, r in enumerate(base.rules)]
+        want = retrieval.hybrid(spark.createDataFrame(rows, "q int, rule_id string, lexical double, dense double, keyword double, priority int"), "q", k=4).orderBy("rank").collect()
+        assert [base.rules[k]["rule_id"] for k in base.search(query, 4)] == [r.rule_id for r in want], query
