@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from . import textvec as tv
 #: Least entropy in bits of running text, by the binary logarithm of its tokens; between two places by a line.
 ENTROPY_FLOOR = ((0, 0.0), (4, 3.0), (5, 4.0), (6, 4.9), (7, 5.35), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.32), (12, 6.38), (13, 6.42))
 #: Words of which the tokens are remembered by a worker.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @dataclass(frozen=True)
@@ -231,6 +232,12 @@ def judge(text: pa.Array, lang: list, fertility: Fertility, languages: dict[str,
     return m
 
 
+@lru_cache(maxsize=1)
+def _loaded(subword: str, byte_level: str, pattern: str) -> Fertility:
+    """One set of vocabularies for each worker process, not for each of its tasks."""
+    return Fertility(subword, byte_level, pattern)
+
+
 @dataclass(frozen=True)
 class Vocabularies:
     """Paths of the two vocabularies and the byte-level one's pattern; None takes the installed public ones."""
@@ -241,10 +248,10 @@ class Vocabularies:
 
     def load(self) -> Fertility:
         if self.subword and self.byte_level and self.pattern:
-            return Fertility(self.subword, self.byte_level, self.pattern)
+            return _loaded(self.subword, self.byte_level, self.pattern)
         import public_tokenizers
 
-        return Fertility(self.subword or str(public_tokenizers.path("piece_bpe_32k.model")), self.byte_level or str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), self.pattern or public_tokenizers.PATTERN)
+        return _loaded(self.subword or str(public_tokenizers.path("piece_bpe_32k.model")), self.byte_level or str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), self.pattern or public_tokenizers.PATTERN)
 
 
 INSTALLED = Vocabularies()
@@ -274,7 +281,7 @@ def quality_measures(docs: DataFrame, vocabularies: Vocabularies = INSTALLED, la
         for batch in batches:
             for part, m in of(batch, "text", "lang"):
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[x]) for x in names)], ["doc_id", *names])
-            tv.release()
+                tv.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, SCHEMA)
 
@@ -287,6 +294,6 @@ def quality_filter(docs: DataFrame, vocabularies: Vocabularies = INSTALLED, lang
         for batch in batches:
             for part, m in of(batch, "text", "lang"):
                 yield part.filter(pa.array(m["kept"]))
-            tv.release()
+                tv.release()
 
     return docs.mapInArrow(run, docs.schema)
