@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
+from . import conversations, decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_decontaminate, op3_quality, op4_simhash, op5_sharding, op6_html_text, op7_mixing, op8_url_filter, op9_substring, op10_licenses)
+    for f in (
+        op1_line_dedup,
+        op2_decontaminate,
+        op3_quality,
+        op4_simhash,
+        op5_sharding,
+        op6_html_text,
+        op7_mixing,
+        op8_url_filter,
+        op9_substring,
+        op10_licenses,
+        op12_conversations,
+    )
 }
 
 ORACLES: dict[str, str] = {
