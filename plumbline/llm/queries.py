@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
+from . import bpe, conversations, decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op9_substring,
         op10_licenses,
         op12_conversations,
+        op13_bpe,
     )
 }
 
