@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
+from . import bpe, changes, conversations, decontaminate, html_text, licenses, line_dedup, mixing, quality, sharding, simhash, substring, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.digest(table(spark, sf_dir, "client_changes"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
         op8_url_filter,
         op9_substring,
         op10_licenses,
+        op11_changes,
         op12_conversations,
         op13_bpe,
     )
