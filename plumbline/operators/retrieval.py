@@ -9,6 +9,7 @@ checked size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 K1, B = 1.5, 0.75
 
 
@@ -72,6 +75,68 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_toke
     return p.repartition(key).join(small(weights), "token").groupBy(key, query_key).agg(F.sum(part).alias("score"))
 
 
+#: Part of a query's score bound that is left for the second round of top-k search.
+REST = 0.05
+#: Blocks of documents by length, to one doubling; a token's best weight is known for each block.
+LENGTH_BLOCKS = 4
+
+
+@dataclass(frozen=True)
+class Bm25Rounds:
+    """What top-k search goes by: survivors of the first round (query, key, s), and what is left to add to them."""
+
+    survivors: DataFrame
+    postings: DataFrame
+    rest: DataFrame
+
+
+def bm25_rounds(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, k: int, k1: float = K1, b: float = B) -> Bm25Rounds:
+    """The pairs that may be among the k best of a query, each with its score so far.
+
+    A token adds to a score at most its weight in the query times its best weight in the document's block of lengths.
+    The first round scores by each query's tokens with the largest bounds, all but ``REST`` of their sum.  Its k-th best
+    score is a threshold that the whole scores of the k best can't be below; a pair that doesn't reach it with the bounds
+    of its other tokens is out, and so is a document without any token of the first round, unless the other tokens alone
+    might reach the threshold in its block.
+    """
+    shared_folder(docs.sparkSession)
+    q = queries.select(F.col(query_key).alias("_q"), F.explode(query_tokens).alias("token")).groupBy("_q", "token").agg(F.count("*").alias("_qtf"))
+    wanted = small(q.select("token").distinct().checkpoint())
+    stats = docs.agg(F.count("*").alias("_total"), F.avg(F.size(doc_tokens)).alias("_avg"))
+    p = postings(docs, key, doc_tokens).join(wanted, "token", "left_semi").crossJoin(F.broadcast(stats))  # one row
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("_avg"), F.lit(1e-9)))
+    p = p.select(key, "token", F.floor(F.log2("length") * LENGTH_BLOCKS).cast("int").alias("_b"), (F.col("tf") * (k1 + 1) / norm).alias("_w"), "_total").checkpoint()
+    best = p.groupBy("token", "_b").agg(F.max("_w").alias("_u"), F.count("*").alias("_n"), F.max("_total").alias("_total")).checkpoint()
+    df = best.groupBy("token").agg(F.sum("_n").alias("_df"), F.max("_u").alias("_most"), F.max("_total").alias("_total"))
+    idf = F.ln(1 + (F.col("_total") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weights = q.join(df, "token").select("_q", "token", (F.col("_qtf") * idf).alias("_qw"), "_most")
+    bound, whole = F.col("_qw") * F.col("_most"), W.partitionBy("_q")
+    rising = whole.orderBy(bound, "token").rowsBetween(W.unboundedPreceding, 0)
+    weights = weights.withColumn("_lead", F.sum(bound).over(rising) > REST * F.sum(bound).over(whole)).checkpoint()
+    lead, rest = (weights.where(c).select("token", "_q", "_qw") for c in ("_lead", "NOT _lead"))
+    scored = p.repartition(key).join(small(lead), "token").groupBy("_q", key).agg(F.sum(F.col("_qw") * F.col("_w")).alias("_s"), F.first("_b").alias("_b")).checkpoint()
+    kth = top_k(scored, "_q", k, F.col("_s").desc()).groupBy("_q").agg(F.when(F.max("rank") == k, F.min("_s")).otherwise(0.0).alias("_least"))
+    slack = F.col("_least") * (1 - 1e-9) - 1e-9  # sums of another order
+    left = rest.join(best, "token").groupBy("_q", "_b").agg(F.sum(F.col("_qw") * F.col("_u")).alias("_rest")).join(kth, "_q", "left").checkpoint()
+    alive = scored.join(small(kth.checkpoint()), "_q").join(small(left.select("_q", "_b", "_rest")), ["_q", "_b"], "left").where(F.col("_s") + F.coalesce("_rest", F.lit(0.0)) >= slack)
+    # blocks in which the other tokens alone may do: their documents are taken whole
+    open_blocks = left.where(F.coalesce(F.col("_rest") >= slack, F.lit(True))).select("_q", "_b")
+    fresh = p.join(rest.join(open_blocks, "_q"), ["token", "_b"]).select("_q", key).distinct().join(scored.select("_q", key), ["_q", key], "left_anti")
+    survivors = alive.select("_q", key, "_s").unionByName(fresh.withColumn("_s", F.lit(0.0)))
+    return Bm25Rounds(survivors.checkpoint(), p, rest)
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, k: int) -> DataFrame:
+    """(query, key, score, rank): the k best documents of each query by score to eight digits, then least key; see ``bm25_rounds``.
+
+    The common tokens, whose bounds are small, are looked up for the few pairs that are left only.
+    """
+    r = bm25_rounds(docs, queries, key, query_key, doc_tokens, query_tokens, k)
+    more = r.survivors.join(r.rest, "_q").join(r.postings.select(key, "token", "_w"), [key, "token"]).groupBy("_q", key).agg(F.sum(F.col("_qw") * F.col("_w")).alias("_more"))
+    d = r.survivors.join(more, ["_q", key], "left").select(F.col("_q").alias(query_key), key, (F.col("_s") + F.coalesce("_more", F.lit(0.0))).alias("score"))
+    return top_k(d, query_key, k, F.round("score", 8).desc(), F.col(key))
+
+
 def top_k(scored: DataFrame, query_key: str, k: int, *order: Column) -> DataFrame:
     by = W.partitionBy(query_key).orderBy(*order)
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -207,15 +272,61 @@ def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text
     return found.where(F.contains("_text", F.col("_item"))).select(item_key, key)
 
 
+def _ordered_tokens(d: DataFrame, key: str, tokens: Column, ranks: DataFrame, n: str) -> DataFrame:
+    """(key, n, t): the number of distinct tokens of each row, and those that have a rank, by rank."""
+    t = d.select(key, F.array_distinct(tokens).alias("_t")).select(key, F.size("_t").alias(n), F.explode("_t").alias("token"))
+    return t.join(ranks, "token").groupBy(key, n).agg(F.sort_array(F.collect_list("_r")).alias("t"))
+
+
+def _prefix(d: DataFrame, key: str, n: str, at: str, threshold: float) -> DataFrame:
+    """(key, n, r, at): the tokens of each row's prefix, and how many of its tokens come before.  Tokens without a rank come first of all."""
+    length = F.col(n) - F.ceil(F.col(n) * threshold - 1e-9) + 1 - (F.col(n) - F.size("t"))
+    lead = F.slice("t", F.lit(1), F.greatest(F.lit(0), F.least(length, F.size("t"))).cast("int"))
+    return d.select(key, n, F.size("t").alias("_in"), F.posexplode(lead).alias("_p", "_r")).select(key, n, "_r", (F.col(n) - F.col("_in") + F.col("_p")).alias(at))
+
+
+def similar_candidates(docs: DataFrame, queries: DataFrame, key: str, query_key: str, threshold: float) -> DataFrame:
+    """(query, key, _nd, _nq): pairs that may have a Jaccard similarity at or above a threshold over zero, by prefix, length and position.
+
+    Both sides are as ``_ordered_tokens`` makes them.  Two sets that are so similar have a token in common that is among
+    the first of either, if both are in the same order; with the rarest tokens first few pairs have one.  What is behind
+    the common token bounds how many they can share.
+    """
+    d, q = _prefix(docs, key, "_nd", "_i", threshold), _prefix(queries, query_key, "_nq", "_j", threshold)
+    met = d.join(small(q), "_r").where((F.col("_nd") >= threshold * F.col("_nq") - 1e-9) & (F.col("_nq") >= threshold * F.col("_nd") - 1e-9))
+    # the first common token of a pair has the least places in both, so it is the one that must pass
+    first = met.groupBy(query_key, key, "_nd", "_nq").agg(F.min("_i").alias("_i"), F.min("_j").alias("_j"))
+    most = F.least(F.col("_nd") - F.col("_i"), F.col("_nq") - F.col("_j"))
+    return first.where(most >= threshold / (1 + threshold) * (F.col("_nd") + F.col("_nq")) - 1e-9).select(query_key, key, "_nd", "_nq")
+
+
+def similar_pairs(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, threshold: float) -> DataFrame:
+    """(query, key, similarity) of all pairs with a Jaccard similarity of token sets at or above a threshold over zero.
+
+    Only the queries' tokens have a rank, by how many documents have them; documents are known by these and by the
+    number of all their tokens.  Candidates are verified by the whole sets.
+    """
+    if threshold <= 0:
+        raise ValueError("the threshold must be over zero")
+    shared_folder(docs.sparkSession)
+    asked = queries.select(F.explode(query_tokens).alias("token")).distinct()
+    have = docs.select(F.explode(F.array_distinct(doc_tokens)).alias("token")).join(small(asked.checkpoint()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    # a rank is the number of documents, then a hash: an order in one number
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("token").alias("h"))
+    ranks = small(asked.join(have, "token", "left").select("token", rank.alias("_r")).checkpoint())
+    d = _ordered_tokens(docs, key, doc_tokens, ranks, "_nd").checkpoint()
+    q = _ordered_tokens(queries, query_key, query_tokens, ranks, "_nq").checkpoint()
+    c = similar_candidates(d, q, key, query_key, threshold)
+    met = c.join(d.select(key, F.col("t").alias("_dt")), key).join(q.select(query_key, F.col("t").alias("_qt")), query_key)
+    common = F.size(F.array_intersect("_dt", "_qt"))
+    s = met.select(query_key, key, (common / (F.col("_nd") + F.col("_nq") - common)).alias("similarity"))
+    return s.where(F.col("similarity") >= threshold)
+
+
 def jaccard_top_k(docs: DataFrame, queries: DataFrame, key: str, query_key: str, doc_tokens: Column, query_tokens: Column, threshold: float, k: int) -> DataFrame:
     """The k most similar documents of each query with Jaccard similarity of token sets at or above a threshold; of equal ones the latest key."""
-    d = docs.select(key, F.array_distinct(doc_tokens).alias("_d")).select(key, F.size("_d").alias("_nd"), F.explode("_d").alias("token"))
-    q = queries.select(query_key, F.array_distinct(query_tokens).alias("_q")).select(query_key, F.size("_q").alias("_nq"), F.explode("_q").alias("token"))
-    # a pair within the threshold has sizes within it as well
-    both = d.join(small(q), "token").where((F.col("_nd") >= threshold * F.col("_nq")) & (F.col("_nq") >= threshold * F.col("_nd")))
-    s = both.groupBy(query_key, key, "_nd", "_nq").agg(F.count("*").alias("_c"))
-    sim = F.col("_c") / (F.col("_nd") + F.col("_nq") - F.col("_c"))
-    return top_k(s.select(query_key, key, sim.alias("similarity")).where(F.col("similarity") >= threshold), query_key, k, F.col("similarity").desc(), F.col(key).desc())
+    s = similar_pairs(docs, queries, key, query_key, doc_tokens, query_tokens, threshold)
+    return top_k(s, query_key, k, F.col("similarity").desc(), F.col(key).desc())
 
 
 #: Fixed weights: of lexical, dense and keyword scores, and of the blend, keyword and priority in reranking.

@@ -357,8 +357,8 @@ SELECT item_id, rank, doc_id, round(score, 5) AS score FROM (SELECT *, row_numbe
 )
 def jon09(t: Tables) -> DataFrame:
     w = text.words(F.col("text"))
-    c = retrieval.bm25(t.documents, t.benchmark, "doc_id", "item_id", w, w)
-    return retrieval.top_k(c, "item_id", 5, F.round("score", 8).desc(), F.col("doc_id")).select("item_id", long("rank").alias("rank"), "doc_id", F.round("score", 5).alias("score"))
+    c = retrieval.bm25_top_k(t.documents, t.benchmark, "doc_id", "item_id", w, w, 5)
+    return c.select("item_id", long("rank").alias("rank"), "doc_id", F.round("score", 5).alias("score"))
 
 
 @query("jon10_dense", "WITH p AS (SELECT q.vec_id AS q, e.vec_id AS vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) SELECT q, vec_id, rank, round(c, 5) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(c, 9) DESC, vec_id) AS rank FROM p) WHERE rank <= 5")
