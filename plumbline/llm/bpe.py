@@ -26,7 +26,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +34,7 @@ from .common import keep, text_bytes
 #: Frequent words that are looked up, at most; about 60 bytes each go to every executor.
 DICTIONARY = 1 << 19
 #: Bytes of the texts, about, in which frequent words are looked for.
-SAMPLE_BYTES = 256 << 20
+SAMPLE_BYTES = 1 << 30
 #: Small maps into which the rank map and the dictionary are dealt.
 BUCKETS = 1 << 16
 #: Bins of the logarithm of a word's count, by which the most frequent words are found.
@@ -117,7 +116,15 @@ def _literal(one_row: DataFrame) -> Column:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
+
+
+def _dealt(entries: DataFrame) -> Column:
+    """Entries (word, tokens) as a literal array of small maps, by ``_bucket`` of the word."""
+    small = entries.select(_bucket(F.col("word")).alias("b"), F.struct("word", "tokens").alias("e")).groupBy("b").agg(F.collect_list("e").alias("es"))
+    all_buckets = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    whole = all_buckets.join(small, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("es", F.array()).alias("es")))).alias("x"))
+    return _literal(whole.select(F.transform("x", lambda r: F.map_from_entries(r["es"])).alias("x")))
 
 
 class Codec:
@@ -126,17 +133,16 @@ class Codec:
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary = INSTALLED):
         ranks, pattern = vocabulary.load()
         self.patterns = java_patterns(pattern)
-        pairs: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        pairs = []
         for piece, rank in ranks.items():
             for k in range(1, len(piece)):  # any two tokens that make the piece may be joined
                 left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
                 if left is not None and right is not None:
-                    pair = chr(left) + chr(right)
-                    pairs[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS][pair] = chr(rank)
+                    pairs.append((chr(left) + chr(right), chr(rank)))
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
-        self.pairs = _literal(spark.createDataFrame([(pairs,)], "x array<map<string,string>>"))
+        self.pairs = _dealt(spark.createDataFrame(pairs, "word string, tokens string"))
         self.pieces = _literal(spark.createDataFrame([(pieces,)], "x array<string>"))
         self.byte_chars = "".join(chr(ranks[bytes([b])]) for b in range(256)).replace("\0", ZERO)
 
@@ -202,19 +208,21 @@ class Codec:
         tokens = self.fold if dictionary is None else lambda w: F.coalesce(found(w), self.fold(w))
         return F.array_join(F.transform(self.words(text), tokens), "")
 
-    def ids(self, tokens: Column) -> Column:
-        """Tokens as an array of ids."""
-        return F.when(tokens == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(tokens, ""), F.ascii))
+    def each(self, tokens: Column) -> Column:
+        """Tokens as an array of characters."""
+        return F.when(tokens == "", F.array().cast("array<string>")).otherwise(F.split(tokens, ""))
+
+    def ids(self, each: Column) -> Column:
+        """Tokens, an array, as ids."""
+        return F.transform(each, F.ascii)
 
-    def packed(self, tokens: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers: a token is a unit of UTF-16, with an empty one behind it."""
-        spread = F.concat(F.array_join(F.split(tokens, ""), "\0"), F.lit("\0"))
-        return F.when(tokens == "", F.lit(b"")).otherwise(F.encode(spread, "UTF-16LE"))
+    def packed(self, each: Column) -> Column:
+        """The ids of tokens, an array, as little-endian unsigned 32-bit integers: a token is a unit of UTF-16, with an empty one behind it."""
+        return F.when(F.size(each) == 0, F.lit(b"")).otherwise(F.encode(F.concat(F.array_join(each, "\0"), F.lit("\0")), "UTF-16LE"))
 
-    def decode(self, tokens: Column) -> Column:
-        """The bytes of tokens: their pieces, one after the other."""
-        piece = lambda c: F.coalesce(F.get(self.pieces, F.ascii(c)), F.lit(""))
-        return F.when(tokens == "", F.lit(b"")).otherwise(F.encode(F.array_join(F.transform(F.split(tokens, ""), piece), ""), "ISO-8859-1"))
+    def decode(self, each: Column) -> Column:
+        """The bytes of tokens, an array: their pieces, one after the other."""
+        return F.encode(F.array_join(F.transform(each, lambda c: F.get(self.pieces, F.ascii(c))), ""), "ISO-8859-1")
 
     def frequent(self, texts: DataFrame, limit: int = DICTIONARY, sample_bytes: int = SAMPLE_BYTES) -> Column | None:
         """A dictionary, small maps from words to tokens, of words that are frequent in a sample of ``texts`` (text); None if there are none.
@@ -233,11 +241,7 @@ class Codec:
             taken, lowest = taken + r.n, r.level
         if lowest is None:
             return None
-        known = counts.where(level >= lowest).select(_bucket(F.col("word")).alias("b"), F.struct("word", self.fold(F.col("word")).alias("tokens")).alias("e"))
-        small = known.groupBy("b").agg(F.collect_list("e").alias("es"))
-        all_buckets = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
-        whole = all_buckets.join(small, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("es", F.array()).alias("es")))).alias("x"))
-        return _literal(whole.select(F.transform("x", lambda r: F.map_from_entries(r["es"])).alias("x")))
+        return _dealt(counts.where(level >= lowest).select("word", self.fold(F.col("word")).alias("tokens")))
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary = INSTALLED, limit: int = DICTIONARY, sample_bytes: int = SAMPLE_BYTES) -> tuple[DataFrame, Codec]:
@@ -250,9 +254,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary = INSTALLED, limit: int = DI
 def digest(docs: DataFrame, vocabulary: Vocabulary = INSTALLED, limit: int = DICTIONARY, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, encoded and decoded whole."""
     d, codec = encoded(docs, vocabulary, limit, sample_bytes)
+    d = d.select("doc_id", codec.each(F.col("tokens")).alias("each"))
     return d.select(
         "doc_id",
-        F.char_length("tokens").cast("long").alias("n_tokens"),
-        F.sha2(codec.packed(F.col("tokens")), 256).alias("ids_sha256"),
-        F.sha2(codec.decode(F.col("tokens")), 256).alias("decoded_sha256"),
+        F.size("each").cast("long").alias("n_tokens"),
+        F.sha2(codec.packed(F.col("each")), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("each")), 256).alias("decoded_sha256"),
     )

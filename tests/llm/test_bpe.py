@@ -69,7 +69,7 @@ def test_ids_and_another_vocabulary(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     encoding = library({p: k for k, p in enumerate(pieces)})
     tokens, codec = bpe.encoded(df, own)
-    for r in tokens.select("doc_id", codec.ids(F.col("tokens")).alias("ids"), codec.decode(F.col("tokens")).alias("bytes")).collect():
+    for r in tokens.select("doc_id", codec.ids(codec.each(F.col("tokens"))).alias("ids"), codec.decode(codec.each(F.col("tokens"))).alias("bytes")).collect():
         assert r.ids == encoding.encode_ordinary(texts[r.doc_id]), texts[r.doc_id]
         assert bytes(r["bytes"]).decode() == texts[r.doc_id]
 
