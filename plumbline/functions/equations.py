@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -11,44 +10,132 @@ from math import comb
 import pandas as pd
 from pyspark.sql import DataFrame
 
-MAX_NODES, MAX_VALUE = 64, Fraction(10**15)
-# fixed values: what counts as a number, an equation and a currency sign
-_NUMBER = r"\d[\d,]*(?:\.\d+)?"
-_TERM = rf"(?:{_NUMBER}|\([^=\n；;。]{{1,80}}\))"
-_EQUATION = re.compile(rf"(?<![\w.])([-+]?[¥￥$]?{_TERM}(?:\s*[+\-*/×÷]\s*[¥￥$]?{_TERM})+)\s*=\s*[¥￥$]?([-+]?{_NUMBER})")
-_PLAIN = str.maketrans({"×": "*", "÷": "/", ",": None, "$": None, "¥": None, "￥": None})
-#: Share of the score that is left if no right equation reaches the answer.
-UNFINISHED = 0.75
-_OPERATORS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b}
+# fixed values: how much an expression may hold, and the share of the score that is left if no right equation reaches the answer
+MAX_NODES, MAX_VALUE, MAX_BRACKET, UNFINISHED = 64, Fraction(10**15), 80, 0.75
+
+NUMBER, BLANK, CURRENCY = "number", "blank", "currency"
+_PIECES = re.compile(r"(?P<number>\d[\d,]*(?:\.\d+)?)|(?P<blank>\s+)|(?P<currency>[$¥￥])|.", re.DOTALL)
+_SIGNED = re.compile(r"[-+]?\d[\d,]*(?:\.\d+)?")
+_SUMS, _PRODUCTS = "+-", "*/×÷"
+
+
+class Pieces:
+    """A text as numbers, blanks, currency signs and single characters, each with its kind and place."""
+
+    def __init__(self, text: str):
+        found = list(_PIECES.finditer(text))
+        self.text = text
+        self.said = [m.group() for m in found]
+        self.kind = [m.lastgroup or m.group() for m in found]
+        self.at = [m.start() for m in found] + [len(text)]
+
+    def back(self, k: int) -> int:
+        """The piece at or before ``k`` that isn't blank."""
+        while k >= 0 and self.kind[k] == BLANK:
+            k -= 1
+        return k
+
+    def term_before(self, end: int) -> int | None:
+        """Where the term begins that ends with piece ``end``: a number, or a bracket, with its currency sign."""
+        if end < 0:
+            return None
+        begin = end
+        if self.kind[end] == ")":
+            depth = 1
+            while depth:
+                begin -= 1
+                if begin < 0 or self.kind[begin] in ("=", ";", "；", "。") or "\n" in self.said[begin]:
+                    return None
+                depth += {")": 1, "(": -1}.get(self.kind[begin], 0)
+            if not 1 <= self.at[end] - self.at[begin] - 1 <= MAX_BRACKET:
+                return None
+        elif self.kind[end] != NUMBER:
+            return None
+        return begin - 1 if begin and self.kind[begin - 1] == CURRENCY else begin
+
+    def chain_before(self, equals: int) -> int | None:
+        """Where the longest chain of terms and operators begins that ends at an equals sign and doesn't begin within a word."""
+        begins: list[int] = []
+        k = self.back(equals - 1)
+        while (begin := self.term_before(k)) is not None:
+            begins.append(begin)
+            operator = self.back(begin - 1)
+            if operator < 0 or self.kind[operator] not in (*_SUMS, *_PRODUCTS):
+                break
+            k = self.back(operator - 1)
+        for begin in reversed(begins[1:]):
+            if begin and self.kind[begin - 1] in (*_SUMS,) and begin == begins[-1]:
+                begin -= 1  # the sign of the first term
+            before = self.text[self.at[begin] - 1] if begin else " "
+            if not (before == "." or before == "_" or before.isalnum()):
+                return begin
+        return None
 
+    def number_after(self, equals: int) -> str | None:
+        """The number behind an equals sign, with its sign."""
+        rest = self.text[self.at[equals] + 1 :].lstrip()
+        m = _SIGNED.match(rest[1:] if rest[:1] in ("$", "¥", "￥") else rest)
+        return m.group() if m else None
 
-def evaluate(expression: str) -> Fraction | None:
-    """The exact value of sums, products and quotients of numbers, with currency signs and commas; None for anything else or too large."""
-    try:
-        tree = ast.parse(expression.translate(_PLAIN).strip(), mode="eval")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-    if sum(1 for _ in ast.walk(tree)) > MAX_NODES:
-        return None
 
-    def of(node: ast.AST) -> Fraction:
-        if isinstance(node, ast.Expression):
-            return of(node.body)
-        if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-            value = Fraction(str(node.value))
-        elif isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-            value = of(node.operand) * (-1 if isinstance(node.op, ast.USub) else 1)
-        elif isinstance(node, ast.BinOp) and type(node.op) in _OPERATORS:
-            value = _OPERATORS[type(node.op)](of(node.left), of(node.right))
-        else:
-            raise ValueError(node)
+class _Parser:
+    """Sums of products of numbers and brackets, from the pieces that aren't blank or a currency sign."""
+
+    def __init__(self, pieces: Pieces):
+        self.todo = [(k, s) for k, s in zip(pieces.kind, pieces.said, strict=True) if k not in (BLANK, CURRENCY)][::-1]
+        self.nodes = 0
+
+    def peek(self) -> str:
+        return self.todo[-1][0] if self.todo else ""
+
+    def total(self) -> Fraction:
+        value = self.product()
+        while self.peek() in _SUMS and self.todo:
+            sign = 1 if self.todo.pop()[0] == "+" else -1
+            value += sign * self.product()
+            self.count(2)
+        return value
+
+    def product(self) -> Fraction:
+        value = self.signed()
+        while self.peek() in _PRODUCTS and self.todo:
+            times = self.todo.pop()[0] in "*×"
+            other = self.signed()
+            value = value * other if times else value / other
+            self.count(2)
         return value
 
+    def signed(self) -> Fraction:
+        if not self.todo:
+            raise ValueError("a term is missing")
+        kind, said = self.todo.pop()
+        if kind in _SUMS:
+            self.count(2)
+            return self.signed() if kind == "+" else -self.signed()
+        if kind == NUMBER:
+            self.count(1)
+            return Fraction(said.replace(",", ""))
+        if kind == "(":
+            value = self.total()
+            if not self.todo or self.todo.pop()[0] != ")":
+                raise ValueError("a bracket is open")
+            return value
+        raise ValueError(said)
+
+    def count(self, n: int) -> None:
+        self.nodes += n
+        if self.nodes >= MAX_NODES:
+            raise ValueError("too long")
+
+
+def evaluate(expression: str) -> Fraction | None:
+    """The exact value of sums, products and quotients of numbers, with currency signs and commas; None for anything else or too large."""
+    parser = _Parser(Pieces(expression))
     try:
-        value = of(tree)
-        return value if abs(value) <= MAX_VALUE else None
-    except (ValueError, ZeroDivisionError, OverflowError):
+        value = parser.total()
+    except (ValueError, ZeroDivisionError, RecursionError):
         return None
+    return value if not parser.todo and abs(value) <= MAX_VALUE else None
 
 
 def number(raw: str) -> str:
@@ -57,27 +144,31 @@ def number(raw: str) -> str:
 
 
 def numbers(text: str) -> set[str]:
-    return {number(x) for x in re.findall(rf"[-+]?{_NUMBER}", text or "")}
+    return set(map(number, _SIGNED.findall(text or "")))
 
 
 def equations(text: str) -> list[tuple[str, str, bool]]:
     """Left side, right side and truth of each ``a op b ... = c`` of a text."""
-    found = [(left, number(right)) for left, right in _EQUATION.findall(text or "")]
-    return [(left, right, evaluate(left) == Fraction(right)) for left, right in found]
+    pieces, out = Pieces(text or ""), []
+    for k, kind in enumerate(pieces.kind):
+        if kind == "=" and (right := pieces.number_after(k)) is not None and (begin := pieces.chain_before(k)) is not None:
+            left = pieces.text[pieces.at[begin] : pieces.at[k]].rstrip()
+            out.append((left, number(right), evaluate(left) == Fraction(number(right))))
+    return out
 
 
 def calculation(reason: str, question: str, answer: str) -> tuple[int, int, float]:
     """How many equations bear on the question, how many of these are right, and the reward.
 
-    An equation bears on it if its left side uses a number of the question or its right side is the answer.
+    An equation bears on it if its left side uses a number of the question or its right side is the answer.  The reward
+    is the share that is right, less a part if no right one has the answer on its right side.
     """
     asked, want = numbers(question), number(answer or "")
-    relevant = [(right, holds) for left, right, holds in equations(reason) if numbers(left) & asked or right == want]
-    n_right = sum(holds for _, holds in relevant)
-    if not relevant:
+    bearing = pd.DataFrame([(right, holds) for left, right, holds in equations(reason) if right == want or not asked.isdisjoint(numbers(left))], columns=["right", "holds"])
+    if bearing.empty:
         return 0, 0, 0.0
-    reached = any(holds and right == want for right, holds in relevant)
-    return len(relevant), n_right, n_right / len(relevant) * (1.0 if reached else UNFINISHED)
+    arrived = bearing.loc[bearing["holds"], "right"].eq(want).any()
+    return len(bearing), int(bearing["holds"].sum()), float(bearing["holds"].mean()) * (1.0 if arrived else UNFINISHED)
 
 
 def check_equations(rows: DataFrame, key: str, reason: str, question: str, answer: str) -> DataFrame:

@@ -7,34 +7,16 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores
-
-
-#: Bins by which running sums over confidences are counted out; confidences are within [0, 1].
-BINS = 4096
-
-
-def _bin(c: Column) -> Column:
-    return F.least(F.floor(c * BINS), F.lit(BINS - 1))
+from . import ordered
 
 
 def running(rows: DataFrame, value: str, sums: Sequence[str], falling: bool = False, ties: Sequence[str] = ()) -> DataFrame:
-    """Adds ``to_<c>``, the running sum of each column in the order of ``value``, then of ``ties``.
-
-    Sums of bins come first and only they are ordered in one task; within a bin
-    a window does the rest.
-    """
-    d = rows.withColumn("_b", -_bin(F.col(value)) if falling else _bin(F.col(value)))
-    by_bin = d.groupBy("_b").agg(*(F.sum(c).alias(f"_s_{c}") for c in sums))
-    before = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = by_bin.select("_b", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_0_{c}") for c in sums))
-    order = F.col(value).desc() if falling else F.col(value).asc()
-    inside = W.partitionBy("_b").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
-    d = d.join(F.broadcast(starts), "_b")  # a row for each bin
-    return d.withColumns({f"to_{c}": F.col(f"_0_{c}") + F.sum(c).over(inside) for c in sums}).drop("_b", *(f"_0_{c}" for c in sums))
+    """Adds ``to_<c>``, the running sum of each column in the order of ``value``, then of ``ties``; of values in any range, and nulls last."""
+    order = F.col(value).desc_nulls_last() if falling else F.col(value).asc_nulls_last()
+    return ordered.running(rows, [], [order, *(F.col(c) for c in ties)], {f"to_{c}": F.col(c) for c in sums})
 
 
 def ece(rows: DataFrame, confidence: str, target: str, bins: int = 10) -> DataFrame:

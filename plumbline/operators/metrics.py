@@ -56,38 +56,6 @@ def macro_f1(rows: DataFrame, gold: str, pred: str, labels: Sequence[str] | None
     return counts.agg(F.avg(F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))).alias("macro_f1"))
 
 
-# quantiles: five definitions that differ in small groups
-
-
-def quantile_linear(c: Column, p: float) -> Column:
-    return F.percentile(c, F.lit(p))
-
-
-def quantile_nearest(c: Column, p: float) -> Column:
-    """The value at rank ceil(n * p); it gathers the group, so for large groups use ``quantile_at`` with ``nearest_rank``."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, F.greatest(F.ceil(F.size(values) * F.lit(p) - 1e-6).cast("int"), F.lit(1)))
-
-
-def quantile_at(rows: DataFrame, group: str, value: str, rank: Column, name: str) -> DataFrame:
-    """The value at a one-based rank, an expression of ``_n``, the group's rows."""
-    by = W.partitionBy(group)
-    d = rows.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(by.orderBy(value)).alias("_r"), F.count("*").over(by).alias("_n"))
-    return d.where(F.col("_r") == rank).select(group, F.col(value).alias(name))
-
-
-def nearest_rank(p: float) -> Column:
-    return F.greatest(F.ceil(F.col("_n") * p - 1e-6), F.lit(1))
-
-
-def floor_rank(p: float) -> Column:
-    return F.least(F.floor(F.col("_n") * p), F.col("_n") - 1) + 1
-
-
-def rounded_rank(p: float) -> Column:
-    return F.bround((F.col("_n") - 1) * p, 0).cast("long") + 1
-
-
 # normalising within a group, each with its own rule for a constant group
 
 
@@ -106,9 +74,14 @@ def max_abs(d: DataFrame, c: str, by, name: str) -> DataFrame:
     return d.withColumn(name, F.col("_c") / F.greatest(F.max(F.abs("_c")).over(by), F.lit(1e-8))).drop("_c")
 
 
-def standardised(c: Column, by) -> Column:
-    std = F.stddev_pop(c).over(by)
-    return (c - F.avg(c).over(by)) / F.when(std < 1e-8, 1.0).otherwise(std)
+def standardised(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """Adds the value's distance from its group's mean in standard deviations; 1 stands for a deviation below 1e-8.
+
+    The groups' moments are summed up before any exchange and joined back, so a large group isn't one task's.
+    """
+    moments = rows.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
+    d = rows.join(moments, F.col(by).eqNullSafe(F.col("_by")))
+    return d.withColumn(name, (F.col(value) - F.col("_mean")) / F.when(F.col("_std") < 1e-8, 1.0).otherwise(F.col("_std"))).drop("_by", "_mean", "_std")
 
 
 def softmax(d: DataFrame, c: str, by, name: str, temperature: float = 1.0) -> DataFrame:

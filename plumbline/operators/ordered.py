@@ -62,8 +62,8 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: d
     groups = [F.col(_quoted(c)) for c in by]
     counts = rows.groupBy(*groups).agg(F.count("*").alias("n"))
     sizes = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
-    if by and (sizes["most"] or 0) <= group_rows:
-        along = W.partitionBy(*groups).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    if (sizes["most"] or 0) <= group_rows:
+        along = W.partitionBy(*(groups or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return rows.withColumns({k: F.coalesce(F.sum(v).over(along), F.lit(0)) for k, v in sums.items()})
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, *before = _free(rows, "_part", *(f"_before_{k}" for k in range(len(sums))))
@@ -79,3 +79,20 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: d
     met = d.join(F.broadcast(starts), same, "left")  # one row for each splitter within a group
     along = W.partitionBy(part, *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return met.withColumns({k: F.coalesce(F.col(b), F.lit(0)) + F.coalesce(F.sum(v).over(along), F.lit(0)) for (k, v), b in zip(sums.items(), before, strict=True)}).drop(part, "_at", *keys, *before)
+
+
+def mid_ranks(rows: DataFrame, by: Sequence[str], value: str, name: str, group_rows: int = GROUP_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds the rank, from 1, of each row's value in its group; equal values share the mean of their ranks.
+
+    Counts of distinct values are summed up, and rows meet them by group and value, so neither a large group nor a
+    common value is one task's: what a common value meets is one row, which Spark's skew join sends to its parts.
+    """
+    (n,) = _free(rows, "_n")
+    counts = rows.groupBy(*(F.col(_quoted(c)) for c in by), F.col(_quoted(value))).agg(F.count("*").alias(n))
+    ranked = running(counts, by, [F.col(_quoted(value)).asc_nulls_first()], {name: F.col(n)}, group_rows, part_rows)
+    keys = [*by, value]
+    ranked = ranked.select(*(F.col(_quoted(c)).alias(f"_key_{k}") for k, c in enumerate(keys)), (F.col(name) - (F.col(n) - 1) / 2).alias(name))
+    same = F.lit(True)
+    for k, c in enumerate(keys):
+        same &= rows[_quoted(c)].eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(ranked, same).drop(*(f"_key_{k}" for k in range(len(keys))))

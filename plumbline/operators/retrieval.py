@@ -1,19 +1,21 @@
 """Lexical, dense and hybrid top-k retrieval, containment and similarity joins.
 
-Queries and rules are the small side.  Everything joins on tokens, so work
-follows the postings that queries touch; only dense search compares each query
-with each vector, as it must: by matrix products over blocks of queries of a
-checked size.
+Queries and rules are the small side.  Token search joins on tokens, and bounds
+keep most pairs from being scored; containment runs an automaton over each text.
+Exact dense search compares each query with each vector, by matrix products over
+blocks of queries of a checked size; ``cells`` has the search in an index.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -234,42 +236,63 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vect
     return out.select(F.col("q").alias(query_key), F.col("i").alias(key), "cosine", "rank")
 
 
-def _grams(docs: DataFrame, key: str, parts: Column, n: int, of_words: bool) -> DataFrame:
-    """(key, _g): hashes of each document's distinct stretches of n words, or of n characters."""
-    length = F.size("_p") if of_words else F.length("_p")
-    at = (lambda p: F.array_join(F.slice("_p", p, n), " ")) if of_words else (lambda p: F.substr("_p", p, F.lit(n)))
-    places = F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1)))
-    grams = F.when(length >= n, F.array_distinct(F.transform(places, lambda p: F.xxhash64(at(p))))).otherwise(F.array().cast("array<long>"))
-    return docs.select(key, parts.alias("_p")).select(key, F.explode(grams).alias("_g"))
+#: Bytes of item texts, about, that one automaton holds.
+AUTOMATON_BYTES = 8 << 20
 
+#: The automaton of the block that this worker had last, by the block's name.
+_built: dict[str, tuple] = {}
 
-def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, words: int = 4) -> DataFrame:
-    """(item, document) for each item whose text occurs verbatim in a document.
 
-    Documents and items meet on a few inner words of the item (its first and
-    last may be parts of longer words in the document), as many as the item
-    allows; items of fewer than three words meet on their first characters.
-    Only pairs that meet are searched; texts aren't carried through the meeting.
-    The empty text is in every text.
+def _automaton(name_of: str, block: Broadcast) -> tuple:
+    """The automaton of a broadcast block of (id, text), or None without texts, and the id of the empty text, if it is there."""
+    if name_of not in _built:
+        import ahocorasick
+
+        _built.clear()
+        machine, empty = ahocorasick.Automaton(), None
+        for name, item in block.value:
+            if item:
+                machine.add_word(item, name)
+            else:
+                empty = name
+        machine.make_automaton()
+        _built[name_of] = (machine if len(machine) else None, empty)
+    return _built[name_of]
+
+
+def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text: str, item_text: str, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """(item, document) for each item whose text occurs verbatim in a document; the empty text is in every text.
+
+    Distinct item texts go in blocks of bounded size, by hash, each to an automaton that reads every text once, so a
+    text's cost doesn't depend on the number of items.  The driver holds one block at a time: what it broadcasts is kept
+    on disk.
     """
-    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    i = items.where(F.col(item_text).isNotNull()).select(item_key, F.col(item_text).alias("_item"), split(F.col(item_text)).alias("_w"))
-    # fewer than three words: kind 0 with the first characters; else as many inner words as there are, up to ``words``
-    n_inner = F.least(F.lit(words), F.size("_w") - 2)
-    i = i.withColumn("_kind", F.when(F.size("_w") >= 3, n_inner).otherwise(-F.least(F.lit(3), F.length("_item"))))
-    lead = i.where("_kind <> 0").select(item_key, "_kind", F.when(F.col("_kind") > 0, F.xxhash64(F.array_join(F.slice("_w", 2, n_inner), " "))).otherwise(F.xxhash64(F.substring("_item", 1, 3))).alias("_g"))
-    kinds = sorted(r[0] for r in i.select("_kind").distinct().collect())
-    lead, met = small(lead), None
-    for kind in kinds:
-        if kind == 0:
-            part = docs.where(F.col(text).isNotNull()).select(key).crossJoin(small(i.where("_kind = 0").select(item_key))).select(item_key, key)
-        else:
-            part = _grams(docs, key, split(F.col(text)) if kind > 0 else F.col(text), abs(kind), kind > 0).join(lead.where(F.col("_kind") == kind), "_g").select(item_key, key)
-        met = part if met is None else met.unionByName(part)
-    if met is None:
-        return docs.limit(0).select(F.lit(None).cast(items.schema[item_key].dataType).alias(item_key), key)
-    found = docs.select(key, F.col(text).alias("_text")).join(met.distinct(), key).join(small(i.select(item_key, "_item")), item_key)
-    return found.where(F.contains("_text", F.col("_item"))).select(item_key, key)
+    spark = docs.sparkSession
+    named = items.where(F.col(item_text).isNotNull()).select(item_key, F.md5(item_text).alias("_id"), F.col(item_text).alias("_item"))
+    distinct = named.select("_id", "_item").distinct()
+    total = distinct.agg(F.coalesce(F.sum(F.octet_length("_item") + 64), F.lit(0)).alias("n")).first()["n"]
+    n = max(1, -(-int(total) // block_bytes))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    schema, found = f"_id string, {key} {docs.schema[key].dataType.simpleString()}", None
+    for k in range(n):
+        rows = [(r["_id"], r["_item"]) for r in distinct.where(F.pmod(F.xxhash64("_id"), F.lit(n)) == k).collect()]
+        block = spark.sparkContext.broadcast(rows)
+
+        def search(batches: Iterator[pa.RecordBatch], block=block, name_of=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            machine, empty = _automaton(name_of, block)
+            for batch in batches:
+                at, names = [], []
+                for j, t in enumerate(batch.column(1).to_pylist()):
+                    here = {name for _, name in machine.iter(t)} if machine else set()
+                    if empty is not None:
+                        here.add(empty)
+                    at += [j] * len(here)
+                    names += here
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], ["_id", key])
+
+        part = texts.mapInArrow(search, schema)
+        found = part if found is None else found.unionByName(part)
+    return found.join(small(named.select("_id", item_key)), "_id").select(item_key, key)
 
 
 def _ordered_tokens(d: DataFrame, key: str, tokens: Column, ranks: DataFrame, n: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import nearest_rank, quantile_at
+from .ordered import running as running_sums
+from .selection import nearest, quantiles
 
 
 def stage_bounds(stages: DataFrame, start: str, samples: DataFrame, ts: str) -> DataFrame:
@@ -26,7 +27,7 @@ def in_stage(samples: DataFrame, ts: str, starts: Sequence[float], names: Sequen
 
 def stage_summary(samples: DataFrame, stage: str, ts: str, value: str) -> DataFrame:
     s = samples.groupBy(stage).agg(F.count("*").alias("n"), F.greatest(F.max(ts) - F.min(ts), F.lit(0.0)).alias("duration"), F.max(value).alias("peak"), F.avg(value).alias("mean"))
-    return s.join(quantile_at(samples, stage, value, nearest_rank(0.95), "p95"), stage, "left")
+    return s.join(quantiles(samples, [stage], value, {"p95": nearest(0.95)}), stage, "left")
 
 
 def discounted(rows: DataFrame, group: str, order: str, reward: str, gamma: float) -> DataFrame:
@@ -47,8 +48,9 @@ def last_rows(rows: DataFrame, group: Sequence[str], order: str, n: int) -> Data
 
 
 def row_buckets(rows: DataFrame, group: str, order: str, size: int, value: str) -> DataFrame:
-    by = W.partitionBy(group).orderBy(order)
-    d = rows.withColumn("bucket", F.floor((F.row_number().over(by) - 1) / size))
+    """Runs of ``size`` rows of each group, in order, with the first and last of each and the mean; groups of any size."""
+    d = running_sums(rows, [group], [F.col(order)], {"bucket": F.lit(1)})
+    d = d.withColumn("bucket", F.floor((F.col("bucket") - 1) / size))
     return d.groupBy(group, "bucket").agg(F.concat_ws("-", F.min(order).cast("string"), F.max(order).cast("string")).alias("label"), F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .ordered import running
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -149,9 +149,9 @@ def regrouped(parts: DataFrame, key: str, value: str = "part", separator: str =
 
 
 def with_ordinal(rows: DataFrame, order: Sequence[Column | str], partition: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
-    """Zero-based place by an explicit order; give a partition wherever there is one, so that no task gets all rows."""
-    by = W.partitionBy(*(partition or [F.lit(0)]))
-    return rows.withColumn(name, F.row_number().over(by.orderBy(*order)) - 1)
+    """Zero-based place by an explicit order, in groups of any size or among all rows."""
+    placed = running(rows, partition, [F.col(c) if isinstance(c, str) else c for c in order], {name: F.lit(1)})
+    return placed.withColumn(name, F.col(name) - 1)
 
 
 def clue(c: Column, marks: Sequence[str] = (), tail: int = 500) -> Column:

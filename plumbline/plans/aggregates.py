@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays, scores, text
-from ..operators import calibration, memory, metrics, series, stats
+from ..operators import calibration, memory, metrics, selection, series, stats
 from .base import EVENTS, LANGS, NORMAL, RESPONSES, SCORED, Tables, events, h, long, query, r6, responses, scored
 
 DECISIONS = ["PASS", "REVIEW", "REJECT"]
@@ -177,7 +177,8 @@ def agg22(t: Tables) -> DataFrame:
 
 @query("agg23_quantile_linear", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def agg23(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(r6(metrics.quantile_linear(F.col("value"), 0.5)).alias("p50"), r6(metrics.quantile_linear(F.col("value"), 0.95)).alias("p95"))
+    d = selection.quantiles(t.events, ["event_type"], "value", {"p50": selection.linear(0.5), "p95": selection.linear(0.95)})
+    return d.select("event_type", r6(F.col("p50")).alias("p50"), r6(F.col("p95")).alias("p95"))
 
 
 RANKED = "(SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)"
@@ -185,22 +186,22 @@ RANKED = "(SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 
 @query("agg24_quantile_nearest", f"SELECT event_type, round(value, 6) AS p95 FROM {RANKED} WHERE k = greatest(ceil(n * 0.95 - 1e-6), 1)")
 def agg24(t: Tables) -> DataFrame:
-    return metrics.quantile_at(t.events, "event_type", "value", metrics.nearest_rank(0.95), "p95").select("event_type", r6(F.col("p95")).alias("p95"))
+    return selection.quantiles(t.events, ["event_type"], "value", {"p95": selection.nearest(0.95)}).select("event_type", r6(F.col("p95")).alias("p95"))
 
 
 @query("agg25_quantile_floor", f"SELECT event_type, round(value, 6) AS p95 FROM {RANKED} WHERE k = least(floor(n * 0.95), n - 1) + 1")
 def agg25(t: Tables) -> DataFrame:
-    return metrics.quantile_at(t.events, "event_type", "value", metrics.floor_rank(0.95), "p95").select("event_type", r6(F.col("p95")).alias("p95"))
+    return selection.quantiles(t.events, ["event_type"], "value", {"p95": selection.floor(0.95)}).select("event_type", r6(F.col("p95")).alias("p95"))
 
 
 @query("agg26_quantile_rounded", f"SELECT event_type, round(value, 6) AS p95 FROM {RANKED} WHERE k = round_even((n - 1) * 0.95::DOUBLE, 0) + 1")
 def agg26(t: Tables) -> DataFrame:
-    return metrics.quantile_at(t.events, "event_type", "value", metrics.rounded_rank(0.95), "p95").select("event_type", r6(F.col("p95")).alias("p95"))
+    return selection.quantiles(t.events, ["event_type"], "value", {"p95": selection.rounded(0.95)}).select("event_type", r6(F.col("p95")).alias("p95"))
 
 
 @query("agg27_median", "SELECT lang, round(median(n_chars), 6) AS median FROM documents GROUP BY lang")
 def agg27(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(r6(F.median("n_chars")).alias("median"))
+    return selection.quantiles(t.documents, ["lang"], "n_chars", {"median": selection.linear(0.5)}).select("lang", r6(F.col("median")).alias("median"))
 
 
 @query("agg28_weighted", "SELECT event_type, round(w, 6) AS weighted_mean, round(v, 4) AS weighted_variance, round(1 / (1 + sqrt(v)), 6) AS agreement FROM (SELECT event_type, sum((1 + event_id % 5) * value) / sum(1 + event_id % 5) AS w, greatest(sum((1 + event_id % 5) * value * value) / sum(1 + event_id % 5) - power(sum((1 + event_id % 5) * value) / sum(1 + event_id % 5), 2), 0) AS v FROM events GROUP BY event_type)")
@@ -221,7 +222,7 @@ def agg30(t: Tables) -> DataFrame:
 
 @query("agg31_standardise", "SELECT event_id, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w < 1e-8 THEN 1 ELSE stddev_pop(value) OVER w END, 5) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
 def agg31(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.round(metrics.standardised(F.col("value"), W.partitionBy("event_type")), 5).alias("z"))
+    return metrics.standardised(t.events.select("event_id", "event_type", "value"), "event_type", "value", "z").select("event_id", F.round("z", 5).alias("z"))
 
 
 @query("agg32_softmax", "SELECT event_id, round(e / sum(e) OVER (PARTITION BY user_id), 6) AS p FROM (SELECT event_id, user_id, exp((value - max(value) OVER (PARTITION BY user_id)) / 50) AS e FROM events)")

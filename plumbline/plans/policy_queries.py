@@ -261,19 +261,3 @@ def pol14(t: Tables) -> DataFrame:
 def pol15(t: Tables) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", F.format_string("%d: %s", "p_partkey", "p_name").alias("line"))))
     return t.part.where("p_size = 7").groupBy("p_brand").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
-
-
-WORLD = memory.World(("phase enter", "phase scan", "phase lift", "phase exit"), ("a0", "a1", "a2"), {"phase enter": "a1", "phase scan": "a2", "phase lift": "a0", "phase exit": "a1"})
-KNOWN = memory.Knowledge(
-    support=(("phase enter", "a1", 1.0, 0.9, False), ("phase scan", "a0", 1.0, 0.2, False)),
-    rules=(("phase lift", "a0", 1.0, 0.8, False), ("phase enter", "a0", 0.0, 1.0, True)),
-)
-
-
-@query("pol16_experiment_grid")
-def pol16(t: Tables) -> DataFrame:
-    """The seven ablations of the three sources with five seeds each."""
-    from ..operators.series import experiment_summary
-
-    runs = memory.simulate(memory.grid(t.spark, (11, 22, 33, 44, 55)), WORLD, KNOWN, 100)
-    return experiment_summary(runs, "setting", "seed", "episode", "success", "reward")

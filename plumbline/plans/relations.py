@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import datasets, gates, retrieval, series, shape
+from ..operators import cells, datasets, gates, retrieval, series, shape
 from ..session import shared_folder
 from ..sources import readers, writers
 from .base import EVENTS, LANGS, NORMAL, RESPONSES, SCORED, Tables, events, long, query, r6, responses, scored
@@ -367,6 +367,14 @@ def jon10(t: Tables) -> DataFrame:
     return retrieval.dense(t.embeddings, q, "vec_id", "q", "embedding", "qv", 5).select("q", "vec_id", long("rank").alias("rank"), F.round("cosine", 5).alias("cosine"))
 
 
+@query("jon10_dense_cells")
+def jon10_cells(t: Tables) -> DataFrame:
+    """The same queries by way of an index of cells; what it finds is held against ``jon10_dense`` in the tests."""
+    q = t.embeddings.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    found = cells.nearest(t.embeddings, q, "vec_id", "q", "embedding", "qv", 5, cells.fit(t.embeddings, "embedding", 5))
+    return found.select("q", "vec_id", long("rank").alias("rank"), F.round("cosine", 5).alias("cosine"))
+
+
 @query("jon11_containment", "SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def jon11(t: Tables) -> DataFrame:
     return retrieval.containment(t.documents, t.benchmark, "doc_id", "item_id", "text", "text").groupBy("item_id").agg(F.count("*").alias("n_docs"))

@@ -67,15 +67,6 @@ def stm02(t: Tables) -> DataFrame:
     return d.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "n", "peak", "mean")
 
 
-@query("stm04_online_memory")
-def stm04(t: Tables) -> DataFrame:
-    """Case memory at three strengths; each episode reads what earlier ones remembered."""
-    from ..operators import memory
-    from .policy_queries import WORLD
-
-    return memory.simulate(memory.betas(t.spark, (0, 2, 8), range(4)), WORLD, episodes=30)
-
-
 @query("stm05_rounds", "SELECT DISTINCT user_id, (user_id % 4 + 1)::INTEGER AS turns, true AS done FROM events")
 def stm05(t: Tables) -> DataFrame:
     shared_folder(t.spark)
@@ -185,62 +176,3 @@ def snk09(t: Tables) -> DataFrame:
     folder, steps = _run_folder(t), _event_stream(t).select("event_id", "event_type", "value")
     streaming.append_log(steps, f"{folder}/log", f"{folder}/checkpoint")
     return t.spark.read.schema(steps.schema).json(f"{folder}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-
-
-def agent_cases(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Every twentieth document as a case, its gold rules the three of its language with most keywords in it; benchmark items as rules."""
-    from pyspark.sql import Window as W
-
-    from ..operators.retrieval import keyword_share, small
-    from .base import LANGS
-
-    of = F.element_at(F.array(*map(F.lit, LANGS)), ((F.col("item_id") / 2).cast("long") % 4 + 1).cast("int"))
-    rules = t.benchmark.select(F.format_string("R%04d", "item_id").alias("rule_id"), F.format_string("C%04d", (F.col("item_id") / 2).cast("long")).alias("canonical_id"), of.alias("category"), "text", F.slice(F.array_distinct(text.words(F.col("text"))), 1, 3).alias("keywords"), (F.col("item_id") * 7 % 101).alias("priority"))
-    asked = t.documents.where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("article"), F.col("lang").alias("label"))
-    met = asked.join(small(rules.select("canonical_id", "keywords", F.col("category").alias("label"))), "label").withColumn("hits", keyword_share(F.col("article"), F.col("keywords"))).where("hits > 0")
-    best = met.groupBy("doc_id", "canonical_id").agg(F.max(F.struct("hits", "keywords", "article")).alias("m")).withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("m.hits").desc(), "canonical_id"))).where("k <= 3")
-    words_in = F.filter("m.keywords", lambda w: F.contains(F.lower("m.article"), w))
-    gold = best.groupBy("doc_id").agg(F.array_sort(F.collect_list("canonical_id")).alias("gold_rules"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words_in)))), 1, 3).alias("gold_evidence"))
-    task = F.element_at(F.array(F.lit("retrieve"), F.lit("compose"), F.lit("decision")), (F.col("doc_id") / 20 % 3 + 1).cast("int"))
-    return asked.join(gold, "doc_id").select("doc_id", task.alias("task"), "article", "label", "gold_rules", "gold_evidence", F.lit(5).alias("max_steps")), rules
-
-
-@query("stm03_agent_episodes")
-def stm03_agent(t: Tables) -> DataFrame:
-    """The expert's episodes, one row each."""
-    from ..operators import agent
-    from .base import LANGS
-
-    cases, rules = agent_cases(t)
-    d = agent.summary(agent.episodes(cases, rules, "doc_id", LANGS), "doc_id")
-    return d.select("doc_id", "steps", "n_invalid", "done", *(r6(F.col(c)).alias(c) for c in ("total", *agent.METRICS)))
-
-
-RECORDED = (
-    "no action at all",
-    '<think>x</think><action>{"tool":"finish","arguments":{}}</action>',
-    '<action>{"tool":"search_rules","arguments":{"query":"the of and","top_k":"99"}}</action>',
-    '<think>x</think><action>{"tool":"compose_rules","arguments":{"rule_ids":["none"]}}</action>',
-    '<think>x</think><action>{"tool":"finish","arguments":{"selected_rules":[]}}</action>',
-)
-
-
-@query("stm06_agent_trace")
-def stm06_agent(t: Tables) -> DataFrame:
-    """Recorded replies replayed, step by step, with the total so far."""
-    from ..operators import agent
-    from .base import LANGS
-
-    cases, rules = agent_cases(t)
-    d = agent.episodes(cases.withColumn("replies", F.array(*map(F.lit, RECORDED))), rules, "doc_id", LANGS, "replies")
-    return d.select("doc_id", "step", "event", r6(F.col("reward")).alias("reward"), r6(F.col("total")).alias("total"), "done", r6(F.col("protocol_score")).alias("protocol_score"))
-
-
-@query("stm08_agent_expert")
-def stm08_agent(t: Tables) -> DataFrame:
-    """The expert's replies and what the environment said to them."""
-    from ..operators import agent
-    from .base import LANGS
-
-    cases, rules = agent_cases(t)
-    return agent.episodes(cases, rules, "doc_id", LANGS).select("doc_id", "step", "event", "reply", "observation")

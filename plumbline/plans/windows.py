@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import datasets, metrics, retrieval, series
+from ..operators import datasets, metrics, ordered, retrieval, series, shape
 from .base import EVENTS, SCORED, Tables, events, h, long, query, r6, scored
 
 
@@ -17,14 +17,13 @@ def win01(t: Tables) -> DataFrame:
 
 @query("win02_mid_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2e0 AS mid_rank FROM part")
 def win02(t: Tables) -> DataFrame:
-    mid = F.rank().over(W.partitionBy("p_brand").orderBy("p_size")) + (F.count("*").over(W.partitionBy("p_brand", "p_size")) - 1) / 2
-    return t.part.select("p_partkey", mid.alias("mid_rank"))
+    return ordered.mid_ranks(t.part.select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size", "mid_rank").select("p_partkey", "mid_rank")
 
 
 @query("win03_cumulative_error", f"SELECT doc_id, round(sum(1 - correct) OVER w / row_number() OVER w, 6) AS risk FROM {SCORED} WINDOW w AS (PARTITION BY toxic ORDER BY conf DESC, doc_id ROWS UNBOUNDED PRECEDING)")
 def win03(t: Tables) -> DataFrame:
-    by = W.partitionBy("toxic").orderBy(F.col("conf").desc(), "doc_id")
-    return scored(t).select("doc_id", r6(F.sum(1 - F.col("correct")).over(by.rowsBetween(W.unboundedPreceding, 0)) / F.row_number().over(by)).alias("risk"))
+    d = ordered.running(scored(t).select("doc_id", "toxic", "conf", "correct"), ["toxic"], [F.col("conf").desc(), F.col("doc_id")], {"errors": 1 - F.col("correct"), "place": F.lit(1)})
+    return d.select("doc_id", r6(F.col("errors") / F.col("place")).alias("risk"))
 
 
 @query("win04_lead_boundary", f"SELECT day, round(coalesce(lead(s) OVER (ORDER BY s), (SELECT max(epoch) + 1e-6 FROM {EVENTS})), 3) AS next_start FROM (SELECT day, min(epoch) AS s FROM {EVENTS} GROUP BY day)")
@@ -73,8 +72,8 @@ def win11(t: Tables) -> DataFrame:
 
 @query("win12_parity", "SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 2 = 0 THEN 'cot' ELSE 'direct' END AS style FROM documents")
 def win12(t: Tables) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
-    return t.documents.select("doc_id", F.when(k % 2 == 0, "cot").otherwise("direct").alias("style"))
+    d = shape.with_ordinal(t.documents.select("doc_id", "source"), ["doc_id"], ["source"])
+    return d.select("doc_id", F.when(F.col("ordinal") % 2 == 0, "cot").otherwise("direct").alias("style"))
 
 
 @query("win13_sampling_cdf", f"WITH p AS (SELECT user_id, event_id, value / sum(value) OVER (PARTITION BY user_id) AS p FROM events), c AS (SELECT user_id, event_id, sum(p) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS c FROM p) SELECT user_id, coalesce(min(event_id) FILTER (c >= {h('user_id', 1000)} / 1e3), max(event_id)) AS chosen FROM c GROUP BY user_id")

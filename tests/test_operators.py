@@ -3,6 +3,7 @@
 import io
 import json
 import math
+import re
 import tarfile
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline import streaming
 from plumbline.functions import equations, hashing, scores, text
 from plumbline.functions.json import scan_object
-from plumbline.operators import agent, calibration, datasets, gates, memory, metrics, policy, retrieval, series, shape, stats, trajectory
+from plumbline.operators import calibration, cells, datasets, gates, memory, metrics, ordered, policy, retrieval, selection, series, shape, stats, trajectory
 from plumbline.sources import readers, writers
 
 
@@ -88,10 +89,67 @@ def test_discounted_returns(spark):
 
 def test_quantile_definitions(spark):
     d = spark.createDataFrame([("a", float(x)) for x in (20, 40, 80, 100)], "g string, v double")
-    r = d.groupBy("g").agg(metrics.quantile_linear(F.col("v"), 0.95).alias("linear"), metrics.quantile_nearest(F.col("v"), 0.95).alias("nearest")).first()
-    assert (round(r.linear, 6), r.nearest) == (97.0, 100.0)
-    assert metrics.quantile_at(d, "g", "v", metrics.floor_rank(0.5), "q").first().q == 80.0
-    assert metrics.quantile_at(d, "g", "v", metrics.rounded_rank(0.5), "q").first().q == 80.0
+    wanted = {"linear": selection.linear(0.95), "nearest": selection.nearest(0.95), "floor": selection.floor(0.5), "rounded": selection.rounded(0.5)}
+    for group_rows in (10, 0):
+        r = selection.quantiles(d, ["g"], "v", wanted, group_rows).first()
+        assert (round(r.linear, 6), r.nearest, r.floor, r.rounded) == (97.0, 100.0, 80.0, 80.0)
+
+
+def test_quantiles_of_large_groups(spark):
+    """A group with nine tenths of the rows, values over all magnitudes, both signs, zeros, ties, nulls, NaN and infinities."""
+    import numpy as np
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    wild = np.concatenate((rng.choice([-1, 1], 3000) * 10.0 ** rng.integers(-300, 300, 3000), rng.normal(5, 1e-9, 3000), np.zeros(700), np.full(900, 5.0), rng.integers(0, 50, 1400), [5e-324, -5e-324, 1.7e308]))
+    groups = {"hot": wild, "few": rng.normal(0, 1, 900), None: np.array([3.0, 1.0]), "one": np.array([-0.0, 0.0]), "same": np.full(40, 7.0)}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("none", None), ("none", float("nan")), ("few", None)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "g string, v double").repartition(8)
+    shares = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    wanted = {f"{kind.__name__}{k}": kind(p) for kind in (selection.linear, selection.nearest, selection.floor, selection.rounded) for k, p in enumerate(shares)}
+    got = {r.g: r for r in selection.quantiles(d, ["g"], "v", wanted, 0).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        v, n = np.sort(v), len(v)
+        for k, p in enumerate(shares):
+            at = p * (n - 1)
+            low, high = v[int(np.floor(at))], v[int(np.ceil(at))]
+            with np.errstate(over="ignore"):
+                assert got[g][f"linear{k}"] == low + (at - np.floor(at)) * (high - low)
+            assert got[g][f"nearest{k}"] == v[max(int(np.ceil(n * p - 1e-6)), 1) - 1]
+            assert got[g][f"floor{k}"] == v[min(int(np.floor(n * p)), n - 1)]
+            assert got[g][f"rounded{k}"] == v[int(np.rint(at))]
+    same = {r.g: r for r in selection.quantiles(d, ["g"], "v", wanted).collect()}
+    assert same == got
+
+
+def test_running_sums_of_large_groups(spark):
+    """Nine tenths of the rows in one group, nearly all of one value: parts of all groups, none with much more than its share."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    rng = random.Random(8)
+    rows = [(k, "hot" if rng.random() < 0.9 else rng.choice(["a", "b", None]), 7 if rng.random() < 0.8 else rng.randrange(100), rng.choice([1, 2, None])) for k in range(20_000)]
+    d = spark.createDataFrame(rows, "k long, g string, v long, w long").repartition(5)
+    order = [F.col("v").desc(), F.col("k")]
+    by = W.partitionBy("g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    want = d.select("k", F.row_number().over(by).alias("place"), F.coalesce(F.sum("w").over(by), F.lit(0)).alias("total"))
+    got = ordered.running(d, ["g"], order, {"place": F.lit(1), "total": F.col("w")}, 100, 1500)
+    assert got.columns == [*d.columns, "place", "total"]
+    assert sorted(map(tuple, got.select("k", "place", "total").collect())) == sorted(map(tuple, want.collect()))
+    parts = ordered.parts_of(d, ["g"], order, "part", 14).groupBy("part").count().collect()
+    assert len(parts) == 14 and max(r["count"] for r in parts) < 3 * 20_000 / 14
+    # rows that are equal in all are parted too
+    same = spark.range(9000).select(F.lit(1).alias("g"))
+    assert sorted(r.place for r in ordered.running(same, ["g"], [], {"place": F.lit(1)}, 100, 1000).collect()) == list(range(1, 9001))
+    whole = ordered.running(d, [], order, {"place": F.lit(1)}, 100, 1500)
+    assert sorted(r.place for r in whole.collect()) == list(range(1, 20_001))
+    mid = {(r.g, r.v): r.m for r in ordered.mid_ranks(d.select("g", "v"), ["g"], "v", "m", 10, 20).distinct().collect()}
+    for g in ("hot", "a", None):
+        v = sorted(x[2] for x in rows if x[1] == g)
+        assert all(mid[g, x] == v.index(x) + (v.count(x) + 1) / 2 for x in set(v))
+    assert ordered.running(d.limit(0), ["g"], order, {"place": F.lit(1)}).count() == ordered.running(d.limit(0), [], order, {"place": F.lit(1)}, -1).count() == 0
 
 
 def test_risk_threshold(spark):
@@ -193,20 +251,6 @@ def test_three_sources(spark):
         assert math.isclose(got["b"].corrected, -want / 2)
 
 
-def test_memory_helps(spark):
-    world = memory.World(("phase one", "phase two"), ("a0", "a1", "a2"), {"phase one": "a0", "phase two": "a2"})
-    known = memory.Knowledge(support=(("phase one", "a0", 1.0, 0.9, False),), rules=(("phase two", "a0", 0.0, 1.0, True), ("phase two", "a1", 0.0, 1.0, True)))
-    runs = memory.simulate(memory.betas(spark, (0, 8), range(3)).unionByName(memory.grid(spark, range(3))), world, known, 60)
-    got = {r.setting: r for r in series.experiment_summary(runs, "setting", "seed", "episode", "success", "reward").collect()}
-    assert got["beta8"].last_rate > got["beta0"].last_rate + 0.3
-    assert set(memory.ABLATIONS) <= set(got) and got["all_gated"].last_rate > got["static"].last_rate + 0.3
-    kept = {(r.setting, r.seed): r for r in runs.where("episode = 59").collect()}
-    assert all(r.n_cases == (0 if r.setting in ("beta0", "static", "support_only", "rule_only") else 120) for r in kept.values())
-    assert max(r.n_condensed for r in kept.values()) > 0 and not any(r.n_condensed for r in kept.values() if r.setting != "all_condensing")
-    # two actions of the second phase are blocked, so its reward is certain
-    assert runs.where("setting = 'rule_only' AND reward < 1").isEmpty()
-
-
 def test_mcnemar_and_bootstrap(spark):
     assert stats.mcnemar_p(0, 0) == 1.0 and math.isclose(stats.mcnemar_p(10, 0), 2 / 2**10)
     for a, b in ((3, 9), (40, 60), (500, 420), (7, 7)):
@@ -271,6 +315,7 @@ def test_append_log_resumes(spark, tmp_path):
 
 
 def test_online_memory_stream(spark, tmp_path):
+    """STM-04."""
     d = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 3.0), ("s", "b", 5.0)], "s string, a string, v double")
     d.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
@@ -534,6 +579,102 @@ def test_authority_keeps_to_the_category(spark):
     assert {r.chosen for r in none} == {None} and got[7, 2].best == 0.0
 
 
+def _tokens_of(text_):
+    return re.findall("[a-z0-9_]+", text_.lower())
+
+
+def test_top_k_by_bounds(spark):
+    """The same as scoring every pair, with blocks that the second round alone may reach, few documents, and queries without any."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([5, 60, 300])]) for _ in range(n))
+    docs = spark.createDataFrame([(k, prose(rng.choice([1, 2, 30, 200]))) for k in range(400)] + [(900, ""), (901, None)], "d long, text string")
+    asked = spark.createDataFrame([(k, prose(rng.choice([1, 3, 20, 60]))) for k in range(60)] + [(90, "nowhere"), (91, ""), (92, "w1 w1 w1")], "q long, text string")
+    w = text.words(F.col("text"))
+    for few in (docs, docs.limit(3), docs.limit(0)):
+        every = retrieval.top_k(retrieval.bm25(few, asked, "d", "q", w, w), "q", 4, F.round("score", 8).desc(), F.col("d"))
+        want = {(r.q, r["rank"]): (r.d, round(r.score, 7)) for r in every.collect()}
+        got = {(r.q, r["rank"]): (r.d, round(r.score, 7)) for r in retrieval.bm25_top_k(few, asked, "d", "q", w, w, 4).collect()}
+        assert got == want
+
+
+def test_few_pairs_are_scored(spark):
+    """JON-09: of the pairs that have a token in common, less than a tenth reaches the second round."""
+    docs, asked = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").select("text", F.col(k).alias("k")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    w = text.words(F.col("text"))
+    r = retrieval.bm25_rounds(docs.withColumnRenamed("k", "d"), asked.withColumnRenamed("k", "q"), "d", "q", w, w, 5)
+    # at least as many pairs as documents that share the most common word of any query, for each query with it
+    pairs = r.postings.join(asked.select(F.col("k").alias("q"), F.explode(F.array_distinct(w)).alias("token")), "token").select("d", "q").distinct().count()
+    assert pairs > 1_000_000 and r.survivors.count() < pairs / 10
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.5, 0.8, 1.0])
+def test_similar_pairs(spark, threshold):
+    """JON-07: all pairs at or above a threshold, few candidates at high ones."""
+    import random
+
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(80)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([6, 80])]) for _ in range(rng.randint(0, 25))) for _ in range(250)]
+    texts += [f"{x} extra" for x in texts[:40]] + [texts[0]] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string")
+    asked = docs.where("d % 3 = 0").select(F.col("d").alias("q"), "text")
+    w = text.words(F.col("text"))
+    sets = {k: set(_tokens_of(x)) for k, x in enumerate(texts)}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    want = {(q, d): round(s, 9) for q in range(0, len(texts), 3) for d in sets if (s := alike(sets[q], sets[d])) >= threshold and s > 0}
+    got = {(r.q, r.d): round(r.similarity, 9) for r in retrieval.similar_pairs(docs, asked, "d", "q", w, w, threshold).collect()}
+    assert got == want
+
+
+def test_alike_states_make_no_pairs(spark):
+    """POL-12: thousands of cases of few states, and each query takes only its neighbours."""
+    memory_rows = [(k, f"phase p{k % 5} again p{k % 5}" if k % 7 else "", f"a{k % 3}", float(k % 11)) for k in range(4000)]
+    known = spark.createDataFrame(memory_rows, "step long, state string, action string, return_value double")
+    asked = spark.createDataFrame([(k, ["p1 phase again", "phase p2 again more", "", "unknown"][k % 4]) for k in range(2000)], "q long, state string")
+    near = memory.neighbours(asked, known, "q", 0.7, 6)
+    got = near.groupBy("q").agg(F.array_sort(F.collect_list("step")).alias("steps")).collect()
+    latest = lambda f: sorted(k for k, *_ in [r for r in memory_rows if f(r)][-6:])
+    want = [latest(lambda r: "p1" in r[1]), latest(lambda r: "p2" in r[1]), latest(lambda r: not r[1])]
+    assert {r.q: r.steps for r in got} == {q: want[q % 4] for q in range(2000) if q % 4 < 3}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_containment_is_contains(spark, block_bytes):
+    """JON-11: items of 0 to 200 characters, of any characters, some of them equal, in one block and in many."""
+    import random
+
+    rng = random.Random(2)
+    body = lambda n: "".join(rng.choice("ab \né日.") for _ in range(n))
+    texts = [body(rng.randint(0, 400)) for _ in range(60)] + ["", None]
+    items = [body(n) for n in range(6) for _ in range(3)] + [t[a : a + n] for n in (7, 30, 100, 200) for t in texts[:20] for a in [rng.randint(0, max(0, len(t) - n))]] + ["", None, "ab", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string")
+    wanted = spark.createDataFrame(list(enumerate(items)), "i long, item string")
+    got = sorted((r.i, r.d) for r in retrieval.containment(docs, wanted, "d", "i", "text", "item", block_bytes).collect())
+    assert got == sorted((i, d) for i, x in enumerate(items) for d, t in enumerate(texts) if x is not None and t is not None and x in t)
+
+
+def test_cells_find_neighbours(spark, monkeypatch):
+    """JON-10: recall against all vectors on the table; shares of a cell of copies; edge cases."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").alias("v"))
+    asked = table.where("i % 20 = 0").select(F.col("i").alias("q"), F.col("v").alias("qv"))
+    index = cells.fit(table, "v", 5)
+    want = {(r.q, r.i) for r in retrieval.dense(table, asked, "i", "q", "v", "qv", 5).collect()}
+    got = {(r.q, r.i) for r in cells.nearest(table, asked, "i", "q", "v", "qv", 5, index).collect()}
+    assert index.recall >= 0.95 and len(got & want) / len(want) >= 0.9
+    monkeypatch.setattr(cells, "SHARE", 7)
+    monkeypatch.setattr(cells, "QUERY_SHARE", 3)
+    copies = spark.createDataFrame([(k, [1.0, 0.5, 0.0]) for k in range(60)] + [(k, [float(k % 5), 1.0, float(k % 3)]) for k in range(60, 120)] + [(200, None), (201, [1.0]), (None, [1.0, 1.0, 1.0])], "i long, v array<double>")
+    few = copies.where("i % 10 = 0").select(F.col("i").alias("q"), F.col("v").alias("qv"))
+    all_cells = cells.Cells(cells.fit(copies, "v", n_cells=4).centres, 4, 1.0)
+    exact = sorted((r.q, r.i, r["rank"]) for r in retrieval.dense(copies, few, "i", "q", "v", "qv", 4).collect())
+    assert sorted((r.q, r.i, r["rank"]) for r in cells.nearest(copies, few, "i", "q", "v", "qv", 4, all_cells).collect()) == exact
+    none = copies.limit(0)
+    assert cells.nearest(none, few, "i", "q", "v", "qv", 4, cells.fit(none, "v")).count() == 0
+
+
 def test_containment_of_short_items(spark):
     texts = [(1, "the cart of gold"), (2, "an art, of sorts"), (3, "--!?"), (4, ""), (5, None), (6, "one two three four five six")]
     items = [(1, "art of"), (2, "a"), (3, "!?"), (4, ""), (5, "two three four"), (6, "wo three four fi"), (7, None), (8, "zzz"), (9, "two three fou")]
@@ -594,73 +735,3 @@ def test_views(spark):
     assert (r.right, r.wrong, r.wide) == ("b", None, "y")
 
 
-def agent_base():
-    rules = [("R1", "C1", "stock market prices", ["stock", "market"], 90), ("R2", "C1", "stock market old", ["stock"], 10), ("R3", "C2", "football match", ["football"], 50), ("R4", "C3", "bank loans market", ["bank"], 95)]
-    return agent.RuleBase([dict(zip(("rule_id", "canonical_id", "text", "keywords", "priority"), r, strict=True)) for r in rules])
-
-
-def say(tool, thought=True, **arguments):
-    return ("<think>so</think>" if thought else "") + "<action>" + json.dumps({"tool": tool, "arguments": arguments}) + "</action>"
-
-
-def test_agent_episode_by_hand():
-    """STM-03, STM-06: rewards of each event of one case."""
-    base, labels = agent_base(), ("finance", "sport")
-    e = agent.Episode(base, agent.Case("decision", "stock market falls as bank fails", "finance", ("C1", "C3"), ("stock", "bank"), 20), labels)
-    steps = [
-        ("nothing", "invalid", -0.2),
-        (say("dance"), "invalid_tool", -0.2),
-        (say("reflect", diagnosis="x", new_query="stock"), "invalid_reflect", -0.15),
-        (say("compose_rules", rule_ids=["R1"]), "invalid_compose", -0.2),
-        (say("search_rules", query=" s "), "invalid_search", -0.15),
-        (say("search_rules", query="football", top_k=1), "search_rules", 0.0),
-        (say("reflect", diagnosis="", new_query="stock"), "invalid_reflect", -0.15),
-        (say("reflect", diagnosis="x", new_query="stock market bank", top_k=3), "reflect", 0.2 + 0.05),
-        (say("compose_rules", rule_ids=[]), "invalid_compose", -0.15),
-        (say("compose_rules", rule_ids=["R3"]), "invalid_compose", -0.2),
-        (say("finish", decision="finance"), "invalid_finish", -0.2),
-        (say("compose_rules", rule_ids=["R2", "R1", "R1"]), "compose_rules", 0.2 * 2 / 3),
-        (say("compose_rules", rule_ids=["R2", "R1", "R4"]), "compose_rules", 0.2),
-        (say("finish", decision="weather"), "invalid_finish_schema", -0.35),
-        (say("finish", decision="finance", matched_rules=["C1"], evidence=["stock"], unmet_conditions=[], reason=" "), "invalid_finish_schema", -0.35),
-        (say("finish", False, decision="finance", matched_rules=["C3", "C1", "C2"], evidence=["stock"], unmet_conditions=[], reason="r"), "finish", 1 + 0.3 + 0.2 / 2 + 0.1 / 2),
-    ]
-    for reply, event, reward in steps:
-        got = e.step(reply)
-        assert got.event == event and math.isclose(got.reward, reward, abs_tol=1e-12), (reply, got)
-    assert e.done and e.composed == ["C3", "C1"] and e.metrics["decision_accuracy"] == e.metrics["rule_compliance"] == 1.0
-    protocol = [0.0, *[1.0] * 12, 0.0, 0.0, 0.5]
-    assert math.isclose(e.metrics["protocol_score"], sum(protocol) / 16) and math.isclose(e.metrics["thinking_score"], 14 / 16)
-    assert e.metrics["reflection_success"] == 1.0
-    with pytest.raises(RuntimeError):
-        e.step("again")
-    late = agent.Episode(base, agent.Case("retrieve", "x", "sport", ("C2",), (), 2), labels)
-    assert late.step("bad").reward == -0.2 and not late.done
-    out = late.step(say("search_rules", query="football", top_k=1))
-    assert math.isclose(out.reward, 0.15 - 0.25) and late.done
-
-
-def test_agent_expert_succeeds(spark):
-    """STM-08: the expert's own episodes end well in all tasks, and recorded replies give the same trace."""
-    rules = spark.createDataFrame([(r["rule_id"], r["canonical_id"], r["text"], r["keywords"], r["priority"]) for r in agent_base().rules], "rule_id string, canonical_id string, text string, keywords array<string>, priority long")
-    rows = [(k, task, "stock market falls", "finance", ["C1"], ["stock"], 6) for k, task in enumerate(agent.TASKS)]
-    cases = spark.createDataFrame(rows, "k long, task string, article string, label string, gold_rules array<string>, gold_evidence array<string>, max_steps int")
-    trace = agent.episodes(cases, rules, "k", ["finance", "sport"])
-    got = {r.k: r for r in agent.summary(trace, "k").collect()}
-    assert all(r.done and r.n_invalid == 0 and r.protocol_score == 1.0 and r.task_schema_score == 1.0 for r in got.values())
-    assert [got[k].steps for k in range(3)] == [3, 3, 4] and got[2].decision_accuracy == got[2].rule_compliance == got[2].evidence_coverage == 1.0
-    said = trace.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("step", "reply"))).alias("s")).select("k", F.transform("s", lambda x: x["reply"]).alias("said"))
-    again = agent.episodes(cases.join(said, "k"), rules, "k", ["finance", "sport"], "said")
-    assert sorted(map(str, again.collect())) == sorted(map(str, trace.collect()))
-
-
-def test_rule_base_ranks_as_hybrid(spark):
-    base = agent_base()
-    rules = spark.createDataFrame([(r["rule_id"], r["text"], r["keywords"], r["priority"]) for r in base.rules], "rule_id string, text string, keywords array<string>, priority long")
-    for query in ("stock market", "bank football", "zzz", "market"):
-        q = spark.createDataFrame([(1, query)], "q int, text string")
-        tokens = text.feature_tokens(F.col("text"), {})
-        lexical = {r.rule_id: r.score for r in retrieval.bm25(rules, q, "rule_id", "q", tokens, tokens, distinct_query=True).collect()}
-        rows = [(1, r["rule_id"], lexical.get(r["rule_id"], 0.0), float(base.vectors[k] @ hashing.vector(agent.features(query))), sum(w in query for w in r["keywords"]) / len(r["keywords"]), r["priority"]) for k, r in enumerate(base.rules)]
-        want = retrieval.hybrid(spark.createDataFrame(rows, "q int, rule_id string, lexical double, dense double, keyword double, priority int"), "q", k=4).orderBy("rank").collect()
-        assert [base.rules[k]["rule_id"] for k in base.search(query, 4)] == [r.rule_id for r in want], query
