@@ -175,7 +175,7 @@ def generated(rows: DataFrame, backend: Callable[[], Any], key: str, prompt: str
                     "elapsed_seconds": [each] * len(replies),
                 })
 
-    return rows.select(key, prompt).mapInPandas(run, f"{key} long, text string, mean_logprob double, prompt_tokens long, completion_tokens long, elapsed_seconds double")
+    return rows.select(key, prompt).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, mean_logprob double, prompt_tokens long, completion_tokens long, elapsed_seconds double")
 
 
 def with_cost(replies: DataFrame, prompt_price: float, completion_price: float) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_folder
+
 
 def jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with keys in column order and nulls kept."""
@@ -66,21 +69,81 @@ def fingerprint(rows: DataFrame, key: str, config: dict) -> str:
     return hashlib.sha256(json.dumps([list(sums), config], sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
-def cached(spark: SparkSession, folder: str, print_: str, expected_rows: int, make) -> DataFrame:
-    """A stored result under its fingerprint if it is complete, else what ``make`` gives, stored."""
-    path = f"{folder.rstrip('/')}/{print_}"
+MANIFEST = "_manifest.json"
+
+
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file context of a path, its path class, and the option of a rename that replaces nothing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path).getFileSystem(conf).makeQualified(hadoop.Path(path))
+    never = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    never[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").NONE
+    return hadoop.FileContext.getFileContext(where.toUri(), conf), hadoop.Path, never
+
+
+def _parts(spark: SparkSession, path: str) -> list[list]:
+    """Names and lengths of a stored table's files."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted([f.getPath().getName(), f.getLen()] for f in found if f.getPath().getName().endswith(".parquet"))
+
+
+def stored(spark: SparkSession, path: str) -> dict | None:
+    """What a stored result says of itself, if it is there and all its files are as they were written."""
     try:
-        d = spark.read.parquet(path)
-        if d.count() == expected_rows:
-            return d
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+        told = json.loads(jvm.org.apache.commons.io.IOUtils.toString(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at), "UTF-8"))
+        return told if _parts(spark, path) == told["parts"] else None
     except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if "PATH_NOT_FOUND" in str(e) or "FileNotFound" in str(e):
+            return None
+        raise
+
+
+def commit(spark: SparkSession, rows: DataFrame, path: str) -> bool:
+    """Stores a table as a whole or not at all; False if another writer was first, whose table stays.
+
+    The rows are written to a folder of their own beside it, with a list of their files, which is then given the name in
+    one step that never replaces a folder.  A writer that dies leaves its own folder and nothing under the name.
+    """
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    staged = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    told = {"rows": spark.read.schema(rows.schema).parquet(staged).count(), "parts": _parts(spark, staged)}
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{staged}/{MANIFEST}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(json.dumps(told).encode())
+    out.close()
+    context, where, never = _store(spark, parent)
+    try:
+        _name(context, where(staged), where(path), never)
+    except Exception:  # noqa: BLE001
+        if stored(spark, path) is None:
             raise
-    make().write.mode("overwrite").parquet(path)
-    d = spark.read.parquet(path)
-    if (n := d.count()) != expected_rows:
-        raise ValueError(f"{n} rows written, {expected_rows} expected")
-    return d
+        delete_folder(spark, staged)
+        return False
+    return True
+
+
+def _name(context, old, new, never) -> None:
+    context.rename(old, new, never)
+
+
+def cached(spark: SparkSession, folder: str, print_: str, expected_rows: int, make) -> DataFrame:
+    """A stored result under its fingerprint if it is whole, else what ``make`` gives, stored; of two writers one is read by both."""
+    path = f"{folder.rstrip('/')}/{print_}"
+    told = stored(spark, path)
+    if told is None or told["rows"] != expected_rows:
+        delete_folder(spark, path)  # what is there isn't whole
+        commit(spark, make(), path)
+        told = stored(spark, path)
+    if told is None or told["rows"] != expected_rows:
+        raise ValueError(f"{told and told['rows']} rows written, {expected_rows} expected")
+    return spark.read.parquet(path)
 
 
 def summary(rows: DataFrame, limit: int = 10_000) -> str:
@@ -92,9 +155,11 @@ def summary(rows: DataFrame, limit: int = 10_000) -> str:
 
 
 def markdown(rows: DataFrame, formats: dict[str, str] | None = None, limit: int = 1000) -> str:
-    """A small table in Markdown; null is a dash."""
+    """A small table in Markdown; null is a dash, and more than ``limit`` rows raise."""
     show = lambda c, v: "—" if v is None else format(v, (formats or {}).get(c, ""))
-    found = rows.limit(limit).collect()
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows are no table to read")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(c, r[c]) for c in rows.columns) + " |" for r in found])
 

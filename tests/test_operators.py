@@ -390,6 +390,85 @@ def test_result_cache(spark, tmp_path):
         writers.cached(spark, str(tmp_path), "other", 3, make)
 
 
+def test_cache_is_whole_or_not_there(spark, tmp_path, monkeypatch):
+    """SNK-03: a writer that dies before the name is given, two writers at once, and a file that is lost."""
+    import os
+
+    d = spark.range(20).withColumn("x", F.col("id") % 3).repartition(3)
+    name = writers._name
+    monkeypatch.setattr(writers, "_name", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError, match="died"):
+        writers.cached(spark, str(tmp_path), "k", 20, lambda: d)
+    assert writers.stored(spark, f"{tmp_path}/k") is None and not (tmp_path / "k").exists()
+    monkeypatch.setattr(writers, "_name", name)
+    calls = []
+
+    def late():
+        calls.append("late")
+        if len(calls) == 1:  # meanwhile another writer is through
+            assert writers.cached(spark, str(tmp_path), "k", 20, lambda: calls.append("early") or d).count() == 20
+        return d.withColumn("x", F.lit(99))
+
+    assert writers.cached(spark, str(tmp_path), "k", 20, late).where("x = 99").count() == 0
+    assert calls == ["late", "early"] and writers.stored(spark, f"{tmp_path}/k")["rows"] == 20
+    lost = next(p for p in (tmp_path / "k").iterdir() if p.suffix == ".parquet")
+    os.unlink(lost)
+    assert writers.stored(spark, f"{tmp_path}/k") is None
+    assert writers.cached(spark, str(tmp_path), "k", 20, lambda: d).count() == 20
+
+
+def test_http_model(spark, tmp_path):
+    """SRC-14: a server that fails for a while, is busy, and refuses; replies are asked once and kept."""
+    import http.server
+    import threading
+    import time
+    from functools import partial
+
+    from plumbline.sources import http_model
+
+    seen, lock = {}, threading.Lock()
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            prompt = body["messages"][0]["content"]
+            with lock:
+                seen[prompt] = n = seen.get(prompt, 0) + 1
+            status = {"bad": 400, "down": 503}.get(prompt, 503 if prompt == "twice" and n < 3 else 429 if prompt == "busy" and n == 1 else 200)
+            said = json.dumps({"choices": [{"message": {"content": f"{body['model']}:{prompt}"}, "logprobs": {"content": [{"logprob": -1.0}, {"logprob": -0.5}]}}], "usage": {"prompt_tokens": len(prompt), "completion_tokens": 2}}).encode()
+            self.send_response(status)
+            if status == 429:
+                self.send_header("Retry-After", "0")
+            self.send_header("Content-Length", str(len(said)))
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        make = partial(http_model.HttpClient, f"http://127.0.0.1:{server.server_port}/v1/chat/completions", "m", first_wait=0.01, tries=4)
+        d = spark.createDataFrame([(1, "hello"), (2, "twice"), (3, "hello"), (4, "busy"), (5, None)], "k long, p string")
+        for _ in range(2):
+            got = {r.k: (r.text, r.mean_logprob, r.prompt_tokens) for r in http_model.replies(d, make, "k", "p", f"{tmp_path}/cache", tasks=2).collect()}
+            assert got == {1: ("m:hello", -0.75, 5), 2: ("m:twice", -0.75, 5), 3: ("m:hello", -0.75, 5), 4: ("m:busy", -0.75, 4), 5: ("m:", -0.75, 0)}
+        assert seen == {"hello": 1, "twice": 3, "busy": 2, "": 1}
+        with pytest.raises(http_model.Unanswered, match="400"):
+            make().generate(["bad"])
+        assert seen["bad"] == 1
+        with pytest.raises(http_model.Unanswered, match="4 tries: status 503"):
+            make().generate(["down"])
+        began = time.monotonic()
+        make(per_second=20).generate(["hello"] * 5)
+        assert time.monotonic() - began >= 4 / 20
+    finally:
+        server.shutdown()
+    with pytest.raises(http_model.Unanswered, match="2 tries"):
+        http_model.HttpClient(f"http://127.0.0.1:{server.server_port}/", "m", tries=2, first_wait=0.01, timeout=0.5).generate(["x"])
+
+
 def test_reports(spark, tmp_path):
     """SNK-05, SNK-06, SNK-07."""
     d = spark.createDataFrame([("a", 0.5), ("b", None)], "k string, v double")
