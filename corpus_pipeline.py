@@ -2,7 +2,8 @@
 
 Each stage works on all that its predecessor kept.  The first four return rows
 with the columns of documents; the last returns them dealt into shards, each row
-with its shard and slot.
+with its shard and slot.  Every stage takes an empty table, and columns of any
+name beside those of documents, which come through unchanged.
 """
 
 from __future__ import annotations
@@ -18,25 +19,30 @@ MIX_NUMERATOR, MIX_DENOMINATOR = 9, 10
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and the band of their language; null and empty texts go, repeated rows get equal verdicts, a null language takes its script's band."""
     ship(spark)
     return quality.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies: the one with its least doc_id. Texts without a word are one class; rows that share an id or have none are told apart by fingerprint."""
     ship(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that leak no benchmark item; null and empty texts leak none, very long ones are searched whole, repeated rows stay or go together."""
     ship(spark)
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows within their leaf's budget, in the order of their ids, then texts; null languages and sources are a leaf of their own, rows without words cost nothing."""
     return mixing.mix_rows(docs, MIX_NUMERATOR, MIX_DENOMINATOR)
 
 
 def shard_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and slot; sizes of shards differ by one at most, whatever ids and texts are equal or null. A column that has a name of the digest's gets ``in_`` before it."""
     return sharding.shard_rows(docs)
 
 
