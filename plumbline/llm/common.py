@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on the rows of its first argument, for columns of any name: those with a dot or a backtick have another one meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        fresh, back = {}, {}
+        for c in docs.columns:
+            if "." in c or "`" in c:
+                name = c.replace(".", "_").replace("`", "_")
+                while name.lower() in {x.lower() for x in (*docs.columns, *back)}:
+                    name += "_"
+                fresh[c], back[name] = name, c
+        if not fresh:
+            return operator(docs, *args, **more)
+        out = operator(docs.toDF(*(fresh.get(c, c) for c in docs.columns)), *args, **more)
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a narrow table to the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)

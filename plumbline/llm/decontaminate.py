@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import plain_names
 
 MAX_EDITS = 0.2
 MIN_WORDS = 1
@@ -288,15 +289,15 @@ class Items:
                         d, end = edit_distance_within(self.words[item].tolist(), around.tolist())
                         if d <= self.edits[item]:
                             found[row, item] = (d, max(first - place + end - n, 0))
-            missed: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+            # all places of a pair are verified, met by a walk or not: a walk may have met a worse copy than another place has
+            places_of: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
             for item, row, first, around, place in spots:
-                if (row, item) not in found:
-                    missed.setdefault((row, item), []).append((first - place, around))
-            for (row, item), parts in missed.items():
+                places_of.setdefault((row, item), []).append((first - place, around))
+            for (row, item), parts in places_of.items():
                 words = self.words[item].tolist()
                 d, end = min((d, low + end) for low, part in joined_spots(parts) for d, end in [edit_distance_within(words, part.tolist())])
                 if d <= self.edits[item]:
-                    found[row, item] = (d, max(end - n, 0))
+                    found[row, item] = min((d, max(end - n, 0)), found.get((row, item), (d + 1, 0)))
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -340,6 +341,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, t
     return out
 
 
+@plain_names
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, target_recall: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
     for block in item_blocks(benchmark, block_bytes):

@@ -13,7 +13,9 @@ only in the bin where it ends, so no task holds a leaf.
 
 Defined results: null names are one child, ``(none)``; unlisted names weigh
 ``default_weight``; a null text has no tokens; an empty table gives no rows;
-rows of one doc_id in a leaf are taken or left together; weights are positive.
+rows of one doc_id, or without one, are ordered by their texts, so rows of a leaf
+that are equal in id and text, and no others, are taken or left together; weights
+are positive.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, meet
+from .common import WORD, keep, meet, plain_names
 
 DOMAINS: dict[str, tuple[str, ...]] = {
     "web": ("src0", "src1", "src2", "src3", "src4"),
@@ -90,8 +92,14 @@ def named(docs: DataFrame, domains: Mapping[str, tuple[str, ...]] = DOMAINS, pre
     return docs.withColumns({f"{prefix}{x}": c for x, c in zip(LEVELS, leaf, strict=True)})
 
 
-def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+def _order(seed: int, epoch: Column, doc_id: Column, text_hash: Column) -> Column:
+    """A row's place in an epoch: by a hash of its id, and of its text and the epoch where ids are the same or null."""
+    of_id = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), text_hash)))
+    return F.concat(F.sha2(of_id, 256), text_hash)
+
+
+def _text_hash() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
 
 
 def bin_digits(rows: int) -> int:
@@ -105,14 +113,14 @@ def bin_digits(rows: int) -> int:
 def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, seed: int = 42, domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANGUAGE_WEIGHTS, source_weights: Mapping[str, int] | None = None, domains: Mapping[str, tuple[str, ...]] = DOMAINS) -> tuple[DataFrame, DataFrame]:
     """(rows, cuts): rows are doc_id, leaf and tokens; cuts have each leaf's whole epochs and the last order of its prefix."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keep(named(docs.select("doc_id", "lang", "source", tokens.alias("n_tokens")), domains).select("doc_id", *(F.col(f"_{x}").alias(x) for x in LEVELS), "n_tokens"))
+    rows = keep(named(docs.select("doc_id", "lang", "source", tokens.alias("n_tokens"), _text_hash().alias("text_hash")), domains).select("doc_id", "text_hash", *(F.col(f"_{x}").alias(x) for x in LEVELS), "n_tokens"))
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, numerator, denominator, max_epochs, domain_weights, lang_weights, source_weights or {})
     spent = (
         budgets.withColumn("epochs", F.expr("CASE WHEN tokens > 0 THEN given div tokens ELSE 0 END")).withColumn("rest", F.expr("CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END")).select(*LEVELS, "epochs", "rest")
     )
     spent = keep(spent)
-    ordered = meet(rows, spent, list(LEVELS), F.col("doc_id")).withColumn("order", _order(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bin", F.substring("order", 1, bin_digits(rows.count())))
+    ordered = meet(rows, spent, list(LEVELS), F.col("doc_id")).withColumn("order", _order(seed, F.col("epochs"), F.col("doc_id"), F.col("text_hash"))).withColumn("bin", F.substring("order", 1, bin_digits(rows.count())))
     bins = ordered.groupBy(*LEVELS, "bin", "rest").agg(F.sum("n_tokens").alias("n"))
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
     bins = keep(bins.withColumn("upto", upto))
@@ -127,14 +135,15 @@ def plan(docs: DataFrame, numerator: int, denominator: int, max_epochs: int, see
 def mix(docs: DataFrame, numerator: int = 3, denominator: int = 5, max_epochs: int = 2, seed: int = 42, **tree: Mapping) -> DataFrame:
     """The documents taken: doc_id, domain, lang, source, n_tokens, copies."""
     rows, cuts = plan(docs, numerator, denominator, max_epochs, seed, **tree)
-    return meet(rows, cuts, list(LEVELS), F.col("doc_id")).withColumn("copies", _copies(seed, F.col("doc_id"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
+    return meet(rows, cuts, list(LEVELS), F.col("doc_id")).withColumn("copies", _copies(seed, F.col("doc_id"), F.col("text_hash"))).where("copies > 0").select("doc_id", *LEVELS, "n_tokens", "copies")
 
 
-def _copies(seed: int, doc_id: Column) -> Column:
-    taken = F.coalesce(_order(seed, F.col("epochs"), doc_id) <= F.col("cut"), F.lit(False))
+def _copies(seed: int, doc_id: Column, text_hash: Column) -> Column:
+    taken = F.coalesce(_order(seed, F.col("epochs"), doc_id, text_hash) <= F.col("cut"), F.lit(False))
     return F.col("epochs").cast("int") + taken.cast("int")
 
 
+@plain_names
 def mix_rows(docs: DataFrame, numerator: int, denominator: int, seed: int = 42, **tree: Mapping) -> DataFrame:
     """The rows of ``docs`` that are taken in at most one epoch, with all their columns."""
     _, cuts = plan(docs, numerator, denominator, 1, seed, **tree)
@@ -142,7 +151,7 @@ def mix_rows(docs: DataFrame, numerator: int, denominator: int, seed: int = 42,
     while any(c.startswith(p) for c in docs.columns):  # names that no column of the input has
         p += "_"
     cuts = cuts.select(*(F.col(x).alias(f"{p}{x}") for x in (*LEVELS, "epochs", "cut")))
-    taken = F.coalesce(_order(seed, F.col(f"{p}epochs"), F.col("doc_id")) <= F.col(f"{p}cut"), F.lit(False))
+    taken = F.coalesce(_order(seed, F.col(f"{p}epochs"), F.col("doc_id"), _text_hash()) <= F.col(f"{p}cut"), F.lit(False))
     whole = F.col(f"{p}epochs") > 0
     return meet(named(docs, prefix=p), cuts, [f"{p}{x}" for x in LEVELS], F.col("doc_id")).where(whole | taken).select(*docs.columns)
 
@@ -167,7 +176,7 @@ def oracle(documents: str = "documents", numerator: int = 3, denominator: int =
     """The same in SQL; ``columns`` of the documents taken."""
     domain = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(s) for s in ss)}) THEN '{d}'" for d, ss in DOMAINS.items()) + " ELSE '(none)' END"
     return f"""
-WITH rows_ AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens FROM {documents}),
+WITH rows_ AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS n_tokens, md5(coalesce(text, '')) AS th FROM {documents}),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {max_epochs})::BIGINT AS cap FROM rows_ GROUP BY ALL),
 root AS (SELECT *, (SELECT least((sum(tokens) * {numerator}) // {denominator}, sum(cap)) FROM leaves) AS budget FROM leaves),
 {_sql_level("domain", "root", (), DOMAIN_WEIGHTS)},
@@ -176,7 +185,7 @@ d2 AS (SELECT l.*, given AS budget FROM leaves l JOIN domain_g USING (domain)),
 d3 AS (SELECT l.*, given AS budget FROM leaves l JOIN lang_g USING (domain, lang)),
 {_sql_level("source", "d3", ("domain", "lang"), {})},
 spent AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS epochs, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM source_g),
-ordered AS (SELECT r.*, epochs, rest, sha256('{seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS o FROM rows_ r JOIN spent USING (domain, lang, source)),
+ordered AS (SELECT r.*, epochs, rest, sha256('{seed}:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'text:' || th)) || th AS o FROM rows_ r JOIN spent USING (domain, lang, source)),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered),
 taken AS (SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies FROM run)
 SELECT {columns} FROM taken WHERE copies > 0

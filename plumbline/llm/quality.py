@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .common import plain_names
 
 #: Least entropy in bits of running text, by the binary logarithm of its tokens; between two places by a line.
 ENTROPY_FLOOR = ((0, 0.0), (4, 3.0), (5, 4.0), (6, 4.9), (7, 5.35), (8, 5.75), (9, 6.0), (10, 6.2), (11, 6.32), (12, 6.38), (13, 6.42))
@@ -53,9 +54,13 @@ class Range:
         return self.least - more <= value <= self.most + more
 
 
-def around(centre: float, deviation: float, width: float = 5.0) -> Range:
-    """A language's mean, and ``width`` deviations of a word."""
-    return Range(centre, centre, width * deviation)
+#: Characters per token that running text of the listed languages doesn't exceed; published prose has about four.
+MOST_CHARACTERS = 5.5
+
+
+def prose(least: float, deviation: float, width: float = 5.0) -> Range:
+    """From the mean of text in made-up words, of which a vocabulary has few whole, to what real words reach, and ``width`` deviations of a word."""
+    return Range(least, MOST_CHARACTERS, width * deviation)
 
 
 @dataclass(frozen=True)
@@ -77,10 +82,10 @@ class Band:
 
 #: By language, and by script for a language that isn't listed.
 LANGUAGE_BANDS: dict[str, Band] = {
-    "en": Band(around(2.218, 0.612), around(2.208, 0.636), 0.05),
-    "de": Band(around(2.242, 0.611), around(2.283, 0.670), 0.05),
-    "fr": Band(around(1.981, 0.627), around(2.018, 0.601), 0.05, -0.05),
-    "es": Band(around(1.941, 0.594), around(2.045, 0.599), 0.05, -0.05),
+    "en": Band(prose(2.218, 0.612), prose(2.208, 0.636), 0.05, -0.12),
+    "de": Band(prose(2.242, 0.611), prose(2.283, 0.670), 0.05, -0.12),
+    "fr": Band(prose(1.981, 0.627), prose(2.018, 0.601), 0.05, -0.17),
+    "es": Band(prose(1.941, 0.594), prose(2.045, 0.599), 0.05, -0.17),
 }
 SCRIPT_BANDS: dict[str, Band] = {
     "latin": Band(Range(1.3, 8.0), Range(1.3, 8.0), 0.10, -0.3),
@@ -286,6 +291,7 @@ def quality_measures(docs: DataFrame, vocabularies: Vocabularies = INSTALLED, la
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, SCHEMA)
 
 
+@plain_names
 def quality_filter(docs: DataFrame, vocabularies: Vocabularies = INSTALLED, languages: dict[str, Band] = LANGUAGE_BANDS, by_script: dict[str, Band] = SCRIPT_BANDS) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     of = _judged(vocabularies, languages, by_script)

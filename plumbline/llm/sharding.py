@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import keep, shuffle_width, small_side
+from .common import keep, plain_names, shuffle_width, small_side
 
 N_SHARDS = 16
 #: Rows that a block takes, without texts and with them.
@@ -116,6 +116,10 @@ def _bin_starts(placed: DataFrame) -> DataFrame:
     return sizes.select("shard", "_bin", F.coalesce(before, F.lit(0)).alias("_before"))
 
 
+#: Columns of the digest.
+TAKEN = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def _contract(rows: DataFrame) -> list[Column]:
     return [rows["doc_id"], rows["size"], rows["text_crc32"], F.lit("rows").alias("law"), rows["shard"], rows["slot"].cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")]
 
@@ -125,8 +129,13 @@ def shard_digest(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 42) -> D
     return rows.select(*_contract(rows))
 
 
+@plain_names
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, seed: int = 42) -> DataFrame:
-    """The digest with the rows themselves: each has its shard, slot and all its columns but those that the digest names."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    """The digest with the rows themselves: each has its shard, slot and all its columns; those with a name of the digest's get ``in_`` before it."""
+    columns, names = [c for c in docs.columns if c != "doc_id"], {}
+    for c in columns:
+        names[c] = c
+        while names[c].lower() in TAKEN or names[c] != c and names[c] in columns:
+            names[c] = f"in_{names[c]}"
     rows = shard(docs, n_shards, seed, tuple(columns))
-    return rows.select(*_contract(rows), *(rows[f"in_{c}"].alias(c) for c in columns))
+    return rows.select(*_contract(rows), *(rows[f"in_{c}"].alias(names[c]) for c in columns))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textvec as tv
-from .common import keep, small_side
+from .common import keep, plain_names, small_side
 from .graph import components
 
 MAX_DISTANCE = 3
@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
     return classes(docs, file_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@plain_names
 def drop_near_duplicates(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
     """One row of each class, with its least doc_id (null only if the class has none).
 
