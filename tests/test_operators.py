@@ -417,6 +417,48 @@ def test_cache_is_whole_or_not_there(spark, tmp_path, monkeypatch):
     assert writers.cached(spark, str(tmp_path), "k", 20, lambda: d).count() == 20
 
 
+def test_tailed_files_resume(spark, tmp_path):
+    """STM-01, SRC-13: files that grow between starts and while a line isn't finished, in small ranges and batches; no line is lost or comes twice."""
+    from plumbline.sources import tail
+
+    said = {"a.log": [], "b.log": []}
+
+    def append(name, *lines, end="\n"):
+        with open(tmp_path / name, "a", encoding="utf-8", newline="") as f:
+            f.write("\n".join(lines) + end)
+        said[name] += lines
+
+    def run(**more):
+        d = tail.tailed(spark, f"{tmp_path}/*.log", **more)
+        q = d.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").start()
+        q.processAllAvailable()
+        q.stop()
+
+    def check(open_line=None):
+        got = spark.read.parquet(f"{tmp_path}/out").collect()
+        for name, lines in said.items():
+            own = sorted((r.position, r.value) for r in got if r.file.endswith(name))
+            assert [v for _, v in own] == [x for x in lines if x != open_line], name
+            assert len({p for p, _ in own}) == len(own)
+
+    append("a.log", *(f"line {k} é" + "x" * (k % 50) for k in range(200)))
+    run(range_bytes=64)
+    check()
+    append("b.log", "", "one", "two")
+    append("a.log", "unfinished", end="")
+    run(batch_bytes=10)
+    check("unfinished")
+    append("a.log", "", "after")  # the unfinished line ends
+    said["a.log"].remove("")
+    run()
+    check()
+    run()  # nothing new
+    check()
+    (tmp_path / "a.log").write_text("short\n")
+    with pytest.raises(Exception, match="shorter"):
+        run()
+
+
 def test_http_model(spark, tmp_path):
     """SRC-14: a server that fails for a while, is busy, and refuses; replies are asked once and kept."""
     import http.server
