@@ -417,19 +417,22 @@ def authority(fragments: DataFrame, rules: DataFrame, case: str, fragment: str,
 def fuzzy_ids(raw: DataFrame, known: DataFrame, raw_key: str, known_key: str, category: str, slug: str) -> DataFrame:
     """Resolves an id by category and slug, equal or one a prefix of the other, where exactly one known id fits.
 
-    Known ids are counted by each prefix of their slug, so a raw slug meets one
-    row for all that begin with it, and one for each known slug that it begins
-    with, however many share a prefix.
+    Known ids are counted by each prefix of their slug, so a slug meets one row for all that begin with it, and one for
+    each known slug that it begins with, however many share a prefix.  Raw slugs are resolved once each, and rows meet
+    theirs.  All joins are merges of what is dealt by slug: prefixes are many times the rows that Spark's estimate of a
+    file knows, so none may be broadcast by it.
     """
     prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
     tally = (F.count("*").alias("n"), F.min("resolved").alias("resolved"))
     a = raw.select(raw_key, F.col(category).alias("_c"), F.col(slug).alias("_s"))
     b = known.select(F.col(known_key).alias("resolved"), F.col(category).alias("_c"), F.col(slug).alias("_k"))
-    begins = b.select("resolved", "_c", F.explode(prefixes(F.col("_k"))).alias("_s")).groupBy("_c", "_s").agg(*tally)
+    asked = a.select("_c", "_s").distinct()
     whole = b.groupBy("_c", F.col("_k").alias("_p")).agg(*tally)
-    shorter = a.select(raw_key, "_c", "_s", F.explode(prefixes(F.col("_s"))).alias("_p")).where("_p <> _s")
-    met = a.join(begins, ["_c", "_s"]).select(raw_key, "n", "resolved").unionByName(shorter.join(whole, ["_c", "_p"]).select(raw_key, "n", "resolved"))
-    return met.groupBy(raw_key).agg(F.sum("n").alias("n"), F.min("resolved").alias("resolved")).where("n = 1").select(raw_key, "resolved")
+    begins = whole.select("_c", "n", "resolved", F.explode(prefixes(F.col("_p"))).alias("_s")).groupBy("_c", "_s").agg(F.sum("n").alias("n"), F.min("resolved").alias("resolved"))
+    shorter = asked.select("_c", "_s", F.explode(prefixes(F.col("_s"))).alias("_p")).where("_p <> _s")
+    met = asked.join(begins.hint("merge"), ["_c", "_s"]).unionByName(shorter.join(whole.hint("merge"), ["_c", "_p"]).drop("_p"))
+    found = met.groupBy("_c", "_s").agg(F.sum("n").alias("n"), F.min("resolved").alias("resolved"))
+    return a.join(found.hint("merge"), ["_c", "_s"]).groupBy(raw_key).agg(F.sum("n").alias("n"), F.min("resolved").alias("resolved")).where("n = 1").select(raw_key, "resolved")
 
 
 def category_vote(ranked: DataFrame, query_key: str, category: str, priority: str, rank: str = "rank") -> DataFrame:

@@ -837,6 +837,15 @@ def test_fuzzy_ids_need_one_candidate(spark):
     assert [(x.r, x.resolved) for x in retrieval.fuzzy_ids(raw, known, "r", "k", "c", "s").collect()] == [(11, 3)]
 
 
+def test_fuzzy_ids_broadcast_nothing(spark):
+    """Prefixes are many times the rows of a small file, by which Spark would broadcast them; a raw id with two slugs counts both."""
+    known = spark.createDataFrame([(k, "a", f"s{k:03}x") for k in range(200)] + [(900, "b", "s"), (901, None, "s001")], "k long, c string, s string")
+    raw = spark.createDataFrame([(1, "a", "s001"), (2, "a", "s00"), (3, "b", "st"), (4, "a", "s007xy"), (5, None, "s001"), (6, "a", "s001"), (6, "b", "s"), (7, "a", None)], "r long, c string, s string")
+    d = retrieval.fuzzy_ids(raw, known, "r", "k", "c", "s")
+    assert sorted(map(tuple, d.collect())) == [(1, 1), (3, 900), (4, 7)]
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
