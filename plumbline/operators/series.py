@@ -60,10 +60,13 @@ def running(c: Column, kind: str, group: str, order: str) -> Column:
 
 
 def sampled_action(probabilities: DataFrame, group: str, order: str, p: str, draw: Column) -> DataFrame:
-    """The first row of each group whose cumulative probability reaches the draw; the last if rounding leaves none."""
+    """The first row of each group whose cumulative probability reaches the draw; the last if rounding leaves none.
+
+    Of rows that share a cumulative probability, as one of probability zero does with that before, the first in order counts.
+    """
     by = W.partitionBy(group).orderBy(order)
     d = probabilities.withColumns({"_c": F.sum(p).over(by.rowsBetween(W.unboundedPreceding, 0)), "_draw": draw})
-    return d.groupBy(group).agg(F.coalesce(F.min_by(order, F.when(F.col("_c") >= F.col("_draw"), F.col("_c"))), F.max(order)).alias("chosen"))
+    return d.groupBy(group).agg(F.coalesce(F.min(F.when(F.col("_c") >= F.col("_draw"), F.col(order))), F.max(order)).alias("chosen"))
 
 
 def experiment_summary(episodes: DataFrame, setting: str, seed: str, episode: str, success: str, reward: str, n: int = 10) -> DataFrame:

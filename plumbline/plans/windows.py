@@ -80,7 +80,8 @@ def win12(t: Tables) -> DataFrame:
 def win13(t: Tables) -> DataFrame:
     from ..functions.scores import hash_unit
 
-    p = t.events.select("user_id", "event_id", (F.col("value") / F.sum("value").over(W.partitionBy("user_id"))).alias("p"))
+    whole = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # the same rounding in every run
+    p = t.events.select("user_id", "event_id", (F.col("value") / F.sum("value").over(whole)).alias("p"))
     return series.sampled_action(p, "user_id", "event_id", "p", hash_unit(F.col("user_id")))
 
 

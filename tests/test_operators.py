@@ -846,6 +846,15 @@ def test_fuzzy_ids_broadcast_nothing(spark):
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sampled_action_takes_the_first_of_equal_sums(spark):
+    """Rows of probability zero have the sum of the row before them; the answer can't depend on the order in which parts are read."""
+    rows = [(g, e, p) for g in range(40) for e, p in ((1, 0.25), (2, 0.5), (3, 0.0), (4, 0.0), (5, 0.25))] + [(99, 1, 0.9), (99, 2, -0.5), (99, 3, 0.6)]
+    d = series.sampled_action(spark.createDataFrame(rows, "g int, e int, p double").repartition(7, "e"), "g", "e", "p", F.when(F.col("g") == 99, 0.7).otherwise(0.5))
+    assert {(r.g, r.chosen) for r in d.collect()} == {(g, 2) for g in range(40)} | {(99, 1)}
+    last_first = d.sparkSession.createDataFrame([(1, e, p) for e, p in ((4, 0.0), (3, 0.0), (2, 0.75), (1, 0.25))], "g int, e int, p double").coalesce(1)
+    assert series.sampled_action(last_first, "g", "e", "p", F.lit(0.5)).first().chosen == 2
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
