@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Rows of matched rules that a part has, about.
+PART_ROWS = 500_000
+
+
+def parts(rows: DataFrame) -> int:
+    """Parts into which rows are dealt: as many as shuffles have, and more where a part would have more than ``PART_ROWS``."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+
+
 LEVELS = {"PASS": 0, "REVIEW": 1, "REJECT": 2}
 
 
@@ -31,20 +40,17 @@ def compose(matched: DataFrame, case: str) -> DataFrame:
     less the share of rules that is left of all asked for, the unknown included.
     """
     asked = matched.select(case, "rule_id", "canonical_id", "category", "priority").distinct()
-    known = asked.where("canonical_id IS NOT NULL")
-    best = known.groupBy(case, "canonical_id").agg(F.max(F.struct("priority", "rule_id", "category")).alias("r"))
-    s = best.groupBy(case).agg(F.count("*").alias("n_rules"), F.count_distinct("r.category").alias("n_categories"), F.array_join(F.array_sort(F.collect_list("r.rule_id").cast("array<string>")), ",").alias("rules"), F.max(F.struct("r.priority", "canonical_id")).getField("canonical_id").alias("first"))
-    every = asked.groupBy(case).agg(F.count("*").alias("n_matched"), F.count_if(F.col("canonical_id").isNull()).alias("n_unknown"))
-    return every.join(s, case, "left").select(
-        case,
-        "n_matched",
-        "n_unknown",
-        F.coalesce("n_rules", F.lit(0)).alias("n_rules"),
-        (F.coalesce("n_categories", F.lit(0)) > 1).alias("conflict"),
-        (1 - F.coalesce("n_rules", F.lit(0)) / F.col("n_matched")).alias("compression"),
-        F.coalesce("rules", F.lit("")).alias("rules"),
-        "first",
+    known = F.col("canonical_id").isNotNull()
+    best = asked.groupBy(case, "canonical_id").agg(F.count("*").alias("n"), F.max(F.struct("priority", "rule_id", "category")).alias("r"))
+    g = best.groupBy(case).agg(
+        F.sum("n").alias("n_matched"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_unknown"),
+        F.count_if(known).alias("n_rules"),
+        F.size(F.collect_set(F.when(known, F.col("r.category")))).alias("n_categories"),
+        F.array_join(F.array_sort(F.collect_list(F.when(known, F.col("r.rule_id")).cast("string"))), ",").alias("rules"),
+        F.max(F.when(known, F.struct("r.priority", "canonical_id"))).getField("canonical_id").alias("first"),
     )
+    return g.select(case, "n_matched", "n_unknown", "n_rules", (F.col("n_categories") > 1).alias("conflict"), (1 - F.col("n_rules") / F.col("n_matched")).alias("compression"), "rules", "first")
 
 
 def decide(matched: DataFrame, case: str) -> DataFrame:

@@ -35,6 +35,11 @@ def small(d: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
 
+def small_or_merged(d: DataFrame) -> DataFrame:
+    """As ``small``, but a side that isn't few rows isn't broadcast by Spark's estimate either, which knows the bytes of compressed files and not the rows."""
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d.hint("merge")
+
+
 def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, token, tf, length): one row per document and token."""
     d = docs.select(F.col(key), tokens.alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("token"))

@@ -15,8 +15,11 @@ MATCHED = "(SELECT o_orderkey, l_partkey AS rule_id, CASE WHEN l_partkey % 11 <>
 
 
 def matched(t: Tables) -> DataFrame:
+    """Rules of each order, dealt by order into parts that grow in number with the items, so that a part's rows fit into a task's memory."""
     p = t.part.select(F.col("p_partkey").alias("rule_id"), "p_brand", F.col("p_type").alias("category"), F.col("p_size").alias("priority"), F.when(F.col("p_partkey") % 4 == 0, "PASS").when(F.col("p_partkey") % 4 == 1, "REVIEW").otherwise("REJECT").alias("decision"))
-    d = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("rule_id")).join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi").join(p, "rule_id")
+    items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("rule_id"))
+    n = policy.parts(items)
+    d = items.join(retrieval.small_or_merged(p), "rule_id").repartition(n, "o_orderkey").join(t.orders.select("o_orderkey").hint("merge"), "o_orderkey", "left_semi")
     return d.select("o_orderkey", "rule_id", F.when(F.col("rule_id") % 11 != 0, F.col("p_brand")).alias("canonical_id"), "category", "priority", "decision")
 
 
