@@ -855,6 +855,19 @@ def test_sampled_action_takes_the_first_of_equal_sums(spark):
     assert series.sampled_action(last_first, "g", "e", "p", F.lit(0.5)).first().chosen == 2
 
 
+def test_matched_rules_are_dealt_by_size(spark, monkeypatch):
+    """Parts grow in number with the items, and a long list of rules is merged, not broadcast by the size of its file."""
+    from plumbline.plans import policy_queries
+    from plumbline.plans.base import Tables
+
+    monkeypatch.setattr(policy, "PART_ROWS", 100)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 10)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    d = policy_queries.matched(t)
+    assert d.rdd.getNumPartitions() >= t.lineitem.count() // 100
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
