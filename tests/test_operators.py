@@ -868,6 +868,34 @@ def test_matched_rules_are_dealt_by_size(spark, monkeypatch):
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
 
 
+def test_features_by_slices(spark):
+    """A worker holds vectors of a slice only; a null text has no tokens, and each row has what ``vector`` gives."""
+    import pyarrow as pa
+
+    rows = [["a", "b", "a"], [], None, ["c"] * 3] * 300
+    out = list(hashing.feature_batches(iter([pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(rows, pa.list_(pa.string()))], ["k", "t"])]), "k"))
+    assert max(map(len, out)) <= hashing.SLICE
+    assert [v for b in out for v in b.column(1).to_pylist()] == [hashing.vector(t or []).tolist() for t in rows]
+    d = hashing.hashed_features(spark.createDataFrame([(1, None), (2, ["a"])], "k long, t array<string>"), "k", "t")
+    assert {r.k: r.vector for r in d.collect()} == {1: [0.0] * 256, 2: hashing.vector(["a"]).tolist()}
+
+
+def test_equations_are_sought_behind_equals_signs_only(monkeypatch):
+    assert equations.calculation("12 + 30 = 42, 5 * 3 = 16, 12 =\u2003$12", "Of 12 and 5", "42") == (2, 1, 0.5)
+    assert equations.Pieces("1 + 1 =" + " \n\u2003$-2").number_after(6) == "-2"
+    monkeypatch.setattr(equations, "Pieces", None)
+    assert equations.equations("12 + 30 and 5 * 3") == [] == equations.equations(None)
+
+
+def test_prompts_become_strings_by_batches(spark):
+    """No frame of all rows is made of what Spark sends; ids of any type come through, null too."""
+    from plumbline.plans.relations import EchoClient
+
+    d = readers.generated(spark.createDataFrame([(None, "a b"), (7, "c")], "id long, p string"), EchoClient, "id", "p", 1)
+    assert {(r.id, r.text, r.prompt_tokens) for r in d.collect()} == {(None, "a", 2), (7, "c", 1)}
+    assert "InArrow" in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
