@@ -7,6 +7,7 @@ from functools import partial
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,26 +157,29 @@ def generated(rows: DataFrame, backend: Callable[[], Any], key: str, prompt: str
     (or None), prompt_tokens and completion_tokens.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import time
 
         client = backend()
-        for pdf in frames:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
+        for whole in batches:
+            for at in range(0, len(whole), batch):  # only these prompts become Python strings
+                part = whole.slice(at, batch)
                 began = time.perf_counter()
-                replies = client.generate(part[prompt].tolist())
+                replies = client.generate(part.column(1).to_pylist())
                 each = (time.perf_counter() - began) / max(len(replies), 1)
-                yield pd.DataFrame({
-                    key: part[key].tolist(),
-                    "text": [r["text"] for r in replies],
-                    "mean_logprob": [r.get("mean_logprob") for r in replies],
-                    "prompt_tokens": [int(r.get("prompt_tokens", 0)) for r in replies],
-                    "completion_tokens": [int(r.get("completion_tokens", 0)) for r in replies],
-                    "elapsed_seconds": [each] * len(replies),
-                })
-
-    return rows.select(key, prompt).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, mean_logprob double, prompt_tokens long, completion_tokens long, elapsed_seconds double")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([r["text"] for r in replies], pa.string()),
+                        pa.array([r.get("mean_logprob") for r in replies], pa.float64()),
+                        pa.array([int(r.get("prompt_tokens", 0)) for r in replies], pa.int64()),
+                        pa.array([int(r.get("completion_tokens", 0)) for r in replies], pa.int64()),
+                        pa.array([each] * len(replies), pa.float64()),
+                    ],
+                    [key, "text", "mean_logprob", "prompt_tokens", "completion_tokens", "elapsed_seconds"],
+                )
+
+    return rows.select(key, prompt).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string, mean_logprob double, prompt_tokens long, completion_tokens long, elapsed_seconds double")
 
 
 def with_cost(replies: DataFrame, prompt_price: float, completion_price: float) -> DataFrame:
