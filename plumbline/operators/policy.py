@@ -17,6 +17,24 @@ def parts(rows: DataFrame) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
 
 
+def with_rules(items: DataFrame, rules: DataFrame, rule: str, case: str, n: int) -> DataFrame:
+    """Items with what their rule says, joined in ``n`` parts; a rule with more than ``PART_ROWS`` items is dealt over shares of its cases.
+
+    Spark would make as few parts as it has tasks, so that they grow with the items.  The driver holds the rules that are
+    dealt, of which there are fewer than parts.
+    """
+    counts = items.groupBy(rule).agg(F.count("*").alias("n"))
+    common = {r[rule]: -(-r["n"] // PART_ROWS) for r in counts.where((F.col("n") > PART_ROWS) & F.col(rule).isNotNull()).collect()}
+    keys = [rule]
+    if common:
+        keys, shares = [rule, "_share"], F.lit(1)
+        for k in sorted(set(common.values())):
+            shares = F.when(F.col(rule).isin([r for r, v in common.items() if v == k]), k).otherwise(shares)
+        items = items.withColumn("_share", F.pmod(F.xxhash64(case), shares).cast("int"))
+        rules = rules.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return items.join(rules.repartition(n, *keys).hint("merge"), keys).drop("_share")
+
+
 LEVELS = {"PASS": 0, "REVIEW": 1, "REJECT": 2}
 
 

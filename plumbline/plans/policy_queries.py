@@ -19,7 +19,9 @@ def matched(t: Tables) -> DataFrame:
     p = t.part.select(F.col("p_partkey").alias("rule_id"), "p_brand", F.col("p_type").alias("category"), F.col("p_size").alias("priority"), F.when(F.col("p_partkey") % 4 == 0, "PASS").when(F.col("p_partkey") % 4 == 1, "REVIEW").otherwise("REJECT").alias("decision"))
     items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("rule_id"))
     n = policy.parts(items)
-    d = items.join(retrieval.small_or_merged(p), "rule_id").repartition(n, "o_orderkey").join(t.orders.select("o_orderkey").hint("merge"), "o_orderkey", "left_semi")
+    d = items.join(F.broadcast(p), "rule_id") if p.count() <= retrieval.BROADCAST_ROWS else policy.with_rules(items, p, "rule_id", "o_orderkey", n)
+    # Spark looks orders up before the items are dealt, so the orders' parts are given as well
+    d = d.join(t.orders.select("o_orderkey").repartition(n, "o_orderkey").hint("merge"), "o_orderkey", "left_semi").repartition(n, "o_orderkey")
     return d.select("o_orderkey", "rule_id", F.when(F.col("rule_id") % 11 != 0, F.col("p_brand")).alias("canonical_id"), "category", "priority", "decision")
 
 

@@ -905,6 +905,25 @@ def test_queries_dont_meet_at_steps(spark, monkeypatch):
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
+def test_rules_meet_items_in_parts_of_bounded_size(spark, monkeypatch):
+    """Each join of items has parts that grow with them, and so has a rule with most of the items."""
+    from plumbline.plans import policy_queries
+    from plumbline.plans.base import Tables
+
+    monkeypatch.setattr(policy, "PART_ROWS", 50)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 10)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    d = policy_queries.matched(t).distinct()
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "coalesced" not in plan and plan.count("SortMergeJoin") >= 2
+    items = spark.range(1000).select(F.col("id").alias("o"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("r"))
+    rules = items.select("r").distinct().withColumn("said", F.col("r") * 2)
+    met = policy.with_rules(items, rules, "r", "o", 40)
+    assert sorted(tuple(x) for x in met.collect()) == sorted((x.r, x.o, 2 * x.r) for x in items.collect())
+    assert max(met.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 200
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
