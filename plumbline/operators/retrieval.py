@@ -300,10 +300,18 @@ def containment(docs: DataFrame, items: DataFrame, key: str, item_key: str, text
     return found.join(small(named.select("_id", item_key)), "_id").select(item_key, key)
 
 
-def _ordered_tokens(d: DataFrame, key: str, tokens: Column, ranks: DataFrame, n: str) -> DataFrame:
-    """(key, n, t): the number of distinct tokens of each row, and those that have a rank, by rank."""
-    t = d.select(key, F.array_distinct(tokens).alias("_t")).select(key, F.size("_t").alias(n), F.explode("_t").alias("token"))
-    return t.join(ranks, "token").groupBy(key, n).agg(F.sort_array(F.collect_list("_r")).alias("t"))
+def _token_sets(d: DataFrame, key: str, tokens: Column, n: str) -> DataFrame:
+    """(key, n, t): the distinct tokens of each row as hashes, and their number."""
+    return d.select(key, F.transform(F.array_distinct(tokens), lambda x: F.xxhash64(x)).alias("t")).select(key, F.size("t").alias(n), "t")
+
+
+def _ordered_tokens(sets: DataFrame, key: str, ranks: DataFrame, n: str) -> DataFrame:
+    """(key, n, t): the number of distinct tokens of each row, and those that have a rank, by rank.
+
+    They are longs: Spark looks these up in hash sets and compares structs each with each.
+    """
+    t = sets.select(key, n, F.explode("t").alias("token"))
+    return t.join(ranks, "token").groupBy(key, n).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "token"))), lambda x: x["token"]).alias("t"))
 
 
 def _prefix(d: DataFrame, key: str, n: str, at: str, threshold: float) -> DataFrame:
@@ -332,18 +340,19 @@ def similar_pairs(docs: DataFrame, queries: DataFrame, key: str, query_key: str,
     """(query, key, similarity) of all pairs with a Jaccard similarity of token sets at or above a threshold over zero.
 
     Only the queries' tokens have a rank, by how many documents have them; documents are known by these and by the
-    number of all their tokens.  Candidates are verified by the whole sets.
+    number of all their tokens.  Candidates are verified by the whole sets.  Texts are cut into tokens once, and tokens
+    are known by 64 bits of hash from then on.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be over zero")
     shared_folder(docs.sparkSession)
-    asked = queries.select(F.explode(query_tokens).alias("token")).distinct()
-    have = docs.select(F.explode(F.array_distinct(doc_tokens)).alias("token")).join(small(asked.checkpoint()), "token").groupBy("token").agg(F.count("*").alias("n"))
-    # a rank is the number of documents, then a hash: an order in one number
-    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.xxhash64("token").alias("h"))
-    ranks = small(asked.join(have, "token", "left").select("token", rank.alias("_r")).checkpoint())
-    d = _ordered_tokens(docs, key, doc_tokens, ranks, "_nd").checkpoint()
-    q = _ordered_tokens(queries, query_key, query_tokens, ranks, "_nq").checkpoint()
+    dt, qt = _token_sets(docs, key, doc_tokens, "_nd").checkpoint(), _token_sets(queries, query_key, query_tokens, "_nq").checkpoint()
+    asked = qt.select(F.explode("t").alias("token")).distinct().checkpoint()
+    have = dt.select(F.explode("t").alias("token")).join(small(asked), "token").groupBy("token").agg(F.count("*").alias("_have"))
+    # by the number of documents, then by hash
+    ranks = small(asked.join(have, "token", "left").select("token", F.coalesce("_have", F.lit(0)).alias("_rank")).checkpoint())
+    d = _ordered_tokens(dt, key, ranks, "_nd").checkpoint()
+    q = _ordered_tokens(qt, query_key, ranks, "_nq").checkpoint()
     c = similar_candidates(d, q, key, query_key, threshold)
     met = c.join(d.select(key, F.col("t").alias("_dt")), key).join(q.select(query_key, F.col("t").alias("_qt")), query_key)
     common = F.size(F.array_intersect("_dt", "_qt"))

@@ -924,6 +924,17 @@ def test_rules_meet_items_in_parts_of_bounded_size(spark, monkeypatch):
     assert max(met.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 200
 
 
+def test_similar_sets_are_longs(spark):
+    """Sets of structs are compared each with each, so tokens go as longs."""
+    d = retrieval._token_sets(spark.createDataFrame([(1, "a b b"), (2, None)], "k int, t string"), "k", F.split("t", " "), "n")
+    assert dict(d.dtypes)["t"] == "array<bigint>" and [r.n for r in d.orderBy("k").collect()][0] == 2
+    ranks = spark.createDataFrame([("a", 5), ("b", 2)], "w string, _rank long").select(F.xxhash64("w").alias("token"), "_rank")
+    o = retrieval._ordered_tokens(d, "k", ranks, "n")
+    assert dict(o.dtypes)["t"] == "array<bigint>"
+    (r,) = o.collect()
+    assert r.t == [x[0] for x in spark.sql("SELECT xxhash64('b') UNION ALL SELECT xxhash64('a')").collect()]
+
+
 def test_backends(spark):
     """SRC-14, UDF-06, UDF-09: clients are made by kind, an unknown kind raises."""
     from plumbline.plans.relations import EchoClient
