@@ -109,8 +109,9 @@ def bm25_rounds(docs: DataFrame, queries: DataFrame, key: str, query_key: str, d
     shared_folder(docs.sparkSession)
     q = queries.select(F.col(query_key).alias("_q"), F.explode(query_tokens).alias("token")).groupBy("_q", "token").agg(F.count("*").alias("_qtf"))
     wanted = small(q.select("token").distinct().checkpoint())
-    stats = docs.agg(F.count("*").alias("_total"), F.avg(F.size(doc_tokens)).alias("_avg"))
-    p = postings(docs, key, doc_tokens).join(wanted, "token", "left_semi").crossJoin(F.broadcast(stats))  # one row
+    cut = docs.select(key, doc_tokens.alias("_tokens")).checkpoint()  # else texts are cut again for each count of their tokens
+    stats = cut.agg(F.count("*").alias("_total"), F.avg(F.size("_tokens")).alias("_avg"))
+    p = postings(cut, key, F.col("_tokens")).join(wanted, "token", "left_semi").crossJoin(F.broadcast(stats))  # one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.greatest(F.col("_avg"), F.lit(1e-9)))
     p = p.select(key, "token", F.floor(F.log2("length") * LENGTH_BLOCKS).cast("int").alias("_b"), (F.col("tf") * (k1 + 1) / norm).alias("_w"), "_total").checkpoint()
     best = p.groupBy("token", "_b").agg(F.max("_w").alias("_u"), F.count("*").alias("_n"), F.max("_total").alias("_total")).checkpoint()

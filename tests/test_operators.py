@@ -721,6 +721,21 @@ def test_top_k_by_bounds(spark):
         assert got == want
 
 
+def test_texts_are_cut_once(spark):
+    """JON-09: counts of tokens and the postings come of one cut of the texts."""
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(t):
+        cuts.add(1)
+        return t.split()
+
+    docs = spark.createDataFrame([(k, f"a b{k}") for k in range(20)], "d long, t string")
+    asked = spark.createDataFrame([(1, "a b3")], "q long, t string")
+    r = retrieval.bm25_rounds(docs, asked, "d", "q", cut("t"), F.split("t", " "), 5)
+    assert r.survivors.count() and cuts.value == 20
+
+
 def test_few_pairs_are_scored(spark):
     """JON-09: of the pairs that have a token in common, less than a tenth reaches the second round."""
     docs, asked = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").select("text", F.col(k).alias("k")) for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
