@@ -36,13 +36,15 @@ DICTIONARY = 1 << 19
 #: Bytes of the texts, about, in which frequent words are looked for.
 SAMPLE_BYTES = 256 << 20
 #: Small maps into which the rank map and the dictionary are dealt.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bins of the logarithm of a word's count, by which the most frequent words are found.
 BINS = 16
 #: Bytes from which a word is long: all places of a pair are then joined in one round where that is the same, and rounds end when no pair is left.
 LONG, ROUNDS = 48, 16
 #: Ids are code points below the surrogates; a byte of id 0 first takes a place beyond, as ``translate`` deletes what becomes U+0000.
 IDS, ZERO = 0xD800, "\ue000"
+#: What a pair without a rank makes, and what stands before the first token and behind the last; beyond all tokens.
+NONE, END = "\uf8ff", "\uf8fe"
 
 #: Letters and numbers of Unicode 14 to 16, which Java's classes lack and the pattern's library has.
 NEW_LETTERS = """870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 1c89-1c8a 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7cb-a7cd a7d0-a7d1 a7d3 a7d5-a7dc
@@ -127,6 +129,18 @@ def _dealt(entries: DataFrame) -> Column:
     return _literal(whole.select(F.transform("x", lambda r: F.map_from_entries(r["es"])).alias("x")))
 
 
+def _listed(pairs: DataFrame) -> Column:
+    """Pairs (pair, made) as a literal array of lists, by ``_bucket`` of the pair.
+
+    A list is one string, two times ``NONE`` and then for each pair it, ``NONE``, what it makes, and ``NONE``: two tokens
+    stand side by side in a pair only, and what follows a pair, or else the list, has the answer as its second character.
+    """
+    lists = pairs.groupBy(_bucket(F.col("pair")).alias("b")).agg(F.array_join(F.collect_list(F.concat("pair", F.lit(NONE), "made", F.lit(NONE))), "").alias("x"))
+    all_buckets = pairs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
+    whole = all_buckets.join(lists, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.concat(F.lit(2 * NONE), F.coalesce("x", F.lit(""))).alias("x")))).alias("x"))
+    return _literal(whole.select(F.col("x.x").alias("x")))
+
+
 class Codec:
     """Columns that encode and decode under a vocabulary, for one session."""
 
@@ -142,7 +156,7 @@ class Codec:
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
-        self.pairs = _dealt(spark.createDataFrame(pairs, "word string, tokens string"))
+        self.pairs = _listed(spark.createDataFrame(pairs, "pair string, made string"))
         self.pieces = _literal(spark.createDataFrame([(pieces,)], "x array<string>"))
         self.byte_chars = "".join(chr(ranks[bytes([b])]) for b in range(256)).replace("\0", ZERO)
 
@@ -152,21 +166,25 @@ class Codec:
         return F.when(F.rlike(text, F.lit(NEWER)), newer).otherwise(plain)
 
     def _made(self, pair: Column) -> Column:
-        """What a pair of tokens makes; null if it has no rank."""
-        return F.element_at(F.get(self.pairs, _bucket(pair)), pair)
+        """What a pair of tokens makes; ``NONE`` if it has no rank."""
+        return F.substring(F.call_function("substring_index", F.get(self.pairs, _bucket(pair)), pair, F.lit(-1)), 2, 1)
 
-    def _next(self, s: Column) -> Column:
-        """Joins the leftmost pair of least rank, if any has one."""
-        made = F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda k: self._made(F.substring(s, k, F.lit(2))))
-        at = lambda all_made, least: F.array_position(all_made, least).cast("int")
-        joined = lambda p, least: F.concat(F.substring(s, F.lit(1), p - 1), least, F.substring(s, p + 2, F.char_length(s)))
-        return _let(made, lambda m: _let(F.array_min(m), lambda least: F.when(least.isNull(), s).otherwise(_let(at(m, least), lambda p: joined(p, least)))))
+    def _next(self, state: Column) -> Column:
+        """Joins the leftmost pair of least rank, if any has one; only the two pairs that come of it are looked up."""
+        s, made = F.get(state, F.lit(0)), F.get(state, F.lit(1))
+
+        def join(z: Column, p: Column) -> Column:
+            left, right = F.concat(F.substring(s, p - 1, F.lit(1)), z), F.concat(z, F.substring(s, p + 2, F.lit(1)))
+            both = F.array_join(F.transform(F.array(left, right), self._made), "")
+            return F.array(F.overlay(s, z, p, F.lit(2)), F.overlay(made, both, p - 1, F.lit(3)))
+
+        return _let(F.array_min(F.split(made, "")), lambda z: F.when(z == NONE, state).otherwise(_let(F.instr(made, z), lambda p: join(z, p))))
 
     def _pairs(self, s: Column) -> Column:
         """For each distinct pair that makes something: what it makes, and the pair, as one string."""
         chars = F.split(s, "")
         pairs = _let(chars, lambda c: F.array_distinct(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y))))
-        return F.filter(F.transform(pairs, lambda p: F.concat(self._made(p), p)), lambda x: x.isNotNull())
+        return F.filter(F.transform(pairs, lambda p: F.concat(self._made(p), p)), lambda x: F.left(x, F.lit(1)) != NONE)
 
     def _round(self, state: Column) -> Column:
         """Joins all places of the pair of least rank at once, if no pair that comes of it on the way ranks before; else the leftmost place."""
@@ -178,7 +196,7 @@ class Codec:
             first = F.array_min(F.transform(same, lambda x: F.position(pair(x), s)))
             leftmost = _let(first, lambda p: stated(F.concat(F.substring(s, F.lit(1), p - 1), z, F.substring(s, p + 2, F.char_length(s)))))
             one = F.get(same, F.lit(0))
-            between = F.coalesce(self._made(F.concat(z, F.substring(one, 2, 1))) > z, F.lit(True))  # a joined place beside one that isn't yet
+            between = self._made(F.concat(z, F.substring(one, 2, 1))) > z  # a joined place beside one that isn't yet
             after = lambda t: F.coalesce(F.array_min(t["made"]) > F.concat(z, F.lit(chr(IDS - 1))), F.lit(True))
             whole = _let(stated(F.replace(s, pair(one), z)), lambda t: F.when(after(t), t))
             return F.coalesce(F.when((F.size(same) == 1) & between, whole), leftmost)
@@ -191,7 +209,11 @@ class Codec:
         tokens = F.translate(latin, "".join(map(chr, range(256))), self.byte_chars)
         if ZERO in self.byte_chars:
             tokens = F.replace(tokens, F.lit(ZERO), F.lit("\0"))
-        short = lambda s: F.aggregate(F.sequence(F.lit(2), F.char_length(s)), s, lambda x, _: self._next(x))
+
+        def short(s: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda k: F.substring(s, k, F.lit(2)))
+            begin = F.array(F.concat(F.lit(END), s, F.lit(END)), F.concat(F.lit(NONE), F.array_join(F.transform(pairs, self._made), ""), F.lit(NONE)))
+            return F.aggregate(F.sequence(F.lit(2), F.char_length(s)), begin, lambda x, _: self._next(x), lambda x: F.replace(F.get(x, F.lit(0)), F.lit(END), F.lit("")))
 
         def long(s: Column) -> Column:
             more = lambda x, _: F.when(F.size(x["made"]) > 0, self._round(x)).otherwise(x)

@@ -80,3 +80,12 @@ def test_vocabularies_that_cannot_be(tmp_path):
     with pytest.raises(ValueError, match="no rank for 255"):
         bpe.Vocabulary(path=str(bad), pattern=PATTERN).load()
     assert path("byte_bpe_50k.tiktoken")
+
+
+def test_a_join_looks_up_the_pairs_beside_it_only(spark):
+    """What the other pairs of a word make is carried on from merge to merge, here shown by a rank that no pair has."""
+    ranks, far = bpe.INSTALLED.load()[0], chr(bpe.IDS - 1)
+    t, h, e, x, th = (chr(ranks[p]) for p in (b"t", b"h", b"e", b"x", b"th"))
+    before = (bpe.END + t + h + e + x + bpe.END, bpe.NONE + th + far + far + bpe.NONE)
+    state = spark.createDataFrame([before], "s string, made string").select(bpe.Codec(spark)._next(F.array("s", "made")).alias("state")).first().state
+    assert state == [bpe.END + th + e + x + bpe.END, bpe.NONE + chr(ranks[b"the"]) + far + bpe.NONE]
