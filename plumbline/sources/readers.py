@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from typing import Any
@@ -60,8 +61,13 @@ def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header, quoted line feeds, doubled quotes and perhaps a byte order mark."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    """CSV with a header, quoted line feeds, doubled quotes and perhaps a byte order mark; nothing is null, ``""`` is an empty text.
+
+    The text that stands for null is made anew, so no file holds it: else Spark takes empty texts for null.  Without an
+    escape of the escape Spark takes NUL for one and drops it.
+    """
+    d = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')
+    return d.option("nullValue", uuid.uuid4().hex).option("encoding", "UTF-8").csv(path)
 
 
 def entities(spark: SparkSession, path: str, schema: str, guards: dict[str, Column]) -> DataFrame:

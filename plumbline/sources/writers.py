@@ -20,8 +20,11 @@ def jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, every text quoted and quotes doubled, so that line feeds and blanks stay."""
-    rows.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    """CSV with a header and doubled quotes; line feeds and blanks stay, null is written as nothing and an empty text as ``""``.
+
+    Of one column all is quoted, and null written as an empty text: a blank line would be read as no row.
+    """
+    rows.write.mode(mode).option("header", True).option("quoteAll", len(rows.columns) == 1).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def tar(spark: SparkSession, path: str, files: dict[str, bytes]) -> None:

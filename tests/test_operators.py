@@ -351,6 +351,17 @@ def test_csv_with_mark(spark, tmp_path):
     assert [(x.answer, x.prompt) for x in r] == [("A", 'two\nlines, "quoted"')]
 
 
+def test_csv_keeps_odd_texts(spark, tmp_path):
+    """SRC-08: nulls, empty texts, NUL beside quotes, line ends, blanks and marks come back as they were, in any column."""
+    odd = [None, "", " ", " a ", "\t", "\n", "\r", "a\r\nb", '"', '""', 'a",\n"b', 'a"\x00b\x00', "\x00", "\\", '\\"', "#a", "null", "\ufeffa", "first,n,last"]
+    rows = [(a, k if k % 3 else None, b) for k, (a, b) in enumerate((a, b) for a in odd for b in odd)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "first string, n long, last string").repartition(5)
+    writers.csv(df, str(tmp_path / "odd"))
+    assert sorted(map(repr, readers.csv(spark, str(tmp_path / "odd"), "first string, n long, last string").collect())) == sorted(map(repr, df.collect()))
+    writers.csv(spark.createDataFrame([("a",), ("",), (None,)], "only string"), str(tmp_path / "one"))
+    assert sorted(r.only for r in readers.csv(spark, str(tmp_path / "one"), "only string").collect()) == ["", "", "a"]
+
+
 def test_whole_json_and_entities(spark, tmp_path):
     """SRC-07, SRC-09."""
     (tmp_path / "d.json").write_text(json.dumps({"a": {"b": 1}}, indent=2))
